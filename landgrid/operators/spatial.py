@@ -140,10 +140,10 @@ def _touch_candidates(left: DataFrame, right: DataFrame, left_id: str) -> DataFr
     rows on their own level with finer left rows.
     """
     def spread(df: DataFrame, box: str, own: int) -> DataFrame:
-        df = df.withColumn("_own", _level_of_box(F.col(box)))
+        df = df.withColumn("_native_level", _level_of_box(F.col(box)))
         finer_up = lambda low: F.flatten(F.transform(_levels(low), lambda l: _cover(F.col(box), l)))
-        native = _cover(F.col(box), F.col("_own"))
-        lists = {own: native, 3 - own: finer_up(F.col("_own") + (1 if own == 1 else 0))}
+        native = _cover(F.col(box), F.col("_native_level"))
+        lists = {own: native, 3 - own: finer_up(F.col("_native_level") + (1 if own == 1 else 0))}
         tagged = [_with_class(buckets, k) for k, buckets in lists.items()]
         return (
             df.withColumn("_b", F.explode(F.concat(*tagged)))
@@ -152,7 +152,7 @@ def _touch_candidates(left: DataFrame, right: DataFrame, left_id: str) -> DataFr
                 F.col("_b.class").alias("_class"), F.col("_b.level").alias("_level"),
                 F.col("_b.ix").alias("_ix"), F.col("_b.iy").alias("_iy"),
             )
-            .drop("_b", "_own")
+            .drop("_b", "_native_level")
         )
 
     joined = salted_join(

@@ -159,7 +159,6 @@ def _(t):
       and exists (select 1 from parcel)""")
 def _(t):
     lineage = ops.lineage_map(t.snapshot)
-    # The lineage table has exactly one row.
-    rows = t.parcel.select("parcel_key").crossJoin(F.broadcast(lineage))
+    rows = t.parcel.select("parcel_key").withColumn("source_snapshots", lineage.scalar())
     out = ops.sources_of(rows, datasets(t), t.snapshot)
     return out.select("dataset_id", "snapshot_id", F.col("cut_date").cast("string").alias("cut_date"))
