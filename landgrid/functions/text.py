@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
 PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
 
+LIGATURES = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "ø": "o", "Ø": "O"}
+
 # Lower-case particles of Spanish names.
 NAME_PARTICLES = ["de", "del", "la", "las", "los", "y", "el", "en"]
 
@@ -22,7 +24,10 @@ def strip_accents(col: Column) -> Column:
 
 def fold(col: Column) -> Column:
     """Upper case without accents, the key used by every text comparison."""
-    return F.upper(strip_accents(col))
+    plain = strip_accents(col)
+    for letter, letters in LIGATURES.items():
+        plain = F.replace(plain, F.lit(letter), F.lit(letters))
+    return F.upper(plain)
 
 
 def category_key(col: Column) -> Column:

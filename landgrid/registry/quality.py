@@ -155,28 +155,28 @@ def _(t):
     return privacy.scan_values(lines, ["doc_id", "line_no"], "line")
 
 
-@query("personal_values_in_conversations", "Q8", "", f"""
-    with r as (select conv_id, turn, trim(text) as v from conversations)
-    select conv_id, turn, {value_rule_sql('v')} as rule from r where length(v) <= 500 and {value_rule_sql('v')} is not null""")
+@query("personal_values_short", "Q8", "", f"""
+    with r as (select doc_id, trim(text) as v from documents)
+    select doc_id, {value_rule_sql('v')} as rule from r where length(v) <= 500 and {value_rule_sql('v')} is not null""")
 def _(t):
-    return privacy.scan_values(t.conversations, ["conv_id", "turn"], "text", longest=500)
+    return privacy.scan_values(t.documents, ["doc_id"], "text", longest=500)
 
 
-@query("sanitized_conversations", "Q9", "", f"""
-    with r as (select conv_id, turn, role, text, trim(text) as v from conversations)
-    select conv_id, turn, role, case when length(v) <= 500 and {value_rule_sql('v')} is not null then '[REDACTADO:' || {value_rule_sql('v')} || ']' else text end as texto from r""")
+@query("sanitized_documents", "Q9", "", f"""
+    with r as (select doc_id, lang, text, trim(text) as v from documents)
+    select doc_id, lang, case when length(v) <= 500 and {value_rule_sql('v')} is not null then '[REDACTADO:' || {value_rule_sql('v')} || ']' else text end as texto from r""")
 def _(t):
-    df = t.conversations.select("conv_id", "turn", "role", F.col("text").alias("texto"), F.col("role").alias("nombre_propietario"), F.col("role").alias("telefono"))
-    return privacy.sanitize(df)
+    df = t.documents.select("doc_id", F.col("lang"), F.col("text").alias("texto"), F.col("source").alias("nombre_propietario"), F.col("lang").alias("telefono"))
+    return privacy.sanitize(df, ["texto"])
 
 
 @query("discard_log", "Q9 A23", "", f"""
-    with r as (select trim(text) as v from conversations), h as (select {value_rule_sql('v')} as rule from r where length(v) <= 500)
-    select 'chats' as layer, 'texto' as "column", rule, 'redacted' as action, count(*) as occurrences from h where rule is not null group by rule
-    union all select 'chats', 'telefono', 'exact', 'dropped', count(*) from conversations""")
+    with r as (select trim(text) as v from documents), h as (select {value_rule_sql('v')} as rule from r where length(v) <= 500)
+    select 'docs' as layer, 'texto' as "column", rule, 'redacted' as action, count(*) as occurrences from h where rule is not null group by rule
+    union all select 'docs', 'telefono', 'exact', 'dropped', count(*) from documents""")
 def _(t):
-    df = t.conversations.select(F.col("text").alias("texto"), F.col("role").alias("telefono"))
-    log = privacy.discard_log(df, "chats").withColumn("detected_at", F.lit("2024-01-01").cast("date"))
+    df = t.documents.select(F.col("text").alias("texto"), F.col("lang").alias("telefono"))
+    log = privacy.discard_log(df, "docs").withColumn("detected_at", F.lit("2024-01-01").cast("date"))
     return privacy.discard_rollup(log).drop("last_seen")
 
 
@@ -206,13 +206,13 @@ def _(t):
 
 
 @query("staged_sweep", "Q11", "", f"""
-    with r as (select trim(text) as v from conversations), h as (select {value_rule_sql('v')} as rule from r where length(v) <= 500)
+    with r as (select trim(text) as v from documents), h as (select {value_rule_sql('v')} as rule from r where length(v) <= 500)
     select 'R_VEREDA' as layer, 'NOMBRE' as "column", 'exempt' as kind, 'exact' as rule, 0 as "values"
-    union all select 'CHATS', 'USUARIO_LOG', 'audit', 'exact', 0 union all select 'CHATS', 'CORREO', 'offending', 'exact', 0
-    union all select 'CHATS', 'TEXTO', 'content', rule, count(*) from h where rule is not null group by rule""")
+    union all select 'DOCS', 'USUARIO_LOG', 'audit', 'exact', 0 union all select 'DOCS', 'CORREO', 'offending', 'exact', 0
+    union all select 'DOCS', 'TEXTO', 'content', rule, count(*) from h where rule is not null group by rule""")
 def _(t):
-    chats = t.conversations.select(F.col("text").alias("TEXTO"), F.lit(1).alias("USUARIO_LOG"), F.lit(1).alias("CORREO"))
-    return privacy.sweep({"R_VEREDA": t.part.select(F.col("p_size").alias("NOMBRE")), "CHATS": chats})
+    docs = t.documents.select(F.col("text").alias("TEXTO"), F.lit(1).alias("USUARIO_LOG"), F.lit(1).alias("CORREO"))
+    return privacy.sweep({"R_VEREDA": t.part.select(F.col("p_size").alias("NOMBRE")), "DOCS": docs})
 
 
 @query("parcel_code_parts", "F8", "parcel", """
@@ -231,7 +231,7 @@ def _(t):
 
 
 @query("text_folding", "F1 F2 F11", "", f"""
-    select doc_id, upper(translate(text, '{text.ACCENTED}', '{text.PLAIN}')) as folded,
+    select doc_id, upper(replace(translate(text, '{text.ACCENTED}', '{text.PLAIN}'), 'ß', 'ss')) as folded,
       regexp_replace(regexp_replace(lower(translate(text, '{text.ACCENTED}', '{text.PLAIN}')), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') as category from documents""")
 def _(t):
     return t.documents.select("doc_id", text.fold(F.col("text")).alias("folded"), text.category_key(F.col("text")).alias("category"))
@@ -253,7 +253,7 @@ def _(t):
 
 
 @query("numbers_from_text", "P12 F10 F35", "", """
-    select o_orderkey, o_totalprice as number, cast(floor(o_totalprice) as bigint) as whole, lpad(cast(o_custkey as varchar), greatest(5, length(cast(o_custkey as varchar))), '0') as muni_code, o_totalprice as dec,
+    select o_orderkey, o_totalprice as number, cast(floor(o_totalprice) as bigint) as whole, lpad(cast(o_custkey as varchar), cast(greatest(5, length(cast(o_custkey as varchar))) as int), '0') as muni_code, o_totalprice as dec,
       cast(null as double) as nothing from orders""")
 def _(t):
     plain = F.format_string("%.2f", "o_totalprice")
