@@ -58,7 +58,10 @@ def haversine_m(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Colum
     """Metres on the mean sphere."""
     dlat, dlng = F.radians(lat2 - lat1) / 2, F.radians(lng2 - lng1) / 2
     h = F.pow(F.sin(dlat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlng), 2)
-    return 2 * EARTH_RADIUS_M * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
+    metres = 2 * EARTH_RADIUS_M * F.asin(F.least(F.sqrt(h), F.lit(1.0)))
+    # least() skips NULL, so unknown places are left out here.
+    known = lng1.isNotNull() & lat1.isNotNull() & lng2.isNotNull() & lat2.isNotNull()
+    return F.when(known, metres)
 
 
 def let(value: Column, body) -> Column:
@@ -408,10 +411,11 @@ def tile_of(lng: Column, lat: Column, z: Column) -> Column:
     x = F.floor((lng + 180.0) / 360.0 * n)
     y = F.floor((1.0 - F.log(F.tan(phi) + 1.0 / F.cos(phi)) / math.pi) / 2.0 * n)
     top = (n - 1).cast("bigint")
-    return F.struct(
+    tile = F.struct(
         F.least(F.greatest(x, F.lit(0)), top).alias("x"),
         F.least(F.greatest(y, F.lit(0)), top).alias("y"),
     )
+    return F.when(lng.isNotNull() & lat.isNotNull(), tile)
 
 
 def tile_box(z: Column, x: Column, y: Column) -> Column:

@@ -13,27 +13,39 @@ TRUE_WORDS = ["true", "si", "verdadero"]
 FALSE_WORDS = ["false", "no", "falso"]
 
 
-def finish(score: Column) -> Column:
-    """Clamp to 0..100 and keep two decimals."""
-    return F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)), 2)
+def round_up(value: Column, digits: int) -> Column:
+    """Round to some decimals with halves up, on the double itself."""
+    factor = 10.0**digits
+    return F.floor(value * factor + 0.5) / factor
 
 
 def finite(value: Column) -> Column:
     """The value as a double, NULL for NaN and infinities."""
     number = value.cast("double")
-    bad = F.isnan(number) | F.abs(number).eqNullSafe(F.lit(float("inf")))
-    return F.when(~bad, number)
+    return F.when(~unusable(number), number)
+
+
+def unusable(number: Column) -> Column:
+    return F.isnan(number) | (F.abs(number) == float("inf"))
 
 
 def linear(value: Column, low: float, high: float) -> Column:
+    """0 at the lower end, 100 at the upper end."""
     if low == high:
         raise ValueError("linear needs two different ends")
     low, high = float(min(low, high)), float(max(low, high))
-    return finish((finite(value) - low) / (high - low) * 100.0)
+    number = value.cast("double")
+    # NULL passes no branch and stays NULL in the last one.
+    return (
+        F.when(unusable(number), F.lit(None).cast("double"))
+        .when(number <= low, F.lit(0.0))
+        .when(number >= high, F.lit(100.0))
+        .otherwise(round_up((number - low) / (high - low) * 100.0, 2))
+    )
 
 
 def linear_inverse(value: Column, low: float, high: float) -> Column:
-    return finish(100.0 - linear(value, low, high))
+    return round_up(100.0 - linear(value, low, high), 2)
 
 
 def stepped(value: Column, steps: list[tuple[float, float]], above: float | None = 0.0) -> Column:
@@ -41,27 +53,28 @@ def stepped(value: Column, steps: list[tuple[float, float]], above: float | None
     ends = [end for end, _ in steps]
     if not ends or ends != sorted(set(ends)):
         raise ValueError("steps must rise")
-    number = finite(value)
+    number = value.cast("double")
     chain = reduce(
         lambda c, s: c.when(number <= float(s[0]), F.lit(float(s[1]))),
         steps,
-        F.when(number.isNull(), F.lit(None).cast("double")),
+        F.when(number.isNull() | unusable(number), F.lit(None).cast("double")),
     )
-    return finish(chain.otherwise(F.lit(above).cast("double")))
+    return chain.otherwise(F.lit(above).cast("double"))
 
 
 def band(value: Column, hard_min: float, ideal_min: float, ideal_max: float, hard_max: float) -> Column:
     """100 inside the ideal band, falling to 0 at the hard ends."""
     if not hard_min <= ideal_min <= ideal_max <= hard_max:
         raise ValueError("band ends must rise")
-    number = finite(value)
+    number = value.cast("double")
     rise = (number - float(hard_min)) / float(ideal_min - hard_min or 1) * 100.0
     fall = (float(hard_max) - number) / float(hard_max - ideal_max or 1) * 100.0
-    return finish(
-        F.when(number.between(ideal_min, ideal_max), F.lit(100.0))
+    return (
+        F.when(unusable(number), F.lit(None).cast("double"))
+        .when(number.between(ideal_min, ideal_max), F.lit(100.0))
         .when((number <= hard_min) | (number >= hard_max), F.lit(0.0))
-        .when(number < ideal_min, rise)
-        .when(number > ideal_max, fall)
+        .when(number < ideal_min, round_up(rise, 2))
+        .when(number > ideal_max, round_up(fall, 2))
     )
 
 
@@ -70,11 +83,22 @@ def lookup(key: Column, table: dict) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
+def present_key(value: Column) -> Column:
+    """Category key of a value, NULL for NULL and blank text."""
+    text = value.cast("string")
+    return F.when(F.trim(text) != "", category_key(text))
+
+
 def categorical(value: Column, scores: dict[str, float], fallback: float | None = None) -> Column:
-    key = category_key(value.cast("string"))
+    return categorical_by_key(present_key(value), scores, fallback)
+
+
+def categorical_by_key(key: Column, scores: dict[str, float], fallback: float | None = None) -> Column:
+    """Score of a ready category key."""
     hit = lookup(key, {k: float(v) for k, v in scores.items()})
-    blank = F.trim(value.cast("string")) == ""
-    return finish(F.when(value.isNull() | blank, None).otherwise(F.coalesce(hit, F.lit(fallback).cast("double"))))
+    if fallback is None:
+        return hit
+    return F.when(key.isNotNull(), F.coalesce(hit, F.lit(float(fallback))))
 
 
 def to_boolean(value: Column) -> Column:
@@ -85,9 +109,7 @@ def to_boolean(value: Column) -> Column:
 
 def boolean(value: Column, when_true: float | None, when_false: float | None) -> Column:
     flag = to_boolean(value)
-    return finish(
-        F.when(flag, F.lit(when_true).cast("double")).when(~flag, F.lit(when_false).cast("double"))
-    )
+    return F.when(flag, F.lit(when_true).cast("double")).when(~flag, F.lit(when_false).cast("double"))
 
 
 def road_access(distance_m: Column, missing_as: float | None = None, whole: bool = False) -> Column:
@@ -95,36 +117,38 @@ def road_access(distance_m: Column, missing_as: float | None = None, whole: bool
     d = distance_m if missing_as is None else F.coalesce(distance_m, F.lit(float(missing_as)))
     score = F.least(F.greatest(100.0 - (d - 100.0) / 49.0, F.lit(0.0)), F.lit(100.0))
     score = F.when(d.isNotNull(), score)
-    return F.round(score, 0) if whole else score
+    return round_up(score, 0) if whole else score
 
 
 def school_age(bands: Column) -> Column:
     """Children of 5 to 16 years from a map of five-year bands; two fifths of the last band."""
     n = lambda band: F.coalesce(F.try_element_at(bands, F.lit(band)).cast("double"), F.lit(0.0))
     total = n("5_9") + n("10_14") + n("15_19") * 0.4
-    return F.when(bands.isNotNull() & (total > 0), F.round(total, 0).cast("bigint"))
+    return F.when(bands.isNotNull() & (total > 0), round_up(total, 0).cast("bigint"))
 
 
-def score_column(value: Column, spec: tuple) -> Column:
-    """Column of a catalogue rule ``(kind, *arguments)``."""
-    kind, *args = spec
-    return {
+def score_column(value: Column, rule: tuple, key: Column | None = None) -> Column:
+    """Column of a catalogue rule ``(kind, *arguments)``; ``key`` is a ready category key."""
+    kind, *args = rule
+    if kind == "categorical":
+        return categorical_by_key(present_key(value) if key is None else key, *args)
+    rules = {
         "linear": linear,
         "linear_inverse": linear_inverse,
         "stepped": stepped,
         "band": band,
-        "categorical": categorical,
         "boolean": boolean,
-    }[kind](value, *args)
+    }
+    return rules[kind](value, *args)
 
 
-def flag_column(value: Column, spec: tuple) -> Column:
+def flag_column(value: Column, rule: tuple, key: Column | None = None) -> Column:
     """ok, caution, blocker or unknown by a catalogue rule."""
-    kind, *args = spec
+    kind, *args = rule
     unknown = F.lit("unknown")
     if kind in ("above", "below", "band"):
-        number = finite(value)
-        chain = F.when(number.isNull(), unknown)
+        number = value.cast("double")
+        chain = F.when(number.isNull() | unusable(number), unknown)
         if kind == "above":
             caution, blocker = args
             if blocker is not None:
@@ -140,9 +164,9 @@ def flag_column(value: Column, spec: tuple) -> Column:
         return chain.otherwise("ok")
     if kind == "category":
         table, fallback = args
-        text = F.trim(value.cast("string"))
-        known = F.coalesce(lookup(category_key(text), table), F.lit(fallback))
-        return F.when(value.isNull() | (text == ""), unknown).otherwise(known)
+        key = present_key(value) if key is None else key
+        known = F.coalesce(lookup(key, table), F.lit(fallback))
+        return F.when(key.isNull(), unknown).otherwise(known)
     if kind == "boolean":
         flag = to_boolean(value)
         return F.when(flag, args[0]).when(~flag, args[1]).otherwise(unknown)

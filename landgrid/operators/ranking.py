@@ -165,28 +165,36 @@ def midrank_percentile(
     return df.withColumn("_v", F.col(value).cast("double")).join(places, "_v", "left").drop("_v")
 
 
-def number_rows(df: DataFrame, order: list[Column], name: str = "row_number") -> DataFrame:
-    """Adds a global row number starting at one.
+def number_rows(
+    df: DataFrame, order: list[Column], name: str = "row_number", within: list[str] | None = None
+) -> DataFrame:
+    """Adds a row number starting at one, over all rows or within groups.
 
     Rows are range-partitioned and sorted once and written to the checkpoint
     folder with their place inside the partition; the counts of the partitions
-    before it, one row per partition, complete the number.
+    before it, one row per partition, complete the number. A group may span any
+    number of partitions: its numbers are the global ones less its first.
     """
-    placed = (
-        df.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+    keys = within or []
+    full_order = [*[F.col(k) for k in keys], *order]
+    placed = cut_lineage(
+        df.repartitionByRange(*full_order)
+        .sortWithinPartitions(*full_order)
         .withColumn("_place", F.monotonically_increasing_id())
     )
-    placed = cut_lineage(placed)
     part = F.shiftright(F.col("_place"), 33)
     sizes = placed.groupBy(part.alias("_part")).count()
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     inside = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     # One row per partition, so the broadcast is bounded by the partition count.
-    return (
+    numbered = (
         placed.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_offset") + inside + 1)
         .drop("_part", "_place", "_offset")
     )
+    if not keys:
+        return numbered
+    first = numbered.groupBy(*keys).agg((F.min(name) - 1).alias("_first"))
+    return numbered.join(first, keys).withColumn(name, F.col(name) - F.col("_first")).drop("_first")

@@ -187,8 +187,9 @@ def polygon_overlaps(
 
 def overlap_pct(overlap: Column, subject_area: Column, digits: int = 3) -> Column:
     """Share of the subject in percent, between 0 and 100."""
-    share = F.round(F.when(subject_area > 0, overlap / subject_area * 100), digits)
-    return F.least(F.greatest(share, F.lit(0.0)), F.lit(100.0))
+    share = F.round(overlap / subject_area * 100, digits)
+    clamped = F.least(F.greatest(share, F.lit(0.0)), F.lit(100.0))
+    return F.when((subject_area > 0) & overlap.isNotNull(), clamped)
 
 
 def iou(overlap: Column, area_a: Column, area_b: Column) -> Column:

@@ -133,6 +133,31 @@ STANDINS = {
         select event_id, ts, cast(user_id % 50 as bigint) as org_id, user_id, event_type as metric,
                cast(floor(value) as bigint) as amount, value
         from {events}""",
+    # One unit per order with a value, or none, for most indicators.
+    "unit": """
+        select o_orderkey as unit_key, cast(o_custkey % 60 as double) as slope_mean_pct,
+               case when o_orderkey % 9 = 0 then null else cast(o_custkey * 3 as double) end as elevation_mean_m,
+               case when o_orderkey % 10 = 0 then null else cast(o_orderkey % 8 + 1 as string) end as land_capability_class,
+               case o_orderkey % 6 when 0 then 'Agrícola' when 1 then 'ganadera' when 2 then 'Conservación' when 3 then 'agroforestal' when 4 then 'otra' end as land_vocation,
+               case o_orderkey % 5 when 0 then 'uso adecuado' when 1 then 'Sobreutilización severa' when 2 then 'subutilizacion_ligera' end as land_use_conflict,
+               case o_orderkey % 7 when 0 then 'Alta' when 1 then null when 2 then 'Media' else 'Muy Baja' end as hazard_landslide_level,
+               case o_orderkey % 11 when 0 then 'Muy alta' when 1 then null when 2 then 'Media' else 'Baja' end as hazard_flood_level,
+               case when o_orderkey % 13 = 0 then null else cast(case when o_orderkey % 4 = 0 then o_custkey % 100 else 0 end as double) end as protected_area_overlap_pct,
+               case o_orderkey % 3 when 0 then 'Parque Nacional Natural' when 1 then 'Área de recreación' end as protected_area_category,
+               case when o_orderkey % 17 = 0 then null else cast(case when o_orderkey % 8 = 0 then o_custkey % 30 else 0 end as double) end as ethnic_territory_overlap_pct,
+               case o_orderkey % 4 when 0 then true when 1 then false when 2 then true end as inside_agricultural_frontier,
+               case o_orderkey % 5 when 0 then false when 1 then null else true end as inside_urban_perimeter,
+               case o_orderkey % 6 when 0 then 'Suelo urbano' when 1 then 'Suelo rural' when 2 then 'Suelo de protección' when 3 then 'Suelo suburbano' end as pot_classification,
+               cast(o_custkey * 11 % 12000 as double) as distance_primary_road_m, cast(o_custkey * 7 % 6000 as double) as distance_secondary_road_m,
+               case when o_orderkey % 19 = 0 then null else cast(o_custkey * 5 % 4000 as double) end as distance_paved_road_m,
+               cast(o_custkey * 23 % 33000 as double) as distance_municipal_seat_m, cast(o_custkey * 3 % 3500 as double) as distance_school_m,
+               cast(o_custkey * 13 % 11000 as double) as distance_health_facility_m,
+               case when o_orderkey % 23 = 0 then null else cast(o_custkey % 101 as double) end as road_access_index,
+               floor(o_totalprice / 32) as population_density_per_km2, cast(o_custkey % 1600 as double) as school_age_population,
+               cast(o_custkey % 120 as double) as school_seats_per_100_school_age, cast(o_custkey % 420 as double) as commerce_poi_density_per_km2,
+               cast(o_custkey % 70 as double) as tourism_poi_density_per_km2, cast(o_custkey % 2100 as double) as parcel_density_per_km2,
+               floor(o_totalprice / 10) as parcel_area_m2, cast(o_custkey % 17 as double) as large_parcels_count
+        from {orders}""",
     "ledger": """
         select cast(event_id as string) as entry_id, cast(user_id % 50 as bigint) as owner_id,
                case event_type when 'signup' then 'plan_grant' when 'purchase' then 'purchase' when 'view' then 'debit' when 'click' then 'refund' else 'expiry' end as kind,
@@ -158,6 +183,14 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        """A table over all cores when its files make fewer tasks than that.
+
+        Splits of large tables already outnumber the cores and are left alone.
+        """
+        df, cores = getattr(self, name), self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in STANDINS:
             text = STANDINS[name]
