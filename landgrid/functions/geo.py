@@ -198,18 +198,15 @@ def area_m2(polygon: Column) -> Column:
 
 def box(polygon: Column) -> Column:
     """Struct ``xmin, ymin, xmax, ymax``; NULL for an empty polygon."""
-    def found(points):
-        xs = F.transform(points, lambda p: p["x"])
-        ys = F.transform(points, lambda p: p["y"])
-        corners = F.struct(
-            F.array_min(xs).alias("xmin"),
-            F.array_min(ys).alias("ymin"),
-            F.array_max(xs).alias("xmax"),
-            F.array_max(ys).alias("ymax"),
-        )
-        return F.when(F.size(points) > 0, corners)
-
-    return let(F.flatten(polygon), found)
+    points = F.flatten(polygon)
+    xs, ys = points.getField("x"), points.getField("y")
+    corners = F.struct(
+        F.array_min(xs).alias("xmin"),
+        F.array_min(ys).alias("ymin"),
+        F.array_max(xs).alias("xmax"),
+        F.array_max(ys).alias("ymax"),
+    )
+    return F.when(F.size(points) > 0, corners)
 
 
 def boxes_touch(a: Column, b: Column) -> Column:

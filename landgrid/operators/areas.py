@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from landgrid.functions import geo
 from landgrid.operators import cells, spatial
 from landgrid.operators.ranking import grouped_percentiles
+from landgrid.session import cut_lineage
 
 TOP_USES = 20
 NEAREST_MUNICIPALITY_M = 80_000.0
@@ -45,6 +46,7 @@ def municipality_of(points: DataFrame, municipalities: DataFrame, point_id: str,
     held = spatial.smallest_holder(
         points.select(point_id, "lng", "lat"), m, point_id, "muni_code", "m_area", rings="m_rings"
     ).withColumn("match", F.lit("polygon"))
+    held = cut_lineage(held)
     rest = points.select(point_id, "lng", "lat").join(held, point_id, "left_anti")
     seats = municipalities.select("muni_code", F.col("seat_lng").alias("s_lng"), F.col("seat_lat").alias("s_lat"))
     names = {"left_xy": ("lng", "lat"), "right_xy": ("s_lng", "s_lat")}
@@ -74,7 +76,8 @@ def parcel_stats(parcels: DataFrame, buildings: DataFrame, scopes: DataFrame) ->
 
     ``buildings`` has ``building_id, parcel_key, footprint_m2, b_rings``.
     """
-    hits = parcels_in(parcels, scopes).drop("rings", "scope_rings")
+    # The pairs feed the sums, the median and the uses.
+    hits = cut_lineage(parcels_in(parcels, scopes).drop("rings", "scope_rings"))
     sums = hits.groupBy("scope_id").agg(
         F.count(F.lit(1)).alias("n_parcels"),
         F.count_if(F.col("zone") == "01").alias("n_urban"),
@@ -106,7 +109,7 @@ def population_in(blocks: DataFrame, scopes: DataFrame) -> DataFrame:
     b = blocks.withColumn("block_area", geo.area(F.col("block_rings")))
     pairs = spatial.polygon_overlaps(b, scopes.select("scope_id", "scope_rings"), "block_id", "block_rings", "scope_rings")
     share = spatial.overlap_pct(F.col("overlap"), F.col("block_area")) / 100
-    pairs = pairs.withColumn("_share", share).drop("block_rings", "scope_rings")
+    pairs = cut_lineage(pairs.withColumn("_share", share).drop("block_rings", "scope_rings"))
     whole = lambda c: F.round(F.sum(F.col(c) * F.col("_share"))).cast("bigint")
     totals = pairs.groupBy("scope_id").agg(
         whole("pop_total").alias("pop_total"), whole("households").alias("households"),

@@ -9,6 +9,7 @@ from landgrid.functions import geo, hexgrid
 from landgrid.functions.normalize import road_access
 from landgrid.operators import spatial
 from landgrid.operators.ranking import grouped_percentiles
+from landgrid.session import cut_lineage
 
 HUGE_MUNICIPALITY_KM2 = 3000.0
 LARGE_LOT_M2 = 1000.0
@@ -191,8 +192,10 @@ def rebuild_cells(
     cells = cells.withColumn("_p", hexgrid.center(F.col("cell"), level)).select(
         "cell", "muni_code", F.col("_p.x").alias("lng"), F.col("_p.y").alias("lat")
     )
+    # Every aggregate below starts from the cells, and four of them from the shares.
+    cells = cut_lineage(cells)
     shapes = cells.select("cell", hexgrid.boundary(F.col("cell"), level).alias("cell_rings"))
-    shares = overlay_shares(shapes, overlays, "cell", "cell_rings")
+    shares = cut_lineage(overlay_shares(shapes, overlays, "cell", "cell_rings"))
     put = lambda df: df.withColumn("cell", at)
     parts = [
         cadastre_stats(placed, ["cell"]),

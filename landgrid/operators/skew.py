@@ -6,6 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 500_000
+SAMPLE = 0.01
+
+
+def hot_keys(sampled: DataFrame, keys: list[str], fraction: float = SAMPLE, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys that hold more than ``hot_rows`` rows by a sample's counts, with ``_fan`` salts each.
+
+    A key the sample misjudges costs time, never a result.
+    """
+    rows = F.col("count") / fraction
+    return (
+        sampled.groupBy(*keys)
+        .count()
+        .where(rows > hot_rows)
+        .select(*keys, F.ceil(rows / hot_rows).cast("int").alias("_fan"))
+    )
 
 
 def salted_join(
@@ -14,23 +29,21 @@ def salted_join(
     keys: list[str],
     spread: list[str],
     how: str = "inner",
+    hot: DataFrame | None = None,
+    fraction: float = SAMPLE,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Join on ``keys`` with every hot key of ``left`` split over several tasks.
 
-    A key with more than ``hot_rows`` rows in ``left`` gets one salt per
-    ``hot_rows`` of them, chosen by the hash of the ``spread`` columns, which
-    should tell its rows apart. Matching rows of ``right`` are repeated once
-    per salt, so the result is that of the plain join. Rows of keys that are
-    not hot are left alone. ``how`` may be inner, left, left_semi or left_anti.
+    A hot key gets one salt per ``hot_rows`` of its rows in ``left``, chosen by
+    the hash of the ``spread`` columns, which should tell its rows apart.
+    Matching rows of ``right`` are repeated once per salt, so the result is
+    that of the plain join. Rows of other keys are left alone. ``how`` may be
+    inner, left, left_semi or left_anti.
     """
-    hot = (
-        left.groupBy(*keys)
-        .count()
-        .where(F.col("count") > hot_rows)
-        .select(*keys, F.ceil(F.col("count") / hot_rows).cast("int").alias("_fan"))
-    )
-    # At most rows / hot_rows keys pass the filter, so this side has a proven bound.
+    if hot is None:
+        hot = hot_keys(left.sample(fraction, seed=7), keys, fraction, hot_rows)
+    # Each hot key stands for more than hot_rows rows, which bounds their number.
     hot = F.broadcast(hot)
     salt = F.pmod(F.xxhash64(*spread), F.col("_fan"))
     salted_left = (
@@ -38,10 +51,6 @@ def salted_join(
         .withColumn("_salt", F.coalesce(salt, F.lit(0).cast("bigint")))
         .drop("_fan")
     )
-    salted_right = (
-        right.join(hot, keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_fan") - 1, F.lit(0)))))
-        .withColumn("_salt", F.col("_salt").cast("bigint"))
-        .drop("_fan")
-    )
+    salts = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_fan") - 1, F.lit(0)).cast("bigint"))
+    salted_right = right.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_fan")
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")

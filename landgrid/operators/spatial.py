@@ -20,55 +20,40 @@ from pyspark.sql import types as T
 
 from landgrid.functions import geo, hexgrid
 from landgrid.functions.kernels import halve, hull, hull_batches, overlap_area
-from landgrid.operators.skew import salted_join
+from landgrid.operators.skew import SAMPLE, hot_keys, salted_join
+from landgrid.session import cut_lineage
 
 # Bucket sides in degrees; each is four times the one before.
 SIDES = [0.01 * 4**k for k in range(7)]
 LAST = len(SIDES) - 1
-MAX_ABS_LAT = 60.0
-
-
-def _side(level: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(s) for s in SIDES]), level + 1)
-
-
-def _level_of_box(box: Column) -> Column:
-    extent = F.greatest(box["xmax"] - box["xmin"], box["ymax"] - box["ymin"])
-    chain = F.when(extent <= SIDES[0], 0)
-    for k in range(1, LAST):
-        chain = chain.when(extent <= SIDES[k], k)
-    return chain.otherwise(LAST)
-
-
-def _cover(box: Column, level: Column) -> Column:
-    """Buckets ``level, ix, iy`` a box touches at a level."""
-    side = _side(level)
-    xs = F.sequence(F.floor(box["xmin"] / side), F.floor(box["xmax"] / side))
-    ys = F.sequence(F.floor(box["ymin"] / side), F.floor(box["ymax"] / side))
-    return F.flatten(
-        F.transform(
-            xs,
-            lambda ix: F.transform(
-                ys,
-                lambda iy: F.struct(
-                    level.cast("int").alias("level"), ix.alias("ix"), iy.alias("iy")
-                ),
-            ),
-        )
-    )
 
 
-def _levels(low: Column, high: int = LAST) -> Column:
-    return F.when(low <= high, F.sequence(low, F.lit(high))).otherwise(F.array().cast("array<int>"))
+BUCKET = ["_level", "_ix", "_iy"]
+SIDE_SQL = "element_at(array(" + ", ".join(f"{s!r}D" for s in SIDES) + "), _level + 1)"
 
 
-BUCKET = ["_level", "_ix", "_iy"]
+def _with_level(df: DataFrame, box: str) -> DataFrame:
+    """Adds ``_own``, the finest level whose buckets are not smaller than the box."""
+    extent = f"greatest({box}.xmax - {box}.xmin, {box}.ymax - {box}.ymin)"
+    steps = " ".join(f"when {extent} <= {side!r}D then {k}" for k, side in enumerate(SIDES[:-1]))
+    return df.withColumn("_own", F.expr(f"case {steps} else {LAST} end"))
+
 
+def _with_buckets(df: DataFrame, box: str) -> DataFrame:
+    """One row per bucket the box touches on the row's ``_level``."""
+    def run(axis: str) -> Column:
+        low, high = f"{box}.{axis}min", f"{box}.{axis}max"
+        return F.expr(f"explode(sequence(floor({low} / {SIDE_SQL}), floor({high} / {SIDE_SQL})))")
 
-def _explode_buckets(df: DataFrame, buckets: Column) -> DataFrame:
-    return df.withColumn("_b", F.explode(buckets)).select(
-        "*", F.col("_b.level").alias("_level"), F.col("_b.ix").alias("_ix"), F.col("_b.iy").alias("_iy")
-    ).drop("_b")
+    return df.withColumn("_ix", run("x")).withColumn("_iy", run("y"))
+
+
+def _point_buckets(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row per level with the bucket of the point."""
+    levels = df.withColumn("_level", F.expr(f"explode(sequence(0, {LAST}))"))
+    return levels.withColumns(
+        {"_ix": F.expr(f"floor({x} / {SIDE_SQL})"), "_iy": F.expr(f"floor({y} / {SIDE_SQL})")}
+    )
 
 
 def points_in_polygons(
@@ -85,32 +70,23 @@ def points_in_polygons(
     With ``how`` left_semi or left_anti, the points inside any or no polygon.
     The two sides must not share column names.
     """
-    box = geo.box(F.col(rings))
-    right = polygons.withColumn("_box", box).where(F.col("_box").isNotNull())
-    right = _explode_buckets(right, _cover(F.col("_box"), _level_of_box(F.col("_box"))))
-    levels = F.array(
-        *[
-            F.struct(
-                F.lit(k).alias("level"),
-                F.floor(F.col(x) / SIDES[k]).alias("ix"),
-                F.floor(F.col(y) / SIDES[k]).alias("iy"),
-            )
-            for k in range(len(SIDES))
-        ]
-    )
+    right = polygons.withColumn("_box", geo.box(F.col(rings))).where(F.col("_box").isNotNull())
+    right = _with_buckets(_with_level(right, "_box").withColumnRenamed("_own", "_level"), "_box")
     left = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    hot = hot_keys(_point_buckets(left.select(x, y).sample(SAMPLE, seed=7), x, y), BUCKET)
     inside = (
         F.col(x).between(F.col("_box.xmin"), F.col("_box.xmax"))
         & F.col(y).between(F.col("_box.ymin"), F.col("_box.ymax"))
+        & geo.contains_point(F.col(rings), F.col(x), F.col(y))
     )
     if how != "inner":
         hits = salted_join(
-            _explode_buckets(left.select(point_id, x, y), levels),
-            right.select(rings, "_box", *BUCKET), BUCKET, [point_id],
-        ).where(inside & geo.contains_point(F.col(rings), F.col(x), F.col(y)))
+            _point_buckets(left.select(point_id, x, y), x, y),
+            right.select(rings, "_box", *BUCKET), BUCKET, [point_id], hot=hot,
+        ).where(inside)
         return points.join(hits.select(point_id).distinct(), point_id, how)
-    joined = salted_join(_explode_buckets(left, levels), right, BUCKET, [point_id])
-    return joined.where(inside & geo.contains_point(F.col(rings), F.col(x), F.col(y))).drop("_box", *BUCKET)
+    joined = salted_join(_point_buckets(left, x, y), right, BUCKET, [point_id], hot=hot)
+    return joined.where(inside).drop("_box", *BUCKET)
 
 
 def smallest_holder(
@@ -122,16 +98,6 @@ def smallest_holder(
     return pairs.groupBy(point_id).agg(pick.alias(polygon_id))
 
 
-def _with_class(buckets: Column, number: int) -> Column:
-    return F.transform(
-        buckets,
-        lambda c: F.struct(
-            F.lit(number).alias("class"),
-            c["level"].alias("level"), c["ix"].alias("ix"), c["iy"].alias("iy"),
-        ),
-    )
-
-
 def _touch_candidates(left: DataFrame, right: DataFrame, left_id: str) -> DataFrame:
     """Pairs of rows whose ``_abox`` and ``_bbox`` touch, each pair once.
 
@@ -139,31 +105,20 @@ def _touch_candidates(left: DataFrame, right: DataFrame, left_id: str) -> DataFr
     their own level with right rows of that level or finer; class 2 joins right
     rows on their own level with finer left rows.
     """
-    def spread(df: DataFrame, box: str, own: int) -> DataFrame:
-        df = df.withColumn("_native_level", _level_of_box(F.col(box)))
-        finer_up = lambda low: F.flatten(F.transform(_levels(low), lambda l: _cover(F.col(box), l)))
-        native = _cover(F.col(box), F.col("_native_level"))
-        lists = {own: native, 3 - own: finer_up(F.col("_native_level") + (1 if own == 1 else 0))}
-        tagged = [_with_class(buckets, k) for k, buckets in lists.items()]
-        return (
-            df.withColumn("_b", F.explode(F.concat(*tagged)))
-            .select(
-                "*",
-                F.col("_b.class").alias("_class"), F.col("_b.level").alias("_level"),
-                F.col("_b.ix").alias("_ix"), F.col("_b.iy").alias("_iy"),
-            )
-            .drop("_b", "_native_level")
-        )
-
-    joined = salted_join(
-        spread(left, "_abox", 1), spread(right, "_bbox", 2), ["_class", *BUCKET], [left_id]
-    )
-    a, b, side = F.col("_abox"), F.col("_bbox"), _side(F.col("_level"))
-    owner = (
-        (F.floor(F.greatest(a["xmin"], b["xmin"]) / side) == F.col("_ix"))
-        & (F.floor(F.greatest(a["ymin"], b["ymin"]) / side) == F.col("_iy"))
+    def buckets(df: DataFrame, box: str, classes: str) -> DataFrame:
+        levels = _with_level(df, box).withColumn("_level", F.expr(f"explode(sequence(_own, {LAST}))"))
+        return _with_buckets(levels.withColumn("_class", F.expr(classes)), box).drop("_own")
+
+    of_left = lambda df: buckets(df, "_abox", "if(_level = _own, 1, 2)")
+    of_right = buckets(right, "_bbox", "explode(if(_level = _own, array(1, 2), array(1)))")
+    keys = ["_class", *BUCKET]
+    hot = hot_keys(of_left(left.select("_abox").sample(SAMPLE, seed=7)), keys)
+    joined = salted_join(of_left(left), of_right, keys, [left_id], hot=hot)
+    owner = F.expr(
+        f"floor(greatest(_abox.xmin, _bbox.xmin) / {SIDE_SQL}) = _ix"
+        f" and floor(greatest(_abox.ymin, _bbox.ymin) / {SIDE_SQL}) = _iy"
     )
-    return joined.where(geo.boxes_touch(a, b) & owner).drop("_class", *BUCKET)
+    return joined.where(geo.boxes_touch(F.col("_abox"), F.col("_bbox")) & owner).drop(*keys)
 
 
 def polygon_overlaps(
@@ -236,21 +191,13 @@ def within_distance(
     dy = reach / geo.METRES_PER_DEGREE
     farthest = F.greatest(F.abs(low_y), F.abs(high_y)) + dy
     dx = dy / F.cos(F.radians(F.least(farthest, F.lit(89.0))))
-    cells = F.flatten(
-        F.transform(
-            F.sequence(F.floor((low_x - dx) / step_x), F.floor((high_x + dx) / step_x)),
-            lambda ix: F.transform(
-                F.sequence(F.floor((low_y - dy) / step_y), F.floor((high_y + dy) / step_y)),
-                lambda iy: F.struct(ix.alias("ix"), iy.alias("iy")),
-            ),
-        )
-    )
-    b = right.where(known).withColumn("_b", F.explode(cells)).select(
-        "*", F.col("_b.ix").alias("_ix"), F.col("_b.iy").alias("_iy")
-    ).drop("_b")
-    a = left.where(F.col(lx).isNotNull() & F.col(ly).isNotNull()).withColumn(
-        "_ix", F.floor(F.col(lx) / step_x)
-    ).withColumn("_iy", F.floor(F.col(ly) / step_y))
+    reach_of = {
+        "_ix": F.explode(F.sequence(F.floor((low_x - dx) / step_x), F.floor((high_x + dx) / step_x))),
+        "_iy": F.explode(F.sequence(F.floor((low_y - dy) / step_y), F.floor((high_y + dy) / step_y))),
+    }
+    b = right.where(known).withColumn("_ix", reach_of["_ix"]).withColumn("_iy", reach_of["_iy"])
+    a = left.where(F.col(lx).isNotNull() & F.col(ly).isNotNull())
+    a = a.withColumns({"_ix": F.floor(F.col(lx) / step_x), "_iy": F.floor(F.col(ly) / step_y)})
     joined = salted_join(a, b, ["_ix", "_iy"], [left_id])
     return joined.withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m).drop("_ix", "_iy")
 
@@ -277,7 +224,9 @@ def nearest(
 
     Returns ``left_id, right_id, distance_m``; ties go to the lower id. Each
     radius only looks at the points that found nothing within the ones before,
-    which is exact, and keeps the candidates of crowded places few.
+    which is exact, and keeps the candidates of crowded places few. What a
+    radius found is written to the checkpoint folder, because both the result
+    and the next radius need it.
     """
     x, y = names["left_xy"]
     shape = [names["right_segment"]] if names.get("right_segment") else list(names["right_xy"])
@@ -285,6 +234,7 @@ def nearest(
     features = right.select(right_id, *shape)
     found = None
     for k, radius in enumerate(radii_m):
+        last = k + 1 == len(radii_m)
         best = F.min(F.struct("distance_m", right_id))
         hits = (
             within_distance(waiting, features, radius, left_id, **names)
@@ -292,9 +242,14 @@ def nearest(
             .agg(best.alias("_best"))
             .select(left_id, F.col(f"_best.{right_id}").alias(right_id), F.col("_best.distance_m").alias("distance_m"))
         )
+        hits = hits if last else cut_lineage(hits)
         found = hits if found is None else found.unionByName(hits)
-        if k + 1 < len(radii_m):
+        if not last:
             waiting = waiting.join(hits.select(left_id), left_id, "left_anti")
+            if len(radii_m) > 2:
+                waiting = cut_lineage(waiting)
+                if waiting.isEmpty():
+                    break
     return found
 
 

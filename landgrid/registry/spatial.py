@@ -60,7 +60,7 @@ def _(t):
 
 
 @query("overlay_maxima", "A6 J10", "parcel overlay", f"""
-    with p as (select parcel_key, layer, round(least(sum({OVER}) / (4 * half * half) * 100, 100), 3) as pct from parcel join overlay on {TOUCH} group by parcel_key, layer, overlay_id, half)
+    with p as (select parcel_key, layer, round(least(sum({OVER}) / (4 * half * half) * 100, 100), 3) as pct from parcel join overlay on {TOUCH} where {OVER} > 1e-11 * 4 * half * half group by parcel_key, layer, overlay_id, half)
     select parcel_key, max(case when layer = 'protected_area' then pct end) as protected_pct, max(case when layer = 'ethnic_territory' then pct end) as ethnic_pct from p
     where layer in ('protected_area', 'ethnic_territory') group by 1""")
 def _(t):
@@ -220,7 +220,7 @@ def footprints(t):
     s as (select scope_id, count(*) as n_parcels, count(*) filter (where zone = '01') as n_urban, round(sum(area_m2), 2) as area_sum_m2, round(quantile_cont(area_m2, 0.5), 4) as area_median_m2,
       max(u.n) as top_use from h join (select scope_id as s2, max(n) as n from (select scope_id, coalesce(economic_use, 'NO_DISPONIBLE') as u, count(*) as n from h group by 1, 2) group by 1) u on u.s2 = scope_id group by 1),
     b as (select m.muni_code as scope_id, count(*) as n_buildings, count(distinct b.parcel_key) as n_with_building from building b join parcel p using (parcel_key)
-      join municipality m on lng - 0.001 < xmax and lng + 0.001 > xmin and lat - 0.001 < ymax and lat + 0.001 > ymin group by 1)
+      join municipality m on least(lng + 0.001, xmax) - greatest(lng - 0.001, xmin) > 1e-12 and least(lat + 0.001, ymax) - greatest(lat - 0.001, ymin) > 1e-12 group by 1)
     select m.muni_code as scope_id, coalesce(n_parcels, 0) as n_parcels, coalesce(n_urban, 0) as n_urban, area_sum_m2, area_median_m2, top_use, coalesce(n_buildings, 0) as n_buildings, coalesce(n_with_building, 0) as n_with_building,
       coalesce(n_parcels, 0) - coalesce(n_with_building, 0) as large_lots from municipality m left join s on s.scope_id = m.muni_code left join b on b.scope_id = m.muni_code""")
 def _(t):
