@@ -130,7 +130,7 @@ STANDINS = {
                case when o_custkey % 25 = 7 then null else round(sum(o_totalprice), 2) end as value
         from {{orders}} group by 1, 2, 3, o_custkey % 25""",
     "usage": """
-        select event_id, ts, cast(user_id % 50 as bigint) as org_id, user_id, event_type as metric,
+        select event_id, cast(ts as timestamp) as ts, cast(user_id % 50 as bigint) as org_id, user_id, event_type as metric,
                cast(floor(value) as bigint) as amount, value
         from {events}""",
     # One unit per order with a value, or none, for most indicators.
@@ -161,7 +161,7 @@ STANDINS = {
     "ledger": """
         select cast(event_id as string) as entry_id, cast(user_id % 50 as bigint) as owner_id,
                case event_type when 'signup' then 'plan_grant' when 'purchase' then 'purchase' when 'view' then 'debit' when 'click' then 'refund' else 'expiry' end as kind,
-               case when event_type in ('view', 'error') then -cast(floor(value) as bigint) - 1 else cast(floor(value) as bigint) + 1 end as amount, ts
+               case when event_type in ('view', 'error') then -cast(floor(value) as bigint) - 1 else cast(floor(value) as bigint) + 1 end as amount, cast(ts as timestamp) as ts
         from {events}""",
 }
 
