@@ -112,8 +112,7 @@ def landed(t, df):
 @query("landed_records", "S3 S9", "", "select o_orderkey, o_totalprice, o_orderpriority from orders")
 def _(t):
     path = landed(t, t.orders.select(F.to_json(F.struct("o_orderkey", "o_totalprice", "o_orderpriority")).alias("value")))
-    from pyspark.sql.types import StructType
-    return readers.read_records(t.spark, path, StructType.fromDDL("o_orderkey long, o_totalprice double, o_orderpriority string"))
+    return readers.read_records(t.spark, path, "o_orderkey long, o_totalprice double, o_orderpriority string")
 
 
 @query("landed_features", "S4 S15", "parcel", "select npn, round(4 * half * half * 1000000, 4) as size, economic_use from parcel")

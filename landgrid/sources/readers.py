@@ -8,12 +8,10 @@ from pyspark.sql import types as T
 
 from landgrid.functions import geo
 
-FEATURES = T.StructType.fromDDL(
-    "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
-)
+FEATURES = "features array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Landed JSON rows, one object per line or one array per file."""
     reader = spark.read.option("multiLine", "false")
     return (reader.schema(schema) if schema else reader).json(path)
@@ -51,7 +49,7 @@ def point_from(kind: Column, coordinates: Column) -> Column:
     return F.when(kind == "Point", geo.point(pair[0], pair[1]))
 
 
-def read_extract(spark: SparkSession, path: str, kind: str, schema: T.StructType | None = None, separator: str = ",") -> DataFrame:
+def read_extract(spark: SparkSession, path: str, kind: str, schema: T.StructType | str | None = None, separator: str = ",") -> DataFrame:
     """A columnar or delimited extract."""
     if kind == "parquet":
         return spark.read.parquet(path)
