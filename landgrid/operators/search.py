@@ -11,6 +11,7 @@ from landgrid.functions import address, codes
 from landgrid.functions.geo import in_envelope
 from landgrid.functions.text import decimal_from_text, fold, trigrams
 from landgrid.operators.skew import salted_join
+from landgrid.session import cut_lineage
 
 TEXT_SIMILARITY = 0.25
 ADDRESS_SIMILARITY = 0.30
@@ -31,6 +32,23 @@ def build_index(sources: list[DataFrame]) -> DataFrame:
     return picked.select("kind", "ref", "r.*").withColumn("label_fold", fold(F.col("label")))
 
 
+def _rarest(texts: DataFrame, counts: DataFrame, same: list[str], text: str, grams: str, threshold: float) -> DataFrame:
+    """One row per text and probe trigram: the rarest ``n - ceil(t n) + 1`` of its ``n`` trigrams.
+
+    Ordered by how often the index holds a trigram, ties by the trigram itself.
+    """
+    each = texts.select(*same, text, F.explode(grams).alias("_g")).join(counts, "_g", "left")
+    # A text has a handful of trigrams, so its list is short.
+    ordered = each.groupBy(*same, text).agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("n"), F.col("_g").alias("g")))).alias("_r")
+    )
+    size = F.size("_r")
+    keep = F.least(size - F.ceil(size * F.lit(threshold)).cast("int") + 1, size)
+    return ordered.select(*same, text, F.explode(F.slice("_r", F.lit(1), keep)).alias("_p")).select(
+        *same, text, F.col("_p.g").alias("_g")
+    )
+
+
 def trigram_pairs(
     queries: DataFrame, index: DataFrame, query_id: str, index_id: str, query_text: str, index_text: str,
     threshold: float, block: list[str] | None = None,
@@ -38,38 +56,25 @@ def trigram_pairs(
     """Pairs of a query and an index row with their trigram similarity at or above the threshold.
 
     Both sides are reduced to distinct texts, so copies of a text cost nothing.
-    A shared share of at least ``t`` means sharing at least ``t`` of the query's
-    trigrams, so any match holds one of its ``n - ceil(t n) + 1`` rarest ones;
-    only those are looked up, which spares the common trigrams. ``block`` names
-    columns that must agree on both sides.
+    Two texts that share the wanted part of their trigrams also share one of
+    the rarest ``n - ceil(t n) + 1`` of each, under one order for both; only
+    those are looked up, which spares the common trigrams and loses no pair.
+    ``block`` names columns that must agree on both sides.
     """
     same = block or []
     q = queries.select(*same, F.col(query_text).alias("_qt")).distinct().withColumn("_qg", trigrams(F.col("_qt")))
     d = index.select(*same, F.col(index_text).alias("_dt")).distinct().withColumn("_dg", trigrams(F.col("_dt")))
-    q, d = q.where(F.size("_qg") > 0), d.where(F.size("_dg") > 0)
-    posted = d.select(*same, "_dt", "_dg", F.explode("_dg").alias("_g"))
-    counts = posted.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
-    asked = q.select(*same, "_qt", F.explode("_qg").alias("_g")).join(counts, "_g", "left")
-    # Per query text, its trigrams from the rarest on; a text has few of them.
-    ranked = asked.groupBy(*same, "_qt").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("n"), F.col("_g").alias("g")))).alias("_r")
-    )
-    size = F.size("_r")
-    keep = size - F.ceil(size * F.lit(threshold)).cast("int") + 1
-    probes = (
-        ranked.withColumn("_qg", F.transform("_r", lambda x: x["g"]))
-        .withColumn("_probe", F.slice("_qg", F.lit(1), F.least(keep, size)))
-        .select(*same, "_qt", "_qg", F.posexplode("_probe").alias("_at", "_g"))
-    )
-    hits = salted_join(posted, probes, [*same, "_g"], spread=["_dt"])
-    # A pair may meet on several probes; it is kept at the first one the two share.
-    first = F.array_min(
-        F.transform(F.array_intersect("_qg", "_dg"), lambda g: F.array_position("_qg", g))
-    )
+    # Both are read three times below.
+    q, d = cut_lineage(q.where(F.size("_qg") > 0)), cut_lineage(d.where(F.size("_dg") > 0))
+    counts = d.select(F.explode("_dg").alias("_g")).groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+    posted = _rarest(d, counts, same, "_dt", "_dg", threshold)
+    probes = _rarest(q, counts, same, "_qt", "_qg", threshold)
+    met = salted_join(posted, probes, [*same, "_g"], spread=["_dt"]).select(*same, "_qt", "_dt").distinct()
+    both = met.join(q, [*same, "_qt"]).join(d, [*same, "_dt"])
     shared = F.size(F.array_intersect("_qg", "_dg"))
-    similarity = shared / (F.size("_qg") + F.size("_dg") - shared)
-    scored = hits.where(F.col("_at") + 1 == first).withColumn("similarity", similarity)
-    scored = scored.where(F.col("similarity") >= threshold).select(*same, "_qt", "_dt", "similarity")
+    scored = both.select(*same, "_qt", "_dt", F.size("_qg").alias("_nq"), F.size("_dg").alias("_nd"), shared.alias("_n"))
+    similarity = F.col("_n") / (F.col("_nq") + F.col("_nd") - F.col("_n"))
+    scored = scored.select(*same, "_qt", "_dt", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
     back_q = queries.select(query_id, *same, F.col(query_text).alias("_qt"))
     back_d = index.select(index_id, *same, F.col(index_text).alias("_dt"))
     return scored.join(back_q, [*same, "_qt"]).join(back_d, [*same, "_dt"]).drop("_qt", "_dt")
@@ -125,12 +130,12 @@ def match_addresses(asked: DataFrame, points: DataFrame, parcels: DataFrame, lim
     ``asked`` has ``address_id, muni_code, raw``; points and parcels have ``ref,
     muni_code, label``.
     """
-    q = standardize(asked, "raw").where("way_number is not null")
+    q = cut_lineage(standardize(asked, "raw")).where("way_number is not null")
     both = points.select(F.lit("address_point").alias("source"), "ref", "muni_code", "label").unionByName(
         parcels.select(F.lit("parcel").alias("source"), "ref", "muni_code", "label")
     )
-    d = standardize(both, "label").where("way_number is not null").withColumnRenamed("canonical", "d_canonical")
-    d = d.withColumn("_key", F.struct("source", "ref"))
+    d = cut_lineage(standardize(both, "label")).where("way_number is not null")
+    d = d.withColumnRenamed("canonical", "d_canonical").withColumn("_key", F.struct("source", "ref"))
     pairs = trigram_pairs(
         q.select("address_id", "muni_code", "way_number", "canonical"),
         d.select("_key", "muni_code", "way_number", "d_canonical"),

@@ -1,8 +1,8 @@
 """Spatial joins as bucketed equi joins.
 
 Points and boxes are put into square buckets of several sizes. A box uses the
-smallest size that is not smaller than the box itself, so it never covers more
-than two buckets a side. Candidates meet on the bucket, then boxes are
+smallest size that is at least half as wide as the box, so it never covers more
+than three buckets a side. Candidates meet on the bucket, then boxes are
 compared, then the exact test runs. A pair meets in one bucket only, so no
 ``distinct`` follows. Joins go through ``salted_join``, which splits buckets
 that hold too many rows.
@@ -32,10 +32,25 @@ BUCKET = ["_level", "_ix", "_iy"]
 SIDE_SQL = "element_at(array(" + ", ".join(f"{s!r}D" for s in SIDES) + "), _level + 1)"
 
 
+def _boxed(df: DataFrame, rings: str, name: str) -> DataFrame:
+    """Rows with a shape, and its box as a struct that is never NULL.
+
+    A box that could be NULL would be tested again below the scan for every
+    comparison a join makes with it.
+    """
+    points = F.flatten(F.col(rings))
+    side = lambda pick, axis: F.coalesce(pick(points.getField(axis)), F.lit(0.0))
+    box = F.struct(
+        side(F.array_min, "x").alias("xmin"), side(F.array_min, "y").alias("ymin"),
+        side(F.array_max, "x").alias("xmax"), side(F.array_max, "y").alias("ymax"),
+    )
+    return df.where(F.size(points) > 0).withColumn(name, box)
+
+
 def _with_level(df: DataFrame, box: str) -> DataFrame:
-    """Adds ``_own``, the finest level whose buckets are not smaller than the box."""
+    """Adds ``_own``, the finest level whose buckets are at least half as wide as the box."""
     extent = f"greatest({box}.xmax - {box}.xmin, {box}.ymax - {box}.ymin)"
-    steps = " ".join(f"when {extent} <= {side!r}D then {k}" for k, side in enumerate(SIDES[:-1]))
+    steps = " ".join(f"when {extent} <= {2 * side!r}D then {k}" for k, side in enumerate(SIDES[:-1]))
     return df.withColumn("_own", F.expr(f"case {steps} else {LAST} end"))
 
 
@@ -70,7 +85,7 @@ def points_in_polygons(
     With ``how`` left_semi or left_anti, the points inside any or no polygon.
     The two sides must not share column names.
     """
-    right = polygons.withColumn("_box", geo.box(F.col(rings))).where(F.col("_box").isNotNull())
+    right = _boxed(polygons, rings, "_box")
     right = _with_buckets(_with_level(right, "_box").withColumnRenamed("_own", "_level"), "_box")
     left = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     hot = hot_keys(_point_buckets(left.select(x, y).sample(SAMPLE, seed=7), x, y), BUCKET)
@@ -132,8 +147,7 @@ def polygon_overlaps(
 
     The two sides must not share column names. Touching borders do not count.
     """
-    a = left.withColumn("_abox", geo.box(F.col(left_rings))).where(F.col("_abox").isNotNull())
-    b = right.withColumn("_bbox", geo.box(F.col(right_rings))).where(F.col("_bbox").isNotNull())
+    a, b = _boxed(left, left_rings, "_abox"), _boxed(right, right_rings, "_bbox")
     pairs = _touch_candidates(a, b, left_id).drop("_abox", "_bbox")
     return pairs.withColumn(
         "overlap", overlap_area(F.col(left_rings), F.col(right_rings))

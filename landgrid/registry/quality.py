@@ -151,7 +151,7 @@ def value_rule_sql(value):
     r as (select doc_id, line_no, trim(line) as v from l)
     select doc_id, line_no, {value_rule_sql('v')} as rule from r where v <> '' and {value_rule_sql('v')} is not null""")
 def _(t):
-    lines = privacy.text_lines(t.documents, ["doc_id"], "text")
+    lines = privacy.text_lines(t.spread("documents"), ["doc_id"], "text")
     return privacy.scan_values(lines, ["doc_id", "line_no"], "line")
 
 
@@ -159,7 +159,7 @@ def _(t):
     with r as (select doc_id, trim(text) as v from documents)
     select doc_id, {value_rule_sql('v')} as rule from r where length(v) <= 500 and {value_rule_sql('v')} is not null""")
 def _(t):
-    return privacy.scan_values(t.documents, ["doc_id"], "text", longest=500)
+    return privacy.scan_values(t.spread("documents"), ["doc_id"], "text", longest=500)
 
 
 @query("sanitized_documents", "Q9", "", f"""

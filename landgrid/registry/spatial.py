@@ -27,7 +27,7 @@ def overlays(t, *keep):
 
 def owned(t):
     """Parcels with their outline."""
-    return t.parcel.withColumn("rings", parcels.parcel_rings())
+    return t.spread("parcel").withColumn("rings", parcels.parcel_rings())
 
 
 INSIDE = "lng >= xmin and lng < xmax and lat >= ymin and lat < ymax"
