@@ -205,17 +205,34 @@ def hull(points: np.ndarray) -> np.ndarray:
     return np.array(lower[:-1] + upper[:-1] + lower[:1])
 
 
-def hull_batches(keys: list[str]):
-    """Points of each group's hull within one Arrow batch."""
+def hull_batches(keys: list[str], most_points: int = 500_000):
+    """Hull points of each group over all batches of a task.
+
+    What is kept is handed on early when many groups together pass
+    ``most_points``, which bounds the memory of a task.
+    """
+    def frame(key, ring: np.ndarray) -> pd.DataFrame:
+        out = pd.DataFrame({"x": ring[:, 0], "y": ring[:, 1]})
+        for name, value in zip(keys, key):
+            out[name] = value
+        return out[[*keys, "x", "y"]]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[tuple, np.ndarray] = {}
+        size = 0
         for batch in batches:
-            out = []
             for key, group in batch.groupby(keys, sort=False, dropna=False):
-                ring = hull(group[["x", "y"]].to_numpy())[:-1]
-                frame = pd.DataFrame({"x": ring[:, 0], "y": ring[:, 1]})
-                for name, value in zip(keys, key if isinstance(key, tuple) else (key,)):
-                    frame[name] = value
-                out.append(frame[[*keys, "x", "y"]])
-            if out:
-                yield pd.concat(out, ignore_index=True)
+                key = key if isinstance(key, tuple) else (key,)
+                points = group[["x", "y"]].to_numpy()
+                old = kept.get(key)
+                if old is not None:
+                    points = np.vstack([old, points])
+                    size -= len(old)
+                kept[key] = hull(points)[:-1]
+                size += len(kept[key])
+            if size > most_points:
+                yield pd.concat([frame(k, r) for k, r in kept.items()], ignore_index=True)
+                kept, size = {}, 0
+        if kept:
+            yield pd.concat([frame(k, r) for k, r in kept.items()], ignore_index=True)
     return run

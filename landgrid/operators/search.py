@@ -80,18 +80,19 @@ def trigram_pairs(
     return scored.join(back_q, [*same, "_qt"]).join(back_d, [*same, "_dt"]).drop("_qt", "_dt")
 
 
-def prefix_pairs(queries: DataFrame, index: DataFrame, query_id: str, index_id: str, query_text: str, index_text: str, least: int = 3) -> DataFrame:
-    """Pairs where the index text starts with the query text, met on its first letters.
+def prefix_pairs(queries: DataFrame, index: DataFrame, query_id: str, index_id: str, query_text: str, index_text: str) -> DataFrame:
+    """Pairs where the index text starts with the query text.
 
-    Texts shorter than ``least`` meet on all their letters.
+    Distinct index texts are listed under each of their beginnings and met on
+    the whole query text, so only true pairs ever come together.
     """
-    q = queries.select(query_id, F.col(query_text).alias("_qt")).where(F.length("_qt") > 0)
-    q = q.withColumn("_head", F.substring("_qt", 1, least))
-    d = index.select(index_id, F.col(index_text).alias("_dt"))
-    heads = F.array_distinct(F.array(*[F.substring("_dt", 1, n) for n in range(1, least + 1)]))
-    d = d.withColumn("_head", F.explode(heads))
-    joined = salted_join(d, q, ["_head"], spread=[index_id])
-    return joined.where(F.col("_dt").startswith(F.col("_qt"))).select(query_id, index_id).distinct()
+    q = queries.select(query_id, F.col(query_text).alias("_head")).where(F.length("_head") > 0)
+    d = index.select(F.col(index_text).alias("_dt")).where(F.length(index_text) > 0).distinct()
+    lengths = F.explode(F.sequence(F.lit(1), F.length("_dt")))
+    heads = d.withColumn("_n", lengths).select("_dt", F.expr("substring(_dt, 1, _n)").alias("_head"))
+    met = salted_join(heads, q, ["_head"], spread=["_dt"])
+    back = index.select(index_id, F.col(index_text).alias("_dt"))
+    return met.join(back, "_dt").select(query_id, index_id)
 
 
 def search_text(queries: DataFrame, index: DataFrame, query_id: str = "query_id", text: str = "text", limit: int = 10) -> DataFrame:

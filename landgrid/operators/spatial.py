@@ -26,6 +26,7 @@ from landgrid.session import cut_lineage
 # Bucket sides in degrees; each is four times the one before.
 SIDES = [0.01 * 4**k for k in range(7)]
 LAST = len(SIDES) - 1
+HULL_PARTS = 32
 
 
 BUCKET = ["_level", "_ix", "_iy"]
@@ -48,10 +49,10 @@ def _boxed(df: DataFrame, rings: str, name: str) -> DataFrame:
 
 
 def _with_level(df: DataFrame, box: str) -> DataFrame:
-    """Adds ``_own``, the finest level whose buckets are at least half as wide as the box."""
+    """Adds ``_native``, the finest level whose buckets are at least half as wide as the box."""
     extent = f"greatest({box}.xmax - {box}.xmin, {box}.ymax - {box}.ymin)"
     steps = " ".join(f"when {extent} <= {2 * side!r}D then {k}" for k, side in enumerate(SIDES[:-1]))
-    return df.withColumn("_own", F.expr(f"case {steps} else {LAST} end"))
+    return df.withColumn("_native", F.expr(f"case {steps} else {LAST} end"))
 
 
 def _with_buckets(df: DataFrame, box: str) -> DataFrame:
@@ -86,7 +87,7 @@ def points_in_polygons(
     The two sides must not share column names.
     """
     right = _boxed(polygons, rings, "_box")
-    right = _with_buckets(_with_level(right, "_box").withColumnRenamed("_own", "_level"), "_box")
+    right = _with_buckets(_with_level(right, "_box").withColumnRenamed("_native", "_level"), "_box")
     left = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     hot = hot_keys(_point_buckets(left.select(x, y).sample(SAMPLE, seed=7), x, y), BUCKET)
     inside = (
@@ -121,11 +122,11 @@ def _touch_candidates(left: DataFrame, right: DataFrame, left_id: str) -> DataFr
     rows on their own level with finer left rows.
     """
     def buckets(df: DataFrame, box: str, classes: str) -> DataFrame:
-        levels = _with_level(df, box).withColumn("_level", F.expr(f"explode(sequence(_own, {LAST}))"))
-        return _with_buckets(levels.withColumn("_class", F.expr(classes)), box).drop("_own")
+        levels = _with_level(df, box).withColumn("_level", F.expr(f"explode(sequence(_native, {LAST}))"))
+        return _with_buckets(levels.withColumn("_class", F.expr(classes)), box).drop("_native")
 
-    of_left = lambda df: buckets(df, "_abox", "if(_level = _own, 1, 2)")
-    of_right = buckets(right, "_bbox", "explode(if(_level = _own, array(1, 2), array(1)))")
+    of_left = lambda df: buckets(df, "_abox", "if(_level = _native, 1, 2)")
+    of_right = buckets(right, "_bbox", "explode(if(_level = _native, array(1, 2), array(1)))")
     keys = ["_class", *BUCKET]
     hot = hot_keys(of_left(left.select("_abox").sample(SAMPLE, seed=7)), keys)
     joined = salted_join(of_left(left), of_right, keys, [left_id], hot=hot)
@@ -351,20 +352,31 @@ def subdivide(df: DataFrame, rings: str, limit: int = 128) -> DataFrame:
 def convex_hulls(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """Convex hull of each group's points as ``rings``.
 
-    Every task first reduces its points to hull points, so a group only brings
-    a few rows per task to the last step.
+    Every task first reduces its points to hull points; the hulls of a group's
+    tasks are then merged in a few dozen parts and those parts in one, so no
+    step sees more than hull points.
     """
-    key_fields = [df.schema[k] for k in keys]
     points = df.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).where("x is not null and y is not null")
     local = points.mapInPandas(hull_batches(keys), points.schema)
+    parts = local.withColumn("_part", F.pmod(F.xxhash64("x", "y"), F.lit(HULL_PARTS)))
+
+    def merge(group):
+        ring = hull(group[["x", "y"]].to_numpy())[:-1]
+        out = pd.DataFrame({"x": ring[:, 0], "y": ring[:, 1]})
+        for k in keys:
+            out[k] = group[k].iloc[0]
+        return out[[*keys, "x", "y"]]
 
     def close(group):
         ring = hull(group[["x", "y"]].to_numpy())
         shape = [[{"x": float(px), "y": float(py)} for px, py in ring]]
         return pd.DataFrame([{**{k: group[k].iloc[0] for k in keys}, "rings": shape}])
 
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in key_fields] + [f"rings {geo.POLYGON_TYPE}"])
-    return local.groupBy(*keys).applyInPandas(close, schema)
+    merged = parts.groupBy(*keys, "_part").applyInPandas(merge, points.schema)
+    point = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+    rings = T.StructField("rings", T.ArrayType(T.ArrayType(point)))
+    schema = T.StructType([*[df.schema[k] for k in keys], rings])
+    return merged.groupBy(*keys).applyInPandas(close, schema)
 
 
 def dissolve_area(df: DataFrame, keys: list[str], rings: str) -> DataFrame:

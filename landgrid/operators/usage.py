@@ -70,7 +70,7 @@ def business_metrics(events: DataFrame, prices: DataFrame) -> DataFrame:
 
     ``prices`` has ``metric, price``: what one event of a kind brings in.
     """
-    priced = events.join(F.broadcast(prices), "metric", "left")
+    priced = events.join(prices, "metric", "left")
     per_user = priced.groupBy("user_id").agg(
         F.count_if(F.col("metric") == "purchase").alias("purchases"),
         F.count_if(F.col("metric") == "view").alias("reports"),

@@ -172,11 +172,16 @@ def _(t):
     return out.select("poi_id", *[F.round(c, 3).alias(c) for c in ("dist_primary_m", "dist_secondary_m", "dist_paved_m", "dist_any_m")])
 
 
-@query("nearest_roads", "J11", "")
+@query("nearest_roads", "J11", "parcel", f"""
+    with {ROAD_SQL}, v as (select parcel_key, class, is_paved, (x1 - lng) * {PER_DEGREE} * cos(radians(lat)) as ax, (y1 - lat) * {PER_DEGREE} as ay, (x2 - x1) * {PER_DEGREE} * cos(radians(lat)) as dx, (y2 - y1) * {PER_DEGREE} as dy
+      from parcel join roads on lat > y1 - 0.2 and lat < y2 + 0.2 and lng > x1 - 0.2 and lng < x2 + 0.2),
+    w as (select *, dx * dx + dy * dy as l2 from v), d as (select parcel_key, class, is_paved, {SEG} as m from w)
+    select parcel_key, round(min(m) filter (where class = 'primary'), 2) as dist_primary_road_m, round(min(m) filter (where is_paved), 2) as dist_paved_road_m from d where m <= 15000 group by 1
+    having min(m) filter (where is_paved) is not null""")
 def _(t):
     points = t.parcel.select("parcel_key", "lng", "lat")
-    out = cells.road_distances(points, roads(t), "parcel_key", ("lng", "lat"))
-    return out.where("dist_paved_road_m is not null")
+    out = cells.road_distances(points, roads(t), "parcel_key", ("lng", "lat")).where("dist_paved_road_m is not null")
+    return out.select("parcel_key", F.round("dist_primary_road_m", 2).alias("dist_primary_road_m"), F.round("dist_paved_road_m", 2).alias("dist_paved_road_m"))
 
 
 @query("nearest_facilities", "A14", "poi health", f"""
