@@ -187,7 +187,9 @@ def rebuild_cells(
     aggregate is keyed by cell and joined once.
     """
     at = hexgrid.point_to_cell(F.col("lng"), F.col("lat"), level)
-    placed = parcels.withColumn("cell", at)
+    # Five aggregates read the placed parcels; their cells are computed once.
+    kept = ["muni_code", "area_m2", "built_area_m2", "economic_use", "lng", "lat"]
+    placed = cut_lineage(parcels.select(*kept).withColumn("cell", at))
     cells = seed_cells(municipalities, placed, level)
     cells = cells.withColumn("_p", hexgrid.center(F.col("cell"), level)).select(
         "cell", "muni_code", F.col("_p.x").alias("lng"), F.col("_p.y").alias("lat")

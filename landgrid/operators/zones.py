@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from landgrid.functions import hexgrid
 from landgrid.operators.ranking import grouped_percentiles
-from landgrid.operators.skew import salted_join
+from landgrid.operators.skew import hot_keys, salted_join
 from landgrid.session import cut_lineage
 
 MAX_ROUNDS = 60
@@ -36,8 +36,9 @@ def connected_components(cells: DataFrame, edges: DataFrame, keys: list[str], ce
             *keys, "a", F.col("component").alias("_old"), F.least("component", "_near").alias("_new")
         )
         heads = lower.select(*keys, F.col("a").alias("_new"), F.col("_new").alias("_head"))
-        # A large zone makes its label a hot key on this side.
-        jumped = salted_join(lower, heads, [*keys, "_new"], spread=["a"])
+        # A large zone makes its label a hot key; the labels of the last round tell which.
+        hot = hot_keys(labels.select(*keys, F.col("component").alias("_new")), [*keys, "_new"], 1.0)
+        jumped = salted_join(lower, heads, [*keys, "_new"], spread=["a"], hot=hot)
         step = cut_lineage(jumped.select(*keys, "a", "_old", F.least("_new", "_head").alias("component")))
         changed = step.where("_old <> component").count()
         labels = step.drop("_old")
