@@ -119,9 +119,11 @@ def _(t):
 
 
 @query("parcel_history", "C5 W7", "cut_a cut_b snapshot", f"""with {DIFF_SQL}
-    select npn, change_type, '1999-01-01' as from_cut, '2000-01-01' as to_cut from ch""")
+    select npn, change_type, case when npn % 2 = 0 then '1999-01-01' else '1998-01-01' end as from_cut, case when npn % 3 = 0 then '2000-01-01' else '2001-01-01' end as to_cut from ch""")
 def _(t):
-    ch = _coded(t).withColumn("from_snapshot", F.lit(1999)).withColumn("to_snapshot", F.lit(2000))
+    ch = _coded(t).withColumns({
+        "from_snapshot": F.when(F.col("npn") % 2 == 0, 1999).otherwise(1998), "to_snapshot": F.when(F.col("npn") % 3 == 0, 2000).otherwise(2001),
+    })
     return ops.parcel_history(ch, t.snapshot).select("npn", "change_type", F.col("from_cut").cast("string").alias("from_cut"), F.col("to_cut").cast("string").alias("to_cut"))
 
 

@@ -171,10 +171,10 @@ def _(t):
 
 
 @query("business_metrics", "A24", "usage", """
-    with p as (select user_id, count(*) filter (where metric = 'purchase') as b, count(*) filter (where metric = 'view') as v, sum(case when metric = 'purchase' then 49.5 else 0 end) as r from usage group by 1)
+    with p as (select user_id, count(*) filter (where metric = 'purchase') as b, count(*) filter (where metric = 'view') as v, sum(case metric when 'purchase' then 49.5 when 'signup' then 0.25 else 0 end) as r from usage group by 1)
     select count(*) as users, count(*) filter (where b > 0) as paying, cast(round(sum(r), 2) as double) as revenue, round(count(*) filter (where b > 0) / count(*) * 100, 4) as conversion_pct, round(sum(v) / count(*), 4) as reports_per_user from p""")
 def _(t):
-    return usage.business_metrics(t.usage, t.spark.sql("select 'purchase' as metric, 49.5D as price"))
+    return usage.business_metrics(t.usage, t.spark.sql("select * from values ('purchase', 49.5D), ('signup', 0.25D) as p(metric, price)"))
 
 
 def stream_of(t, df):
