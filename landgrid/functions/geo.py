@@ -287,6 +287,48 @@ def centroid(polygon: Column) -> Column:
     return F.when(n > 0, F.coalesce(by_area, mean))
 
 
+def widest_point(polygon: Column) -> Column:
+    """Middle of the widest inner span at half the height of a polygon."""
+    ys = F.flatten(polygon).getField("y")
+    height = (F.array_min(ys) + F.array_max(ys)) / 2
+
+    def span_at(y):
+        def crossings(ring):
+            return _edges(
+                ring,
+                lambda p, q: F.when(
+                    (p["y"] > y) != (q["y"] > y),
+                    (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]) + p["x"],
+                ),
+            )
+
+        xs = F.array_sort(F.array_compact(F.flatten(F.transform(polygon, crossings))))
+        return let(F.struct(xs.alias("xs"), y.alias("y")), widest)
+
+    def widest(s):
+        pairs = F.sequence(F.lit(0), F.floor(F.size(s["xs"]) / 2).cast("int") - 1)
+        spans = F.transform(
+            pairs,
+            lambda i: F.struct(
+                (F.get(s["xs"], i * 2 + 1) - F.get(s["xs"], i * 2)).alias("width"),
+                ((F.get(s["xs"], i * 2) + F.get(s["xs"], i * 2 + 1)) / 2).alias("x"),
+            ),
+        )
+        return F.when(F.size(s["xs"]) >= 2, point(F.array_max(spans)["x"], s["y"]))
+
+    return let(height, span_at)
+
+
+def point_on_surface(polygon: Column) -> Column:
+    """A point inside the polygon: its centroid, or the widest point where that lies outside."""
+    return let(
+        centroid(polygon),
+        lambda c: F.when(contains_point(polygon, c["x"], c["y"]), c).otherwise(
+            F.coalesce(widest_point(polygon), c)
+        ),
+    )
+
+
 def clean_polygon(polygon: Column) -> Column:
     """Close rings, drop those without area, shells counter-clockwise and holes clockwise.
 

@@ -43,7 +43,7 @@ def parcels(raw: DataFrame, zone: str, cut_date: str) -> DataFrame:
         F.count(F.lit(1)).alias("parts"),
         F.round(F.sum(size), 2).alias("area_m2"),
         F.max(optional(raw, "numero_subterraneos", "int")).alias("basements"),
-        F.max_by(geo.centroid(F.col("rings")), size).alias("place"),
+        F.max_by(geo.point_on_surface(F.col("rings")), size).alias("place"),
     )
     seg = codes.parts(F.col("npn"))
     out = grouped.select(

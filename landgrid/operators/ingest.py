@@ -135,7 +135,7 @@ def update_boundaries(municipalities: DataFrame, boundaries: DataFrame) -> DataF
     return joined.withColumns(
         {
             "rings": F.coalesce("_rings", "rings"),
-            "centroid": F.coalesce("centroid", geo.centroid(F.col("_rings"))),
+            "centroid": F.coalesce("centroid", geo.point_on_surface(F.col("_rings"))),
             "area_km2": F.coalesce(km2, F.col("area_km2")),
         }
     ).drop("_rings")
@@ -151,7 +151,7 @@ def census_blocks(staged: DataFrame) -> DataFrame:
             "rings": geo.clean_polygon(F.col("rings")),
         }
     ).where("rings is not null")
-    return clean.withColumn("place", geo.centroid(F.col("rings")))
+    return clean.withColumn("place", geo.point_on_surface(F.col("rings")))
 
 
 def folded_level(col: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from landgrid.functions import address, codes
 from landgrid.functions.geo import in_envelope
-from landgrid.functions.text import decimal_from_text, fold, trigrams
+from landgrid.functions.text import fold, trigrams
 from landgrid.operators.skew import salted_join
 from landgrid.session import cut_lineage
 

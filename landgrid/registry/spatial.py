@@ -278,10 +278,18 @@ def _(t):
     return out.select("scope_id", "n_schools", "school_enrollment", "n_health", "n_health_unlocated", F.try_element_at("poi_counts", F.lit("building")).alias("buildings"))
 
 
-@query("area_analysis", "C11 P24 C20 C19")
+@query("area_analysis", "C11 P24 C20 C19", "parcel census poi municipality", f"""
+    with p as (select m.muni_code as scope_id, count(*) as n_parcels, round(sum(area_m2), 2) as area_sum_m2 from municipality m join parcel on {PX} group by 1),
+    c as (select m.muni_code as scope_id, cast(round(sum(pop_total * {BLOCK_SHARE})) as bigint) as pop_total from census c join municipality m on {BLOCK_TOUCH} group by 1),
+    f as (select m.muni_code as scope_id, count(*) as n_poi from municipality m join poi on f_lng >= xmin and f_lng < xmax and f_lat >= ymin and f_lat < ymax group by 1)
+    select m.muni_code as scope_id, m.population as position, coalesce(n_parcels, 0) as n_parcels, area_sum_m2, pop_total, n_poi,
+      cast(n_parcels is null as int) + cast(pop_total is null as int) + cast(n_poi is null as int) as missing
+    from municipality m left join p on p.scope_id = m.muni_code left join c on c.scope_id = m.muni_code left join f on f.scope_id = m.muni_code""")
 def _(t):
     s, h, p = places(t)
-    return areas.compare_areas(areas.analyze_areas(scopes(t), owned(t), footprints(t), blocks(t), s, h, p, munis(t)))
+    out = areas.compare_areas(areas.analyze_areas(scopes(t), owned(t), footprints(t), blocks(t), s, h, p, munis(t)))
+    n_poi = F.aggregate(F.map_values("poi_counts"), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return out.select("scope_id", "position", "n_parcels", F.round("area_sum_m2", 2).alias("area_sum_m2"), "pop_total", n_poi.alias("n_poi"), F.size("missing").alias("missing"))
 
 
 @query("area_scopes", "G13 J19 F14", "", """

@@ -2,9 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from landgrid.functions import address, dates, text
+from landgrid.functions import address, text
 from landgrid.operators import search, usage
-from landgrid.registry.base import lat, lng, pad, query
+from landgrid.registry.base import pad, query
 from landgrid.session import ensure_checkpoint_dir
 from landgrid.streaming import usage as streams
 

@@ -137,3 +137,13 @@ def test_line_midpoint_and_segments(spark):
     assert (mid.x, mid.y) == pytest.approx((2.0, 0.0))
     pieces = spatial.line_segments(df, "line", 0.5).select("segment.*").collect()
     assert len(pieces) == 8 and max(abs(p.x2 - p.x1) for p in pieces) <= 0.5 + 1e-12
+
+
+def test_point_on_surface_is_inside(spark):
+    c_shape = [(0, 0), (10, 0), (10, 2), (2, 2), (2, 8), (10, 8), (10, 10), (0, 10)]
+    square, hole = [(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (1, 3), (3, 3), (3, 1)]
+    df = spark.createDataFrame([(brute.rings(c_shape),), (brute.rings(square, hole),), (brute.rings(square),), (None,)], f"r {geo.POLYGON_TYPE}")
+    out = df.select("r", geo.point_on_surface(F.col("r")).alias("p")).collect()
+    assert brute.inside(c_shape, out[0].p.x, out[0].p.y)
+    assert brute.inside(square, out[1].p.x, out[1].p.y) and not brute.inside(hole, out[1].p.x, out[1].p.y)
+    assert (out[2].p.x, out[2].p.y) == (2, 2) and out[3].p is None

@@ -152,3 +152,14 @@ def test_parcel_query_rules(spark):
         seen += [r.npn for r in page]
         cursor = encode_cursor(page[-1].v, page[-1].npn)
     assert seen == ["a", "c", "b", "e", "d"]
+
+
+def test_zone_factors(spark):
+    from landgrid.operators import zones
+
+    rows = [("t", 1, [("a", 10.0, 0.5), ("b", None, 0.5)]), ("t", 2, [("a", 20.0, 0.5), ("b", None, 0.5)]), ("t", 3, [("a", 90.0, 0.5), ("b", 4.0, 0.5)])]
+    ranked = spark.createDataFrame(rows, "template string, cell long, factors array<struct<indicator:string,score:double,weight:double>>")
+    parts = spark.createDataFrame([("t", 1, 1), ("t", 2, 1), ("t", 3, 3)], "template string, cell long, component long")
+    out = zones.zone_factors(zones.zone_members(ranked, parts, ["template"]), ["template"]).collect()
+    got = {(r.component, r.indicator): (r.mean_score, r.cells_with_data) for r in out}
+    assert got == {(1, "a"): (15.0, 2), (1, "b"): (None, 0), (3, "a"): (90.0, 1), (3, "b"): (4.0, 1)}
