@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from landgrid.llm.decontaminate import marked
 from landgrid.llm.jaccard_join import jaccard_components
+from landgrid.llm.packing import packed
 from landgrid.llm.shared import read_documents
 
 
@@ -14,8 +17,29 @@ def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(read_documents(spark, folder), size=3, share=(90, 100))
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = marked(read_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    items = F.array_sort("_found.items")
+    return found.select(
+        "doc_id", "_found.n_words", "_found.n_hit", F.size(items).cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("_found.n_hit") > 0).alias("contaminated"),
+    )
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(read_documents(spark, folder), tokenizer_path(), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op9_decontamination": op9_decontamination,
+    "op10_hilbert_packing": op10_hilbert_packing,
 }
 
 ORACLES: dict[str, str] = {}
