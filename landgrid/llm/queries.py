@@ -11,6 +11,15 @@ from landgrid.llm.decontaminate import marked
 from landgrid.llm.jaccard_join import jaccard_components
 from landgrid.llm.packing import packed
 from landgrid.llm.shared import read_documents
+from landgrid.llm.toxicity import fit, scored
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_documents(spark, folder)
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where(~held_out)
+    found = scored(docs.select("doc_id", "text"), fit(docs, labels))
+    return found.select("doc_id", held_out.alias("held_out"), "_found.score", (F.col("_found.score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,6 +46,7 @@ def op10_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op9_decontamination": op9_decontamination,
     "op10_hilbert_packing": op10_hilbert_packing,
