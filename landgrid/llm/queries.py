@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from landgrid.llm.decontaminate import marked
 from landgrid.llm.jaccard_join import jaccard_components
 from landgrid.llm.packing import packed
+from landgrid.llm.secret_ledger import scan_versions
 from landgrid.llm.shared import read_documents
+from landgrid.llm.spans import digest_columns
 from landgrid.llm.toxicity import fit, scored
+from landgrid.llm.warc import archived
 
 
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,6 +29,15 @@ def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(read_documents(spark, folder), size=3, share=(90, 100))
 
 
+def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archived(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+def op8_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_versions(read_documents(spark, folder))
+    return found.select("doc_id", *digest_columns(F.col("spans"), ["assign", "access", "hex"]))
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = marked(read_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
     items = F.array_sort("_found.items")
@@ -48,6 +60,8 @@ def op10_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_warc": op6_warc,
+    "op8_secret_ledger": op8_secret_ledger,
     "op9_decontamination": op9_decontamination,
     "op10_hilbert_packing": op10_hilbert_packing,
 }
