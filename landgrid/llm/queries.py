@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from landgrid.llm.decontaminate import marked
 from landgrid.llm.jaccard_join import jaccard_components
 from landgrid.llm.packing import packed
+from landgrid.llm.quality import judged
 from landgrid.llm.secret_ledger import scan_versions
 from landgrid.llm.shared import read_documents
 from landgrid.llm.spans import digest_columns
@@ -17,6 +18,12 @@ from landgrid.llm.toxicity import fit, scored
 from landgrid.llm.warc import archived
 
 
+def op1_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    found = judged(read_documents(spark, folder), ["doc_id"])
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return found.select("doc_id", *[f"_q.{n}" for n in names])
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_documents(spark, folder)
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -58,6 +65,7 @@ def op10_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_divergence": op1_quality_divergence,
     "op2_toxicity": op2_toxicity,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_warc": op6_warc,
