@@ -4,27 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landgrid.llm.jaccard_join import jaccard_components
+from landgrid.llm.decontaminate import without_contaminated
+from landgrid.llm.disclosure import sanitised
+from landgrid.llm.jaccard_join import one_of_each
+from landgrid.llm.packing import packed
+from landgrid.llm.quality import good_documents
+from landgrid.llm.queries import tokenizer_path
 from landgrid.llm.shared import shared_path
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are near enough to their language."""
+    return good_documents(docs)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles are at least four fifths alike."""
-    found = jaccard_components(docs, size=5, share=(80, 100))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one_of_each(docs, size=5, share=(80, 100))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any ten words in a row of a benchmark item."""
+    return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with masks for personal data and for words that reveal it."""
+    return sanitised(docs, size_col="n_chars")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences along a Hilbert curve."""
+    return packed(docs, tokenizer_path())
 
 
-STAGES = [("n-gram Jaccard join", near_copies)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", decontamination),
+    ("PII", personal_data),
+    ("packing", packing),
+]
 
-#: Tries, trained weights and tokenizers have no SQL form; tests compare with brute force.
+#: Tries, corpus co-occurrence and tokenizers have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage over all that the one before it kept; the rows of the last."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for _, stage in STAGES[:-1]:
         path = shared_path(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,7 +16,9 @@ from landgrid.llm.components import components
 from landgrid.llm.shared import text_key, written
 
 #: Entries of the table that ranks shingles by rarity: 2 to this power, four bytes each.
-RANK_BITS = 20
+RANK_BITS = 21
+#: Rare shingles that two sets must share to be compared; each costs every set one more entry.
+SHARED = 3
 _BLOCK = 1 << 12
 #: Most sets and shingles of one trie.
 TRIE_SETS, TRIE_SHINGLES = 256, 1_000_000
@@ -41,7 +43,7 @@ def rank_table(docs: DataFrame, size: int, bits: int = RANK_BITS) -> np.ndarray:
         for batch in batches:
             for _, _, data, offsets in words.chunks(_texts(batch)):
                 hashes, _, _, _ = words.word_hashes(data, offsets)
-                table += np.bincount((words.windows(hashes, size) >> np.uint64(64 - bits)).astype(np.int64), minlength=cells).astype(np.uint32)
+                np.add.at(table, (words.windows(hashes, size) >> np.uint64(64 - bits)).astype(np.int64), 1)
         blocks = [k for k in range(0, cells, _BLOCK) if table[k : k + _BLOCK].any()]
         yield pa.RecordBatch.from_pydict(
             {"block": pa.array([k // _BLOCK for k in blocks], pa.int32()), "counts": pa.array([zlib.compress(table[k : k + _BLOCK].tobytes(), 1) for k in blocks], pa.binary())}
@@ -88,7 +90,7 @@ def _keys(docs: DataFrame, size: int, share: tuple[int, int], ranks, bits: int)
                 n = len(found)
                 sizes.append(n)
                 marks.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if n else None)
-                rare.append(found[: n - (-(-share[0] * n // share[1])) + 1].view(np.int64) if n else found.view(np.int64))
+                rare.append(found[: n - (-(-share[0] * n // share[1])) + SHARED].view(np.int64) if n else found.view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(r) for r in rare])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(marks, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare) if rare else np.zeros(0, np.int64)))],
@@ -168,29 +170,32 @@ class Trie:
 
 
 def _links(pairs: DataFrame, texts: DataFrame, size: int, share: tuple[int, int], ranks, bits: int) -> DataFrame:
-    """Those of the pairs (a, b, n_b) of marks that link, as (u, v).
+    """Those of the pairs (a, b, n_b) of sets that link, as (u, v).
 
-    The partners of one mark are cut into salted groups of bounded size; a group builds a
-    trie of its partners and searches it with the mark's own set.
+    The partners of one set are cut into salted groups of bounded size; a group builds a trie
+    of its partners and searches it with the set's own shingles.
     """
-    loads = pairs.groupBy("a").agg(
+    loads = written(pairs.groupBy("a").agg(
         F.greatest(F.ceil(F.count("*") / TRIE_SETS), F.ceil(F.sum("n_b") / TRIE_SHINGLES)).cast("int").alias("salts")
-    )
-    partners = pairs.join(loads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("mark"), F.lit(1).alias("role"))
-    owners = loads.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("mark"), F.lit(0).alias("role"))
-    rows = partners.unionByName(owners).join(texts, "mark")
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").select("a", "salt", "mark", "text")
+    ))
+    partners = pairs.join(loads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("set"))
+    owners = loads.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("set"))
+    rows = written(partners.unionByName(owners)).join(texts, "set").withColumn("role", (F.col("a") != F.col("set")).cast("int"))
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").select("a", "salt", "set", "text")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, group, own, trie = ranks.value, None, None, None
 
-        def found() -> list[tuple[bytes, bytes]]:
+        def found() -> list[tuple[int, int]]:
             return [(group[0], name) for name, _, _ in trie.search(own, share)] if trie is not None and own is not None else []
 
+        def batch_of(out: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
+
         for batch in batches:
             out = []
-            marks, salts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for key, name, shingle in zip(zip(marks, salts, strict=True), names, words.shingles(_texts(batch), size), strict=True):
+            sets, salts, names = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for key, name, shingle in zip(zip(sets, salts, strict=True), names, words.shingles(_texts(batch), size), strict=True):
                 if key != group:
                     out += found()
                     group, own, trie = key, None, Trie(np.zeros(0, np.uint64))
@@ -198,21 +203,16 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, share: tuple[int, int]
                     own = np.unique(shingle)
                 else:
                     trie.add(_ordered(shingle, table, bits)[::-1], name)
-            yield pa.RecordBatch.from_pydict({"u": pa.array([x[0] for x in out], pa.binary()), "v": pa.array([x[1] for x in out], pa.binary())})
-        out = found() if group is not None else []
-        yield pa.RecordBatch.from_pydict({"u": pa.array([x[0] for x in out], pa.binary()), "v": pa.array([x[1] for x in out], pa.binary())})
+            yield batch_of(out)
+        yield batch_of(found())
 
-    return rows.mapInArrow(match, "u binary, v binary")
+    return rows.mapInArrow(match, "u bigint, v bigint")
 
 
-def _fits(x: str, y: str, share: tuple[int, int]) -> str:
-    """SQL: sizes allow a link, and so do the places of a first common shingle."""
+def _shared(x: str, y: str, share: tuple[int, int]) -> str:
+    """SQL: the rare shingles that linked sets of x and y elements have in common at least."""
     top, whole = share
-    need = f"ceil({top} * ({x}.n + {y}.n) / {whole + top}D)"
-    return (
-        f"{whole} * {x}.n >= {top} * {y}.n and {whole} * {y}.n >= {top} * {x}.n"
-        f" and 1 + least({x}.n - {x}.pos - 1, {y}.n - {y}.pos - 1) >= {need}"
-    )
+    return f"least({SHARED}, ceil({top} * ({x} + {y}) / {whole + top}D))"
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
@@ -238,48 +238,49 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ranks = spark.sparkContext.broadcast(table)  # 4 * 2**rank_bits bytes
     keys = written(_keys(source, size, share, ranks, rank_bits))
     classes = written(
-        keys.where("n > 0").groupBy("mark").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.first("rare").alias("rare"))
+        keys.where("n > 0").groupBy("mark").agg(F.min("id").alias("id"), F.max("n").cast("int").alias("n"), F.first("rare").alias("rare"))
+        .withColumn("set", F.monotonically_increasing_id())
     )
-    places = classes.select("mark", "n", F.posexplode("rare").alias("pos", "token"))
-    pivots = places.groupBy("token").agg(F.count("*").alias("sets"), F.min(F.struct("mark", "n", "pos")).alias("p")).where("sets > 1")
-    met = written(places.join(pivots.select("token", "p"), "token"))
-
-    # An id may be null or name several texts: rows are fetched by its hash and checked by their own sets.
-    wanted = met.select("mark").distinct().join(classes.select("mark", "id"), "mark").select(F.xxhash64("id").alias("key"), "mark")
-    fetched = source.select(F.xxhash64("id").alias("key"), "text").join(wanted, "key")
-    fetched = fetched.withColumn("copy", text_key(F.col("text"))).dropDuplicates(["key", "mark", "copy"])
-    texts = written(_own_texts(fetched.select("mark", "text"), size, ranks, rank_bits))
-
-    first = written(
-        met.alias("s").where("s.mark <> p.mark").where(_fits("p", "s", share))
-        .select(F.col("p.mark").alias("a"), F.col("s.mark").alias("b"), F.col("s.n").alias("n_b")).distinct()
+    places = classes.select(F.explode("rare").alias("token"), "set", "n")
+    tokens = written(places.groupBy("token").agg(F.count("*").alias("sets"), F.min("set").alias("pivot")).where("sets > 1").select("token", "pivot"))
+    met = written(places.join(tokens, "token"))
+
+    # One pivot a set: that with which it shares most. What this leaves apart is compared below.
+    first = (
+        met.where("set <> pivot").groupBy("set", "pivot").agg(F.count("*").alias("shared"), F.max("n").alias("n"))
+        .where(f"shared >= {_shared('n', f'n * {share[0]} / {share[1]}D', share)}")
+        .groupBy("set").agg(F.max_by("pivot", F.struct("shared", -F.col("pivot"))).alias("a"), F.max("n").alias("n_b"))
+        .select("a", F.col("set").alias("b"), "n_b")
     )
-    links = written(_links(first, texts, size, share, ranks, rank_bits))
-    label = components(links)
+    first = written(first)
+    links = _links(first, _own_texts(source, classes, first, size, ranks, rank_bits), size, share, ranks, rank_bits)
+    label = components(written(links))
 
-    held = met.drop("p").join(label, met["mark"] == label["node"], "left").select("token", "mark", "n", "pos", F.coalesce("label", "mark").alias("label"))
-    held = written(held)
-    mixed = (
+    held = written(met.select("token", "set", "n").join(label, met["set"] == label["node"], "left").select("token", "set", "n", F.coalesce("label", "set").alias("label")))
+    mixed = written(
         held.groupBy("token", "label").agg(F.count("*").alias("sets"))
-        .groupBy("token").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("sets", "label")).alias("main")).where("labels > 1")
+        .groupBy("token").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("sets", "label")).alias("main")).where("labels > 1").select("token", "main")
     )
-    rest = held.join(mixed.select("token", "main"), "token")
-    x = rest.where("label <> main").alias("x")
-    y = rest.alias("y")
+    rest = written(held.join(mixed, "token"))
+    x, y = rest.where("label <> main").alias("x"), rest.alias("y")
+    lengths = f"{share[1]} * x.n >= {share[0]} * y.n and {share[1]} * y.n >= {share[0]} * x.n"
     second = (
-        x.join(y, F.expr(f"x.token = y.token and x.label <> y.label and (y.label = y.main or x.mark < y.mark) and {_fits('x', 'y', share)}"))
-        .select(F.greatest("x.mark", "y.mark").alias("a"), F.least("x.mark", "y.mark").alias("b"),
-                F.when(F.col("x.mark") < F.col("y.mark"), F.col("x.n")).otherwise(F.col("y.n")).alias("n_b")).distinct()
+        x.join(y, F.expr(f"x.token = y.token and x.label <> y.label and (y.label = y.main or x.set < y.set) and {lengths}"))
+        .groupBy(F.greatest("x.set", "y.set").alias("a"), F.least("x.set", "y.set").alias("b"))
+        .agg(F.count("*").alias("shared"), F.max(F.when(F.col("x.set") > F.col("y.set"), F.col("x.n")).otherwise(F.col("y.n"))).alias("n_a"),
+             F.max(F.when(F.col("x.set") < F.col("y.set"), F.col("x.n")).otherwise(F.col("y.n"))).alias("n_b"))
+        .where(f"shared >= {_shared('n_a', 'n_b', share)}")
     )
     tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    second = written(second.join(tried, ["a", "b"], "left_anti"))
-    more = written(_links(second, texts, size, share, ranks, rank_bits))
+    second = written(second.join(tried, ["a", "b"], "left_anti").select("a", "b", "n_b"))
+    more = written(_links(second, _own_texts(source, classes, second, size, ranks, rank_bits), size, share, ranks, rank_bits))
     if more.take(1):
         label = components(label.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))
 
-    named = classes.select("mark", "id").join(label.withColumnRenamed("node", "mark"), "mark", "left").select("mark", "id", F.coalesce("label", "mark").alias("label"))
-    heads = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    of_mark = named.join(heads, "label").select("mark", "component_id")
+    known = classes.select("mark", "id", "set").join(label, classes["set"] == label["node"], "left").select("mark", "id", F.coalesce("label", "set").alias("label"))
+    known = written(known)
+    heads = written(known.groupBy("label").agg(F.min("id").alias("component_id")))
+    of_mark = written(known.join(heads, "label").select("mark", "component_id"))
     return (
         keys.select("id", "n", "mark").join(of_mark, "mark", "left")
         .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
@@ -287,14 +288,34 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def _own_texts(fetched: DataFrame, size: int, ranks, bits: int) -> DataFrame:
-    """The rows whose text's set really has the mark."""
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each component: that with the least id. Of rows that repeat an id one stays.
+
+    Rows with a null id cannot be told apart and all stay. Columns pass unchanged.
+    """
+    known = docs.where(docs[id_col].isNotNull())
+    found = jaccard_components(known, id_col, text_col, **options)
+    kept = written(found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct())
+    one = known.join(kept, known[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
+    return one.unionByName(docs.where(docs[id_col].isNull()))
+
+
+def _own_texts(source: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, ranks, bits: int) -> DataFrame:
+    """(set, text) of every set of the pairs, one row each.
+
+    An id may be null or name several texts, so rows are fetched by its hash and kept if their
+    own set has the class's mark.
+    """
+    needed = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    needed = written(classes.select("set", "mark", F.xxhash64("id").alias("key")).join(needed, F.col("set") == F.col("a"), "left_semi"))
+    fetched = source.select(F.xxhash64("id").alias("key"), "text").join(needed, "key")
+    fetched = fetched.withColumn("copy", text_key(F.col("text"))).dropDuplicates(["key", "mark", "copy"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.value
         for batch in batches:
-            marks = batch.column(0).to_pylist()
+            marks = batch.column(1).to_pylist()
             keep = [hashlib.blake2b(_ordered(s, table, bits).tobytes(), digest_size=16).digest() == m for m, s in zip(marks, words.shingles(_texts(batch), size), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["set", "text"])
 
-    return fetched.mapInArrow(own, "mark binary, text string")
+    return written(fetched.select("set", "mark", "text").mapInArrow(own, "set bigint, text string"))

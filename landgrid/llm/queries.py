@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.llm.decontaminate import marked
+from landgrid.llm.disclosure import KINDS, found as personal_data
 from landgrid.llm.jaccard_join import jaccard_components
 from landgrid.llm.packing import packed
 from landgrid.llm.quality import judged
@@ -19,17 +20,22 @@ from landgrid.llm.warc import archived
 
 
 def op1_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
-    found = judged(read_documents(spark, folder), ["doc_id"])
+    rows = judged(read_documents(spark, folder), ["doc_id"])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return found.select("doc_id", *[f"_q.{n}" for n in names])
+    return rows.select("doc_id", *[f"_q.{n}" for n in names])
 
 
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_documents(spark, folder)
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     labels = spark.read.parquet(f"{folder}/labels.parquet").where(~held_out)
-    found = scored(docs.select("doc_id", "text"), fit(docs, labels))
-    return found.select("doc_id", held_out.alias("held_out"), "_found.score", (F.col("_found.score") >= 0.5).cast("int").alias("predicted"))
+    rows = scored(docs.select("doc_id", "text"), fit(docs, labels))
+    return rows.select("doc_id", held_out.alias("held_out"), "_found.score", (F.col("_found.score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_disclosure(spark: SparkSession, folder: str) -> DataFrame:
+    rows = personal_data(read_documents(spark, folder), ["doc_id"])
+    return rows.select("doc_id", *digest_columns(F.col("_spans"), KINDS))
 
 
 def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,14 +47,14 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
-    found = scan_versions(read_documents(spark, folder))
-    return found.select("doc_id", *digest_columns(F.col("spans"), ["assign", "access", "hex"]))
+    rows = scan_versions(read_documents(spark, folder))
+    return rows.select("doc_id", *digest_columns(F.col("spans"), ["assign", "access", "hex"]))
 
 
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    found = marked(read_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    rows = marked(read_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
     items = F.array_sort("_found.items")
-    return found.select(
+    return rows.select(
         "doc_id", "_found.n_words", "_found.n_hit", F.size(items).cast("bigint").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("_found.n_hit") > 0).alias("contaminated"),
     )
@@ -67,6 +73,7 @@ def op10_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
     "op2_toxicity": op2_toxicity,
+    "op3_disclosure": op3_disclosure,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_warc": op6_warc,
     "op8_secret_ledger": op8_secret_ledger,
