@@ -2,39 +2,188 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from landgrid.functions.text import category_key
 
 # Normalised column names that hold personal data.
-EXACT_NAMES = """
-propietario propietarios nombre_propietario nombres_propietario propietario_nombre
-nombre_del_propietario titular titulares nombre_titular titular_derecho titular_catastral
-poseedor nombre_poseedor ocupante nombre_ocupante tenedor arrendatario usufructuario heredero
-causante copropietario interesado nombre_interesado solicitante nombre_solicitante
-responsable_predio contribuyente nombre_contribuyente sujeto_activo sujeto_pasivo nombre nombres
-apellido apellidos primer_nombre segundo_nombre primer_apellido segundo_apellido nombre_completo
-nombre_persona nombre_natural razon_social razon_social_propietario nombre_razon_social
-documento documentos num_documento numero_documento nro_documento documento_identidad
-doc_identidad tipo_documento tipo_doc identificacion num_identificacion numero_identificacion
-nro_identificacion id_persona cedula cedulas num_cedula numero_cedula cedula_ciudadania cc
-cedula_catastral_titular tarjeta_identidad cedula_extranjeria pasaporte nuip nit nit_propietario
-num_nit numero_nit digito_verificacion telefono telefonos num_telefono numero_telefono tel
-celular movil fax correo correos correo_electronico email e_mail mail direccion_correspondencia
-direccion_notificacion direccion_notificaciones direccion_contacto direccion_residencia
-direccion_domicilio direccion_titular direccion_propietario buzon contacto nombre_contacto
-matricula_titular matricula_propietario numero_escritura escritura notaria notario
-acto_administrativo_titular firma huella foto fotografia genero sexo fecha_nacimiento
-estado_civil etnia discapacidad usuario usuario_creacion usuario_modificacion usuario_log
-usuario_log_creacion usuario_edicion created_user last_edited_user editor digitalizador
-funcionario operario operator operator_email operator_phone contact_phone contact_mobile
-contact_whatsapp contact_fax contact_instagram contact_facebook contact_twitter contact_person
-addr_street addr_housenumber addr_housename addr_unit addr_full addr_flats addr_door owner
-owner_name ownername property_owner holder holder_name taxpayer taxpayer_name first_name
-last_name full_name person_name national_id tax_id phone phone_number mobile cell_phone
-contact_email mailing_address birth_date date_of_birth gender signature fingerprint
-""".split()
+EXACT_NAMES = [
+    "propietario",
+    "propietarios",
+    "nombre_propietario",
+    "nombres_propietario",
+    "propietario_nombre",
+    "nombre_del_propietario",
+    "titular",
+    "titulares",
+    "nombre_titular",
+    "titular_derecho",
+    "titular_catastral",
+    "poseedor",
+    "nombre_poseedor",
+    "ocupante",
+    "nombre_ocupante",
+    "tenedor",
+    "arrendatario",
+    "usufructuario",
+    "heredero",
+    "causante",
+    "copropietario",
+    "interesado",
+    "nombre_interesado",
+    "solicitante",
+    "nombre_solicitante",
+    "responsable_predio",
+    "contribuyente",
+    "nombre_contribuyente",
+    "sujeto_activo",
+    "sujeto_pasivo",
+    "nombre",
+    "nombres",
+    "apellido",
+    "apellidos",
+    "primer_nombre",
+    "segundo_nombre",
+    "primer_apellido",
+    "segundo_apellido",
+    "nombre_completo",
+    "nombre_persona",
+    "nombre_natural",
+    "razon_social",
+    "razon_social_propietario",
+    "nombre_razon_social",
+    "documento",
+    "documentos",
+    "num_documento",
+    "numero_documento",
+    "nro_documento",
+    "documento_identidad",
+    "doc_identidad",
+    "tipo_documento",
+    "tipo_doc",
+    "identificacion",
+    "num_identificacion",
+    "numero_identificacion",
+    "nro_identificacion",
+    "id_persona",
+    "cedula",
+    "cedulas",
+    "num_cedula",
+    "numero_cedula",
+    "cedula_ciudadania",
+    "cc",
+    "cedula_catastral_titular",
+    "tarjeta_identidad",
+    "cedula_extranjeria",
+    "pasaporte",
+    "nuip",
+    "nit",
+    "nit_propietario",
+    "num_nit",
+    "numero_nit",
+    "digito_verificacion",
+    "telefono",
+    "telefonos",
+    "num_telefono",
+    "numero_telefono",
+    "tel",
+    "celular",
+    "movil",
+    "fax",
+    "correo",
+    "correos",
+    "correo_electronico",
+    "email",
+    "e_mail",
+    "mail",
+    "direccion_correspondencia",
+    "direccion_notificacion",
+    "direccion_notificaciones",
+    "direccion_contacto",
+    "direccion_residencia",
+    "direccion_domicilio",
+    "direccion_titular",
+    "direccion_propietario",
+    "buzon",
+    "contacto",
+    "nombre_contacto",
+    "matricula_titular",
+    "matricula_propietario",
+    "numero_escritura",
+    "escritura",
+    "notaria",
+    "notario",
+    "acto_administrativo_titular",
+    "firma",
+    "huella",
+    "foto",
+    "fotografia",
+    "genero",
+    "sexo",
+    "fecha_nacimiento",
+    "estado_civil",
+    "etnia",
+    "discapacidad",
+    "usuario",
+    "usuario_creacion",
+    "usuario_modificacion",
+    "usuario_log",
+    "usuario_log_creacion",
+    "usuario_edicion",
+    "created_user",
+    "last_edited_user",
+    "editor",
+    "digitalizador",
+    "funcionario",
+    "operario",
+    "operator",
+    "operator_email",
+    "operator_phone",
+    "contact_phone",
+    "contact_mobile",
+    "contact_whatsapp",
+    "contact_fax",
+    "contact_instagram",
+    "contact_facebook",
+    "contact_twitter",
+    "contact_person",
+    "addr_street",
+    "addr_housenumber",
+    "addr_housename",
+    "addr_unit",
+    "addr_full",
+    "addr_flats",
+    "addr_door",
+    "owner",
+    "owner_name",
+    "ownername",
+    "property_owner",
+    "holder",
+    "holder_name",
+    "taxpayer",
+    "taxpayer_name",
+    "first_name",
+    "last_name",
+    "full_name",
+    "person_name",
+    "national_id",
+    "tax_id",
+    "phone",
+    "phone_number",
+    "mobile",
+    "cell_phone",
+    "contact_email",
+    "mailing_address",
+    "birth_date",
+    "date_of_birth",
+    "gender",
+    "signature",
+    "fingerprint",
+]
 
 # Names of places and things that only look personal.
 ALLOWED = [
@@ -78,8 +227,9 @@ CODE_NAMES = (
     "(^|_)(fid|oid|objectid|globalid|clave|llave|key|npn|cod_?predial|matricula|manzana|vereda|sector|barrio|comuna|terreno|zona|divipola|dane|dpto|depto|departamento|municipio|mpio|area|areas|superficie|perimetro|longitud|latitud|len|leng|length|shape|cantidad|conteo|total|orden|version|anio|ano|year|vigencia|piso|pisos|altura|habitaciones|banos|poblacion|pop|hogares|viviendas|valor|avaluo|escala|resolucion|hectareas|has|m2|km2)(_|$|[0-9])|^(codigo|cod|id|num|numero|nro|secuencial|pk)"
 )
 
-# Shapes of values, first match wins. A word border is one between
-# ASCII word characters and anything else.
+# Shapes of values, first match wins. Digits are spelled [0-9] and a word border
+# as one between ASCII word characters and anything else, because Java's \\b takes all letters
+# for words while other engines take those of ASCII; so all engines agree on accented names.
 BORDER = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = (
@@ -100,7 +250,6 @@ HARMLESS = [
     "^[0-9]{4}-[0-9]{2}-[0-9]{2}",
     "^-?[0-9]+[.,][0-9]+$",
 ]
-LONGEST_VALUE = 500
 
 
 def name_rule(name: Column) -> Column:
@@ -115,21 +264,32 @@ def name_rule(name: Column) -> Column:
     return chain
 
 
+def name_rule_of(name: str) -> str | None:
+    """``name_rule`` of one known name, without a Spark job."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", name) if not unicodedata.combining(c))
+    key = re.sub("[^a-z0-9]+", "_", plain.lower()).strip("_")
+    if not key:
+        return None
+    if key in EXACT_NAMES:
+        return "exact"
+    if any(re.search(pattern, key) for pattern in ALLOWED):
+        return None
+    return next((rule for rule, pattern in NAME_RULES if re.search(pattern, key)), None)
+
+
 def is_adjacent(name: Column) -> Column:
     """TRUE for names that only turn personal next to a holder's name."""
     return name_rule(name).isNull() & category_key(name).isin(ADJACENT_NAMES)
 
 
-def value_rule(value: Column, name: Column | None = None, longest: int | None = LONGEST_VALUE) -> Column:
+def value_rule(value: Column, name: Column | None = None) -> Column:
     """Id of the rule that finds personal data in a value, NULL for none.
 
-    Values longer than ``longest`` characters are left out; None scans every
-    value in full. Columns named like codes or measures skip the number rules.
+    Values of any length are scanned in full. Columns named like codes or
+    measures skip the number rules.
     """
     text = F.trim(value)
     skip = text == ""
-    if longest is not None:
-        skip = skip | (F.length(text) > longest)
     for pattern in HARMLESS:
         skip = skip | text.rlike(pattern)
     code_like = F.lit(False) if name is None else category_key(name).rlike(CODE_NAMES)

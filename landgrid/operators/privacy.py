@@ -22,9 +22,7 @@ def classify_names(names: DataFrame, column: str = "name") -> DataFrame:
 
 def personal_columns(df: DataFrame) -> dict[str, str]:
     """Personal columns of a DataFrame and the rule of each; reads the schema only."""
-    names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "name string")
-    found = classify_names(names).where("rule is not null")
-    return {r["name"]: r["rule"] for r in found.collect()}
+    return {name: rule for name in df.columns if (rule := pii.name_rule_of(name)) is not None}
 
 
 def sanitize(df: DataFrame, text_columns: list[str] | None = None) -> DataFrame:
@@ -64,14 +62,14 @@ def discard_log(df: DataFrame, layer: str) -> DataFrame:
     )
 
 
-def discard_rollup(log: DataFrame, limit: int = 500) -> DataFrame:
-    """Discards by layer, column, rule and action, most frequent first."""
-    return (
+def discard_rollup(log: DataFrame, limit: int | None = None) -> DataFrame:
+    """Discards by layer, column, rule and action, most frequent first; all of them, or the first ``limit``."""
+    out = (
         log.groupBy("layer", "column", "rule", "action")
         .agg(F.sum("occurrences").alias("occurrences"), F.max("detected_at").alias("last_seen"))
         .orderBy(F.col("occurrences").desc(), "layer", "column", "rule", "action")
-        .limit(limit)
     )
+    return out if limit is None else out.limit(limit)
 
 
 def redact_rows(df: DataFrame, when_column: str, columns: list[str], values: list[str] | None = None, pattern: str | None = None) -> DataFrame:
@@ -86,9 +84,9 @@ def redact_rows(df: DataFrame, when_column: str, columns: list[str], values: lis
     return df.withColumns({c: F.when(~hit, F.col(c)) for c in columns})
 
 
-def scan_values(df: DataFrame, keys: list[str], text: str, longest: int | None = None) -> DataFrame:
+def scan_values(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Rows whose text holds personal data, with the rule."""
-    rule = pii.value_rule(F.col(text), None, longest)
+    rule = pii.value_rule(F.col(text))
     return df.select(*keys, rule.alias("rule")).where("rule is not null")
 
 

@@ -155,23 +155,23 @@ def _(t):
     return privacy.scan_values(lines, ["doc_id", "line_no"], "line")
 
 
-@query("personal_values_short", "Q8", "", f"""
+@query("personal_values_whole", "Q8", "", f"""
     with r as (select doc_id, trim(text) as v from documents)
-    select doc_id, {value_rule_sql('v')} as rule from r where length(v) <= 500 and {value_rule_sql('v')} is not null""")
+    select doc_id, {value_rule_sql('v')} as rule from r where {value_rule_sql('v')} is not null""")
 def _(t):
-    return privacy.scan_values(t.spread("documents"), ["doc_id"], "text", longest=500)
+    return privacy.scan_values(t.spread("documents"), ["doc_id"], "text")
 
 
 @query("sanitized_documents", "Q9", "", f"""
     with r as (select doc_id, lang, text, trim(text) as v from documents)
-    select doc_id, lang, case when length(v) <= 500 and {value_rule_sql('v')} is not null then '[REDACTADO:' || {value_rule_sql('v')} || ']' else text end as texto from r""")
+    select doc_id, lang, case when {value_rule_sql('v')} is not null then '[REDACTADO:' || {value_rule_sql('v')} || ']' else text end as texto from r""")
 def _(t):
     df = t.documents.select("doc_id", F.col("lang"), F.col("text").alias("texto"), F.col("source").alias("nombre_propietario"), F.col("lang").alias("telefono"))
     return privacy.sanitize(df, ["texto"])
 
 
 @query("discard_log", "Q9 A23", "", f"""
-    with r as (select trim(text) as v from documents), h as (select {value_rule_sql('v')} as rule from r where length(v) <= 500)
+    with r as (select trim(text) as v from documents), h as (select {value_rule_sql('v')} as rule from r)
     select 'docs' as layer, 'texto' as "column", rule, 'redacted' as action, count(*) as occurrences from h where rule is not null group by rule
     union all select 'docs', 'telefono', 'exact', 'dropped', count(*) from documents""")
 def _(t):
@@ -206,7 +206,7 @@ def _(t):
 
 
 @query("staged_sweep", "Q11", "", f"""
-    with r as (select trim(text) as v from documents), h as (select {value_rule_sql('v')} as rule from r where length(v) <= 500)
+    with r as (select trim(text) as v from documents), h as (select {value_rule_sql('v')} as rule from r)
     select 'R_VEREDA' as layer, 'NOMBRE' as "column", 'exempt' as kind, 'exact' as rule, 0 as "values"
     union all select 'DOCS', 'USUARIO_LOG', 'audit', 'exact', 0 union all select 'DOCS', 'CORREO', 'offending', 'exact', 0
     union all select 'DOCS', 'TEXTO', 'content', rule, count(*) from h where rule is not null group by rule""")

@@ -116,8 +116,8 @@ def test_personal_names_and_values(spark):
     names = ["PROPIETARIO", "nombre", "nombre_municipio", "primer_nombre_x", "url_descarga_documento", "telefono_contacto", "area_m2", "matricula", "fecha_firma", "Correo Electrónico"]
     assert values(spark, names, "string", pii.name_rule) == ["exact", "exact", None, "person_name", None, "phone", None, None, None, "exact"]
     rows = ["a.b@c.co", "900.123.456-7", "llamar 3001234567", "cc 1.020.345.678", "Juan Carlos Pérez", "0" * 30, "2024-05-06", "12.5", "x" * 501 + " a@b.co", None]
-    assert values(spark, rows, "string", pii.value_rule) == ["email", "co_nit", "co_phone", "co_cedula", "person_full_name", None, None, None, None, None]
-    assert values(spark, rows[8:9], "string", lambda v: pii.value_rule(v, longest=None)) == ["email"]
+    assert values(spark, rows, "string", pii.value_rule) == ["email", "co_nit", "co_phone", "co_cedula", "person_full_name", None, None, None, "email", None]
+    assert [pii.name_rule_of(n) for n in names] == ["exact", "exact", None, "person_name", None, "phone", None, None, None, "exact"]
     assert values(spark, ["12345678"], "string", lambda v: pii.value_rule(v, F.lit("codigo_dane"))) == [None]
 
 
