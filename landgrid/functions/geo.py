@@ -332,7 +332,8 @@ def point_on_surface(polygon: Column) -> Column:
 def clean_polygon(polygon: Column) -> Column:
     """Close rings, drop those without area, shells counter-clockwise and holes clockwise.
 
-    The first ring is the shell; NULL when no surface is left.
+    A ring inside an even number of other rings is a shell, inside an odd number a hole, so
+    shapes of many parts keep all their surface; NULL when no surface is left.
     """
     def closed(ring):
         last = F.element_at(ring, -1)
@@ -343,11 +344,40 @@ def clean_polygon(polygon: Column) -> Column:
     rings = F.filter(
         F.transform(filled, closed), lambda r: (F.size(r) >= 4) & (ring_signed_area(r) != 0)
     )
-    turned = F.transform(
-        rings,
-        lambda r, i: F.when((ring_signed_area(r) > 0) == (i == 0), r).otherwise(F.reverse(r)),
-    )
-    return F.when(F.size(turned) > 0, turned)
+
+    def turned(all_rings):
+        def one(r):
+            shell = F.size(F.filter(all_rings, lambda other: _ring_within(r, other))) % 2 == 0
+            return F.when((ring_signed_area(r) > 0) == shell, r).otherwise(F.reverse(r))
+
+        return F.transform(all_rings, one)
+
+    return let(rings, lambda found: F.when(F.size(found) > 0, turned(found)))
+
+
+def _ring_within(ring: Column, other: Column) -> Column:
+    """TRUE when a ring lies inside a larger one that it does not cross."""
+    larger = F.abs(ring_signed_area(other)) > F.abs(ring_signed_area(ring))
+    inner = let(point_on_surface(F.array(ring)), lambda p: contains_point(F.array(other), p["x"], p["y"]))
+    return larger & inner
+
+
+def parts(polygon: Column) -> Column:
+    """The parts of a clean polygon, each its shell and then the shell's holes."""
+    shells = F.filter(polygon, lambda r: ring_signed_area(r) > 0)
+    holes = F.filter(polygon, lambda r: ring_signed_area(r) < 0)
+
+    def owner(hole, found):
+        around = F.filter(found, lambda s: _ring_within(hole, s))
+        sizes = F.transform(around, lambda s: F.struct(ring_signed_area(s).alias("size"), s.alias("ring")))
+        return F.array_min(sizes)["ring"]
+
+    def put_together(found):
+        placed = F.transform(holes, lambda h: F.struct(owner(h, found).alias("shell"), h.alias("hole")))
+        return let(placed, lambda rows: F.transform(found, lambda s: F.concat(
+            F.array(s), F.transform(F.filter(rows, lambda r: r["shell"] == s), lambda r: r["hole"]))))
+
+    return let(shells, put_together)
 
 
 def segments(line: Column) -> Column:

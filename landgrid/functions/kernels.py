@@ -166,22 +166,34 @@ def _clip_half(ring: np.ndarray, axis: int, at: float, keep_low: bool) -> np.nda
 
 
 def halve(rings: list[np.ndarray], limit: int) -> Iterator[list[np.ndarray]]:
-    """Cut a polygon along its longer side until no piece has more than ``limit`` points."""
-    waiting = [(rings, 0)]
+    """Cut a polygon along its longer side until no piece has more than ``limit`` points.
+
+    A cut in the middle that leaves all points on one side is tried at the median, then along
+    the other side. A piece that no cut makes smaller, which only more than ``limit`` points in
+    one place can be, is an error.
+    """
+    waiting = [rings]
     while waiting:
-        piece, depth = waiting.pop()
+        piece = waiting.pop()
         total = sum(len(r) for r in piece)
-        if total <= limit or depth >= 40:
+        if total <= limit:
             yield piece
             continue
         points = np.concatenate(piece)
         low, high = points.min(axis=0), points.max(axis=0)
-        axis = int(np.argmax(high - low))
-        middle = (low[axis] + high[axis]) / 2
-        for keep_low in (True, False):
-            half = [c for c in (_clip_half(r, axis, middle, keep_low) for r in piece) if len(c)]
-            if half:
-                waiting.append((half, depth + 1))
+        longer = int(np.argmax(high - low))
+        for axis, at in [
+            (axis, at) for axis in (longer, 1 - longer)
+            for at in ((low[axis] + high[axis]) / 2, float(np.median(points[:, axis])))
+        ]:
+            halves = [
+                [c for c in (_clip_half(r, axis, at, keep_low) for r in piece) if len(c)] for keep_low in (True, False)
+            ]
+            if all(sum(len(r) for r in half) < total for half in halves):
+                waiting += [half for half in halves if half]
+                break
+        else:
+            raise ValueError(f"{total} points of a shape cannot be cut apart")
 
 
 def hull(points: np.ndarray) -> np.ndarray:

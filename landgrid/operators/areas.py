@@ -13,6 +13,7 @@ from landgrid.operators.ranking import grouped_percentiles
 from landgrid.session import cut_lineage
 
 TOP_USES = 20
+OTHER_USES = "OTROS"
 NEAREST_MUNICIPALITY_M = 80_000.0
 
 
@@ -71,8 +72,10 @@ def parcels_in(parcels: DataFrame, scopes: DataFrame) -> DataFrame:
     return spatial.polygon_overlaps(parcels, scopes.select("scope_id", "scope_rings"), "parcel_key", "rings", "scope_rings")
 
 
-def parcel_stats(parcels: DataFrame, buildings: DataFrame, scopes: DataFrame) -> DataFrame:
-    """Totals, median and the most frequent uses of the parcels in each scope.
+def parcel_stats(parcels: DataFrame, buildings: DataFrame, scopes: DataFrame, top_uses: int = TOP_USES) -> DataFrame:
+    """Totals, median and uses of the parcels in each scope.
+
+    The map of uses names the ``top_uses`` most frequent ones and sums up the others.
 
     ``buildings`` has ``building_id, parcel_key, footprint_m2, b_rings``.
     """
@@ -88,7 +91,9 @@ def parcel_stats(parcels: DataFrame, buildings: DataFrame, scopes: DataFrame) ->
     median = grouped_percentiles(hits, ["scope_id"], "area_m2", {"area_median_m2": 0.5})
     uses = hits.groupBy("scope_id", F.coalesce("economic_use", F.lit(cells.NO_USE)).alias("use")).agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("scope_id").orderBy(F.col("n").desc(), "use")
-    top = uses.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= TOP_USES)
+    # The most frequent uses by name, all others as one entry, so that the map adds up.
+    named = F.when(F.row_number().over(order) <= top_uses, F.col("use")).otherwise(OTHER_USES)
+    top = uses.withColumn("use", named).groupBy("scope_id", "use").agg(F.sum("n").alias("n"))
     use_map = top.groupBy("scope_id").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("use", "n")))).alias("use_counts")
     )

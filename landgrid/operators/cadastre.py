@@ -47,7 +47,7 @@ def parcels(raw: DataFrame, zone: str, cut_date: str) -> DataFrame:
     )
     seg = codes.parts(F.col("npn"))
     out = grouped.select(
-        "npn", F.substring("npn_old", 1, 20).alias("npn_old"),
+        "npn", F.when(F.length("npn_old") <= 20, F.col("npn_old")).alias("npn_old"),
         codes.dept_code(F.col("npn")).alias("dept_code"), codes.muni_code(F.col("npn")).alias("muni_code"),
         F.lit(zone).alias("zone"),
         *[seg[name].alias(f"{name}_code") for name in ("sector", "commune", "neighborhood", "block", "parcel", "condition", "building", "floor", "unit")],

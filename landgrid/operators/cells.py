@@ -11,24 +11,22 @@ from landgrid.operators import spatial
 from landgrid.operators.ranking import grouped_percentiles
 from landgrid.session import cut_lineage
 
-HUGE_MUNICIPALITY_KM2 = 3000.0
 LARGE_LOT_M2 = 1000.0
 ROAD_REACH_M = [1_000.0, 4_000.0, 15_000.0]
 NO_USE = "NO_DISPONIBLE"
 
 
 def seed_cells(municipalities: DataFrame, parcels: DataFrame, level: int) -> DataFrame:
-    """Cells of every municipality: its outline, or its parcels' cells when it is huge.
+    """Cells of every municipality: those of its outline and of its parcels.
 
     Municipalities without an outline take the hull of their parcels. A cell of
     two municipalities goes to the higher code. ``municipalities`` has
-    ``muni_code, rings, area_km2``; ``parcels`` has ``muni_code, cell, lng, lat``.
+    ``muni_code, rings``; ``parcels`` has ``muni_code, cell, lng, lat``.
     """
-    huge = F.coalesce(F.col("area_km2") > HUGE_MUNICIPALITY_KM2, F.lit(False))
-    shaped = municipalities.where(~huge & F.col("rings").isNotNull()).select("muni_code", "rings")
+    shaped = municipalities.where(F.col("rings").isNotNull()).select("muni_code", "rings")
     covered = spatial.polygon_cells(shaped, "rings", level).select("muni_code", "cell")
-    from_parcels = parcels.join(municipalities.where(huge).select("muni_code"), "muni_code", "left_semi")
-    bare = municipalities.where(~huge & F.col("rings").isNull()).select("muni_code")
+    from_parcels = parcels.join(municipalities.select("muni_code"), "muni_code", "left_semi")
+    bare = municipalities.where(F.col("rings").isNull()).select("muni_code")
     hulls = spatial.convex_hulls(parcels.join(bare, "muni_code", "left_semi"), ["muni_code"], "lng", "lat")
     hull_cells = spatial.polygon_cells(hulls, "rings", level).select("muni_code", "cell")
     seeds = covered.unionByName(from_parcels.where("cell is not null").select("muni_code", "cell")).unionByName(hull_cells)

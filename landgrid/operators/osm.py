@@ -141,7 +141,7 @@ def roads(ways: DataFrame) -> DataFrame:
     kept = ways.where(tag("highway").isin(ROAD_CLASSES))
     return kept.withColumns(
         {
-            "class": tag("highway"), "name": F.when(name != "", F.substring(name, 1, 250)),
+            "class": tag("highway"), "name": F.when(name != "", name),
             "surface": tag("surface"), "is_paved": is_paved(tag("surface")),
             "lanes": lanes(tag("lanes")), "max_speed_kmh": max_speed_kmh(tag("maxspeed")),
         }
@@ -162,7 +162,7 @@ def classify_pois(places: DataFrame, tags: str = "tags") -> DataFrame:
         dropped = value.isin(excluded.split()) if excluded else F.lit(False)
         category = F.coalesce(hit, F.lit(other)) if other else hit
         usable = (value != "") & category.isNotNull() & ~dropped
-        found.append(F.when(usable, F.struct(category.alias("category"), F.substring(value, 1, 80).alias("sub"))))
+        found.append(F.when(usable, F.struct(category.alias("category"), value.alias("sub"))))
         kind = F.when(dropped, "excluded").otherwise("unmapped")
         problem.append(
             F.when((value != "") & ~usable, F.struct(kind.alias("kind"), F.concat(F.lit(key + "="), value).alias("tag")))
@@ -178,9 +178,8 @@ def classify_pois(places: DataFrame, tags: str = "tags") -> DataFrame:
 
 
 def keep_tags(tags: Column, allowed: list[str]) -> Column:
-    """The allowed tags with text, cut to two hundred characters."""
-    kept = F.map_filter(tags, lambda k, v: k.isin(allowed) & (v != ""))
-    return F.transform_values(kept, lambda k, v: F.substring(v, 1, 200))
+    """The allowed tags with text."""
+    return F.map_filter(tags, lambda k, v: k.isin(allowed) & (v != ""))
 
 
 def personal_tag_rule(key: Column) -> Column:
@@ -201,7 +200,7 @@ def safe_name(name: Column) -> Column:
     """The name, or NULL when it holds an address of mail or a phone number."""
     text = F.trim(name)
     bad = text.rlike(pii.EMAIL) | text.rlike(pii.PHONE)
-    return F.when((text != "") & ~bad, F.substring(text, 1, 250))
+    return F.when((text != "") & ~bad, text)
 
 
 def assemble_ways(ways: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -26,9 +26,6 @@ COMPARISONS = {
     "lt": lambda c, v: c < v,
     "lte": lambda c, v: c <= v,
 }
-MAX_NEAR = 6
-MAX_NEAR_M = 20_000
-MAX_LIMIT = 50_000
 ADDRESS_SIMILARITY = 0.30
 
 
@@ -75,9 +72,9 @@ class ParcelQuery:
         key, _, direction = self.sort.partition(":")
         if key not in SORTS or direction not in ("", "asc", "desc"):
             raise ValueError(f"cannot sort by {self.sort}")
-        if len(self.near) > MAX_NEAR or any(not 0 < n.max_m <= MAX_NEAR_M for n in self.near):
-            raise ValueError(f"at most {MAX_NEAR} near clauses of at most {MAX_NEAR_M} m")
-        if not 0 < self.limit <= MAX_LIMIT:
+        if any(n.max_m <= 0 for n in self.near):
+            raise ValueError("near clauses need a positive distance")
+        if self.limit <= 0:
             raise ValueError("bad limit")
 
 
@@ -140,7 +137,7 @@ def filter_parcels(
 ) -> DataFrame:
     """All parcels the query asks for, without order or limit.
 
-    ``layers`` holds near layers with ``f_lng, f_lat`` (or ``segment``) and
+    Parcels carry their outline as ``rings``. ``layers`` holds near layers with ``f_lng, f_lat`` (or ``segment``) and
     ``category``; ``zones`` has ``zone_code, zone_rings``. Cheap column filters
     come first, then the spatial semi joins on what is left.
     """
@@ -161,9 +158,9 @@ def filter_parcels(
         df = df.where(has_building(F.col("built_area_m2"), q.has_building))
     if q.bbox:
         xmin, ymin, xmax, ymax = q.bbox
+        own = geo.box(F.col("rings"))
         df = df.where(
-            (F.col("lng") - F.col("half") <= xmax) & (F.col("lng") + F.col("half") >= xmin)
-            & (F.col("lat") - F.col("half") <= ymax) & (F.col("lat") + F.col("half") >= ymin)
+            (own["xmin"] <= xmax) & (own["xmax"] >= xmin) & (own["ymin"] <= ymax) & (own["ymax"] >= ymin)
         )
     if q.floors:
         tall = buildings.where(in_range(F.col("floors"), q.floors)).select("parcel_key", "snapshot_id")
@@ -188,20 +185,12 @@ def filter_parcels(
 
 
 def _touching(parcels: DataFrame, shapes: DataFrame, rings: str) -> DataFrame:
-    """Parcels that share surface with any of the shapes."""
-    own = parcels.select("parcel_key", parcel_rings().alias("_own"))
+    """Parcels whose outline shares surface with any of the shapes."""
+    own = parcels.select("parcel_key", F.col("rings").alias("_own"))
     hits = spatial.polygon_overlaps(own, shapes.select(rings), "parcel_key", "_own", rings)
     return parcels.join(hits.select("parcel_key").distinct(), "parcel_key", "left_semi")
 
 
-def parcel_rings() -> Column:
-    """Square outline of a parcel from its centre and half width."""
-    return geo.rectangle(
-        F.col("lng") - F.col("half"), F.col("lat") - F.col("half"),
-        F.col("lng") + F.col("half"), F.col("lat") + F.col("half"),
-    )
-
-
 def query_parcels(parcels: DataFrame, snapshots: DataFrame, q: ParcelQuery, **sources) -> DataFrame:
     """One page of matching parcels and one row more when another page follows."""
     df = filter_parcels(parcels, snapshots, q, **sources)

@@ -68,7 +68,7 @@ def duplicate_codes(parcels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def samples(df: DataFrame, column: str, limit: int = 10) -> DataFrame:
-    """One row with the first few values, for a finding's sample."""
+    """One row with the first ``limit`` values, for a finding's sample; a sampling operator, so the limit is its point."""
     first = df.select(column).orderBy(column).limit(limit)
     return first.agg(F.sort_array(F.collect_list(column)).alias("sample"))
 

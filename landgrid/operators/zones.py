@@ -10,8 +10,6 @@ from landgrid.operators.ranking import grouped_percentiles
 from landgrid.operators.skew import hot_keys, salted_join
 from landgrid.session import cut_lineage
 
-MAX_ROUNDS = 60
-
 
 def hex_edges(cells: DataFrame, keys: list[str], cell: str = "cell") -> DataFrame:
     """Pairs of neighbouring cells that are both in the table; at most six per cell."""
@@ -29,7 +27,7 @@ def connected_components(cells: DataFrame, edges: DataFrame, keys: list[str], ce
     """
     edges = cut_lineage(edges.select(*keys, "a", "b"))
     labels = cut_lineage(cells.select(*keys, F.col(cell).alias("a"), F.col(cell).alias("component")))
-    for _ in range(MAX_ROUNDS):
+    while True:
         seen = labels.select(*keys, F.col("a").alias("b"), F.col("component").alias("_near"))
         near = edges.join(seen, [*keys, "b"]).groupBy(*keys, "a").agg(F.min("_near").alias("_near"))
         lower = labels.join(near, [*keys, "a"], "left").select(
@@ -44,7 +42,6 @@ def connected_components(cells: DataFrame, edges: DataFrame, keys: list[str], ce
         labels = step.drop("_old")
         if changed == 0:
             return labels.withColumnRenamed("a", cell)
-    raise RuntimeError("components did not settle")
 
 
 def top_zones(

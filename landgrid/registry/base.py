@@ -10,6 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from landgrid.functions import geo
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "conversations"]
@@ -183,13 +186,11 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def spread(self, name: str) -> DataFrame:
-        """A table over all cores when its files make fewer tasks than that.
-
-        Splits of large tables already outnumber the cores and are left alone.
-        """
-        df, cores = getattr(self, name), self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    @property
+    def outlined(self) -> DataFrame:
+        """Parcels with their outline, the square that stands for it here."""
+        x, y, half = F.col("lng"), F.col("lat"), F.col("half")
+        return self.parcel.withColumn("rings", geo.rectangle(x - half, y - half, x + half, y + half))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in STANDINS:

@@ -88,8 +88,7 @@ def _(t):
     q as (select npn, z, floor((a + 180) / 360 * n) as x0, floor((c + 180) / 360 * n) as x1, floor((1 - ln(tan(radians(b)) + 1 / cos(radians(b))) / pi()) / 2 * n) as y0, floor((1 - ln(tan(radians(d)) + 1 / cos(radians(d))) / pi()) / 2 * n) as y1 from p)
     select npn, z, cast(sum((x1 - x0 + 1) * (y1 - y0 + 1)) as bigint) as tiles, cast(min(x0) as bigint) as x, cast(min(y0) as bigint) as y from q group by 1, 2""")
 def _(t):
-    from landgrid.operators.parcels import parcel_rings
-    out = tiles.assign_tiles(t.parcel.withColumn("rings", parcel_rings()), "parcel", "npn", "rings", [12, 14, 15])
+    out = tiles.assign_tiles(t.outlined, "parcel", "npn", "rings", [12, 14, 15])
     return out.groupBy("npn", "z").agg(F.count(F.lit(1)).alias("tiles"), F.min("x").alias("x"), F.min("y").alias("y"))
 
 
@@ -117,8 +116,7 @@ def _(t):
 
 @query("landed_features", "S4 S15", "parcel", "select npn, round(4 * half * half * 1000000, 4) as size, economic_use from parcel")
 def _(t):
-    from landgrid.operators.parcels import parcel_rings
-    lines = writers.feature_lines(t.parcel.withColumn("rings", parcel_rings()), "rings", ["npn", "economic_use"], ["cadastre"])
+    lines = writers.feature_lines(t.outlined, "rings", ["npn", "economic_use"], ["cadastre"])
     wrapped = lines.select(F.concat(F.lit('{"features":['), "value", F.lit("]}")).alias("value"))
     path = landed(t, wrapped)
     # One collection per line here; real collections are one per file.

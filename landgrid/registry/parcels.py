@@ -45,7 +45,7 @@ def _(t):
 def _(t):
     q = ParcelQuery(department="02", zone="urbano", ranges={"area_m2": {"gte": 50000.0, "lt": 400000.0}},
                     economic_use=["1-urgent", "2-high"], has_building=True, limit=50)
-    return ops.query_parcels(t.parcel, t.snapshot, q).select("parcel_key", "npn", "area_m2", "economic_use")
+    return ops.query_parcels(t.outlined, t.snapshot, q).select("parcel_key", "npn", "area_m2", "economic_use")
 
 
 @query("parcel_query_cursor", "P9 D3", "parcel snapshot", """
@@ -56,7 +56,7 @@ def _(t):
 def _(t):
     q = ParcelQuery(municipality="03013", cut_date="1998-01-01", sort="cadastral_value:desc", limit=500,
                     cursor=ops.encode_cursor(900000.0, "0"))
-    return ops.query_parcels(t.parcel, t.snapshot, q).select("npn", "cadastral_value")
+    return ops.query_parcels(t.outlined, t.snapshot, q).select("npn", "cadastral_value")
 
 
 @query("parcel_query_box", "P6", "parcel snapshot", f"""
@@ -64,7 +64,7 @@ def _(t):
       and lat - half <= 8 and lat + half >= 1""")
 def _(t):
     q = ParcelQuery(department="01", bbox=(-76.0, 1.0, -70.0, 8.0))
-    return ops.filter_parcels(t.parcel, t.snapshot, q).select("npn")
+    return ops.filter_parcels(t.outlined, t.snapshot, q).select("npn")
 
 
 @query("parcel_query_floors", "J3", "parcel building snapshot", f"""
@@ -72,7 +72,7 @@ def _(t):
       select 1 from building b where b.parcel_key = p.parcel_key and b.snapshot_id = p.snapshot_id and b.floors >= 10 and b.floors <= 40)""")
 def _(t):
     q = ParcelQuery(department="04", floors={"gte": 10, "lte": 40})
-    return ops.filter_parcels(t.parcel, t.snapshot, q, buildings=t.building).select("npn")
+    return ops.filter_parcels(t.outlined, t.snapshot, q, buildings=t.building).select("npn")
 
 
 @query("parcel_query_near", "J5", "parcel poi health snapshot", f"""
@@ -83,7 +83,7 @@ def _(t):
          and 2 * 6371008.8 * asin(least(sqrt(pow(sin(radians(f_lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(f_lat)) * pow(sin(radians(f_lng - p.lng) / 2), 2)), 1)) <= 20000)""")
 def _(t):
     q = ParcelQuery(department="05", near=[Near("poi", 15000, ["machinery", "building"]), Near("health_facility", 20000, invert=True)])
-    return ops.filter_parcels(t.parcel, t.snapshot, q, layers={"poi": t.poi, "health_facility": t.health}).select("npn")
+    return ops.filter_parcels(t.outlined, t.snapshot, q, layers={"poi": t.poi, "health_facility": t.health}).select("npn")
 
 
 @query("parcel_query_zones", "J4", "parcel overlay snapshot", f"""
@@ -94,19 +94,19 @@ def _(t):
     zones = t.overlay.select(F.col("layer_key").alias("zone_code"),
                              rectangle(F.col("oxmin"), F.col("oymin"), F.col("oxmax"), F.col("oymax")).alias("zone_rings"))
     q = ParcelQuery(department="02", homogeneous_zone=["k1", "k2"])
-    return ops.filter_parcels(t.parcel, t.snapshot, q, zones=zones).select("npn")
+    return ops.filter_parcels(t.outlined, t.snapshot, q, zones=zones).select("npn")
 
 
 @query("parcel_query_within", "P1", "parcel snapshot", f"""
     select npn from parcel where dept_code = '03' and {ACTIVE} and lng - half < -71 and lng + half > -75 and lat - half < 9 and lat + half > 2""")
 def _(t):
     ring = [(-75, 2), (-71, 2), (-71, 9), (-75, 9), (-75, 2)]
-    return ops.filter_parcels(t.parcel, t.snapshot, ParcelQuery(department="03", within=[ring])).select("npn")
+    return ops.filter_parcels(t.outlined, t.snapshot, ParcelQuery(department="03", within=[ring])).select("npn")
 
 
 @query("parcel_scope_count", "P10 S10", "parcel snapshot", f"select count(*) as n from parcel where dept_code = '01' and {ACTIVE}")
 def _(t):
-    return ops.count_parcels(t.parcel, t.snapshot, ParcelQuery(department="01", zone="rural"))
+    return ops.count_parcels(t.outlined, t.snapshot, ParcelQuery(department="01", zone="rural"))
 
 
 @query("parcels_by_old_code", "C14", "parcel", """

@@ -97,7 +97,7 @@ SUITABILITY_SQL = "with " + WIDE + ", r as (" + " union all ".join(use_sql(u) fo
 
 @query("suitability", "F26 F27 F28 F30 F32 P16 F29", "unit", SUITABILITY_SQL)
 def _(t):
-    out = scoring.suitability(t.spread("unit"), ["unit_key"])
+    out = scoring.suitability(t.unit, ["unit_key"])
     return out.select("unit_key", "use", "score", "confidence", F.size("blockers").alias("blockers"), F.size("cautions").alias("cautions"),
                       F.size("undetermined").alias("undetermined"), "verdict")
 
@@ -130,7 +130,7 @@ TEMPLATES_SQL = "with " + WIDE + ", r as (" + " union all ".join(template_sql(n)
 
 
 def scored(t):
-    return scoring.score_cells(t.spread("unit"), ["unit_key"], thresholds={"distance_school_m": {"lte": 3000.0}})
+    return scoring.score_cells(t.unit, ["unit_key"], thresholds={"distance_school_m": {"lte": 3000.0}})
 
 
 @query("template_scores", "C9 F28 F29 F30 P14 P15 W3", "unit", TEMPLATES_SQL + """

@@ -27,7 +27,7 @@ def overlays(t, *keep):
 
 def owned(t):
     """Parcels with their outline."""
-    return t.spread("parcel").withColumn("rings", parcels.parcel_rings())
+    return t.outlined
 
 
 INSIDE = "lng >= xmin and lng < xmax and lat >= ymin and lat < ymax"
@@ -179,7 +179,7 @@ def _(t):
     select parcel_key, round(min(m) filter (where class = 'primary'), 2) as dist_primary_road_m, round(min(m) filter (where is_paved), 2) as dist_paved_road_m from d where m <= 15000 group by 1
     having min(m) filter (where is_paved) is not null""")
 def _(t):
-    points = t.spread("parcel").select("parcel_key", "lng", "lat")
+    points = t.parcel.select("parcel_key", "lng", "lat")
     out = cells.road_distances(points, roads(t), "parcel_key", ("lng", "lat")).where("dist_paved_road_m is not null")
     return out.select("parcel_key", F.round("dist_primary_road_m", 2).alias("dist_primary_road_m"), F.round("dist_paved_road_m", 2).alias("dist_paved_road_m"))
 
@@ -355,7 +355,7 @@ COARSE = "(6::bigint << 58) + ((q::bigint + 268435456) << 29) + (r::bigint + 268
     select cell, count(*) as n_parcels, round(sum(area_m2), 2) as area_sum, count(*) filter (where area_m2 > 1000 and coalesce(built_area_m2, 0) = 0) as n_large_lots, min(area_m2) as area_min,
       round(quantile_cont(area_m2, 0.25), 4) as area_p25, round(quantile_cont(area_m2, 0.5), 4) as area_median, max(area_m2) as area_max, count(distinct coalesce(economic_use, 'NO_DISPONIBLE')) as uses from p group by cell""")
 def _(t):
-    p = t.spread("parcel").withColumn("cell", hexgrid.point_to_cell(F.col("lng"), F.col("lat"), 6))
+    p = t.parcel.withColumn("cell", hexgrid.point_to_cell(F.col("lng"), F.col("lat"), 6))
     out = cells.cadastre_stats(p, ["cell"]).join(cells.use_counts(p, ["cell"]), "cell")
     return out.select("cell", "n_parcels", F.round("parcel_area_sum_m2", 2).alias("area_sum"), "n_large_lots", "area_min", F.round("area_p25", 4).alias("area_p25"),
                       F.round("area_median", 4).alias("area_median"), "area_max", F.size("use_counts").alias("uses"))

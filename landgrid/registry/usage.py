@@ -75,7 +75,7 @@ CANON_SQL = f"{WAY_SQL} || ' ' || {NUM_SQL} || ' # ' || cast(o_orderkey % 90 + 1
     select o_orderkey, {CANON_SQL} || case o_orderkey % 3 when 0 then ' SUR' when 1 then ' APTO 201' else '' end as canonical, {WAY_SQL} as way_type, {NUM_SQL} as way_number, cast(o_orderkey % 90 + 1 as varchar) as cross_number,
       cast(o_orderkey % 60 + 1 as varchar) as plate, case when o_orderkey % 3 = 0 then 'SUR' end as quadrant, case when o_orderkey % 3 = 1 then 'APTO 201' end as complement from orders""")
 def _(t):
-    return search.standardize(t.spread("orders").select("o_orderkey", raw_address(t).alias("raw")), "raw").drop("raw")
+    return search.standardize(t.orders.select("o_orderkey", raw_address(t).alias("raw")), "raw").drop("raw")
 
 
 @query("address_variants", "F6 F7", "", f"""
@@ -93,7 +93,7 @@ def _(t):
     g as """ + GRAMS.format(key="address_id", text="text", table="c") + """, s as (select address_id, string_agg(g, '|' order by g) as grams from g group by 1)
     select a.address_id, 'parcel' as source, min(b.npn) as ref, cast(1 as double) as similarity from c a join s sa using (address_id) join c b on a.muni_code = b.muni_code and a.way = b.way join s sb on sb.address_id = b.address_id and sa.grams = sb.grams group by 1""")
 def _(t):
-    p = t.spread("parcel")
+    p = t.parcel
     asked = p.select(F.col("parcel_key").alias("address_id"), "muni_code", F.col("address").alias("raw"))
     points = p.where("false").select(F.col("npn").alias("ref"), "muni_code", F.col("address").alias("label"))
     out = search.match_addresses(asked, points, p.select(F.col("npn").alias("ref"), "muni_code", F.col("address").alias("label")), limit=1)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from landgrid.functions.geo import parts
 from pyspark.sql import types as T
 
 MISSING = "NO_DISPONIBLE"
@@ -54,9 +56,9 @@ def write_csv(df: DataFrame, path: str, notes: list[str] | None = None) -> None:
 
 
 def feature_lines(df: DataFrame, rings: str, columns: list[str], sources: list[str]) -> DataFrame:
-    """One GeoJSON feature per row with the listed properties and the sources."""
-    shape = F.transform(F.col(rings), lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"])))
-    geometry = F.struct(F.lit("Polygon").alias("type"), shape.alias("coordinates"))
+    """One GeoJSON feature per row with the listed properties and the sources; shapes are clean polygons of any number of parts."""
+    shape = F.transform(parts(F.col(rings)), lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: F.array(p["x"], p["y"]))))
+    geometry = F.when(F.col(rings).isNotNull(), F.struct(F.lit("MultiPolygon").alias("type"), shape.alias("coordinates")))
     feature = F.struct(
         F.lit("Feature").alias("type"), geometry.alias("geometry"),
         F.struct(*[F.col(c) for c in columns]).alias("properties"),
