@@ -228,11 +228,11 @@ def _by_shuffle(docs: DataFrame, text_col: str, windows: DataFrame) -> DataFrame
     hits = written(spots.join(known, ["hash", "length"]))
     items = hits.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     covered = hits.select("row", F.explode(F.expr("sequence(start, start + length - 1)")).alias("word")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    sums = items.join(covered, "row")
-    out = kept.join(sums, kept["_row"] == sums["row"], "left")
-    own = [F.col(f"`{c}`") for c in docs.columns if c != "_found"]
+    sums = items.join(covered, "row").select(F.struct("row", "items", "n_hit").alias("_sums"))
+    out = kept.join(sums, F.col("_row") == F.col("_sums.row"), "left")
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("_found", "_row", "_sums")]
     empty = F.expr("cast(array() as array<string>)")
-    return out.select(*own, F.struct(F.col("_found.n_words").alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", empty).alias("items")).alias("_found"))
+    return out.select(*own, F.struct(F.col("_found.n_words").alias("n_words"), F.coalesce("_sums.n_hit", F.lit(0)).alias("n_hit"), F.coalesce("_sums.items", empty).alias("items")).alias("_found"))
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
