@@ -390,12 +390,14 @@ def _(t):
 
 def rebuild(t):
     from landgrid.operators.ingest import hazard_rank
-    m = munis(t).withColumn("area_km2", F.lit(110000.0))
+    # One municipality has no outline and takes the hull of its parcels.
+    x, y = F.col("seat_lng"), F.col("seat_lat")
+    m = t.municipality.withColumn("rings", F.when(F.col("muni_code") != "01001", geo.rectangle(x - 0.5, y - 0.5, x + 0.5, y + 0.5)))
     s, h, p = places(t)
     o = overlays(t, "layer", "layer_key", "level", F.col("overlay_id").alias("source_id")).withColumn("level_rank", hazard_rank(F.col("level")))
     b = blocks(t).withColumn("school_age", cells.school_age_of())
-    elevation = t.parcel.withColumn("cell", hexgrid.point_to_cell(F.col("lng"), F.col("lat"), 7)).groupBy("cell").agg(F.avg("area_m2").alias("elevation_mean_m"), F.avg("half").alias("slope_mean_pct"))
-    return cells.rebuild_cells(m, t.parcel, b, s, h, p, o, elevation, roads(t), 7)
+    elevation = t.parcel.withColumn("cell", hexgrid.point_to_cell(F.col("lng"), F.col("lat"), 6)).groupBy("cell").agg(F.avg("area_m2").alias("elevation_mean_m"), F.avg("half").alias("slope_mean_pct"))
+    return cells.rebuild_cells(m, t.parcel, b, s, h, p, o, elevation, roads(t), 6)
 
 
 @query("dissolved_area", "A17", "", """
