@@ -44,9 +44,8 @@ def _rarest(texts: DataFrame, counts: DataFrame, same: list[str], text: str, gra
     )
     size = F.size("_r")
     keep = F.least(size - F.ceil(size * F.lit(threshold)).cast("int") + 1, size)
-    return ordered.select(*same, text, F.explode(F.slice("_r", F.lit(1), keep)).alias("_p")).select(
-        *same, text, F.col("_p.g").alias("_g")
-    )
+    listed = ordered.select(*same, text, size.alias("_n"), F.posexplode(F.slice("_r", F.lit(1), keep)).alias("_pos", "_p"))
+    return listed.select(*same, text, F.col("_p.g").alias("_g"), F.struct("_n", "_pos").alias(f"{text}s"))
 
 
 def trigram_pairs(
@@ -69,7 +68,13 @@ def trigram_pairs(
     counts = d.select(F.explode("_dg").alias("_g")).groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
     posted = _rarest(d, counts, same, "_dt", "_dg", threshold)
     probes = _rarest(q, counts, same, "_qt", "_qg", threshold)
-    met = salted_join(posted, probes, [*same, "_g"], spread=["_dt"]).select(*same, "_qt", "_dt").distinct()
+    # Sizes and the places of a first common trigram must allow the similarity.
+    a, b, t = "_qts", "_dts", f"{float(threshold)!r}D"
+    fits = (
+        f"{a}._n >= {t} * {b}._n and {b}._n >= {t} * {a}._n and "
+        f"1 + least({a}._n - {a}._pos - 1, {b}._n - {b}._pos - 1) >= {t} / (1 + {t}) * ({a}._n + {b}._n) - 1e-9"
+    )
+    met = salted_join(posted, probes, [*same, "_g"], spread=["_dt"]).where(fits).select(*same, "_qt", "_dt").distinct()
     both = met.join(q, [*same, "_qt"]).join(d, [*same, "_dt"])
     shared = F.size(F.array_intersect("_qg", "_dg"))
     scored = both.select(*same, "_qt", "_dt", F.size("_qg").alias("_nq"), F.size("_dg").alias("_nd"), shared.alias("_n"))
@@ -83,12 +88,17 @@ def trigram_pairs(
 def prefix_pairs(queries: DataFrame, index: DataFrame, query_id: str, index_id: str, query_text: str, index_text: str) -> DataFrame:
     """Pairs where the index text starts with the query text.
 
-    Distinct index texts are listed under each of their beginnings and met on
-    the whole query text, so only true pairs ever come together.
+    Distinct index texts are listed under those of their beginnings that are as
+    long as some query and met on the whole query text, so only true pairs ever
+    come together.
     """
     q = queries.select(query_id, F.col(query_text).alias("_head")).where(F.length("_head") > 0)
     d = index.select(F.col(index_text).alias("_dt")).where(F.length(index_text) > 0).distinct()
-    lengths = F.explode(F.sequence(F.lit(1), F.length("_dt")))
+    # As many numbers as the longest query has characters, at most.
+    asked = [r[0] for r in q.select(F.length("_head")).distinct().collect()]
+    if not asked:
+        return q.join(index.select(index_id), F.lit(False)).select(query_id, index_id)
+    lengths = F.explode(F.filter(F.array(*map(F.lit, asked)), lambda n: n <= F.length("_dt")))
     heads = d.withColumn("_n", lengths).select("_dt", F.expr("substring(_dt, 1, _n)").alias("_head"))
     met = salted_join(heads, q, ["_head"], spread=["_dt"])
     back = index.select(index_id, F.col(index_text).alias("_dt"))

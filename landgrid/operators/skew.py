@@ -6,19 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 500_000
+#: Most keys that are split, which bounds the list that every task gets.
+MOST_HOT = 50_000
 SAMPLE = 0.01
 
 
 def hot_keys(sampled: DataFrame, keys: list[str], fraction: float = SAMPLE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys that hold more than ``hot_rows`` rows by a sample's counts, with ``_fan`` salts each.
 
-    A key the sample misjudges costs time, never a result.
+    A key the sample misjudges costs time, never a result. Of very many hot keys
+    the ``MOST_HOT`` hottest are listed; adaptive execution splits the others.
     """
     rows = F.col("count") / fraction
     return (
         sampled.groupBy(*keys)
         .count()
         .where(rows > hot_rows)
+        .orderBy(F.desc("count"), *keys)
+        .limit(MOST_HOT)
         .select(*keys, F.ceil(rows / hot_rows).cast("int").alias("_fan"))
     )
 
@@ -43,8 +48,7 @@ def salted_join(
     """
     if hot is None:
         hot = hot_keys(left.sample(fraction, seed=7), keys, fraction, hot_rows)
-    # Each hot key stands for more than hot_rows rows, which bounds their number.
-    hot = F.broadcast(hot)
+    hot = F.broadcast(hot.limit(MOST_HOT))
     salt = F.pmod(F.xxhash64(*spread), F.col("_fan"))
     salted_left = (
         left.join(hot, keys, "left")

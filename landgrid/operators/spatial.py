@@ -64,9 +64,18 @@ def _with_buckets(df: DataFrame, box: str) -> DataFrame:
     return df.withColumn("_ix", run("x")).withColumn("_iy", run("y"))
 
 
-def _point_buckets(df: DataFrame, x: str, y: str) -> DataFrame:
+def _levels_of(df: DataFrame, level: str) -> list[int]:
+    """The bucket levels that occur, seven at most."""
+    return sorted(r[0] for r in df.select(level).distinct().collect())
+
+
+def _among(levels: list[int]) -> str:
+    return f"array({', '.join(map(str, levels))})" if levels else "cast(array() as array<int>)"
+
+
+def _point_buckets(df: DataFrame, x: str, y: str, levels: list[int]) -> DataFrame:
     """One row per level with the bucket of the point."""
-    levels = df.withColumn("_level", F.expr(f"explode(sequence(0, {LAST}))"))
+    levels = df.withColumn("_level", F.expr(f"explode({_among(levels)})"))
     return levels.withColumns(
         {"_ix": F.expr(f"floor({x} / {SIDE_SQL})"), "_iy": F.expr(f"floor({y} / {SIDE_SQL})")}
     )
@@ -88,8 +97,10 @@ def points_in_polygons(
     """
     right = _boxed(polygons, rings, "_box")
     right = _with_buckets(_with_level(right, "_box").withColumnRenamed("_native", "_level"), "_box")
+    # Points only go to the levels that polygons have.
+    levels = _levels_of(_with_level(_boxed(polygons.select(rings), rings, "_box"), "_box"), "_native")
     left = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    hot = hot_keys(_point_buckets(left.select(x, y).sample(SAMPLE, seed=7), x, y), BUCKET)
+    hot = hot_keys(_point_buckets(left.select(x, y).sample(SAMPLE, seed=7), x, y, levels), BUCKET)
     inside = (
         F.col(x).between(F.col("_box.xmin"), F.col("_box.xmax"))
         & F.col(y).between(F.col("_box.ymin"), F.col("_box.ymax"))
@@ -97,11 +108,11 @@ def points_in_polygons(
     )
     if how != "inner":
         hits = salted_join(
-            _point_buckets(left.select(point_id, x, y), x, y),
+            _point_buckets(left.select(point_id, x, y), x, y, levels),
             right.select(rings, "_box", *BUCKET), BUCKET, [point_id], hot=hot,
         ).where(inside)
         return points.join(hits.select(point_id).distinct(), point_id, how)
-    joined = salted_join(_point_buckets(left, x, y), right, BUCKET, [point_id], hot=hot)
+    joined = salted_join(_point_buckets(left, x, y, levels), right, BUCKET, [point_id], hot=hot)
     return joined.where(inside).drop("_box", *BUCKET)
 
 
@@ -119,14 +130,19 @@ def _touch_candidates(left: DataFrame, right: DataFrame, left_id: str) -> DataFr
 
     A pair meets at the coarser of its two levels. Class 1 joins left rows on
     their own level with right rows of that level or finer; class 2 joins right
-    rows on their own level with finer left rows.
+    rows on their own level with finer left rows. Rows only go to the coarser
+    levels that the other side has.
     """
-    def buckets(df: DataFrame, box: str, classes: str) -> DataFrame:
-        levels = _with_level(df, box).withColumn("_level", F.expr(f"explode(sequence(_native, {LAST}))"))
+    left_levels = _levels_of(_with_level(left.select("_abox"), "_abox"), "_native")
+    right_levels = _levels_of(_with_level(right.select("_bbox"), "_bbox"), "_native")
+
+    def buckets(df: DataFrame, box: str, others: list[int], classes: str) -> DataFrame:
+        wanted = f"array_union(array(_native), filter({_among(others)}, x -> x > _native))"
+        levels = _with_level(df, box).withColumn("_level", F.expr(f"explode({wanted})"))
         return _with_buckets(levels.withColumn("_class", F.expr(classes)), box).drop("_native")
 
-    of_left = lambda df: buckets(df, "_abox", "if(_level = _native, 1, 2)")
-    of_right = buckets(right, "_bbox", "explode(if(_level = _native, array(1, 2), array(1)))")
+    of_left = lambda df: buckets(df, "_abox", right_levels, "if(_level = _native, 1, 2)")
+    of_right = buckets(right, "_bbox", left_levels, "explode(if(_level = _native, array(1, 2), array(1)))")
     keys = ["_class", *BUCKET]
     hot = hot_keys(of_left(left.select("_abox").sample(SAMPLE, seed=7)), keys)
     joined = salted_join(of_left(left), of_right, keys, [left_id], hot=hot)
@@ -218,13 +234,25 @@ def within_distance(
 
 
 def near(left: DataFrame, right: DataFrame, radius_m: float, left_id: str, invert: bool = False, **names) -> DataFrame:
-    """Left rows with (or, inverted, without) any right feature within the radius."""
+    """Left rows with (or, inverted, without) any right feature within the radius.
+
+    Close features are looked for first; only points without one look farther,
+    so crowded places do not list all their pairs.
+    """
     x, y = names["left_xy"]
     shape = [names["right_segment"]] if names.get("right_segment") else list(names["right_xy"])
-    hits = within_distance(
-        left.select(left_id, x, y), right.select(*shape), radius_m, left_id, **names
-    )
-    return left.join(hits.select(left_id).distinct(), left_id, "left_anti" if invert else "left_semi")
+    waiting, features, found = left.select(left_id, x, y), right.select(*shape), None
+    for reach in _widening(radius_m):
+        hits = within_distance(waiting, features, reach, left_id, **names).select(left_id).distinct()
+        if reach < radius_m:
+            hits = cut_lineage(hits)
+            waiting = waiting.join(hits, left_id, "left_anti")
+        found = hits if found is None else found.unionByName(hits)
+    return left.join(found, left_id, "left_anti" if invert else "left_semi")
+
+
+def _widening(radius_m: float) -> list[float]:
+    return [radius_m / 16, radius_m]
 
 
 def nearest(
@@ -269,12 +297,63 @@ def nearest(
 
 
 def nearest_anywhere(left: DataFrame, right: DataFrame, left_id: str, right_id: str, first_m: float = 20_000, **names):
-    """Nearest right feature without a distance limit, by radii that grow fourfold."""
+    """Nearest right feature without a distance limit.
+
+    Radii grow fourfold up to some twelve hundred kilometres. Points without a
+    feature that near are compared with the features of the cells that can hold
+    the nearest one: two degrees wide, so the globe has 16 200 cells, and cells
+    are compared with cells before any point is.
+    """
     radii, reach = [], first_m
     while reach < math.pi * geo.EARTH_RADIUS_M / 8:
         radii.append(reach)
         reach *= 4
-    return nearest(left, right, radii, left_id, right_id, **names)
+    x, y = names["left_xy"]
+    placed = left.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    close = cut_lineage(nearest(placed, right, radii, left_id, right_id, **names))
+    far = cut_lineage(placed.select(left_id, x, y).join(close.select(left_id), left_id, "left_anti"))
+    if far.isEmpty():
+        return close
+    return close.unionByName(_nearest_far(far, right, left_id, right_id, **names))
+
+
+def _nearest_far(far: DataFrame, right: DataFrame, left_id: str, right_id: str, left_xy: tuple[str, str],
+                 right_xy: tuple[str, str] | None = None, right_segment: str | None = None) -> DataFrame:
+    side = 2.0
+    lx, ly = left_xy
+    if right_segment is not None:
+        s = F.col(right_segment)
+        fx, fy, known = s["x1"], s["y1"], s.isNotNull()
+        size = geo.haversine_m(s["x1"], s["y1"], s["x2"], s["y2"])
+        distance, shape = geo.point_segment_m(F.col(lx), F.col(ly), s), [right_segment]
+    else:
+        fx, fy = F.col(right_xy[0]), F.col(right_xy[1])
+        known, size = fx.isNotNull() & fy.isNotNull(), F.lit(0.0)
+        distance, shape = geo.haversine_m(F.col(lx), F.col(ly), fx, fy), list(right_xy)
+
+    def cell(x: Column, y: Column) -> Column:
+        return (F.floor(x / side) * 1000 + F.floor(y / side)).cast("bigint")
+
+    def middle(c: Column) -> list[Column]:
+        row = F.pmod(c + 500, F.lit(1000)) - 500
+        return [((c - row) / 1000 + 0.5) * side, (row + 0.5) * side]
+
+    features = right.where(known).select(right_id, *shape, cell(fx, fy).alias("_b"), size.alias("_size"))
+    points = far.withColumn("_a", cell(F.col(lx), F.col(ly)))
+    own = points.select("_a").distinct()
+    held = features.groupBy("_b").agg(F.max("_size").alias("_size"))
+    # Cells of the globe against cells of the globe: bounded, whatever the tables hold.
+    apart = geo.haversine_m(*middle(F.col("_a")), *middle(F.col("_b")))
+    slack = 2 * side * geo.METRES_PER_DEGREE
+    pairs = own.withColumn("_one", F.lit(1)).join(F.broadcast(held.withColumn("_one", F.lit(1))), "_one")
+    pairs = pairs.select("_a", "_b", (apart - slack - F.col("_size")).alias("_least"), (apart + slack).alias("_most"))
+    bound = F.min("_most").over(Window.partitionBy("_a"))
+    pairs = pairs.withColumn("_bound", bound).where("_least <= _bound").select("_a", "_b")
+    met = salted_join(salted_join(points, pairs, ["_a"], [left_id]), features.drop("_size"), ["_b"], [left_id])
+    best = F.min(F.struct(distance.alias("distance_m"), F.col(right_id).alias(right_id)))
+    return met.groupBy(left_id).agg(best.alias("_best")).select(
+        left_id, F.col(f"_best.{right_id}").alias(right_id), F.col("_best.distance_m").alias("distance_m")
+    )
 
 
 def top_k_near(
@@ -290,11 +369,19 @@ def top_k_near(
         shape = {"right_segment": "segment"} if "segment" in df.columns else {"right_xy": ("f_lng", "f_lat")}
         if "segment" not in df.columns:
             df = df.withColumnRenamed("lng", "f_lng").withColumnRenamed("lat", "f_lat")
-        hits = within_distance(left.select(left_id, *left_xy), df, radius_m, left_id, left_xy=left_xy, **shape)
-        if "segment" in df.columns:
-            hits = hits.groupBy(left_id, "id", "name", "category").agg(F.min("distance_m").alias("distance_m"))
-        hits = hits.select(left_id, F.lit(layer).alias("layer"), "id", "name", "category", "distance_m")
-        out = hits if out is None else out.unionByName(hits)
+        waiting = left.select(left_id, *left_xy)
+        for reach in _widening(radius_m):
+            hits = within_distance(waiting, df, reach, left_id, left_xy=left_xy, **shape)
+            if "segment" in df.columns:
+                hits = hits.groupBy(left_id, "id", "name", "category").agg(F.min("distance_m").alias("distance_m"))
+            hits = hits.select(left_id, F.lit(layer).alias("layer"), "id", "name", "category", "distance_m")
+            if reach < radius_m:
+                # All features this near are known, so points with k of them are done.
+                hits = cut_lineage(hits)
+                done = hits.groupBy(left_id).count().where(F.col("count") >= k).select(left_id)
+                hits = hits.join(done, left_id, "left_semi")
+                waiting = waiting.join(done, left_id, "left_anti")
+            out = hits if out is None else out.unionByName(hits)
     order = Window.partitionBy(left_id, "layer").orderBy("distance_m", "id")
     # A filter on row_number keeps only k rows per group before the shuffle.
     return out.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
