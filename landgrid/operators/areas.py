@@ -185,18 +185,33 @@ def inside_urban(subjects: DataFrame, perimeters: DataFrame, key: str, rings: st
     return joined.select(key, F.when(F.col("_known"), inside).alias("inside_urban_perimeter"))
 
 
+# Road classes of the two distances that name them.
+MAIN_ROADS = ["motorway", "trunk", "primary"]
+SIDE_ROADS = ["secondary", "tertiary"]
+
+
 def road_access(points: DataFrame, roads: DataFrame, point_id: str, reach_m: float = 10_000.0) -> DataFrame:
-    """Least distance to primary, secondary, paved and any road within reach."""
-    hits = spatial.within_distance(
-        points.select(point_id, "lng", "lat"), roads, reach_m, point_id, left_xy=("lng", "lat"), right_segment="segment"
-    )
-    least = lambda cond: F.min(F.when(cond, F.col("distance_m")))
-    return hits.groupBy(point_id).agg(
-        least(F.col("class").isin("motorway", "trunk", "primary")).alias("dist_primary_m"),
-        least(F.col("class").isin("secondary", "tertiary")).alias("dist_secondary_m"),
-        least(F.col("is_paved")).alias("dist_paved_m"),
-        F.min("distance_m").alias("dist_any_m"),
-    )
+    """Least distance to primary, secondary, paved and any road, for points with any road within reach.
+
+    All roads are looked at close by; farther out a point only meets roads of the kinds it still
+    lacks, so it never lists all roads within reach.
+    """
+    kinds = {
+        "dist_primary_m": F.col("class").isin(MAIN_ROADS), "dist_secondary_m": F.col("class").isin(SIDE_ROADS),
+        "dist_paved_m": F.coalesce("is_paved", F.lit(False)), "dist_any_m": F.lit(True),
+    }
+    names = {"left_xy": ("lng", "lat"), "right_segment": "segment"}
+    pieces, places = roads.select("class", "is_paved", "segment"), points.select(point_id, "lng", "lat")
+
+    def least(hits: DataFrame) -> DataFrame:
+        return hits.groupBy(point_id).agg(*[F.min(F.when(cond, F.col("distance_m"))).alias(name) for name, cond in kinds.items()])
+
+    close = cut_lineage(least(spatial.within_distance(places, pieces, reach_m / 8, point_id, **names)))
+    waiting = places.join(close, point_id, "left").where(" or ".join(f"{name} is null" for name in kinds))
+    lacking = reduce(lambda a, b: a | b, [F.col(name).isNull() & cond for name, cond in kinds.items()])
+    wide = least(spatial.within_distance(waiting, pieces, reach_m, point_id, **names).where(lacking).drop(*kinds))
+    both = close.unionByName(wide).groupBy(point_id).agg(*[F.min(name).alias(name) for name in kinds])
+    return both
 
 
 def nearest_facilities(points: DataFrame, layers: dict[str, DataFrame], point_id: str, reach_m: float = 20_000.0) -> DataFrame:
@@ -215,45 +230,118 @@ def area_discrepancy(measured: Column, registered: Column) -> Column:
     return F.when(registered > 0, F.abs(measured - registered) / registered * 100 > 10)
 
 
-# Sections of an area report and why one may be missing.
-SECTIONS = {
-    "cadastre": ("n_parcels", "no_parcels_loaded"),
-    "population": ("pop_total", "no_census_blocks"),
-    "facilities": ("poi_counts", "no_facilities"),
+# Kinds of layers in the sections of an area report that show overlaps.
+LAYER_SECTIONS = {
+    "soils": ["land_capability", "land_vocation", "soil_unit", "land_use", "agricultural_frontier"],
+    "hazards": ["hazard"],
+    "protected": ["protected_area", "ethnic_territory"],
+    "pot": ["pot_zone"],
 }
+FACILITY_SECTIONS = ["education", "health", "commerce"]
+SECTIONS = ["parcels", "population", *FACILITY_SECTIONS, *LAYER_SECTIONS, "relief", "accessibility"]
+# Why a section is missing. The frontier alone is no soil survey.
+REASONS = {
+    "parcels": "no_parcels_loaded",
+    "population": "no_census_blocks",
+    "soils": "no_soil_survey",
+    "hazards": "no_hazard_layer",
+    "pot": "no_zoning_plan",
+    "relief": "no_elevation_model",
+}
+
+
+def layer_sections(scopes: DataFrame, layers: DataFrame, wanted: list[str]) -> DataFrame:
+    """One array column per wanted overlap section: percent, kind, code and label, largest first."""
+    kinds = [k for name in wanted for k in LAYER_SECTIONS[name]]
+    pairs = overlaps_of(scopes.select("scope_id", "scope_rings"), layers.where(F.col("kind").isin(kinds)), "scope_id", "scope_rings")
+    # Pieces of one code add up first, so a scope keeps one entry per code.
+    codes = pairs.groupBy("scope_id", "kind", "code").agg(
+        F.least(F.round(F.sum("overlap_pct"), 3), F.lit(100.0)).alias("overlap_pct"), F.min("label").alias("label")
+    )
+    entry = F.struct((-F.col("overlap_pct")).alias("order"), "kind", "code", "overlap_pct", "label")
+
+    def of(name: str) -> Column:
+        listed = F.array_sort(F.collect_list(F.when(F.col("kind").isin(LAYER_SECTIONS[name]), entry)))
+        return F.transform(listed, lambda e: F.struct(e["kind"].alias("kind"), e["code"].alias("code"), e["label"].alias("label"), e["overlap_pct"].alias("overlap_pct"))).alias(name)
+
+    return codes.groupBy("scope_id").agg(*[of(name) for name in wanted])
 
 
 def missing_sections(wanted: list[str]) -> Column:
-    """Array of ``section, reason`` for the wanted sections without data."""
+    """Array of ``section, reason`` for the wanted sections without data.
+
+    Facilities, protected areas and access are never missing: none there is an answer.
+    """
+    soil_kinds = [k for k in LAYER_SECTIONS["soils"] if k != "agricultural_frontier"]
+
+    def none_of(name: str, kinds: list[str]) -> Column:
+        return F.coalesce(F.size(F.filter(F.col(name), lambda e: e["kind"].isin(kinds))), F.lit(0)) <= 0
+
+    empty = {
+        "parcels": lambda: F.coalesce(F.col("n_parcels"), F.lit(0)) == 0,
+        "population": lambda: F.coalesce(F.col("n_blocks"), F.lit(0)) == 0,
+        "soils": lambda: none_of("soils", soil_kinds),
+        "hazards": lambda: none_of("hazards", LAYER_SECTIONS["hazards"]),
+        "pot": lambda: none_of("pot", LAYER_SECTIONS["pot"]),
+        "relief": lambda: F.coalesce(F.col("slope_mean_pct"), F.lit(0.0)) == 0,
+    }
     entries = []
     for name in wanted:
-        column, reason = SECTIONS[name]
-        empty = F.col(column).isNull() if column != "n_parcels" else F.coalesce(F.col(column), F.lit(0)) == 0
-        entries.append(F.when(empty, F.struct(F.lit(name).alias("section"), F.lit(reason).alias("reason"))))
-    return F.array_compact(F.array(*entries))
+        if name in empty:
+            reason = F.lit(REASONS[name])
+            if name == "parcels":
+                reason = F.when(F.col("coverage_status") == "none", "other_manager").otherwise(reason)
+            entries.append(F.when(empty[name](), F.struct(F.lit(name).alias("section"), reason.alias("reason"))))
+    none = F.expr("cast(array() as array<struct<section:string,reason:string>>)")
+    return F.array_compact(F.array(*entries)) if entries else none
 
 
 def analyze_areas(
     scopes: DataFrame,
-    parcels: DataFrame,
-    buildings: DataFrame,
-    blocks: DataFrame,
-    schools: DataFrame,
-    health: DataFrame,
-    pois: DataFrame,
-    municipalities: DataFrame,
-    sections: tuple[str, ...] = ("cadastre", "population", "facilities"),
+    sources: dict[str, DataFrame],
+    sections: list[str] | None = None,
+    level: int = 8,
 ) -> DataFrame:
-    """One row per scope with the wanted sections and the list of missing ones."""
-    parts = {
-        "cadastre": lambda: parcel_stats(parcels, buildings, scopes),
-        "population": lambda: population_in(blocks, scopes),
-        "facilities": lambda: facilities_in(schools, health, pois, municipalities, scopes),
-    }
-    out = scopes.select("scope_id", "position", F.round(geo.area_m2(F.col("scope_rings")) / 1e6, 4).alias("area_km2"))
-    for name in sections:
-        out = out.join(parts[name](), "scope_id", "left")
-    return out.withColumn("missing", missing_sections(list(sections)))
+    """One row per scope with the wanted sections, all eleven by default, and the list of missing ones.
+
+    ``sources`` by name: parcels, buildings, blocks, schools, health, pois, municipalities, layers
+    (from ``union_layers``), elevation (cells of ``level``), roads, and coverage (``muni_code,
+    coverage_status``), which tells, for scopes with a ``muni_code``, why parcels are absent.
+    Only the sources of the wanted sections are read. ``warning`` says how many sections lack data.
+    """
+    wanted = [name for name in SECTIONS if not sections or name in sections]
+    area = F.round(geo.area_m2(F.col("scope_rings")) / 1e6, 4)
+    kept = ["scope_id", "position", *[c for c in ("muni_code",) if c in scopes.columns]]
+    out = scopes.select(*kept, area.alias("area_km2")).withColumn("area_ha", F.round(F.col("area_km2") * 100, 2))
+    if "muni_code" in scopes.columns and "coverage" in sources:
+        out = out.join(sources["coverage"].select("muni_code", "coverage_status"), "muni_code", "left")
+    else:
+        out = out.withColumn("coverage_status", F.lit(None).cast("string"))
+    per_km2 = lambda n: F.when(F.col("area_km2") > 0, F.round(F.col(n) / F.col("area_km2"), 1))
+    if "parcels" in wanted:
+        out = out.join(parcel_stats(sources["parcels"], sources["buildings"], scopes), "scope_id", "left").withColumns({
+            "n_without_building": F.greatest(F.col("n_parcels") - F.col("n_with_building"), F.lit(0)),
+            "parcels_per_km2": per_km2("n_parcels"),
+        })
+    if "population" in wanted:
+        out = out.join(population_in(sources["blocks"], scopes), "scope_id", "left").withColumn("pop_per_km2", per_km2("pop_total"))
+    if any(name in wanted for name in FACILITY_SECTIONS):
+        found = facilities_in(sources["schools"], sources["health"], sources["pois"], sources["municipalities"], scopes)
+        columns = {"education": ["n_schools", "school_enrollment"], "health": ["n_health"], "commerce": ["poi_counts"]}
+        found = found.withColumn("n_health", health_count(F.col("n_health"), F.col("n_health_unlocated")))
+        out = out.join(found.select("scope_id", *[c for name in FACILITY_SECTIONS if name in wanted for c in columns[name]]), "scope_id", "left")
+    overlapping = [name for name in LAYER_SECTIONS if name in wanted]
+    if overlapping:
+        out = out.join(layer_sections(scopes, sources["layers"], overlapping), "scope_id", "left")
+    if "relief" in wanted:
+        out = out.join(cells.relief(scopes, sources["elevation"], "scope_id", "scope_rings", level), "scope_id", "left")
+    if "accessibility" in wanted:
+        centre = geo.point_on_surface(F.col("scope_rings"))
+        places = scopes.select("scope_id", centre.alias("_p")).select("scope_id", F.col("_p.x").alias("lng"), F.col("_p.y").alias("lat"))
+        out = out.join(road_access(places, sources["roads"], "scope_id"), "scope_id", "left")
+    n = F.size("missing")
+    text = F.concat(F.lit("no data for "), n, F.lit(f" of {len(wanted)} sections"))
+    return out.withColumn("missing", missing_sections(wanted)).withColumn("warning", F.when(n > 0, text))
 
 
 def compare_areas(analysis: DataFrame) -> DataFrame:

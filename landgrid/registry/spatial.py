@@ -278,18 +278,39 @@ def _(t):
     return out.select("scope_id", "n_schools", "school_enrollment", "n_health", "n_health_unlocated", F.try_element_at("poi_counts", F.lit("building")).alias("buildings"))
 
 
-@query("area_analysis", "C11 P24 C20 C19", "parcel census poi municipality", f"""
+SCOPE_OVER = "(least(xmax, oxmax) - greatest(xmin, oxmin)) * (least(ymax, oymax) - greatest(ymin, oymin)) / ((xmax - xmin) * (ymax - ymin)) * 100"
+
+
+@query("area_analysis", "C11 P24 C20 C19", "parcel census poi overlay municipality", f"""
     with p as (select m.muni_code as scope_id, count(*) as n_parcels, round(sum(area_m2), 2) as area_sum_m2 from municipality m join parcel on {PX} group by 1),
     c as (select m.muni_code as scope_id, cast(round(sum(pop_total * {BLOCK_SHARE})) as bigint) as pop_total from census c join municipality m on {BLOCK_TOUCH} group by 1),
-    f as (select m.muni_code as scope_id, count(*) as n_poi from municipality m join poi on f_lng >= xmin and f_lng < xmax and f_lat >= ymin and f_lat < ymax group by 1)
+    f as (select m.muni_code as scope_id, count(*) as n_poi from municipality m join poi on f_lng >= xmin and f_lng < xmax and f_lat >= ymin and f_lat < ymax group by 1),
+    l as (select m.muni_code as scope_id, layer, layer_key, least(round(sum(round({SCOPE_OVER}, 3)), 3), 100) as pct from municipality m join overlay
+      on oxmin < xmax and oxmax > xmin and oymin < ymax and oymax > ymin group by 1, 2, 3),
+    o as (select scope_id, count(*) filter (where layer = 'land_capability') as n_soils, count(*) filter (where layer = 'hazard') as n_hazards,
+      count(*) filter (where layer in ('protected_area', 'ethnic_territory')) as n_protected, round(sum(pct), 2) as pct_sum, max(pct) filter (where layer = 'hazard') as top_hazard from l group by 1)
     select m.muni_code as scope_id, m.population as position, coalesce(n_parcels, 0) as n_parcels, area_sum_m2, pop_total, n_poi,
-      cast(n_parcels is null as int) + cast(pop_total is null as int) + cast(n_poi is null as int) as missing
-    from municipality m left join p on p.scope_id = m.muni_code left join c on c.scope_id = m.muni_code left join f on f.scope_id = m.muni_code""")
+      coalesce(n_soils, 0) as n_soils, coalesce(n_hazards, 0) as n_hazards, coalesce(n_protected, 0) as n_protected, pct_sum, top_hazard,
+      concat_ws('|', case when n_parcels is null then case when m.muni_code < '03' then 'parcels:other_manager' else 'parcels:no_parcels_loaded' end end, case when pop_total is null then 'population:no_census_blocks' end,
+        case when coalesce(n_soils, 0) = 0 then 'soils:no_soil_survey' end, case when coalesce(n_hazards, 0) = 0 then 'hazards:no_hazard_layer' end,
+        'pot:no_zoning_plan', 'relief:no_elevation_model') as missing
+    from municipality m left join p on p.scope_id = m.muni_code left join c on c.scope_id = m.muni_code left join f on f.scope_id = m.muni_code left join o on o.scope_id = m.muni_code""")
 def _(t):
     s, h, p = places(t)
-    out = areas.compare_areas(areas.analyze_areas(scopes(t), owned(t), footprints(t), blocks(t), s, h, p, munis(t)))
+    elevation = t.parcel.where("false").selectExpr("parcel_key as cell", "half as elevation_mean_m", "half as slope_mean_pct", "half as slope_max_pct")
+    coverage = t.municipality.select("muni_code", F.when(F.col("muni_code") < "03", "none").otherwise("covered").alias("coverage_status"))
+    layers = overlays(t, F.col("layer").alias("kind"), F.col("layer_key").alias("code"), F.col("layer_key").alias("label")).withColumnRenamed("o_rings", "l_rings")
+    sources = {"parcels": owned(t), "buildings": footprints(t), "blocks": blocks(t), "schools": s, "health": h, "pois": p, "municipalities": munis(t),
+               "layers": layers, "elevation": elevation, "roads": roads(t), "coverage": coverage}
+    out = areas.compare_areas(areas.analyze_areas(scopes(t).withColumn("muni_code", F.col("scope_id")), sources))
+    add = lambda values: F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
     n_poi = F.aggregate(F.map_values("poi_counts"), F.lit(0).cast("bigint"), lambda a, v: a + v)
-    return out.select("scope_id", "position", "n_parcels", F.round("area_sum_m2", 2).alias("area_sum_m2"), "pop_total", n_poi.alias("n_poi"), F.size("missing").alias("missing"))
+    size = lambda name: F.greatest(F.coalesce(F.size(name), F.lit(0)), F.lit(0)).cast("bigint").alias(f"n_{name}")
+    every = F.transform(F.flatten(F.array("soils", "hazards", "protected")), lambda e: e["overlap_pct"])
+    return out.select(
+        "scope_id", "position", "n_parcels", F.round("area_sum_m2", 2).alias("area_sum_m2"), "pop_total", n_poi.alias("n_poi"), size("soils"), size("hazards"), size("protected"),
+        F.round(add(every), 2).alias("pct_sum"), F.get("hazards", F.lit(0))["overlap_pct"].alias("top_hazard"),
+        F.array_join(F.transform("missing", lambda m: F.concat_ws(":", m["section"], m["reason"])), "|").alias("missing"))
 
 
 @query("area_scopes", "G13 J19 F14", "", """
