@@ -137,12 +137,13 @@ def parcel_series(parcels: DataFrame, snapshots: DataFrame, key: str) -> DataFra
     )
 
 
-def evaluate_alerts(alerts: DataFrame, changes: DataFrame, cuts: DataFrame) -> DataFrame:
+def evaluate_alerts(alerts: DataFrame, changes: DataFrame, cuts: DataFrame | None = None) -> DataFrame:
     """Alerts with something to report.
 
     ``alerts`` has ``alert_id, kind, muni_code, npn, dataset_id``. Kinds:
     parcel_change and area_change count changes of the parcel or municipality,
-    new_buildings counts added buildings, new_cut names a dataset's newest cut.
+    new_buildings counts added buildings, new_cut names a dataset's newest cut
+    and is left out without ``cuts``.
     Changes are counted per key before they meet the alerts.
     """
     by_npn = changes.groupBy("npn").agg(F.count(F.lit(1)).alias("n"))
@@ -155,7 +156,8 @@ def evaluate_alerts(alerts: DataFrame, changes: DataFrame, cuts: DataFrame) -> D
     built = base.where("kind = 'new_buildings'").join(by_muni, "muni_code").select(
         "alert_id", "kind", F.col("built").alias("n")
     )
-    cut = base.where("kind = 'new_cut'").join(cuts.where("from_id is not null"), "dataset_id").select(
-        "alert_id", "kind", F.lit(1).cast("bigint").alias("n")
-    )
-    return parcel.unionByName(area).unionByName(built).unionByName(cut).where("n > 0")
+    out = parcel.unionByName(area).unionByName(built)
+    if cuts is not None:
+        cut = base.where("kind = 'new_cut'").join(cuts.where("from_id is not null"), "dataset_id")
+        out = out.unionByName(cut.select("alert_id", "kind", F.lit(1).cast("bigint").alias("n")))
+    return out.where("n > 0")

@@ -32,69 +32,258 @@ ROAD_TAGS = [
 ]
 POI_TAGS = ["brand", "cuisine", "opening_hours", "wheelchair", "stars", "rooms"]
 
-# Category of a tag's values, the category of its other values, and the
-# values that are no place of business. Keys are looked at in this order.
-POI_RULES = {
-    "amenity": ({
-        "alimentacion": "restaurant fast_food cafe bar ice_cream pub food_court juice_bar biergarten",
-        "financiero": "bank atm money_transfer bureau_de_change payment_centre payment_terminal",
-        "comercio": "marketplace",
-        "servicios": (
-            "pharmacy fuel place_of_worship police community_centre townhall bus_station veterinary post_office"
-            " library car_wash social_facility childcare fire_station internet_cafe ferry_terminal taxi courthouse"
-            " social_centre charging_station driving_school language_school music_school car_rental"
-            " vehicle_inspection animal_boarding animal_shelter nursing_home public_bath studio"
-            " conference_centre post_depot"
-        ),
-        "ocio": "nightclub theatre casino events_venue arts_centre cinema gambling dojo",
-    }, None, (
-        "school college university kindergarten hospital clinic doctors dentist parking parking_space"
-        " parking_entrance bicycle_parking motorcycle_parking bench waste_basket toilets drinking_water fountain"
-        " shelter telephone post_box public_bookcase bicycle_repair_station vending_machine clock bbq shower"
-        " table waste_transfer_station waste_disposal recycling sanitary_dump_station loading_dock water_point"
-        " watering_place grave_yard crematorium prison public_building animal_breeding hunting_stand monastery"
-        " research_institute brothel stripclub love_hotel bicycle_rental car_pooling reception_desk office"
-        " ranger_station"
-    )),
-    "shop": ({
-        "alimentacion": (
-            "supermarket convenience bakery butcher greengrocer alcohol beverages confectionery pastry coffee"
-            " seafood farm dairy deli cheese health_food grocery wine tea chocolate"
-        ),
-        "servicios": (
-            "car_repair hairdresser beauty travel_agency laundry copyshop motorcycle_repair tyres"
-            " funeral_directors tailor dry_cleaning massage locksmith repair printing sewing shoe_repair"
-            " pet_grooming storage_rental photo"
-        ),
-        "financiero": "pawnbroker money_lender",
-    }, "comercio", "vacant no"),
-    "tourism": ({
-        "alojamiento": (
-            "hotel hostel guest_house camp_site alpine_hut apartment chalet motel wilderness_hut camp_pitch"
-            " caravan_site"
-        ),
-        "turismo": (
-            "attraction viewpoint artwork information museum picnic_site zoo theme_park gallery aquarium"
-            " trail_riding_station"
-        ),
-    }, None, ""),
-    "leisure": ({
-        "ocio": (
-            "pitch park swimming_pool garden playground sports_centre fitness_centre fitness_station track"
-            " stadium common resort water_park dog_park sports_hall recreation_ground dance adult_gaming_centre"
-            " marina golf_course beach_resort amusement_arcade horse_riding sauna trampoline_park"
-        ),
-    }, None, (
-        "nature_reserve nature_wood bleachers outdoor_seating picnic_table slipway bird_hide hot_tub fishing proposed"
-    )),
-    "office": ({"financiero": "financial insurance"}, "servicios", ""),
-    "craft": ({}, "servicios", ""),
-    "historic": ({
-        "turismo": (
-            "memorial monument building archaeological_site wayside_shrine ruins tomb wayside_cross manor"
-            " camino_real castle"
-        ),
-    }, None, ""),
+# The category of each tag value, by tag key. Keys are looked at in this order.
+POI_CATEGORIES = {
+    "amenity": {
+        "restaurant": "alimentacion",
+        "fast_food": "alimentacion",
+        "cafe": "alimentacion",
+        "bar": "alimentacion",
+        "ice_cream": "alimentacion",
+        "pub": "alimentacion",
+        "food_court": "alimentacion",
+        "juice_bar": "alimentacion",
+        "biergarten": "alimentacion",
+        "bank": "financiero",
+        "atm": "financiero",
+        "money_transfer": "financiero",
+        "bureau_de_change": "financiero",
+        "payment_centre": "financiero",
+        "payment_terminal": "financiero",
+        "marketplace": "comercio",
+        "pharmacy": "servicios",
+        "fuel": "servicios",
+        "place_of_worship": "servicios",
+        "police": "servicios",
+        "community_centre": "servicios",
+        "townhall": "servicios",
+        "bus_station": "servicios",
+        "veterinary": "servicios",
+        "post_office": "servicios",
+        "library": "servicios",
+        "car_wash": "servicios",
+        "social_facility": "servicios",
+        "childcare": "servicios",
+        "fire_station": "servicios",
+        "internet_cafe": "servicios",
+        "ferry_terminal": "servicios",
+        "taxi": "servicios",
+        "courthouse": "servicios",
+        "social_centre": "servicios",
+        "charging_station": "servicios",
+        "driving_school": "servicios",
+        "language_school": "servicios",
+        "music_school": "servicios",
+        "car_rental": "servicios",
+        "vehicle_inspection": "servicios",
+        "animal_boarding": "servicios",
+        "animal_shelter": "servicios",
+        "nursing_home": "servicios",
+        "public_bath": "servicios",
+        "studio": "servicios",
+        "conference_centre": "servicios",
+        "post_depot": "servicios",
+        "nightclub": "ocio",
+        "theatre": "ocio",
+        "casino": "ocio",
+        "events_venue": "ocio",
+        "arts_centre": "ocio",
+        "cinema": "ocio",
+        "gambling": "ocio",
+        "dojo": "ocio",
+    },
+    "shop": {
+        "supermarket": "alimentacion",
+        "convenience": "alimentacion",
+        "bakery": "alimentacion",
+        "butcher": "alimentacion",
+        "greengrocer": "alimentacion",
+        "alcohol": "alimentacion",
+        "beverages": "alimentacion",
+        "confectionery": "alimentacion",
+        "pastry": "alimentacion",
+        "coffee": "alimentacion",
+        "seafood": "alimentacion",
+        "farm": "alimentacion",
+        "dairy": "alimentacion",
+        "deli": "alimentacion",
+        "cheese": "alimentacion",
+        "health_food": "alimentacion",
+        "grocery": "alimentacion",
+        "wine": "alimentacion",
+        "tea": "alimentacion",
+        "chocolate": "alimentacion",
+        "car_repair": "servicios",
+        "hairdresser": "servicios",
+        "beauty": "servicios",
+        "travel_agency": "servicios",
+        "laundry": "servicios",
+        "copyshop": "servicios",
+        "motorcycle_repair": "servicios",
+        "tyres": "servicios",
+        "funeral_directors": "servicios",
+        "tailor": "servicios",
+        "dry_cleaning": "servicios",
+        "massage": "servicios",
+        "locksmith": "servicios",
+        "repair": "servicios",
+        "printing": "servicios",
+        "sewing": "servicios",
+        "shoe_repair": "servicios",
+        "pet_grooming": "servicios",
+        "storage_rental": "servicios",
+        "photo": "servicios",
+        "pawnbroker": "financiero",
+        "money_lender": "financiero",
+    },
+    "tourism": {
+        "hotel": "alojamiento",
+        "hostel": "alojamiento",
+        "guest_house": "alojamiento",
+        "camp_site": "alojamiento",
+        "alpine_hut": "alojamiento",
+        "apartment": "alojamiento",
+        "chalet": "alojamiento",
+        "motel": "alojamiento",
+        "wilderness_hut": "alojamiento",
+        "camp_pitch": "alojamiento",
+        "caravan_site": "alojamiento",
+        "attraction": "turismo",
+        "viewpoint": "turismo",
+        "artwork": "turismo",
+        "information": "turismo",
+        "museum": "turismo",
+        "picnic_site": "turismo",
+        "zoo": "turismo",
+        "theme_park": "turismo",
+        "gallery": "turismo",
+        "aquarium": "turismo",
+        "trail_riding_station": "turismo",
+    },
+    "leisure": {
+        "pitch": "ocio",
+        "park": "ocio",
+        "swimming_pool": "ocio",
+        "garden": "ocio",
+        "playground": "ocio",
+        "sports_centre": "ocio",
+        "fitness_centre": "ocio",
+        "fitness_station": "ocio",
+        "track": "ocio",
+        "stadium": "ocio",
+        "common": "ocio",
+        "resort": "ocio",
+        "water_park": "ocio",
+        "dog_park": "ocio",
+        "sports_hall": "ocio",
+        "recreation_ground": "ocio",
+        "dance": "ocio",
+        "adult_gaming_centre": "ocio",
+        "marina": "ocio",
+        "golf_course": "ocio",
+        "beach_resort": "ocio",
+        "amusement_arcade": "ocio",
+        "horse_riding": "ocio",
+        "sauna": "ocio",
+        "trampoline_park": "ocio",
+    },
+    "office": {
+        "financial": "financiero",
+        "insurance": "financiero",
+    },
+    "craft": {
+    },
+    "historic": {
+        "memorial": "turismo",
+        "monument": "turismo",
+        "building": "turismo",
+        "archaeological_site": "turismo",
+        "wayside_shrine": "turismo",
+        "ruins": "turismo",
+        "tomb": "turismo",
+        "wayside_cross": "turismo",
+        "manor": "turismo",
+        "camino_real": "turismo",
+        "castle": "turismo",
+    },
+}
+# The category of all other values of a key.
+POI_OTHERS = {
+    "shop": "comercio",
+    "office": "servicios",
+    "craft": "servicios",
+}
+# Values that are no place of business.
+POI_EXCLUDED = {
+    "amenity": [
+        "school",
+        "college",
+        "university",
+        "kindergarten",
+        "hospital",
+        "clinic",
+        "doctors",
+        "dentist",
+        "parking",
+        "parking_space",
+        "parking_entrance",
+        "bicycle_parking",
+        "motorcycle_parking",
+        "bench",
+        "waste_basket",
+        "toilets",
+        "drinking_water",
+        "fountain",
+        "shelter",
+        "telephone",
+        "post_box",
+        "public_bookcase",
+        "bicycle_repair_station",
+        "vending_machine",
+        "clock",
+        "bbq",
+        "shower",
+        "table",
+        "waste_transfer_station",
+        "waste_disposal",
+        "recycling",
+        "sanitary_dump_station",
+        "loading_dock",
+        "water_point",
+        "watering_place",
+        "grave_yard",
+        "crematorium",
+        "prison",
+        "public_building",
+        "animal_breeding",
+        "hunting_stand",
+        "monastery",
+        "research_institute",
+        "brothel",
+        "stripclub",
+        "love_hotel",
+        "bicycle_rental",
+        "car_pooling",
+        "reception_desk",
+        "office",
+        "ranger_station",
+    ],
+    "shop": [
+        "vacant",
+        "no",
+    ],
+    "leisure": [
+        "nature_reserve",
+        "nature_wood",
+        "bleachers",
+        "outdoor_seating",
+        "picnic_table",
+        "slipway",
+        "bird_hide",
+        "hot_tub",
+        "fishing",
+        "proposed",
+    ],
 }
 
 # Tag keys that carry personal data.
@@ -155,12 +344,11 @@ def classify_pois(places: DataFrame, tags: str = "tags") -> DataFrame:
     that was excluded or unknown is reported.
     """
     found, problem = [], []
-    for key, (categories, other, excluded) in POI_RULES.items():
+    for key, known in POI_CATEGORIES.items():
         value = F.trim(tag(key, tags))
-        known = {v: category for category, values in categories.items() for v in values.split()}
         hit = lookup(value, known) if known else F.lit(None).cast("string")
-        dropped = value.isin(excluded.split()) if excluded else F.lit(False)
-        category = F.coalesce(hit, F.lit(other)) if other else hit
+        dropped = value.isin(POI_EXCLUDED[key]) if key in POI_EXCLUDED else F.lit(False)
+        category = F.coalesce(hit, F.lit(POI_OTHERS[key])) if key in POI_OTHERS else hit
         usable = (value != "") & category.isNotNull() & ~dropped
         found.append(F.when(usable, F.struct(category.alias("category"), value.alias("sub"))))
         kind = F.when(dropped, "excluded").otherwise("unmapped")

@@ -213,15 +213,27 @@ def _(t):
     select c_custkey as alert_id, 'parcel_change' as kind, count(*) as n from customer join ch on npn = c_custkey group by 1""")
 def _(t):
     from landgrid.operators.changes import parcel_changes
-    from landgrid.operators.snapshots import last_two_cuts
     rows = parcel_changes(t.cut_a, t.cut_b).select("npn", F.expr(pad("npn % 25 + 1", 5)).alias("muni_code"), "change_type")
     stream, root = stream_of(t, rows)
     alerts = t.customer.select(F.col("c_custkey").alias("alert_id"), F.lit("parcel_change").alias("kind"), F.lit("").alias("muni_code"), F.col("c_custkey").alias("npn"), F.lit("").alias("dataset_id"))
     keep = lambda df, n: df.write.mode("overwrite").parquet(f"{root}/out/batch={n}")
-    streams.watch_changes(stream, alerts, last_two_cuts(t.snapshot), keep, f"{root}/log").awaitTermination()
+    streams.watch_changes(stream, alerts, keep, f"{root}/log").awaitTermination()
     return t.spark.read.parquet(f"{root}/out").drop("batch").groupBy("alert_id", "kind").agg(F.sum("n").alias("n"))
 
 
+@query("streamed_cut_alerts", "T3 C6", "snapshot", """
+    select c_custkey as alert_id, dataset_id, cast(cut_date as varchar) as cut_date from customer join snapshot on dataset_id = case c_custkey % 3 when 0 then 'cadastre_a' when 1 then 'cadastre_b' else 'none' end""")
+def _(t):
+    cuts = t.snapshot.select("dataset_id", "cut_date")
+    _, root = stream_of(t, cuts.unionByName(cuts).repartition(3))
+    k = F.col("c_custkey")
+    alerts = t.customer.select(k.alias("alert_id"), F.lit("new_cut").alias("kind"), F.when(k % 3 == 0, "cadastre_a").when(k % 3 == 1, "cadastre_b").otherwise("none").alias("dataset_id"))
+    once = t.spark.readStream.schema(cuts.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    streams.watch_cuts(once, alerts, f"{root}/sent", f"{root}/log").awaitTermination()
+    sent = t.spark.read.parquet(f"{root}/sent")
+    return sent.select("alert_id", "dataset_id", F.col("cut_date").cast("string").alias("cut_date"))
+
+
 @query("streamed_actives", "T4", "usage")
 def _(t):
     stream, root = stream_of(t, t.usage)

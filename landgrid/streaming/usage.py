@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from landgrid.operators.changes import evaluate_alerts
@@ -68,10 +69,14 @@ def read_monthly_usage(stored: DataFrame) -> DataFrame:
     return stored.groupBy("org_id", "metric", "period").agg(F.sum("used").alias("used"))
 
 
-def watch_changes(changes: DataFrame, alerts: DataFrame, cuts: DataFrame, deliver: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Evaluates alerts on every batch of new change rows and hands over what fired."""
+def watch_changes(changes: DataFrame, alerts: DataFrame, deliver: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Evaluates the alerts on changes on every batch of new change rows and hands over what fired.
+
+    A batch counts its own rows, so an alert whose changes come in several batches fires in
+    each with that batch's number; the sum over batches is the count.
+    """
     def evaluate(batch: DataFrame, number: int) -> None:
-        deliver(evaluate_alerts(alerts, batch, cuts), number)
+        deliver(evaluate_alerts(alerts, batch), number)
 
     return (
         changes.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint)
@@ -79,6 +84,35 @@ def watch_changes(changes: DataFrame, alerts: DataFrame, cuts: DataFrame, delive
     )
 
 
+def watch_cuts(cuts: DataFrame, alerts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Adds the new_cut alerts of every new cut to a table, each alert and cut once.
+
+    ``cuts`` streams ``dataset_id, cut_date``. A cut that comes again, in the same or a later
+    batch, fires nothing; a replayed batch overwrites its own partition. ``read_sent_cuts``
+    reads the table.
+    """
+    wanted = alerts.where("kind = 'new_cut'").select("alert_id", "dataset_id")
+
+    def send(batch: DataFrame, number: int) -> None:
+        fired = batch.select("dataset_id", "cut_date").distinct().join(wanted, "dataset_id").select("alert_id", "dataset_id", "cut_date")
+        before = read_sent_cuts(batch.sparkSession, path, fired.schema).where(F.col("batch") < number)
+        fired.join(before, ["alert_id", "dataset_id", "cut_date"], "left_anti").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        cuts.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def read_sent_cuts(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The alerts sent so far with their batch; none while the table does not exist."""
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(path)
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything available and write it as files."""
     query = (
