@@ -1,9 +1,10 @@
 """Exact ranks, percentiles and row numbers that never sort one big group in one task.
 
-Ranks and percentiles only need counts per distinct value. The values of a
-group are cut into ordered bands by a fixed function of the value; a band is
-sorted on its own, and a group of any size only contributes one small row per
-band to the step that adds the bands up.
+Ranks and percentiles only need counts per distinct value. The distinct values
+of a group are cut into ordered bands of about equal size, at approximate
+quantiles of the group itself, so values that lie close together spread as well
+as others do. A band is sorted on its own, and a group of any size only
+contributes one small row per band to the step that adds the bands up.
 """
 
 from __future__ import annotations
@@ -13,13 +14,28 @@ from pyspark.sql import functions as F
 
 from landgrid.session import cut_lineage
 
-BANDS_PER_DOUBLING = 16
+#: Bands of a group, and how exactly their borders are placed; neither changes a result.
+BANDS, ACCURACY = 256, 2_000
 
 
-def value_band(value: Column) -> Column:
-    """Band number that never falls when the value rises; bands narrow towards zero."""
-    size = F.floor(F.log2(1 + F.abs(value) * 1000) * BANDS_PER_DOUBLING)
-    return F.when(value < 0, -size - 1).otherwise(size).cast("int")
+def with_bands(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds ``_band``, which never falls when the value rises, to the distinct values of each group.
+
+    A group's borders are one row. Without keys they are a literal; with keys they
+    are joined, by a broadcast only when the written table is small.
+    """
+    shares = [k / BANDS for k in range(1, BANDS)]
+    edges = counts.groupBy(*keys).agg(F.percentile_approx(value, shares, ACCURACY).alias("_edges"))
+    if keys:
+        # A missing key is a group of its own.
+        edges = cut_lineage(edges.select(*[F.col(k).alias(f"_e_{k}") for k in keys], F.array_distinct("_edges").alias("_edges")))
+        same = [F.col(k).eqNullSafe(F.col(f"_e_{k}")) for k in keys]
+        joined = counts.join(edges, same, "left").drop(*[f"_e_{k}" for k in keys])
+    else:
+        row = edges.first()["_edges"] or []
+        known = F.array(*[F.lit(float(e)) for e in sorted(set(row))]) if row else F.expr("cast(array() as array<double>)")
+        joined = counts.withColumn("_edges", known)
+    return joined.withColumn("_band", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
 
 
 def _banded(df: DataFrame, keys: list[str], value: str):
@@ -27,9 +43,11 @@ def _banded(df: DataFrame, keys: list[str], value: str):
     number = F.col(value).cast("double")
     counts = (
         df.where(number.isNotNull() & ~F.isnan(number))
-        .groupBy(*keys, number.alias(value), value_band(number).alias("_band"))
+        .groupBy(*keys, number.alias(value))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    # The borders, the bands and the values in them all start from the counts.
+    counts = cut_lineage(with_bands(cut_lineage(counts), keys, value))
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = group.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     bands = (
@@ -145,7 +163,8 @@ def midrank_percentile(
     asked = df.select(F.col(value).cast("double").alias("_v")).distinct().withColumn("_ref", F.lit(0))
     both = ref.unionByName(asked).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     # Reference rows count one, asked values count nothing.
-    counts = both.groupBy("_v", value_band(F.col("_v")).alias("_band")).agg(F.sum("_ref").alias("_n"))
+    counts = cut_lineage(both.groupBy("_v").agg(F.sum("_ref").alias("_n")))
+    counts = with_bands(counts, [], "_v")
     everything = Window.partitionBy(F.lit(0))
     before = everything.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
     bands = (

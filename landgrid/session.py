@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,10 +59,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table under the shared checkpoint folder and read it back.
 
     The rows are computed once, survive lost executors, and later joins know
-    their real size. The folder is emptied like any checkpoint folder, by its
-    owner.
+    their real size. Within ``scratch`` the table goes when the scope ends;
+    otherwise the folder is emptied like any checkpoint folder, by its owner.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/landgrid-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Drops the intermediate tables of everything planned inside, once the result has been written inside.
+
+    ``with scratch(spark): operator(df).write.parquet(path)``
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
