@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from landgrid.llm.decontaminate import marked
 from landgrid.llm.disclosure import KINDS, found as personal_data
 from landgrid.llm.jaccard_join import jaccard_components
+from landgrid.llm.licences import LEAST, TEMPLATES, licence_units, size_bounds, template_words
 from landgrid.llm.packing import packed
 from landgrid.llm.quality import judged
 from landgrid.llm.secret_ledger import scan_versions
 from landgrid.llm.shared import read_documents
 from landgrid.llm.spans import digest_columns
 from landgrid.llm.toxicity import fit, scored
+from landgrid.llm.url_lists import host_of, listed
 from landgrid.llm.warc import archived
 
 
@@ -38,6 +40,13 @@ def op3_disclosure(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", *digest_columns(F.col("_spans"), KINDS))
 
 
+def op4_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    rows = licence_units(read_documents(spark, folder), ["doc_id"])
+    names = F.array_sort(F.array_distinct(F.transform("_licences", lambda e: e["licence"])))
+    best = F.array_max(F.transform("_licences", lambda e: e["dice"]))
+    return rows.select("doc_id", F.size("_licences").cast("bigint").alias("n_matches"), F.array_join(names, ",").alias("licences"), F.round(best, 6).alias("best_dice"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_components(read_documents(spark, folder), size=3, share=(90, 100))
 
@@ -46,6 +55,34 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archived(spark.read.parquet(f"{folder}/pages.parquet"))
 
 
+DAY = 86_400
+#: Captures have no time of their own: one follows from the page's id, within the year 2024.
+FIRST_DAY = 1_704_067_200
+
+
+def capture_times(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
+    return pages.withColumn("fetched_at", FIRST_DAY + F.col("page_id") * 37 % 366 * DAY + F.col("page_id") * 53 % 1440 * 60)
+
+
+def list_entries(captures: DataFrame) -> DataFrame:
+    """Every host, and every domain of two labels, is listed, taken off and listed again on days that follow from its name."""
+    host = host_of(F.col("url"))
+    domain = F.substring_index(host, ".", -2)
+    names = captures.select(F.explode(F.array(host, domain)).alias("pattern")).where("pattern is not null").distinct()
+    seed = F.conv(F.substring(F.md5("pattern"), 1, 6), 16, 10).cast("bigint")
+    category = F.element_at(F.array(F.lit("adult"), F.lit("malware"), F.lit("spam")), (seed % 3 + 1).cast("int"))
+    day, held = seed % 200, 20 + F.floor(seed / 200) % 60
+    events = F.array(*[F.struct(F.lit(a).alias("action"), (FIRST_DAY + d * DAY).alias("at")) for a, d in (("add", day), ("remove", day + held), ("add", day + held + 40))])
+    return names.select("pattern", category.alias("category"), F.explode(events).alias("e")).select("pattern", "category", "e.action", "e.at")
+
+
+def op7_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    captures = capture_times(spark, folder)
+    rows = listed(captures, list_entries(captures), keep=["page_id"])
+    return rows.select("page_id", "_listed.*")
+
+
 def op8_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     rows = scan_versions(read_documents(spark, folder))
     return rows.select("doc_id", *digest_columns(F.col("spans"), ["assign", "access", "hex"]))
@@ -74,11 +111,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
     "op2_toxicity": op2_toxicity,
     "op3_disclosure": op3_disclosure,
+    "op4_licence_scan": op4_licence_scan,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_warc": op6_warc,
+    "op7_url_lists": op7_url_lists,
     "op8_secret_ledger": op8_secret_ledger,
     "op9_decontamination": op9_decontamination,
     "op10_hilbert_packing": op10_hilbert_packing,
 }
 
-ORACLES: dict[str, str] = {}
+def _licence_oracle() -> str:
+    rows = []
+    for number, (name, text) in enumerate(TEMPLATES):
+        words = template_words(text)
+        pairs = list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
+        low, high = size_bounds(len(pairs), LEAST)
+        listed_pairs = ", ".join(f"'{p}'" for p in pairs)
+        rows.append(f"select {number} as template, '{name}' as licence, [{listed_pairs}] as grams, {low} as low, {high} as high")
+    return f"""
+    with t as ({' union all '.join(rows)}),
+    l as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines, list_filter(regexp_split_to_array(coalesce(text, ''), '\\n[ \\t]*\\n'), lambda p: contains(p, chr(10))) as blocks from documents),
+    u as (select doc_id, unnest(lines || blocks) as unit, generate_subscripts(lines || blocks, 1) as k from l),
+    w as (select doc_id, k, list_filter(string_split(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') as ws from u),
+    g as (select doc_id, k, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as own from w where len(ws) > 1),
+    m as (select doc_id, k, licence, max(2.0 * len(list_intersect(own, grams)) / (len(own) + len(grams))) as dice from g join t on len(own) between low and high group by 1, 2, 3),
+    h as (select doc_id, count(*) as n, string_agg(distinct licence, ',' order by licence) as licences, max(dice) as dice from m where dice * 100 >= {LEAST} group by 1)
+    select d.doc_id, coalesce(n, 0) as n_matches, coalesce(licences, '') as licences, round(dice, 6) as best_dice from documents d left join h using (doc_id)"""
+
+
+HOST_SQL = "nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '[.]+$', ''), '')"
+
+ORACLES: dict[str, str] = {
+    "op4_licence_scan": _licence_oracle(),
+    "op7_url_lists": f"""
+    with c as (select page_id, {HOST_SQL} as host, {FIRST_DAY} + page_id * 37 % 366 * {DAY} + page_id * 53 % 1440 * 60 as fetched from pages),
+    p as (select distinct unnest([host, array_to_string(string_split(host, '.')[-2:], '.')]) as pattern from c where host is not null),
+    s as (select pattern, ('0x' || substr(md5(pattern), 1, 6))::bigint as seed from p),
+    d as (select pattern, ['adult', 'malware', 'spam'][seed % 3 + 1] as category, seed % 200 as day, 20 + (seed // 200) % 60 as held from s),
+    v as (select pattern, category, {FIRST_DAY} + day * {DAY} as valid_from, {FIRST_DAY} + (day + held) * {DAY} as valid_to from d
+      union all select pattern, category, {FIRST_DAY} + (day + held + 40) * {DAY}, null from d),
+    m as (select page_id, pattern, category, valid_from, count(*) over (partition by page_id) as n, row_number() over (partition by page_id order by length(pattern) desc, valid_from desc, category) as k
+      from c join v on (host = pattern or ends_with(host, '.' || pattern)) and valid_from <= fetched and (valid_to is null or fetched < valid_to))
+    select c.page_id, host, coalesce(n, 0) as n_active, pattern, category, valid_from from c left join m on m.page_id = c.page_id and k = 1""",
+}
