@@ -12,7 +12,7 @@ from landgrid.llm.disclosure import KINDS, found as personal_data
 from landgrid.llm.jaccard_join import jaccard_components
 from landgrid.llm.licences import LEAST, TEMPLATES, licence_units, size_bounds, template_words
 from landgrid.llm.packing import packed
-from landgrid.llm.quality import judged
+from landgrid.llm import quality
 from landgrid.llm.secret_ledger import scan_versions
 from landgrid.llm.shared import read_documents
 from landgrid.llm.spans import digest_columns
@@ -22,7 +22,7 @@ from landgrid.llm.warc import archived
 
 
 def op1_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
-    rows = judged(read_documents(spark, folder), ["doc_id"])
+    rows = quality.judged(read_documents(spark, folder), ["doc_id"])
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return rows.select("doc_id", *[f"_q.{n}" for n in names])
 
@@ -139,10 +139,69 @@ def _licence_oracle() -> str:
     select d.doc_id, coalesce(n, 0) as n_matches, coalesce(licences, '') as licences, round(dice, 6) as best_dice from documents d left join h using (doc_id)"""
 
 
+def _matches_sql(source: str, kind: str, place: int, pattern: str, test: str, group: int = 0) -> str:
+    """SQL: start and end of a pattern's matches that pass a test of ``m``, or of ``m`` 's group."""
+    return f"""
+    select doc_id, {place} as place, '{kind}' as kind, start, start + length(whole) as stop from (
+      select doc_id, whole, m, gap_sum + own_sum - length(whole) as start from (
+        select doc_id, whole, m, sum(length(gap)) over w as gap_sum, sum(length(whole)) over w as own_sum from (
+          select doc_id, unnest(regexp_extract_all(text, '{pattern}')) as whole, unnest(regexp_extract_all(text, '{pattern}', {group})) as m,
+            unnest(string_split_regex(text, '{pattern}')[:len(regexp_extract_all(text, '{pattern}'))]) as gap, generate_subscripts(regexp_extract_all(text, '{pattern}'), 1) as k from {source})
+        window w as (partition by doc_id order by k))) where {test}"""
+
+
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+def _quality_oracle() -> str:
+    langs = ", ".join(f"'{x}'" for x in quality.COMMON_WORDS)
+    common = ", ".join(f"'{x}'" for x in sorted({w for own in quality.COMMON_WORDS.values() for w in own}))
+    classes = {"lower": "[^a-z]+", "upper": "[^A-Z]+", "digits": "[^0-9]+", "spaces": "[^\\x20\\x09-\\x0D]+", "symbols": "[^#*$%&|<>]+", "beyond": "[\\x00-\\x7F]+"}
+    counts = ", ".join(f"length(regexp_replace(t, '{pattern}', '', 'g')) as {name}" for name, pattern in classes.items())
+    bins = " union all ".join(f"select doc_id, 'c' as kind, '{name}' as bin, {name} / size as own from c where size > 0" for name in classes)
+    rest = "size - " + " - ".join(classes)
+    return f"""
+    with d as (select doc_id, case when lang in ({langs}) then lang else '*' end as key, coalesce(text, '') as t from documents),
+    c as (select doc_id, length(t) as size, {counts} from d),
+    w as (select doc_id, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from d),
+    v as (select doc_id, i, count(*) over (partition by doc_id, win) as n from (select doc_id, unnest(range(1, len(ws) - 6)) as i, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) as win from w)),
+    r as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 8)) as p from v where n > 1) group by 1),
+    l as (select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by 1),
+    b as (select d.doc_id, key, len(ws) as n_words, size - spaces as word_chars, symbols as n_symbols, coalesce(l.n, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words,
+      len(ws) < 20 or 100 * coalesce(r.n, 0) > 30 * len(ws) as base_failed from d join c using (doc_id) join w using (doc_id) left join r using (doc_id) left join l using (doc_id)),
+    k as (select doc_id, word, count(*) as n from (select doc_id, lower(unnest(ws)) as word, length(unnest(ws)) as size from w) where size <= 5 and word in ({common}) group by 1, 2),
+    a as (select doc_id, word, n from k union all select b.doc_id, '', n_words - coalesce((select sum(n) from k where k.doc_id = b.doc_id), 0) from b),
+    o as ({bins} union all select doc_id, 'c', 'other', ({rest}) / size from c where size > 0
+      union all select a.doc_id, 'w', word, a.n / n_words from a join b using (doc_id) where n_words > 0),
+    g as (select doc_id, key from b where not base_failed and n_words >= {quality.LEAST_WORDS}),
+    f as (select '*' as key, count(*) as n from g union all select key, count(*) from g where key <> '*' group by 1 having count(*) >= {quality.LEAST_TEXTS}),
+    q as (select f.key, kind, bin, sum(own) / any_value(f.n) as ref from f join g on f.key = '*' or f.key = g.key join o using (doc_id) group by 1, 2, 3),
+    u as (select g.doc_id, coalesce(f.key, '*') as key from g left join f on f.key = g.key),
+    m as (select u.doc_id, q.kind, ref, coalesce(own, 0) as own from u join q using (key) left join o on o.doc_id = u.doc_id and o.kind = q.kind and o.bin = q.bin
+      union all select u.doc_id, o.kind, 0, own from u join o using (doc_id) where not exists (select 1 from q where q.key = u.key and q.kind = o.kind and q.bin = o.bin)),
+    j as (select doc_id, kind, sqrt(greatest(sum(case when own > 0 then own * log2(2 * own / (own + ref)) else 0 end + case when ref > 0 then ref * log2(2 * ref / (own + ref)) else 0 end) / 2, 0)) as far from m group by 1, 2),
+    x as (select doc_id, bool_or(kind = 'c' and far > {quality.MOST_CLASSES}) as c, bool_or(kind = 'w' and far > {quality.MOST_WORDS}) as w from j group by 1)
+    select b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not (base_failed or coalesce(x.c, false) or (coalesce(x.w, false) and n_words >= {quality.LEAST_COMMON})) as kept
+    from b left join x using (doc_id)"""
+
+
 HOST_SQL = "nullif(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)), '[.]+$', ''), '')"
 
 ORACLES: dict[str, str] = {
+    "op1_quality_divergence": _quality_oracle(),
     "op4_licence_scan": _licence_oracle(),
+    "op5_ngram_jaccard": r"""
+    with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+    s as (select doc_id, unnest(list_distinct(case when len(ws) = 0 then [] when len(ws) < 3 then [array_to_string(ws, ' ')]
+      else list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) end)) as g from w),
+    n as (select doc_id, count(*) as n from s group by 1),
+    b as (select x.doc_id as a, y.doc_id as b, count(*) as shared from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+    l as (select a, b from b join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 90 * (x.n + y.n - shared)),
+    r as (select doc_id as a, doc_id as b from documents union select r.a, l.b from r join l on l.a = r.b)
+    select r.a as doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.b) as component_id from r left join n on n.doc_id = r.a group by 1""",
+    "op6_warc": """
+    with p as (select page_id, coalesce(html, '') as h from pages), f as (select h, min(page_id) as first from p where strlen(h) >= 100 group by h)
+    select page_id, strlen(p.h) as payload_bytes, sha256(p.h) as payload_digest, case when first <> page_id then 'revisit' else 'response' end as record_type,
+      case when first <> page_id then first end as refers_to from p left join f on f.h = p.h""",
     "op7_url_lists": f"""
     with c as (select page_id, {HOST_SQL} as host, {FIRST_DAY} + page_id * 37 % 366 * {DAY} + page_id * 53 % 1440 * 60 as fetched from pages),
     p as (select distinct unnest([host, array_to_string(string_split(host, '.')[-2:], '.')]) as pattern from c where host is not null),
@@ -153,4 +212,22 @@ ORACLES: dict[str, str] = {
     m as (select page_id, pattern, category, valid_from, count(*) over (partition by page_id) as n, row_number() over (partition by page_id order by length(pattern) desc, valid_from desc, category) as k
       from c join v on (host = pattern or ends_with(host, '.' || pattern)) and valid_from <= fetched and (valid_to is null or fetched < valid_to))
     select c.page_id, host, coalesce(n, 0) as n_active, pattern, category, valid_from from c left join m on m.page_id = c.page_id and k = 1""",
+    "op8_secret_ledger": f"""
+    with d as (select doc_id, coalesce(text, '') as text from documents),
+    m as ({_matches_sql("d", "assign", 0, _ASSIGN, "length(m) >= 12", 1)} union all {_matches_sql("d", "access", 1, "AKIA[A-Z0-9]+", "length(m) >= 18")}
+      union all {_matches_sql("d", "hex", 2, "[0-9a-f]+", "length(m) >= 16")} union all {_matches_sql("d", "pem", 3, "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", "true")}),
+    j as (select doc_id, count(*) filter (where place = 0) as a, count(*) filter (where place = 1) as k, count(*) filter (where place = 2) as h,
+      string_agg(kind || ':' || start || ':' || stop, ',' order by start, place) as spans, string_agg(kind || ':' || start || ':' || stop, ',' order by start, place) filter (where place < 3) as base from m group by 1)
+    select d.doc_id, coalesce(a, 0) as n_assign, coalesce(k, 0) as n_access, coalesce(h, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join j using (doc_id)""",
+    "op9_decontamination": r"""
+    with dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+    iw as (select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+    v as (select item, least(len(ws), 10) as size, unnest(list_transform(range(1, len(ws) - least(len(ws), 10) + 2), lambda i: array_to_string(ws[i:i + least(len(ws), 10) - 1], ' '))) as win from iw where len(ws) > 0),
+    z as (select distinct size from v),
+    x as (select doc_id, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) as win, unnest(range(1, len(ws) - size + 2)) as i from dw join z on len(ws) >= size),
+    h as (select distinct doc_id, i, size, item from x join v using (size, win)),
+    c as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + size)) as p from h) group by 1),
+    q as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from h group by 1)
+    select dw.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+    from dw left join c using (doc_id) left join q using (doc_id)""",
 }
