@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from landgrid.llm import words
 from landgrid.llm.components import components
-from landgrid.llm.shared import text_key, written
+from landgrid.llm.shared import written
 
 #: Entries of the table that ranks shingles by rarity: 2 to this power, four bytes each.
 RANK_BITS = 21
 #: Rare shingles that two sets must share to be compared; each costs every set one more entry.
 SHARED = 3
 _BLOCK = 1 << 12
+#: Bits of the filter that picks out the documents to compare: 2 to this power.
+FILTER_BITS = 26
 #: Most sets and shingles of one trie.
 TRIE_SETS, TRIE_SHINGLES = 256, 1_000_000
 _RUN = 64
@@ -29,43 +31,75 @@ def _texts(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def rank_table(docs: DataFrame, size: int, bits: int = RANK_BITS) -> np.ndarray:
-    """How many shingles of all documents fall into each of 2**bits cells.
+def _gathered(rows: DataFrame, size: int, kind: type, fill, combine) -> np.ndarray:
+    """An array of fixed ``size`` that every task fills for its rows, put together by ``combine``.
 
-    The order (cell count, hash) is one and the same for all sets whatever the counts are,
-    which is all that the join needs to be exact; good counts only make it faster. The table
-    has a fixed size. Tasks send it in packed blocks and the blocks are added up in a stream.
+    Tasks send packed blocks of what they touched; blocks are put together in a stream, so
+    neither a task nor the driver ever holds more than one such array.
     """
-    cells = 1 << bits
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(cells, np.uint32)
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size, kind)
         for batch in batches:
-            for _, _, data, offsets in words.chunks(_texts(batch)):
-                hashes, _, _, _ = words.word_hashes(data, offsets)
-                np.add.at(table, (words.windows(hashes, size) >> np.uint64(64 - bits)).astype(np.int64), 1)
-        blocks = [k for k in range(0, cells, _BLOCK) if table[k : k + _BLOCK].any()]
+            fill(table, batch)
+        blocks = [k for k in range(0, size, _BLOCK) if table[k : k + _BLOCK].any()]
         yield pa.RecordBatch.from_pydict(
-            {"block": pa.array([k // _BLOCK for k in blocks], pa.int32()), "counts": pa.array([zlib.compress(table[k : k + _BLOCK].tobytes(), 1) for k in blocks], pa.binary())}
+            {"block": pa.array([k // _BLOCK for k in blocks], pa.int32()), "packed": pa.array([zlib.compress(table[k : k + _BLOCK].tobytes(), 1) for k in blocks], pa.binary())}
         )
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.uint64)
-                sums[block] = sums[block] + part if block in sums else part
-        rows = [(k, np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes()) for k, v in sums.items()]
-        yield pa.RecordBatch.from_pydict({"block": pa.array([r[0] for r in rows], pa.int32()), "counts": pa.array([r[1] for r in rows], pa.binary())})
-
-    schema = "block int, counts binary"
-    parts = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema)
-    table = np.zeros(cells, np.uint32)
-    for row in parts.collect():  # 2**bits numbers, whatever the input
-        table[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(bytes(row["counts"]), np.uint32)
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(zlib.decompress(packed), kind)
+                sums[block] = combine(sums[block], own) if block in sums else own
+        yield pa.RecordBatch.from_pydict(
+            {"block": pa.array(list(sums), pa.int32()), "packed": pa.array([zlib.compress(v.tobytes(), 1) for v in sums.values()], pa.binary())}
+        )
+
+    schema = "block int, packed binary"
+    table = np.zeros(size, kind)
+    for row in rows.mapInArrow(part, schema).repartition("block").mapInArrow(whole, schema).collect():  # ``size`` numbers, whatever the input
+        table[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(zlib.decompress(bytes(row["packed"])), kind)
     return table
 
 
+def _added(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.minimum(x.astype(np.uint64) + y, 0xFFFFFFFF).astype(np.uint32)
+
+
+def rank_table(docs: DataFrame, size: int, bits: int = RANK_BITS) -> np.ndarray:
+    """How many shingles of all documents fall into each of 2**bits cells.
+
+    The order (cell count, hash) is one and the same for all sets whatever the counts are,
+    which is all that the join needs to be exact; good counts only make it faster.
+    """
+    def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
+        for _, _, data, offsets in words.chunks(_texts(batch)):
+            hashes, _, _, _ = words.word_hashes(data, offsets)
+            np.add.at(table, (words.windows(hashes, size) >> np.uint64(64 - bits)).astype(np.int64), 1)
+
+    return _gathered(docs.select("text"), 1 << bits, np.uint32, fill, _added)
+
+
+def _bit_places(keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Byte and bit of each key in the filter, twice."""
+    out = []
+    for shift in (0, 32):
+        place = (keys >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
+        out.append(((place >> np.uint64(3)).astype(np.int64), np.left_shift(1, (place & np.uint64(7)).astype(np.uint8)).astype(np.uint8)))
+    return out
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """Bits that are set for every key (one bigint column); few others pass while the keys are fewer than the bits."""
+
+    def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
+        for byte, bit in _bit_places(batch.column(0).to_numpy().view(np.uint64)):
+            np.bitwise_or.at(table, byte, bit)
+
+    return _gathered(keys, 1 << (FILTER_BITS - 3), np.uint8, fill, np.bitwise_or)
+
+
 def _ordered(found: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     """Distinct shingles, the rarest first."""
     found = np.unique(found)
@@ -215,6 +249,15 @@ def _shared(x: str, y: str, share: tuple[int, int]) -> str:
     return f"least({SHARED}, ceil({top} * ({x} + {y}) / {whole + top}D))"
 
 
+def _fits(x: str, y: str, share: tuple[int, int]) -> str:
+    """SQL: the sizes allow a link, and so do the places of a shingle that is among the first ``SHARED`` common ones."""
+    top, whole = share
+    return (
+        f"{whole} * {x}.n >= {top} * {y}.n and {whole} * {y}.n >= {top} * {x}.n and "
+        f"{SHARED} + least({x}.n - {x}.pos, {y}.n - {y}.pos) - 1 >= ceil({top} * ({x}.n + {y}.n) / {whole + top}D)"
+    )
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
                        share: tuple[int, int] = (90, 100), rank_bits: int = RANK_BITS) -> DataFrame:
     """Components of documents whose shingle sets link: ``share[1]`` * intersection >= ``share[0]`` * union.
@@ -222,10 +265,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Returns ``id_col``, ``n_shingles`` and ``component_id`` for every row, the least id that
     links reach. Documents with equal sets are one class, found by a grouping that is
     pre-aggregated, so copies are never paired. Classes meet by the rarest shingles that a
-    linked pair must share; in each such meeting place all are first compared with one pivot.
-    What that joins needs no further pairs: only classes of different components that still
-    share a rare shingle are compared, those outside a place's largest component with the
-    rest. The result is that of comparing all pairs. Comparisons run in tries of bounded size.
+    linked pair must share; each is first compared with the one pivot of its meeting places
+    that it shares most with. What that joins needs no further pairs: only classes of different
+    components that share enough rare shingles, at places that leave room for a link, are
+    compared, those outside a shingle's largest component with the rest. The result is that of
+    comparing all pairs. Comparisons run in tries of bounded size.
 
     Null or empty texts and texts without words have no shingle and are their own component.
     Repeated rows stay, each with the same answer; rows with a null id take part and get the
@@ -241,8 +285,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         keys.where("n > 0").groupBy("mark").agg(F.min("id").alias("id"), F.max("n").cast("int").alias("n"), F.first("rare").alias("rare"))
         .withColumn("set", F.monotonically_increasing_id())
     )
-    places = classes.select(F.explode("rare").alias("token"), "set", "n")
-    tokens = written(places.groupBy("token").agg(F.count("*").alias("sets"), F.min("set").alias("pivot")).where("sets > 1").select("token", "pivot"))
+    places = classes.select(F.posexplode("rare").alias("pos", "token"), "set", "n")
+    # The pivot of a shingle is a set that has few rarer ones, so the plainest of near copies.
+    tokens = written(places.groupBy("token").agg(F.count("*").alias("sets"), F.min(F.struct("pos", "set")).alias("p")).where("sets > 1").select("token", F.col("p.set").alias("pivot")))
     met = written(places.join(tokens, "token"))
 
     # One pivot a set: that with which it shares most. What this leaves apart is compared below.
@@ -256,16 +301,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _links(first, _own_texts(source, classes, first, size, ranks, rank_bits), size, share, ranks, rank_bits)
     label = components(written(links))
 
-    held = written(met.select("token", "set", "n").join(label, met["set"] == label["node"], "left").select("token", "set", "n", F.coalesce("label", "set").alias("label")))
+    held = written(met.select("token", "set", "n", "pos").join(label, met["set"] == label["node"], "left").select("token", "set", "n", "pos", F.coalesce("label", "set").alias("label")))
     mixed = written(
         held.groupBy("token", "label").agg(F.count("*").alias("sets"))
         .groupBy("token").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("sets", "label")).alias("main")).where("labels > 1").select("token", "main")
     )
     rest = written(held.join(mixed, "token"))
     x, y = rest.where("label <> main").alias("x"), rest.alias("y")
-    lengths = f"{share[1]} * x.n >= {share[0]} * y.n and {share[1]} * y.n >= {share[0]} * x.n"
     second = (
-        x.join(y, F.expr(f"x.token = y.token and x.label <> y.label and (y.label = y.main or x.set < y.set) and {lengths}"))
+        x.join(y, F.expr(f"x.token = y.token and x.label <> y.label and (y.label = y.main or x.set < y.set) and {_fits('x', 'y', share)}"))
         .groupBy(F.greatest("x.set", "y.set").alias("a"), F.least("x.set", "y.set").alias("b"))
         .agg(F.count("*").alias("shared"), F.max(F.when(F.col("x.set") > F.col("y.set"), F.col("x.n")).otherwise(F.col("y.n"))).alias("n_a"),
              F.max(F.when(F.col("x.set") < F.col("y.set"), F.col("x.n")).otherwise(F.col("y.n"))).alias("n_b"))
@@ -273,8 +317,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     tried = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     second = written(second.join(tried, ["a", "b"], "left_anti").select("a", "b", "n_b"))
-    more = written(_links(second, _own_texts(source, classes, second, size, ranks, rank_bits), size, share, ranks, rank_bits))
-    if more.take(1):
+    if second.take(1):
+        more = _links(second, _own_texts(source, classes, second, size, ranks, rank_bits), size, share, ranks, rank_bits)
         label = components(label.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more))
 
     known = classes.select("mark", "id", "set").join(label, classes["set"] == label["node"], "left").select("mark", "id", F.coalesce("label", "set").alias("label"))
@@ -303,19 +347,22 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _own_texts(source: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, ranks, bits: int) -> DataFrame:
     """(set, text) of every set of the pairs, one row each.
 
-    An id may be null or name several texts, so rows are fetched by its hash and kept if their
-    own set has the class's mark.
+    A filter of fixed size over the ids' hashes tells, where documents are read, which ones may
+    be needed, so that only their texts are shuffled. An id may be null or name several texts;
+    what counts is that the text's own set has the class's mark.
     """
     needed = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
     needed = written(classes.select("set", "mark", F.xxhash64("id").alias("key")).join(needed, F.col("set") == F.col("a"), "left_semi"))
-    fetched = source.select(F.xxhash64("id").alias("key"), "text").join(needed, "key")
-    fetched = fetched.withColumn("copy", text_key(F.col("text"))).dropDuplicates(["key", "mark", "copy"])
+    passing = source.sparkSession.sparkContext.broadcast(key_filter(needed.select("key")))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks.value
+        table, known = ranks.value, passing.value
         for batch in batches:
-            marks = batch.column(1).to_pylist()
-            keep = [hashlib.blake2b(_ordered(s, table, bits).tobytes(), digest_size=16).digest() == m for m, s in zip(marks, words.shingles(_texts(batch), size), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["set", "text"])
-
-    return written(fetched.select("set", "mark", "text").mapInArrow(own, "set bigint, text string"))
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            maybe = np.logical_and.reduce([known[byte] & bit != 0 for byte, bit in _bit_places(keys)])
+            texts = batch.column(1).filter(pa.array(maybe))
+            marks = [hashlib.blake2b(_ordered(s, table, bits).tobytes(), digest_size=16).digest() for s in words.shingles(texts, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), texts.cast(pa.string())], names=["mark", "text"])
+
+    found = source.select(F.xxhash64("id").alias("key"), "text").mapInArrow(own, "mark binary, text string")
+    return written(found.join(needed.select("set", "mark"), "mark").select("set", "text").dropDuplicates(["set"]))
