@@ -288,7 +288,7 @@ SCOPE_OVER = "(least(xmax, oxmax) - greatest(xmin, oxmin)) * (least(ymax, oymax)
     l as (select m.muni_code as scope_id, layer, layer_key, least(round(sum(round({SCOPE_OVER}, 3)), 3), 100) as pct from municipality m join overlay
       on oxmin < xmax and oxmax > xmin and oymin < ymax and oymax > ymin group by 1, 2, 3),
     o as (select scope_id, count(*) filter (where layer = 'land_capability') as n_soils, count(*) filter (where layer = 'hazard') as n_hazards,
-      count(*) filter (where layer in ('protected_area', 'ethnic_territory')) as n_protected, round(sum(pct), 2) as pct_sum, max(pct) filter (where layer = 'hazard') as top_hazard from l group by 1)
+      count(*) filter (where layer in ('protected_area', 'ethnic_territory')) as n_protected, round(sum(pct), 1) as pct_sum, max(pct) filter (where layer = 'hazard') as top_hazard from l group by 1)
     select m.muni_code as scope_id, m.population as position, coalesce(n_parcels, 0) as n_parcels, area_sum_m2, pop_total, n_poi,
       coalesce(n_soils, 0) as n_soils, coalesce(n_hazards, 0) as n_hazards, coalesce(n_protected, 0) as n_protected, pct_sum, top_hazard,
       concat_ws('|', case when n_parcels is null then case when m.muni_code < '03' then 'parcels:other_manager' else 'parcels:no_parcels_loaded' end end, case when pop_total is null then 'population:no_census_blocks' end,
@@ -309,7 +309,7 @@ def _(t):
     every = F.transform(F.flatten(F.array("soils", "hazards", "protected")), lambda e: e["overlap_pct"])
     return out.select(
         "scope_id", "position", "n_parcels", F.round("area_sum_m2", 2).alias("area_sum_m2"), "pop_total", n_poi.alias("n_poi"), size("soils"), size("hazards"), size("protected"),
-        F.round(add(every), 2).alias("pct_sum"), F.get("hazards", F.lit(0))["overlap_pct"].alias("top_hazard"),
+        F.round(add(every), 1).alias("pct_sum"), F.get("hazards", F.lit(0))["overlap_pct"].alias("top_hazard"),
         F.array_join(F.transform("missing", lambda m: F.concat_ws(":", m["section"], m["reason"])), "|").alias("missing"))
 
 
