@@ -99,9 +99,9 @@ def _revealing(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     pairs = pairs.groupBy("p.datum", "p.term", "copy").agg(F.count("*").alias("n")).groupBy("datum", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
     pairs = written(pairs.where(F.col("texts") >= SUPPORT).select("datum", "term", "both"))
     schema = "datum string, term string, kind string"
-    every = rows.count()
     if not pairs.take(1):
         return rows.sparkSession.createDataFrame([], schema)
+    every = docs.count()
     data = rows.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["datum"]))).alias("datum")).groupBy("datum").agg(F.count("*").alias("own"))
     text = F.lower(F.coalesce(docs[text_col].cast("string"), F.lit("")))
     terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))).alias("term"))
@@ -127,20 +127,26 @@ def found(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame
     is left out. An empty table gives an empty result.
     """
     own = [c for c in keep if c != "_spans"]
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own)], text_key(docs[text_col].cast("string")).alias("copy"),
-                       let(text, lambda t: let(base_spans(t), lambda s: F.struct(s.alias("spans"), F.when(F.size(s) > 0, _company(t, s)).alias("company")))).alias("_f"))
-    rows = written(rows.select("*", "_f.spans", "_f.company", F.monotonically_increasing_id().alias("row")).drop("_f"))
+    source = docs[text_col].cast("string")
+    text, copy = F.coalesce(source, F.lit("")), text_key(source)
+    # Texts with data, which are few, with the words around; the others are counted.
+    rows = docs.select(copy.alias("copy"), let(text, lambda t: let(base_spans(t), lambda s: F.struct(s.alias("spans"), F.when(F.size(s) > 0, _company(t, s)).alias("company")))).alias("_f"))
+    rows = written(rows.where("size(_f.spans) > 0").select("copy", "_f.spans", "_f.company"))
     told = written(_revealing(rows, docs, text_col))
-    near = rows.where("size(company) > 0").select("row", F.explode("company").alias("w")).select("row", "w.*")
-    more = near.join(told, ["datum", "term"]).groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))
+    near = rows.where("size(company) > 0").select("copy", F.explode("company").alias("w")).select("copy", "w.*")
+    more = near.join(told, ["datum", "term"]).groupBy("copy", "start", "end").agg(F.max("kind").alias("kind"))
     place = F.when(F.col("kind") == "general", len(KINDS)).otherwise(len(KINDS) + 1)
-    more = written(more.groupBy("row").agg(F.collect_list(F.struct("start", place.cast("int").alias("place"), "end", "kind")).alias("more")))
-    base = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))
-    spans = F.array_sort(F.concat(base, F.coalesce("more", F.expr(f"cast(array() as array<{_SPAN}>)"))))
-    out = rows.join(more, "row", "left")
-    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(own)],
-                      F.transform(spans, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("_spans"))
+    more = more.groupBy("copy").agg(F.collect_list(F.struct("start", place.cast("int").alias("place"), "end", "kind")).alias("_more"))
+    more = written(more.withColumnRenamed("copy", "_more_copy"))
+
+    def plain(spans: Column) -> Column:
+        base = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))
+        every = F.array_sort(F.concat(base, F.coalesce("_more", F.expr(f"cast(array() as array<{_SPAN}>)"))))
+        return F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+    out = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own)], copy.alias("_copy"), let(text, base_spans).alias("_base"))
+    out = out.join(more, F.col("_copy") == F.col("_more_copy"), "left")
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(own)], plain(F.col("_base")).alias("_spans"))
 
 
 def masked(text: Column, spans: Column) -> Column:

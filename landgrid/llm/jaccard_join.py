@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from landgrid.llm import words
 from landgrid.llm.components import components
-from landgrid.llm.shared import written
+from landgrid.llm.shared import shared_path, written
+from landgrid.session import scratch
 
 #: Entries of the table that ranks shingles by rarity: 2 to this power, four bytes each.
 RANK_BITS = 21
@@ -278,6 +279,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     source = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    path = shared_path(spark, "components")
+    with scratch(spark):  # the tables in between go when the answer is written
+        _components(source, size, share, rank_bits).write.parquet(path)
+    answer = spark.read.parquet(path)
+    return answer.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _components(source: DataFrame, size: int, share: tuple[int, int], rank_bits: int) -> DataFrame:
+    """(id, n, component_id) of every row of (id, text)."""
+    spark = source.sparkSession
     table = rank_table(source, size, rank_bits)
     ranks = spark.sparkContext.broadcast(table)  # 4 * 2**rank_bits bytes
     keys = written(_keys(source, size, share, ranks, rank_bits))
@@ -327,8 +338,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of_mark = written(known.join(heads, "label").select("mark", "component_id"))
     return (
         keys.select("id", "n", "mark").join(of_mark, "mark", "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                F.when(F.col("mark").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+        .select("id", "n", F.when(F.col("mark").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     )
 
 

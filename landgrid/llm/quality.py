@@ -131,10 +131,17 @@ def judged(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: s
     """
     own = [c for c in keep if c != "_q"]
     lang = docs[lang_col].cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own)], lang.alias("lang"), measures(docs[text_col]).alias("_q"))
     failed = (F.col("_q.n_words") < 20) | (100 * F.col("_q.n_repeat_words") > 30 * F.col("_q.n_words"))
-    rows = written(rows.withColumn("_q", F.struct("_q.*", failed.alias("base_failed"))))
-    known = _references(rows, "lang", least_words, least_texts)
+
+    def measured(columns: list[str]) -> DataFrame:
+        rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)], lang.alias("lang"), measures(docs[text_col]).alias("_q"))
+        return rows.withColumn("_q", F.struct("_q.*", failed.alias("base_failed")))
+
+    # Narrow rows are measured once and written. Texts are not written: they are measured again.
+    narrow = text_col not in own
+    slim = written(measured(own if narrow else []))
+    known = _references(slim, "lang", least_words, least_texts)
+    rows = slim if narrow else measured(own)
 
     def of(kind: int) -> Column:
         def numbers(name: str) -> Column:
