@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landgrid.llm.native import let, sums_before, total
+from landgrid.llm.native import let, once, sums_before, total
 from landgrid.llm.shared import text_key, written
 
 #: Kinds in their order. The patterns match what the published ones match, leftmost and
@@ -130,7 +130,7 @@ def found(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame
     source = docs[text_col].cast("string")
     text, copy = F.coalesce(source, F.lit("")), text_key(source)
     # Texts with data, which are few, with the words around; the others are counted.
-    rows = docs.select(copy.alias("copy"), let(text, lambda t: let(base_spans(t), lambda s: F.struct(s.alias("spans"), F.when(F.size(s) > 0, _company(t, s)).alias("company")))).alias("_f"))
+    rows = once(docs.select(copy.alias("copy"), let(text, lambda t: let(base_spans(t), lambda s: F.struct(s.alias("spans"), F.when(F.size(s) > 0, _company(t, s)).alias("company")))).alias("_f")))
     rows = written(rows.where("size(_f.spans) > 0").select("copy", "_f.spans", "_f.company"))
     told = written(_revealing(rows, docs, text_col))
     near = rows.where("size(company) > 0").select("copy", F.explode("company").alias("w")).select("copy", "w.*")

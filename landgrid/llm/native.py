@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as the word rules mean it: space and the control characters 9 to 13.
@@ -17,6 +17,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(df: DataFrame) -> DataFrame:
+    """``df`` so that filters above stay above: its expressions are not repeated in a filter below them.
+
+    A column that is not deterministic, here the row's place, holds a filter back.
+    """
+    return df.withColumn("_place", F.monotonically_increasing_id())
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES), "")
 
