@@ -25,8 +25,8 @@ MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 #: Characters before and after a match in which words are counted as its company.
 CONTEXT = 100
 TERM = r"[\p{L}\p{N}]{3,}"
-#: Distinct texts that must show a word with the same datum.
-SUPPORT = 3
+#: Standard errors of the lower confidence bound (95 %) of a word's share.
+CONFIDENCE = 1.96
 #: Shares of a datum's information that a word may give: from the first on it is generalised, from the second removed.
 GENERALISE, REMOVE = 0.75, 0.95
 _SPAN = "struct<start:bigint,place:int,end:bigint,kind:string>"
@@ -89,49 +89,61 @@ def _company(text: Column, spans: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(spans, near)))
 
 
+def lower_bound(hits: Column, of: Column) -> Column:
+    """Wilson's lower confidence bound of a share of which ``hits`` in ``of`` were seen."""
+    p, z = hits / of, CONFIDENCE**2
+    return (p + z / (2 * of) - CONFIDENCE * F.sqrt(p * (1 - p) / of + z / (4 * of * of))) / (1 + z / of)
+
+
 def _revealing(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """(datum, term, kind) of the words that give too much of a datum away.
+    """(datum, term, kind) of the words that give too much of a datum away; ``rows`` has each text with data once.
 
-    With document counts n, the pointwise mutual information of word and datum is
-    log(n(both) N / n(word) n(datum)), and the datum's information log(N / n(datum)).
+    With counts n of distinct texts, the pointwise mutual information of word and datum is
+    log(n(both) N / n(word) n(datum)), and the datum's information log(N / n(datum)). The word's
+    share of it is 1 - log(1 / P) / log(N / n(datum)) with P = n(both) / n(word), so a lower
+    confidence bound of P gives one of the share.
     """
-    pairs = rows.where("size(company) > 0").select("copy", F.explode(F.array_distinct(F.transform("company", lambda c: F.struct(c["datum"].alias("datum"), c["term"].alias("term"))))).alias("p"))
-    pairs = pairs.groupBy("p.datum", "p.term", "copy").agg(F.count("*").alias("n")).groupBy("datum", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
-    pairs = written(pairs.where(F.col("texts") >= SUPPORT).select("datum", "term", "both"))
-    schema = "datum string, term string, kind string"
-    if not pairs.take(1):
-        return rows.sparkSession.createDataFrame([], schema)
-    every = docs.count()
+    source = docs[text_col].cast("string")
+    texts = docs.select(text_key(source).alias("copy"), F.coalesce(source, F.lit("")).alias("text")).dropDuplicates(["copy"])
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
+    # Counted before the join, so that a task sends each of its words once; '' stands for all texts.
+    terms = written(texts.select(F.explode(F.concat(F.array(F.lit("")), words)).alias("term")).groupBy("term").agg(F.count("*").alias("of_term")))
+    every = terms.where("term = ''").agg(F.coalesce(F.max("of_term"), F.lit(0))).first()[0]
     data = rows.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["datum"]))).alias("datum")).groupBy("datum").agg(F.count("*").alias("own"))
-    text = F.lower(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    terms = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))).alias("term"))
-    # Counted before the join, so that a task sends each of its words once.
-    terms = terms.groupBy("term").agg(F.count("*").alias("of_term"))
-    share = F.log(F.col("both") * every / (F.col("of_term") * F.col("own"))) / F.log(every / F.col("own"))
-    told = pairs.join(data, "datum").join(terms, "term").where(F.col("own") < every).withColumn("share", share)
-    return told.where(F.col("share") >= GENERALISE).select("datum", "term", F.when(F.col("share") >= REMOVE, "removed").otherwise("general").alias("kind"))
+    pairs = rows.select(F.explode(F.array_distinct(F.transform("company", lambda c: F.struct(c["datum"].alias("datum"), c["term"].alias("term"))))).alias("p"))
+    pairs = pairs.groupBy("p.datum", "p.term").agg(F.count("*").alias("both"))
+    told = pairs.join(data, "datum").join(terms, "term").where(F.col("own") < every)
+
+    def share(p: Column) -> Column:
+        return 1 + F.log(p) / F.log(F.lit(every) / F.col("own"))
+
+    sure = share(lower_bound(F.col("both"), F.col("of_term"))) >= GENERALISE
+    return told.where(sure).select("datum", "term", F.when(share(F.col("both") / F.col("of_term")) >= REMOVE, "removed").otherwise("general").alias("kind"))
 
 
 def found(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The ``keep`` columns and ``_spans``: personal data and revealing words of each whole text.
 
     Data are e-mails, IPv4 addresses, card numbers (Luhn) and phone numbers. How strongly a
-    nearby word reveals a datum is estimated from their co-occurrence in all documents, as the
-    share of the datum's information that the word gives; words that exceed ``GENERALISE`` are
-    marked to be generalised, those beyond ``REMOVE`` to be removed, in the texts that hold
-    that datum. A pair needs ``SUPPORT`` distinct texts. Texts without personal data are never
-    touched. Spans are (kind, start, end) in code points, end exclusive, by start, then kind.
+    nearby word reveals a datum is estimated from their co-occurrence in all distinct texts, as
+    the share of the datum's information that the word gives. Every pair is judged: where the
+    share's lower confidence bound reaches ``GENERALISE`` the word is marked to be generalised,
+    or to be removed if the share itself reaches ``REMOVE``, near the datum in the texts that hold
+    it. So a word seen once, with a datum seen
+    once, is marked if there are enough other texts (549) to make that telling. Texts without
+    personal data are never touched. Spans are (kind, start, end) in code points, end exclusive,
+    by start, then kind.
 
     Null and empty texts have no spans. Repeated rows are marked alike; copies of a text count
-    as one towards the support. Columns of ``keep`` pass unchanged, but one named ``_spans``
-    is left out. An empty table gives an empty result.
+    as one. Columns of ``keep`` pass unchanged, but one named ``_spans`` is left out. An empty
+    table gives an empty result.
     """
     own = [c for c in keep if c != "_spans"]
     source = docs[text_col].cast("string")
     text, copy = F.coalesce(source, F.lit("")), text_key(source)
     # Texts with data, which are few, with the words around; the others are counted.
     rows = once(docs.select(copy.alias("copy"), let(text, lambda t: let(base_spans(t), lambda s: F.struct(s.alias("spans"), F.when(F.size(s) > 0, _company(t, s)).alias("company")))).alias("_f")))
-    rows = written(rows.where("size(_f.spans) > 0").select("copy", "_f.spans", "_f.company"))
+    rows = written(rows.where("size(_f.spans) > 0").select("copy", "_f.spans", "_f.company").dropDuplicates(["copy"]))
     told = written(_revealing(rows, docs, text_col))
     near = rows.where("size(company) > 0").select("copy", F.explode("company").alias("w")).select("copy", "w.*")
     more = near.join(told, ["datum", "term"]).groupBy("copy", "start", "end").agg(F.max("kind").alias("kind"))

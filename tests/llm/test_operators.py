@@ -156,6 +156,24 @@ def test_revealing_words(spark):
     assert "zorblax" not in text[0] and "[EMAIL]" in text[0] and text[400] == "zorblax alone"
 
 
+def test_revealing_words_of_one_text(spark):
+    common = " ".join(f"filler{k}" for k in range(30))
+    rows = [(k, f"{common} plain text{k} without data") for k in range(700)]
+    once = f"{common} the quuxly envoy wrote from one@example.org about it"
+    copied = f"{common} the brindle envoy wrote from two@example.org about it"
+    rows += [(1000, once)] + [(2000 + k, copied) for k in range(50)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    by = {r.doc_id: {(s.kind, r.text[s.start : s.end]) for s in r._spans} for r in disclosure.found(docs, ["doc_id", "text"]).collect()}
+    assert ("removed", "quuxly") in by[1000] and not any(w.startswith("filler") for _, w in by[1000])
+    assert all(("removed", "brindle") in by[2000 + k] for k in range(50))
+    assert not any(by[k] for k in range(700))
+    # Equal copies are no evidence of their own, so few texts still say little.
+    few = disclosure.found(docs.where("doc_id >= 600"), ["doc_id", "text"]).collect()
+    assert all(s.kind == "email" for r in few for s in r._spans)
+    bounds = spark.createDataFrame([(1, 1), (6, 7), (1, 2), (1000, 1000)], "hits int, of int").select(disclosure.lower_bound(F.col("hits"), F.col("of"))).collect()
+    assert [round(r[0], 3) for r in bounds] == [0.207, 0.487, 0.095, 0.996]
+
+
 def test_quality_counts(spark):
     rng = random.Random(9)
     line = sentence(rng, 12)
