@@ -128,8 +128,8 @@ def found(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame
     nearby word reveals a datum is estimated from their co-occurrence in all distinct texts, as
     the share of the datum's information that the word gives. Every pair is judged: where the
     share's lower confidence bound reaches ``GENERALISE`` the word is marked to be generalised,
-    or to be removed if the share itself reaches ``REMOVE``, near the datum in the texts that hold
-    it. So a word seen once, with a datum seen
+    or to be removed if the share itself reaches ``REMOVE``, everywhere in the texts that hold
+    that datum, as a whole word and outside of data. So a word seen once, with a datum seen
     once, is marked if there are enough other texts (549) to make that telling. Texts without
     personal data are never touched. Spans are (kind, start, end) in code points, end exclusive,
     by start, then kind.
@@ -143,22 +143,38 @@ def found(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame
     text, copy = F.coalesce(source, F.lit("")), text_key(source)
     # Texts with data, which are few, with the words around; the others are counted.
     rows = once(docs.select(copy.alias("copy"), let(text, lambda t: let(base_spans(t), lambda s: F.struct(s.alias("spans"), F.when(F.size(s) > 0, _company(t, s)).alias("company")))).alias("_f")))
-    rows = written(rows.where("size(_f.spans) > 0").select("copy", "_f.spans", "_f.company").dropDuplicates(["copy"]))
+    rows = written(rows.where("size(_f.spans) > 0").select("copy", "_f.spans", F.transform("_f.company", lambda c: F.struct(c["datum"].alias("datum"), c["term"].alias("term"))).alias("company")).dropDuplicates(["copy"]))
     told = written(_revealing(rows, docs, text_col))
-    near = rows.where("size(company) > 0").select("copy", F.explode("company").alias("w")).select("copy", "w.*")
-    more = near.join(told, ["datum", "term"]).groupBy("copy", "start", "end").agg(F.max("kind").alias("kind"))
-    place = F.when(F.col("kind") == "general", len(KINDS)).otherwise(len(KINDS) + 1)
-    more = more.groupBy("copy").agg(F.collect_list(F.struct("start", place.cast("int").alias("place"), "end", "kind")).alias("_more"))
+    held = rows.select("copy", F.explode(F.array_distinct(F.transform("spans", lambda s: s["datum"]))).alias("datum"))
+    more = held.join(told, "datum").groupBy("copy", "term").agg(F.max("kind").alias("kind"))
+    more = more.groupBy("copy").agg(*[F.collect_list(F.when(F.col("kind") == kind, F.col("term"))).alias(f"_{kind}") for kind in ("general", "removed")])
     more = written(more.withColumnRenamed("copy", "_more_copy"))
 
-    def plain(spans: Column) -> Column:
+    def marked(t: Column, spans: Column) -> Column:
+        terms = F.concat("_general", "_removed")
+        hits = F.filter(matches(t, TERM), lambda m: F.array_contains(terms, F.lower(m["match"])))
+        free = F.filter(hits, lambda m: ~F.exists(spans, lambda x: (m["start"] < x["end"]) & (m["end"] > x["start"])))
+
+        def span(m: Column) -> Column:
+            gone = F.array_contains("_removed", F.lower(m["match"]))
+            place = F.when(gone, len(KINDS) + 1).otherwise(len(KINDS)).cast("int")
+            return F.struct(m["start"].alias("start"), place.alias("place"), m["end"].alias("end"), F.when(gone, "removed").otherwise("general").alias("kind"))
+
+        return F.when(F.col("_more_copy").isNotNull(), F.transform(free, span)).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
+
+    def plain(spans: Column, t: Column) -> Column:
         base = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["place"].alias("place"), s["end"].alias("end"), s["kind"].alias("kind")))
-        every = F.array_sort(F.concat(base, F.coalesce("_more", F.expr(f"cast(array() as array<{_SPAN}>)"))))
+        every = F.array_sort(F.concat(base, marked(t, spans)))
         return F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
-    out = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own)], copy.alias("_copy"), let(text, base_spans).alias("_base"))
+    out = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own)], copy.alias("_copy"), let(text, base_spans).alias("_base"), text.alias("_text"))
+    if text_col in own:  # passes anyway
+        whole = F.coalesce(F.col(f"c{own.index(text_col)}").cast("string"), F.lit(""))
+        out = out.drop("_text")
+    else:
+        out, whole = out.withColumn("_text", F.when(F.size("_base") > 0, F.col("_text"))), F.col("_text")
     out = out.join(more, F.col("_copy") == F.col("_more_copy"), "left")
-    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(own)], plain(F.col("_base")).alias("_spans"))
+    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(own)], plain(F.col("_base"), whole).alias("_spans"))
 
 
 def masked(text: Column, spans: Column) -> Column:

@@ -174,6 +174,20 @@ def test_revealing_words_of_one_text(spark):
     assert [round(r[0], 3) for r in bounds] == [0.207, 0.487, 0.095, 0.996]
 
 
+def test_revealing_words_far_from_the_datum(spark):
+    common = " ".join(f"filler{k}" for k in range(150))
+    rows = [(k, f"the zorblax captain wrote from boss@example.org about it {common} zorblaxes Zorblax, number{k}") for k in range(6)]
+    rows += [(100 + k, f"the captain wrote from home about it {common} other{k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for keep in (["doc_id", "text"], ["doc_id"]):
+        spans = {r.doc_id: r._spans for r in disclosure.found(docs, keep).collect()}
+        for k in range(6):
+            terms = [rows[k][1][s.start : s.end] for s in spans[k] if s.kind == "removed"]
+            assert terms == ["zorblax", "Zorblax"] and spans[k][-1].start > 1000
+    text = {r.doc_id: r.text for r in disclosure.sanitised(docs).collect()}
+    assert all("zorblaxes , number" in text[k] and "the  captain" in text[k] for k in range(6))
+
+
 def test_quality_counts(spark):
     rng = random.Random(9)
     line = sentence(rng, 12)
