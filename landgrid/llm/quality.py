@@ -18,8 +18,12 @@ COMMON_WORDS = {
 _LIST = sorted({w for own in COMMON_WORDS.values() for w in own})
 #: Words of a window that must not come twice, and the share of words in such windows that fails a text.
 WINDOW = 8
-#: Texts of fewer words are too short for a comparison of character classes, or of common words.
-LEAST_WORDS, LEAST_COMMON = 60, 250
+#: Texts of fewer words are too short for a comparison of character classes, or of common words. From 100
+#: words on, a text drawn word by word from its reference stays within ``MOST_WORDS`` by three standard
+#: errors, with 20 common words that fall as 1 / rank and make up 35 % of the reference.
+LEAST_WORDS, LEAST_COMMON = 60, 100
+#: The same where the language has no reference of its own, and the mean of all languages stands in.
+LEAST_MIXED = 250
 #: Languages of fewer texts have no reference of their own.
 LEAST_TEXTS = 30
 #: Largest distances (0 to 1) of the histograms of character classes and of common words.
@@ -122,8 +126,8 @@ def judged(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: s
     windows of eight. Of the others, texts of at least ``least_words`` words are compared with
     their language's mean histograms (the mean of all texts if the language is unknown, null,
     or has fewer than ``least_texts`` texts) and rejected if the Jensen-Shannon distance of
-    the character classes is too large or, from ``least_common`` words on, that of the common
-    words. Distances are null where nothing is compared. References cover all documents; they are a few numbers a language.
+    the character classes is too large or, from ``least_common`` words on (``LEAST_MIXED`` at
+    least without a reference of their language), that of the common words. Distances are null where nothing is compared. References cover all documents; they are a few numbers a language.
 
     Null and empty texts have no words and fail. Repeated rows are judged alike, each on its
     own. Columns of ``keep`` pass unchanged, but one named ``_q`` is left out. An empty table
@@ -149,7 +153,8 @@ def judged(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: s
     compared = ~F.col("_q.base_failed") & (F.col("_q.n_words") >= least_words)
     nothing = F.lit(None).cast("double")
     classes = F.when(compared, divergence(_shares(F.col("_q.classes")), of(0))) if known else nothing
-    common = F.when(compared & (F.col("_q.n_words") >= least_common), divergence(_shares(F.col("_q.common")), of(1))) if known else nothing
+    enough = F.when(F.col("lang").isin(*known), least_common).otherwise(max(least_common, LEAST_MIXED))
+    common = F.when(compared & (F.col("_q.n_words") >= enough), divergence(_shares(F.col("_q.common")), of(1))) if known else nothing
     rows = rows.withColumn("_d", F.struct(classes.alias("classes"), common.alias("common")))
     far = (F.coalesce("_d.classes", F.lit(0.0)) > most_classes) | (F.coalesce("_d.common", F.lit(0.0)) > most_words)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import struct
 import zlib
@@ -214,6 +215,36 @@ def test_quality_divergence(spark):
     assert [round(r[0], 6) for r in two.select(quality.divergence(F.col("p"), F.col("q"))).collect()] == [round(0.5**0.5, 6), 1.0, 0.0]
 
 
+def test_common_words_of_short_texts(spark):
+    rng = random.Random(12)
+    some = quality.COMMON_WORDS["en"]
+
+    def text(n, common):
+        return " ".join(rng.choices(some, [1 / k for k in range(1, 21)])[0] if rng.random() < common else sentence(rng, 1) + "abcdefghij"[rng.randrange(10)] for _ in range(n))
+
+    good = [(k, text(100 + k % 150, 0.3), "en") for k in range(300)]
+    bad = [(1000 + k, text(100 + 3 * k, 0.0), "en") for k in range(50)]
+    short = [(2000 + k, text(80, 0.0), "en") for k in range(5)]
+    by = {r.doc_id: r._q for r in quality.judged(spark.createDataFrame(good + bad + short, "doc_id bigint, text string, lang string"), ["doc_id"]).collect()}
+    assert all(by[k].kept for k in range(300)) and not any(by[1000 + k].kept for k in range(50))
+    assert all(by[2000 + k].word_distance is None for k in range(5))
+
+
+def test_least_common_words_follow_from_sampling():
+    def sampled(n, reference):
+        mean = var = 0
+        for q in reference:
+            rows = [(math.comb(n, k) * q**k * (1 - q) ** (n - k), k / n) for k in range(n + 1)]
+            far = [(w, (p * math.log2(2 * p / (p + q)) if p else 0) / 2 + q * math.log2(2 * q / (p + q)) / 2) for w, p in rows]
+            first = sum(w * x for w, x in far)
+            mean, var = mean + first, var + sum(w * x * x for w, x in far) - first * first
+        return (mean + 3 * var**0.5) ** 0.5
+
+    ranks = [1 / k for k in range(1, 21)]
+    reference = [0.35 * x / sum(ranks) for x in ranks] + [0.65]
+    assert sampled(quality.LEAST_COMMON, reference) <= quality.MOST_WORDS < sampled(quality.LEAST_COMMON - 10, reference)
+
+
 def test_field_marginals_and_fit():
     rng = np.random.default_rng(11)
     emit, move, begin = rng.normal(size=17), rng.normal(size=(2, 2)), rng.normal(size=2)
