@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landgrid.llm.native import let
+from landgrid.llm.native import let, sums_before
 
 #: Licence ids and the notices or opening paragraphs that name them. Fixed values.
 TEMPLATES: list[tuple[str, str]] = [
@@ -37,8 +37,8 @@ _PARAGRAPH = r"\n[\x20\x09]*\n"
 
 
 def _bigrams(words: Column) -> Column:
-    """Distinct bigrams, as hashes."""
-    return F.array_distinct(F.slice(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1))), F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))))
+    """All bigrams in their order, as hashes."""
+    return F.slice(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1))), F.lit(1), F.greatest(F.size(words) - 1, F.lit(0)))
 
 
 def template_words(text: str) -> list[str]:
@@ -51,6 +51,10 @@ def _template_bigrams(text: str) -> tuple[int, Column]:
     return len(pairs), F.array(*[F.xxhash64(F.lit(a), F.lit(b)) for a, b in pairs])
 
 
+def words_of_unit(unit: Column) -> Column:
+    return F.array_remove(F.split(F.regexp_replace(F.lower(unit), "[^a-z0-9]+", " "), " "), "")
+
+
 def size_bounds(size: int, least: int) -> tuple[int, int]:
     """The bigram counts that can reach the coefficient with ``size`` bigrams."""
     return math.ceil(size * least / (200 - least)), size * (200 - least) // least
@@ -62,44 +66,89 @@ def licence_units(docs: DataFrame, keep: list[str], text_col: str = "text", temp
     Units are the lines of a text and its paragraphs between blank lines, numbered from 0, lines
     first; a paragraph of one line is not looked at twice. Units and templates are lower-cased
     and reduced to runs of a-z and 0-9. A unit matches a template if twice the distinct bigrams
-    they share are at least ``least`` hundredths of both their numbers; only templates whose
-    size allows that are compared. A unit has one entry per licence, for its best template;
-    entries are sorted by unit and licence.
+    they share are at least ``least`` hundredths of both their numbers, or if that holds for a
+    window of the unit, of no more bigrams than can reach the coefficient; a window within one
+    line counts for that line only. Of licences that match overlapping words of a unit, the one
+    with the largest coefficient over all windows stays, in ties that with more words in common,
+    and all if these are equal too. A unit has one entry per licence, with the unit's coefficient
+    if that is large enough and else its best window's; entries are sorted by unit and licence.
 
     Null and empty texts and units of fewer than two words match nothing. Repeated rows are
     answered alike; columns of ``keep`` pass unchanged, but one named ``_licences`` is left out.
     An empty table gives an empty result.
     """
-    known = [(name, *_template_bigrams(text)) for name, text in templates or TEMPLATES]
-    known = [t for t in known if t[1]]
-    low = min((size_bounds(n, least)[0] for _, n, _ in known), default=1)
-
-    def matches(unit: Column, number: Column) -> Column:
-        def compared(own: Column) -> Column:
-            entries = []
-            for name, n, grams in known:
-                least_size, most_size = size_bounds(n, least)
-                shared = F.size(F.array_intersect(own, grams))
-                entries.append(F.when(F.size(own).between(least_size, most_size), F.struct(
-                    F.lit(name).alias("licence"), number.cast("bigint").alias("unit"), (2.0 * shared / (F.size(own) + n)).alias("dice"))))
-            return F.filter(F.array(*entries), lambda e: e.isNotNull() & (e["dice"] * 100 >= least))
-
-        words = F.array_remove(F.split(F.regexp_replace(F.lower(unit), "[^a-z0-9]+", " "), " "), "")
-        none = F.expr("cast(array() as array<struct<licence:string,unit:bigint,dice:double>>)")
-        return let(words, lambda w: F.when(F.size(w) > low, let(_bigrams(w), compared)).otherwise(none))
+    rows = []
+    for name, text in templates or TEMPLATES:
+        n, grams = _template_bigrams(text)
+        if n:
+            low, high = size_bounds(n, least)
+            words = list(dict.fromkeys(template_words(text)))
+            rows.append((low, F.struct(F.lit(name).alias("licence"), F.lit(n).alias("n"), F.lit(low).alias("low"), F.lit(high).alias("high"), grams.alias("grams"), F.array(*map(F.lit, words)).alias("words"))))
+    known = F.array(*[row for _, row in rows])
+    every = F.array_distinct(F.flatten(F.transform(known, lambda t: t["grams"])))
+    low = min((n for n, _ in rows), default=1)
+    entry = "struct<licence:string,unit:bigint,whole:double,score:double,near:double,start:int,end:int>"
+    none = F.expr(f"cast(array() as array<{entry}>)")
+
+    def dice(own: Column, grams: Column) -> Column:
+        return 2.0 * F.size(F.array_intersect(own, grams)) / (F.size(F.array_distinct(own)) + F.size(grams))
+
+    def window(grams: Column, t: Column) -> Column:
+        """(score, start, end) of the best window; one that begins or ends outside the template is never best."""
+        places = F.filter(F.transform(grams, lambda g, i: F.when(F.array_contains(t["grams"], g), i)), lambda i: i.isNotNull())
+
+        def ends(p: Column, first: Column, k: Column) -> Column:
+            last = F.filter(F.slice(p, k + t["low"], t["high"]), lambda q: q < first + t["high"])
+            return F.transform(last, lambda q: F.struct(dice(F.slice(grams, first + 1, q - first + 1), t["grams"]).alias("score"), (-first).alias("start"), q.alias("end")))
+
+        return let(places, lambda p: F.array_max(F.flatten(F.transform(p, lambda first, k: ends(p, first, k)))))
+
+    def matches(unit: Column, number: Column, paragraph: bool) -> Column:
+        def crosses(e: Column) -> Column:
+            counts = F.transform(F.split(unit, "\n"), lambda x: F.size(words_of_unit(x)).cast("bigint"))
+            return F.exists(sums_before(counts), lambda b: (e["start"] < b) & (b <= e["end"] + 1))
+
+        def compared(words: Column, grams: Column, own: Column, some: Column) -> Column:
+            def one(t: Column) -> Column:
+                whole = F.when(F.size(own).between(t["low"], t["high"]), dice(own, t["grams"]))
+                whole = F.when(whole * 100 >= least, whole)
+
+                def made(w: Column) -> Column:
+                    start = F.coalesce(-w["start"], F.lit(0))
+                    end = F.coalesce(w["end"], F.size(grams) - 1)
+                    part = F.array_distinct(F.slice(words, start + 1, end - start + 2))
+                    return F.struct(t["licence"].alias("licence"), number.cast("bigint").alias("unit"), whole.alias("whole"), F.greatest(whole, w["score"]).alias("score"),
+                                    (2.0 * F.size(F.array_intersect(part, t["words"])) / (F.size(part) + F.size(t["words"]))).alias("near"), start.alias("start"), end.alias("end"))
+
+                return let(window(grams, t), made)
+
+            likely = F.filter(known, lambda t: F.size(F.array_intersect(some, t["grams"])) >= t["low"])
+            entries = F.filter(F.transform(likely, one), lambda e: e["score"] * 100 >= least)
+            # Largest first where words overlap.
+            kept = let(entries, lambda es: F.filter(es, lambda e: ~F.exists(es, lambda x: (x["licence"] != e["licence"]) & (x["start"] <= e["end"] + 1) & (x["end"] + 1 >= e["start"]) & (
+                (x["score"] > e["score"]) | ((x["score"] == e["score"]) & (x["near"] > e["near"]))))))
+            return F.filter(kept, lambda e: e["whole"].isNotNull() | crosses(e)) if paragraph else kept
+
+        def of_grams(words: Column, grams: Column) -> Column:
+            return let(F.array_distinct(grams), lambda own: let(F.array_intersect(own, every), lambda some: F.when(F.size(some) >= low, compared(words, grams, own, some)).otherwise(none)))
+
+        return let(words_of_unit(unit), lambda w: F.when(F.size(w) > low, let(_bigrams(w), lambda g: of_grams(w, g))).otherwise(none))
 
     def best(entries: Column) -> Column:
-        # Sorted by unit, licence and falling coefficient; the first of each unit and licence stays.
-        ordered = F.array_sort(F.transform(entries, lambda e: F.struct(e["unit"].alias("unit"), e["licence"].alias("licence"), (-e["dice"]).alias("order"))))
+        # Sorted by unit, licence, whole units first, and falling coefficient; the first of each unit and licence stays.
+        ordered = F.array_sort(F.transform(entries, lambda e: F.struct(e["unit"].alias("unit"), e["licence"].alias("licence"), e["whole"].isNull().alias("part"), (-F.coalesce(e["whole"], e["score"])).alias("order"))))
         return let(ordered, lambda s: F.transform(
             F.filter(s, lambda e, k: (k == 0) | (F.get(s, k - 1)["unit"] != e["unit"]) | (F.get(s, k - 1)["licence"] != e["licence"])),
             lambda e: F.struct(e["licence"].alias("licence"), e["unit"].alias("unit"), (-e["order"]).alias("dice"))))
 
     def found(text: Column) -> Column:
-        lines = F.split(text, "\n")
         blocks = F.filter(F.split(text, _PARAGRAPH), lambda p: F.contains(p, F.lit("\n")))
-        units = let(lines, lambda x: F.concat(x, blocks))
-        return let(units, lambda u: best(F.flatten(F.transform(u, matches))))
+
+        def both(lines: Column) -> Column:
+            in_lines = F.flatten(F.transform(lines, lambda u, k: matches(u, k, False)))
+            return F.concat(in_lines, F.flatten(F.transform(blocks, lambda u, k: matches(u, F.size(lines) + k, True))))
+
+        return best(let(F.split(text, "\n"), both))
 
     own = [c for c in keep if c != "_licences"]
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))

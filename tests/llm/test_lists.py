@@ -46,6 +46,23 @@ def test_licences(spark):
     assert licences.licence_units(docs.where("false"), ["doc_id"]).count() == 0
 
 
+def test_confusable_and_inline_licences(spark):
+    by_text = {t: n for n, t in licences.TEMPLATES}
+    rng = random.Random(3)
+    noise = lambda n: " ".join(rng.choice("kan lor mimi tesa vopu".split()) + str(rng.randrange(9)) for _ in range(n))
+    gpl3, gpl2 = (next(t for t, n in by_text.items() if n == name and t.startswith("This program")) for name in ("GPL-3.0", "GPL-2.0"))
+    by, nc = (next(t for t, n in by_text.items() if n == name and t.startswith("This work")) for name in ("CC-BY-4.0", "CC-BY-NC-4.0"))
+    want = [(t, [n]) for t, n in by_text.items()]  # each template alone names its own licence only
+    want += [(f"{noise(60)} {t} {noise(90)}", [n]) for t, n in by_text.items()]  # and within a longer line
+    want += [(f"{noise(50)} {gpl3} {noise(40)} {gpl2}", ["GPL-2.0", "GPL-3.0"]), (f"{noise(20)} {nc} {noise(20)} {by}", ["CC-BY-4.0", "CC-BY-NC-4.0"])]
+    want += [(gpl3.replace("version 3 of", "version of"), ["GPL-2.0", "GPL-3.0"]), (gpl3.replace("version 3 of", "version x 3 y of"), ["GPL-3.0"])]
+    want += [(f"{noise(30)}\n{nc[:40]}\n{nc[40:]} {noise(30)}", ["CC-BY-NC-4.0"]), (f"a\n{noise(9)} {by} {noise(9)}\nb", ["CC-BY-4.0"]), (noise(500), [])]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(want)], "doc_id bigint, text string")
+    found = {r.doc_id: r._licences for r in licences.licence_units(docs, ["doc_id"]).collect()}
+    for k, (text, names) in enumerate(want):
+        assert [e.licence for e in found[k]] == names, (text, found[k])
+
+
 def test_size_bounds_are_exact():
     for size in range(1, 60):
         low, high = licences.size_bounds(size, 80)
