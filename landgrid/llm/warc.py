@@ -34,12 +34,12 @@ def _record(kind: str | Column, headers: list[tuple[str, Column]], block: Column
 
 
 def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """(page, first): captures whose payload an earlier capture, that with the least id, has already stored."""
+    """(page, digest, first): captures whose payload an earlier capture, that with the least id, has already stored; an id may have several payloads."""
     payload = F.coalesce(pages[payload_col].cast("string"), F.lit(""))
     slim = pages.select(pages[id_col].alias("page"), F.octet_length(payload).alias("size"), F.sha2(payload.cast("binary"), 256).alias("digest"))
     slim = written(slim.where(F.col("size") >= LEAST_SHARED).select("page", "digest"))
     firsts = written(slim.groupBy("digest").agg(F.min("page").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
-    return written(slim.join(firsts, "digest").where("page <> first").select("page", "first").distinct())
+    return written(slim.join(firsts, "digest").where("page <> first").select("page", "digest", "first").distinct())
 
 
 def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
@@ -55,7 +55,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     again = revisits(pages, id_col, payload_col)
     body = F.coalesce(pages[payload_col].cast("string"), F.lit(""))
     rows = pages.select(pages[id_col].alias("page"), F.regexp_replace(pages[url_col].cast("string"), r"[\r\n]", "").alias("url"), body.alias("body"), F.sha2(body.cast("binary"), 256).alias("digest"))
-    rows = rows.join(again, "page", "left")
+    rows = rows.join(again, ["page", "digest"], "left")
     own = _record_id("response", F.col("page"), F.col("digest"))
     revisit = F.col("first").isNotNull()
     date, uri = ("WARC-Date", F.lit(captured_at)), ("WARC-Target-URI", F.col("url"))

@@ -332,6 +332,18 @@ def test_archive_round_trip(spark, tmp_path):
     assert payloads["page-id: 6"] == odd.encode() and payloads["page-id: 0"] == long.encode()
 
 
+def test_archive_of_one_id_with_two_payloads(spark, tmp_path):
+    shared, other, third = "s" * 200, "o" * 200, "t" * 200
+    rows = [(1, "u", shared), (2, "u", shared), (2, "u", other), (0, "u", third), (2, "u", third)]
+    path = str(tmp_path / "warc")
+    got = warc.archived(spark.createDataFrame(rows, "page_id bigint, url string, html string"), path=path).collect()
+    of = {h: hashlib.sha256(h.encode()).hexdigest() for h in (shared, other, third)}
+    assert sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to) for r in got) == sorted([
+        (1, of[shared], "response", None), (2, of[shared], "revisit", 1), (2, of[other], "response", None), (0, of[third], "response", None), (2, of[third], "revisit", 0)])
+    bodies = [bytes(r.response.payload).decode() for r in warc.captures(warc.read_records(spark, path)).collect() if r.response.type == "response"]
+    assert sorted(bodies) == sorted([shared, other, third])
+
+
 def tokenizer():
     from tokenizers import Tokenizer
 
