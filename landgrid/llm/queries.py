@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from landgrid.llm.decontaminate import marked
 from landgrid.llm.disclosure import KINDS, found as personal_data
 from landgrid.llm.jaccard_join import jaccard_components
+from landgrid.llm.lexical import ranked
 from landgrid.llm.licences import LEAST, TEMPLATES, licence_units, size_bounds, template_words
 from landgrid.llm.packing import packed
 from landgrid.llm import quality
 from landgrid.llm.secret_ledger import scan_versions
 from landgrid.llm.shared import read_documents
 from landgrid.llm.spans import digest_columns
+from landgrid.llm.spelling import spelling_variants, vocabulary
+from landgrid.llm.threshold import exact_top_k
 from landgrid.llm.toxicity import fit, scored
 from landgrid.llm.url_lists import host_of, listed
 from landgrid.llm.warc import archived
@@ -107,6 +110,18 @@ def op10_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(read_documents(spark, folder), tokenizer_path(), with_ids=False)
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(vocabulary(read_documents(spark, folder)))
+
+
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked(read_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def op13_exact_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_top_k(spark.read.parquet(f"{folder}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_divergence": op1_quality_divergence,
     "op2_toxicity": op2_toxicity,
@@ -118,6 +133,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_ledger": op8_secret_ledger,
     "op9_decontamination": op9_decontamination,
     "op10_hilbert_packing": op10_hilbert_packing,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_exact_top_k": op13_exact_top_k,
 }
 
 def _licence_oracle() -> str:
@@ -230,4 +248,34 @@ ORACLES: dict[str, str] = {
     q as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from h group by 1)
     select dw.doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
     from dw left join c using (doc_id) left join q using (doc_id)""",
+    "op11_spelling_variants": r"""
+    with steps as (select list_transform(range(256), lambda i: list_reduce([i::ubigint] || list_transform(range(8), lambda k: 0::ubigint), lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end)) as t),
+    r as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents),
+    g as (select doc_id, run, count(*) as n, hex(encode(doc_id || ':' || run)) as h from r group by 1, 2),
+    c as (select run, n, xor(list_reduce([4294967295::ubigint] || list_transform(range(1, length(h), 2), lambda i: ('0x' || h[i:i + 1])::ubigint), lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::bigint])), 4294967295::ubigint) as crc from g, steps),
+    v as (select case when crc % 97 = 0 then substr(run, 1, (crc % length(run))::int) || substr(run, (crc % length(run))::int + 2) else run end as word, sum(n)::bigint as n from c group by 1),
+    w as (select word, n from v where length(word) >= 5 and n >= 3),
+    d as (select word, n, unnest(range(1, length(word) + 1)) as i from w),
+    e as (select word, n, length(word) as size, i, substr(word, 1, i - 1) || substr(word, i + 1) as less from d),
+    p as (select x.word as a, y.word as b, y.n from e x join e y on x.less = y.less and x.i = y.i and x.size = y.size and x.word <> y.word
+      union select e.word, w.word, w.n from e join w on w.word = e.less union select w.word, e.word, e.n from e join w on w.word = e.less),
+    k as (select a, b, n, row_number() over (partition by a order by n desc, encode(b)) as k, count(*) over (partition by a) as n_near from p),
+    f as (select w.word, case when k.n >= 2 * w.n then k.b end as form, w.n, coalesce(n_near, 0) as n_near, case when k.n >= 2 * w.n then k.n end as form_n from w left join k on k.a = w.word and k.k = 1),
+    o as (with recursive u as (select word, word as root, form as up from f union all select u.word, u.up, f.form from u join f on f.word = u.up) select word, root from u where up is null)
+    select f.word, form, root, n, n_near, form_n from f join o using (word)""",
+    "op12_lexical_search": r"""
+    with t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+    c as (select doc_id, term, count(*) as tf from t group by 1, 2),
+    n as (select doc_id, count(*) as n from t group by 1),
+    s as (select count(*) as docs, sum(n)::bigint as len from n),
+    m as (select doc_id, 25 + (75 * n * docs) // len as m from n, s),
+    w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w from (select term, count(*) as df from c group by 1), s),
+    i as (select item_id, term, count(*) as times from (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark) group by 1, 2),
+    r as (select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score from i join c using (term) join w using (term) join m using (doc_id) group by 1, 2)
+    select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from r where score > 0) where rank <= 10""",
+    "op13_exact_top_k": """
+    with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+      where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+    select query_id, rank::int as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5""",
 }

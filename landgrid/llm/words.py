@@ -6,7 +6,7 @@ numpy passes, whatever the number of words. Words are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +81,29 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
         first = last
 
 
+def pieces(column: pa.Array | pa.ChunkedArray, inside: Callable[[np.ndarray], np.ndarray], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, bytes and offsets of ranges of rows, as ``chunks``; a longer text comes in pieces that cut no word.
+
+    ``inside`` tells which bytes belong to words.
+    """
+    for first, last, data, offsets in chunks(column, limit):
+        if last - first > 1 or len(data) <= limit:
+            yield first, data, offsets
+            continue
+        at = 0
+        while at < len(data):
+            size = limit
+            while at + size < len(data):
+                gaps = np.flatnonzero(~inside(data[at : at + size]))
+                if len(gaps):
+                    size = int(gaps[-1]) + 1
+                    break
+                size *= 2
+            part = data[at : at + size]
+            yield first, part, np.array([0, len(part)], np.int64)
+            at += size
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, member: np.ndarray = NOT_SPACE, values: np.ndarray = LOWERED):
     """Hash, first byte, end byte of every word, and the word offsets of the texts."""
     rows = len(offsets) - 1
