@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landgrid.llm.shared import written
-from landgrid.llm.words import pieces
+from landgrid.llm.words import mix, pieces
 
 #: One in so many words of a text loses a letter before it is counted; None counts words as they are.
 DROPPED = 97
@@ -22,7 +22,13 @@ LEAST_LENGTH, LEAST_COUNT = 5, 3
 SYMBOLS = 8
 #: Code points up to which words get neighbourhoods, whose size grows with the square of the length.
 LONG = 40
+#: Reduced words whose neighbourhoods are made together.
+_ROWS = 1 << 12
 _C3 = 0xC3
+#: Powers that tell the places of symbols apart.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_STEP = 0xD6E8FEB86659FD93
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -132,25 +138,67 @@ def _reduced(word: Column, symbols: int) -> Column:
     return F.when(word == "", "").otherwise(F.array_join(symbol, ""))
 
 
-def _neighbourhood(word: Column, symbols: int) -> Column:
-    """The word and all that one deletion, replacement or insertion of a symbol makes of it."""
-    names = F.array(*[F.lit(chr(97 + k)) for k in range(symbols)])
-    size = F.length(word)
-    gaps = F.sequence(F.lit(1), size + 1)
-    places = F.slice(gaps, F.lit(1), size)
+def _codes(raw: np.ndarray, size: int) -> np.ndarray:
+    return mix(raw + np.uint64(size * _STEP % (1 << 64)))
 
-    def without(i: Column) -> Column:
-        return F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1))
 
-    def replaced(i: Column) -> Column:
-        return F.transform(names, lambda s: F.concat(F.substr(word, F.lit(1), i - 1), s, F.substr(word, i + 1)))
+def _neighbourhood(symbols: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of reduced words of one length (a row of symbols 1 to ``count`` each), and of all words that one edit makes of them.
 
-    def inserted(i: Column) -> Column:
-        return F.transform(names, lambda s: F.concat(F.substr(word, F.lit(1), i - 1), s, F.substr(word, i)))
+    A code is a 64-bit hash of a sum over symbols times powers, so that each edit changes the
+    sum by what stands before, at and behind its place. The word itself is among its neighbours.
+    """
+    rows, size = symbols.shape
+    powers = _BASE ** np.arange(size + 1, dtype=np.uint64)
+    terms = symbols * powers[:size]
+    before = np.zeros((rows, size + 1), np.uint64)
+    np.cumsum(terms, axis=1, out=before[:, 1:])
+    whole = before[:, -1:]
+    named = np.arange(1, count + 1, dtype=np.uint64)
+    deleted = before[:, :-1] + (whole - before[:, 1:]) * _BACK
+    replaced = (whole - terms)[:, :, None] + powers[:size, None] * named
+    inserted = (before + (whole - before) * _BASE)[:, :, None] + powers[:, None] * named
+    near = np.concatenate([_codes(deleted, size - 1), _codes(replaced, size).reshape(rows, -1), _codes(inserted, size + 1).reshape(rows, -1)], axis=1)
+    return _codes(whole[:, 0], size), near
+
+
+def _by_length(reduced: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and symbols (1, 2, ...) of reduced words, some words of one length at a time."""
+    column = reduced.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    sizes = np.diff(offsets)
+    for size in np.unique(sizes):
+        same = np.flatnonzero(sizes == size)
+        for first in range(0, len(same), _ROWS):
+            some = same[first : first + _ROWS]
+            yield some, (data[offsets[some][:, None] + np.arange(size)] - np.uint8(96)).astype(np.uint64)
+
+
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n, reduced) with the code of the reduced word."""
+    for batch in batches:
+        codes = np.zeros(batch.num_rows, np.uint64)
+        for some, symbols in _by_length(batch.column(2)):
+            codes[some] = _neighbourhood(symbols, 0)[0]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes.view(np.int64))], names=[*batch.schema.names, "code"])
+
+
+def _met(count: int):
+    """For reduced words: (code, code of a word of the neighbourhood that is not smaller), each once."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, symbols in _by_length(batch.column(0)):
+                own, near = _neighbourhood(symbols, count)
+                near = np.sort(near, axis=1)
+                new = near >= own[:, None]
+                new[:, 1:] &= near[:, 1:] != near[:, :-1]
+                x, y = np.repeat(own, new.sum(axis=1)), near[new]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["x", "y"])
 
-    return F.array_distinct(F.concat(
-        F.transform(places, without), F.flatten(F.transform(places, replaced)), F.flatten(F.transform(gaps, inserted))
-    ))
+    return meet
 
 
 def _halves(word: Column) -> Column:
@@ -179,14 +227,14 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS, long: int = LONG) -> Da
     no pairs.
     """
     words = words.select("word", "n").where("word is not null")
-    short = written(words.where(F.length("word") <= long).withColumn("key", _reduced(F.col("word"), symbols)))
-    known = short.select("key").distinct()
-    met = known.select(F.col("key").alias("x"), F.explode(_neighbourhood(F.col("key"), symbols)).alias("y")).where("x <= y")
-    met = met.join(known, F.col("y") == F.col("key"), "left_semi")
-    a = short.select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("key").alias("x"))
-    b = short.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("key").alias("y"))
+    short = words.where(F.length("word") <= long).withColumn("reduced", _reduced(F.col("word"), symbols))
+    short = written(short.mapInArrow(_coded, "word string, n bigint, reduced string, code bigint"))
+    met = short.select("reduced").distinct().mapInArrow(_met(symbols), "x bigint, y bigint")
+    met = met.join(short.select(F.col("code").alias("y")).distinct(), "y", "left_semi")
+    a = short.select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("code").alias("x"))
+    b = short.select(F.col("word").alias("b"), F.col("n").alias("n_b"), F.col("code").alias("y"))
     one_edit = F.expr("abs(length(a) - length(b)) <= 1 and levenshtein(a, b, 1) = 1")
-    pairs = a.join(met, "x").join(b, "y").where(F.expr("x < y or a < b") & one_edit).select("a", "n_a", "b", "n_b")
+    pairs = a.join(met, "x").join(b, "y").where(F.expr("x <> y or a < b") & one_edit).select("a", "n_a", "b", "n_b")
 
     # A word as long as the border may have a near word beyond it.
     halves = words.where(F.length("word") >= long).withColumn("key", F.explode(_halves(F.col("word"))))
