@@ -17,6 +17,8 @@ from landgrid.llm.shared import written
 
 #: The field is fitted on at most so many labelled rows, and on at most so many of their words.
 TRAIN_ROWS, TRAIN_WORDS = 20_000, 400_000
+#: Part of these words that one text may bring to the fit, and the least number of words that it may.
+TEXT_PART, TEXT_WORDS = 200, 50
 #: A word is labelled toxic if so many distinct texts, mostly toxic ones, have it.
 LEAST_TEXTS, LEAST_ODDS = 5, 2.5
 #: Most words with weights of their own; all others share one.
@@ -155,15 +157,58 @@ def _chances(model: SimpleNamespace, member: Member, hashes: np.ndarray, at: np.
     return marginals(model.weight[index], first, model.move, model.begin)
 
 
+def _window(index: np.ndarray, tags: np.ndarray, many: int) -> slice:
+    """At most ``many`` words of a text, with its first toxic token in their middle if there is one."""
+    middle = int(np.argmax(tags)) if tags.any() else 0
+    begin = max(0, min(middle - many // 2, len(index) - many))
+    return slice(begin, begin + many)
+
+
+def _sample(train: DataFrame, member: Member, bad: np.ndarray, train_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word number, first-of-a-text flag and tag of the words that the field learns from.
+
+    Half of the words come from toxic texts that hold a toxic token, the rest from clean ones,
+    each in the order of a hash of the text; a longer text brings a window around its first
+    toxic token. At least one text of a class is taken, if there is one with words.
+    """
+    many = max(TEXT_WORDS, train_words // TEXT_PART)
+    index, first, tags = [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
+    for label, budget in ((1, train_words // 2), (0, train_words - train_words // 2)):
+        taken = 0
+        for row in train.where(F.col("label") == label).orderBy(F.xxhash64("copy"), "copy").select("text").toLocalIterator():
+            for _, _, data, offsets in words.chunks(pa.array([row["text"]], pa.large_string())):
+                hashes, _, _, _ = _words(data, offsets)
+                own = np.zeros(len(hashes), np.int64)
+                pos, place = member.find(hashes)
+                own[pos] = place + 1
+                toxic = (bad[own] & bool(label)).astype(np.int64)
+                if len(own) and (toxic.any() or not label):
+                    part = _window(own, toxic, many)
+                    index.append(own[part])
+                    first.append(np.arange(len(index[-1])) == 0)
+                    tags.append(toxic[part])
+                    taken += len(index[-1])
+            if taken >= budget:
+                break
+    return np.concatenate(index), np.concatenate(first), np.concatenate(tags)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        train_rows: int = TRAIN_ROWS, train_words: int = TRAIN_WORDS) -> SimpleNamespace:
+        train_rows: int = TRAIN_ROWS, train_words: int = TRAIN_WORDS, vocabulary: int = VOCABULARY) -> SimpleNamespace:
     """A model from the labelled documents.
 
     At most ``train_rows`` labelled ids, the first by a hash of the id, are used; equal texts
     count once, as toxic if any copy is. Words that mostly toxic texts have are the toxic
-    tokens of those texts, all others are not; the field learns words and moves from at most
-    ``train_words`` words of whole texts. Document scores are calibrated on all training rows.
-    Null labels are left out. Without rows of both classes every text gets the same score.
+    tokens of those texts, all others are not. The ``vocabulary`` words that most of the texts
+    have, toxic tokens first, get weights of their own, all others share one. The field learns
+    words and moves from about ``train_words`` words, half of them of toxic texts, at most one
+    part in ``TEXT_PART`` (50 words at least) of a text; a toxic token that is not among them
+    starts with the mean weight of those that are. Document scores are calibrated on the whole
+    texts of all training rows.
+
+    Null labels and null ids are left out; null and empty texts have no words. Without rows of
+    both classes, or without a word that tells them apart, every text gets the same score.
+    Smaller bounds cost accuracy, not rows.
     """
     picked = labels.select(labels[id_col].alias("id"), (labels[label_col] > 0).cast("int").alias("label")).where("label is not null and id is not null")
     picked = picked.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(train_rows)
@@ -190,29 +235,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = train.select("text", "label").mapInArrow(cut, "word bigint, label int").groupBy("word").agg(
         F.sum("label").alias("t"), F.count("*").alias("n")).where(F.col("n") >= LEAST_TEXTS)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / (clean + 1.0))
-    known = counts.withColumn("odds", odds).orderBy(F.desc(((F.col("t") >= LEAST_TEXTS) & (odds >= LEAST_ODDS)).cast("int")), F.desc("n"), "word").limit(VOCABULARY).collect()
+    known = counts.withColumn("odds", odds).orderBy(F.desc(((F.col("t") >= LEAST_TEXTS) & (odds >= LEAST_ODDS)).cast("int")), F.desc("n"), "word").limit(vocabulary).collect()
     known = sorted((np.uint64(r["word"] & ((1 << 64) - 1)), r["t"] >= LEAST_TEXTS and r["odds"] >= LEAST_ODDS) for r in known)
-    none.known = np.array([k for k, _ in known], np.uint64)
+    names = np.array([k for k, _ in known], np.uint64)
     bad = np.array([False, *[b for _, b in known]])
-
-    # Whole texts in the order of a hash, until the number of words is reached.
-    index, first, tags, member = [], [], [], Member(none.known)
-    ordered = train.orderBy(F.xxhash64("copy"))
-    for row in ordered.limit(train_words // 50).select("text", "label").toLocalIterator():
-        for _, _, data, offsets in words.chunks(pa.array([row["text"]], pa.large_string())):
-            hashes, _, _, _ = _words(data, offsets)
-            own = np.zeros(len(hashes), np.int64)
-            pos, place = member.find(hashes)
-            own[pos] = place + 1
-            index.append(own)
-            first.append(np.arange(len(own)) == 0)
-            tags.append((bad[own] & bool(row["label"])).astype(np.int64))
-        if sum(map(len, index)) >= train_words:
-            break
-    index, first, tags = np.concatenate(index), np.concatenate(first), np.concatenate(tags)
-    if not tags.any():
+    if not bad.any():
+        return none
+    index, first, tags = _sample(train, Member(names), bad, train_words)
+    if not tags.any() or tags.all():
         return none
-    none.weight, none.move, none.begin = fit_field(index, first, tags, len(bad))
+    weight, move, begin = fit_field(index, first, tags, len(bad))
+    unseen = bad.copy()
+    unseen[index] = False
+    weight[unseen] = weight[np.unique(index[tags == 1])].mean()
+    none.known, none.weight, none.move, none.begin = names, weight, move, begin
 
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(none)
