@@ -70,7 +70,8 @@ def scan_versions(docs: DataFrame, ledger: str | None = None, id_col: str = "doc
     A second call with the same ledger folder scans only what is new. Spans are code points,
     end exclusive, ordered by start, then by the rule's place.
 
-    Null texts are empty. Repeated rows stay; null ids take part. Other columns are ignored,
+    A ledger may hold an entry more than once, as calls at the same time leave it; each counts
+    once. Null texts are empty, very long ones are scanned whole. Repeated rows stay; null ids take part. Other columns are ignored,
     an empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -87,6 +88,7 @@ def scan_versions(docs: DataFrame, ledger: str | None = None, id_col: str = "doc
 
     order = F.create_map(*[F.lit(x) for n, k in enumerate(RULES) for x in (k, n)])
     found = ledger_rows(spark, ledger).where((F.col("version") == versions[F.col("rule")]) & (F.size("spans") > 0))
+    found = found.dropDuplicates(["blob", "rule"])  # two calls at a time may have scanned the same text
     found = written(found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct(s["start"], order[s["kind"]].alias("place"), s["end"], s["kind"]))))).alias("spans")))
     spans = F.coalesce(F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), F.expr(f"cast(array() as {_SPANS})"))
     return paths.join(found, "blob", "left").select(F.col("id").alias(id_col), spans.alias("spans"))
