@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from landgrid.llm import words
 from landgrid.llm.rows import with_arrow
-from landgrid.llm.shared import written
+from landgrid.llm.shared import numbered, renamed, written
 
 WINDOW = 10
 #: Words of the shingles that windows and documents are first joined on.
@@ -257,5 +257,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any benchmark window, unchanged."""
-    return marked(docs, benchmark, **options).where("_found.n_hit = 0").drop("_found")
+    """The documents without any benchmark window, with all their columns unchanged; odd rows as in ``marked``."""
+    plain, names = numbered(docs)
+    options["text_col"] = f"n{names.index(options.get('text_col', 'text'))}"
+    return renamed(marked(plain, benchmark, **options).where("_found.n_hit = 0"), names)

@@ -20,7 +20,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def once(df: DataFrame) -> DataFrame:
     """``df`` so that filters above stay above: its expressions are not repeated in a filter below them.
 
-    A column that is not deterministic, here the row's place, holds a filter back.
+    A column that is not deterministic, here the row's place, holds a filter back that uses it
+    (``_place >= 0``); unused it may be pruned.
     """
     return df.withColumn("_place", F.monotonically_increasing_id())
 

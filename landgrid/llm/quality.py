@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landgrid.llm.native import NOT_SPACES, let, total, words_of
-from landgrid.llm.shared import written
+from landgrid.llm.native import NOT_SPACES, let, once, total, words_of
+from landgrid.llm.shared import numbered, renamed, written
 
 #: Common words of four languages. Fixed values.
 COMMON_WORDS = {
@@ -104,7 +104,7 @@ def divergence(own: Column, reference: Column) -> Column:
 def _references(measured: DataFrame, lang: str, least_words: int, least_texts: int) -> dict[str, tuple[list[float], list[float]]]:
     """Mean histograms of the texts that pass the base rules: of each listed language and, under '*', of all."""
     sizes = {"classes": 7, "common": len(_LIST) + 1}
-    good = measured.where(~F.col("_q.base_failed") & (F.col("_q.n_words") >= least_words))
+    good = once(measured).where(~F.col("_q.base_failed") & (F.col("_q.n_words") >= least_words) & (F.col("_place") >= 0))
     good = good.select(F.when(F.col(lang).isin(*COMMON_WORDS), F.col(lang)).otherwise("*").alias("key"), *[_shares(F.col(f"_q.{c}")).alias(c) for c in sizes])
     sums = [F.sum(F.col(c)[k]).alias(f"{c}{k}") for c, n in sizes.items() for k in range(n)]
     rows = good.groupBy("key").agg(F.count("*").alias("n"), *sums).collect()  # a row for each listed language and one more
@@ -119,7 +119,8 @@ def _references(measured: DataFrame, lang: str, least_words: int, least_texts: i
 
 
 def judged(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: str = "lang", least_words: int = LEAST_WORDS,
-           least_common: int = LEAST_COMMON, least_texts: int = LEAST_TEXTS, most_classes: float = MOST_CLASSES, most_words: float = MOST_WORDS) -> DataFrame:
+           least_common: int = LEAST_COMMON, least_texts: int = LEAST_TEXTS, most_classes: float = MOST_CLASSES, most_words: float = MOST_WORDS,
+           store: bool = True) -> DataFrame:
     """The ``keep`` columns and a struct ``_q``: counts, base_failed, the two distances and kept.
 
     A text fails the base rules with fewer than 20 words or over 30 % of its words in repeated
@@ -129,6 +130,9 @@ def judged(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: s
     the character classes is too large or, from ``least_common`` words on (``LEAST_MIXED`` at
     least without a reference of their language), that of the common words. Distances are null where nothing is compared. References cover all documents; they are a few numbers a language.
 
+    With ``store`` the measures and the ``keep`` columns are a table in between; without, texts
+    are measured once for the references and again for the verdicts, and nothing is written.
+
     Null and empty texts have no words and fail. Repeated rows are judged alike, each on its
     own. Columns of ``keep`` pass unchanged, but one named ``_q`` is left out. An empty table
     gives an empty result.
@@ -137,7 +141,8 @@ def judged(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: s
     lang = docs[lang_col].cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own)], lang.alias("lang"), measures(docs[text_col]).alias("_q"))
     failed = (F.col("_q.n_words") < 20) | (100 * F.col("_q.n_repeat_words") > 30 * F.col("_q.n_words"))
-    rows = written(rows.withColumn("_q", F.struct("_q.*", failed.alias("base_failed"))))
+    rows = rows.withColumn("_q", F.struct("_q.*", failed.alias("base_failed")))
+    rows = written(rows) if store else rows
     known = _references(rows, "lang", least_words, least_texts)
 
     def of(kind: int) -> Column:
@@ -163,5 +168,10 @@ def judged(docs: DataFrame, keep: list[str], text_col: str = "text", lang_col: s
 
 
 def good_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that the rules keep, unchanged."""
-    return judged(docs, docs.columns, **options).where("_q.kept").drop("_q")
+    """The documents that the rules keep, with all their columns unchanged; nulls, empty texts and repeated rows as in ``judged``."""
+    plain, names = numbered(docs)
+    at = {name: f"n{k}" for k, name in enumerate(names)}
+    options = {"text_col": "text", "lang_col": "lang", **options}
+    options |= {c: at.get(options[c], "") for c in ("text_col", "lang_col")}
+    rows = once(judged(plain, plain.columns, store=False, **options)).where("_q.kept and _place >= 0")
+    return renamed(rows, names)

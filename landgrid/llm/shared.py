@@ -32,3 +32,13 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns under numbers (n0, n1, ...), so that none can clash, and their names."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"n{k}") for k, c in enumerate(docs.columns)]), docs.columns
+
+
+def renamed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of ``numbered`` under their names again."""
+    return rows.select(*[F.col(f"n{k}").alias(c) for k, c in enumerate(names)])
