@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landgrid.llm.native import let, once, sums_before, total
-from landgrid.llm.shared import text_key, written
+from landgrid.llm.shared import numbered, renamed, shared_path, text_key, written
+from landgrid.session import scratch
 
 #: Kinds in their order. The patterns match what the published ones match, leftmost and
 #: without overlap, but never try a run of characters twice, which keeps long runs linear: a
@@ -29,6 +30,8 @@ TERM = r"[\p{L}\p{N}]{3,}"
 CONFIDENCE = 1.96
 #: Shares of a datum's information that a word may give: from the first on it is generalised, from the second removed.
 GENERALISE, REMOVE = 0.75, 0.95
+#: Revealing words of a datum up to which all of them are looked for in each of its texts.
+FEW_TERMS = 64
 _SPAN = "struct<start:bigint,place:int,end:bigint,kind:string>"
 
 
@@ -121,6 +124,28 @@ def _revealing(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     return told.where(sure).select("datum", "term", F.when(share(F.col("both") / F.col("of_term")) >= REMOVE, "removed").otherwise("general").alias("kind"))
 
 
+def _to_mark(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(_more_copy, _general, _removed): for each distinct text with data the words to mark in it.
+
+    A datum of up to ``FEW_TERMS`` words brings them all to its texts. A datum of more is
+    joined on the words that a text has, so that a datum which many texts hold, each with
+    words of its own near it, does not bring all of these words to all of these texts.
+    """
+    rows = written(rows.where("size(_f.spans) > 0 and _place >= 0").select("copy", "_f.spans", F.transform("_f.company", lambda c: F.struct(c["datum"].alias("datum"), c["term"].alias("term"))).alias("company")).dropDuplicates(["copy"]))
+    told = written(_revealing(rows, docs, text_col))
+    held = rows.select("copy", F.explode(F.array_distinct(F.transform("spans", lambda s: s["datum"]))).alias("datum"))
+    many = told.groupBy("datum").agg(F.count("*").alias("terms")).where(F.col("terms") > FEW_TERMS).select("datum")
+    more = held.join(told.join(many, "datum", "left_anti"), "datum").select("copy", "term", "kind")
+    hot = written(held.join(many, "datum", "left_semi"))
+    source = docs[text_col].cast("string")
+    copies = docs.select(text_key(source).alias("copy"), source.alias("text")).join(hot.select("copy").distinct(), "copy", "left_semi").dropDuplicates(["copy"])
+    words = copies.select("copy", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    hit = words.join(hot, "copy").join(told.join(many, "datum", "left_semi"), ["datum", "term"])
+    more = more.unionByName(hit.select("copy", "term", "kind")).groupBy("copy", "term").agg(F.max("kind").alias("kind"))
+    more = more.groupBy("copy").agg(*[F.collect_list(F.when(F.col("kind") == kind, F.col("term"))).alias(f"_{kind}") for kind in ("general", "removed")])
+    return more.withColumnRenamed("copy", "_more_copy")
+
+
 def found(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The ``keep`` columns and ``_spans``: personal data and revealing words of each whole text.
 
@@ -143,12 +168,10 @@ def found(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame
     text, copy = F.coalesce(source, F.lit("")), text_key(source)
     # Texts with data, which are few, with the words around; the others are counted.
     rows = once(docs.select(copy.alias("copy"), let(text, lambda t: let(base_spans(t), lambda s: F.struct(s.alias("spans"), F.when(F.size(s) > 0, _company(t, s)).alias("company")))).alias("_f")))
-    rows = written(rows.where("size(_f.spans) > 0").select("copy", "_f.spans", F.transform("_f.company", lambda c: F.struct(c["datum"].alias("datum"), c["term"].alias("term"))).alias("company")).dropDuplicates(["copy"]))
-    told = written(_revealing(rows, docs, text_col))
-    held = rows.select("copy", F.explode(F.array_distinct(F.transform("spans", lambda s: s["datum"]))).alias("datum"))
-    more = held.join(told, "datum").groupBy("copy", "term").agg(F.max("kind").alias("kind"))
-    more = more.groupBy("copy").agg(*[F.collect_list(F.when(F.col("kind") == kind, F.col("term"))).alias(f"_{kind}") for kind in ("general", "removed")])
-    more = written(more.withColumnRenamed("copy", "_more_copy"))
+    path = shared_path(docs.sparkSession, "revealing")
+    with scratch(docs.sparkSession):  # the tables in between go when the words to mark are written
+        _to_mark(rows, docs, text_col).write.parquet(path)
+    more = docs.sparkSession.read.parquet(path)
 
     def marked(t: Column, spans: Column) -> Column:
         terms = F.concat("_general", "_removed")
@@ -204,9 +227,15 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def sanitised(docs: DataFrame, text_col: str = "text", size_col: str | None = None) -> DataFrame:
-    """``docs`` with its texts masked; ``size_col``, if there, gets the new number of characters. Null texts stay null."""
-    rows = found(docs, docs.columns, text_col)
-    rows = rows.withColumn(text_col, masked(F.col(f"`{text_col}`"), F.col("_spans")))
-    if size_col in docs.columns:
-        rows = rows.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
-    return rows.select(*[f"`{c}`" for c in docs.columns])
+    """``docs`` with its texts masked; ``size_col``, if there, gets the new number of characters.
+
+    Null texts stay null, empty ones empty; repeated rows are masked alike. Columns may have
+    any name. An empty table stays empty.
+    """
+    plain, names = numbered(docs)
+    text = f"n{names.index(text_col)}"
+    rows = found(plain, plain.columns, text)
+    rows = rows.withColumn(text, masked(F.col(text), F.col("_spans")))
+    if size_col in names:
+        rows = rows.withColumn(f"n{names.index(size_col)}", F.length(text).cast(docs.schema[size_col].dataType))
+    return renamed(rows, names)
