@@ -251,14 +251,23 @@ def _shared(x: str, y: str, share: tuple[int, int]) -> str:
 
 
 def _fits(x: str, y: str, share: tuple[int, int]) -> str:
-    """SQL: the sizes allow a link, and so do the places of a shingle that is among the first ``SHARED`` common ones."""
+    """SQL: the sizes allow a link, and so do the places of a shingle that is among the first ``SHARED`` common ones.
+
+    Before it lie fewer than ``SHARED`` common shingles, and no more than either set has there.
+    """
     top, whole = share
     return (
         f"{whole} * {x}.n >= {top} * {y}.n and {whole} * {y}.n >= {top} * {x}.n and "
-        f"{SHARED} + least({x}.n - {x}.pos, {y}.n - {y}.pos) - 1 >= ceil({top} * ({x}.n + {y}.n) / {whole + top}D)"
+        f"least({SHARED - 1}, {x}.pos, {y}.pos) + least({x}.n - {x}.pos, {y}.n - {y}.pos) >= ceil({top} * ({x}.n + {y}.n) / {whole + top}D)"
     )
 
 
+def _links_at_all(share: tuple[int, int]) -> str:
+    """SQL: a set of n elements may link with another one, at best with one that has a single element more."""
+    top, whole = share
+    return f"n * {whole - top} >= {top}"
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3,
                        share: tuple[int, int] = (90, 100), rank_bits: int = RANK_BITS) -> DataFrame:
     """Components of documents whose shingle sets link: ``share[1]`` * intersection >= ``share[0]`` * union.
@@ -291,12 +300,14 @@ def _components(source: DataFrame, size: int, share: tuple[int, int], rank_bits:
     spark = source.sparkSession
     table = rank_table(source, size, rank_bits)
     ranks = spark.sparkContext.broadcast(table)  # 4 * 2**rank_bits bytes
-    keys = written(_keys(source, size, share, ranks, rank_bits))
+    # Rare shingles are most of the data: only those of the classes are stored, for one more reading of the texts.
+    found = _keys(source, size, share, ranks, rank_bits)
+    keys = written(found.select("id", "n", "mark"))
     classes = written(
-        keys.where("n > 0").groupBy("mark").agg(F.min("id").alias("id"), F.max("n").cast("int").alias("n"), F.first("rare").alias("rare"))
+        found.where("n > 0").groupBy("mark").agg(F.min("id").alias("id"), F.max("n").cast("int").alias("n"), F.first("rare").alias("rare"))
         .withColumn("set", F.monotonically_increasing_id())
     )
-    places = classes.select(F.posexplode("rare").alias("pos", "token"), "set", "n")
+    places = classes.where(_links_at_all(share)).select(F.posexplode("rare").alias("pos", "token"), "set", "n")
     # The pivot of a shingle is a set that has few rarer ones, so the plainest of near copies.
     tokens = written(places.groupBy("token").agg(F.count("*").alias("sets"), F.min(F.struct("pos", "set")).alias("p")).where("sets > 1").select("token", F.col("p.set").alias("pivot")))
     met = written(places.join(tokens, "token"))
@@ -312,8 +323,9 @@ def _components(source: DataFrame, size: int, share: tuple[int, int], rank_bits:
     links = _links(first, _own_texts(source, classes, first, size, ranks, rank_bits), size, share, ranks, rank_bits)
     label = components(written(links))
 
-    held = written(met.select("token", "set", "n", "pos").join(label, met["set"] == label["node"], "left").select("token", "set", "n", "pos", F.coalesce("label", "set").alias("label")))
-    mixed = written(
+    # Planned together with what follows, so that the links' shuffle serves both.
+    held = met.select("token", "set", "n", "pos").join(label, met["set"] == label["node"], "left").select("token", "set", "n", "pos", F.coalesce("label", "set").alias("label"))
+    mixed = (
         held.groupBy("token", "label").agg(F.count("*").alias("sets"))
         .groupBy("token").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("sets", "label")).alias("main")).where("labels > 1").select("token", "main")
     )
