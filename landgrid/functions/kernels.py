@@ -61,6 +61,53 @@ def _row_extreme(values: np.ndarray, starts: np.ndarray, best) -> np.ndarray:
     return out
 
 
+def _meetings(left, right, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a left and a right edge of one row whose x ranges meet, each once, in blocks.
+
+    A side is (row, lowest x, highest x) of its edges. The range that both sides of a row
+    cover is cut into strips about as wide as its mean edge, so an edge lies in few strips,
+    and edges meet where they share one: the pairs follow the edges and what they cross, not
+    the product of the two shapes. A pair counts in the strip where its common part begins.
+    """
+    sides = (left, right)
+    starts = [_starts(row, n) for row, _, _ in sides]
+    low = np.maximum(*[_row_extreme(lo, at, np.minimum) for (_, lo, _), at in zip(sides, starts, strict=True)])
+    high = np.minimum(*[_row_extreme(hi, at, np.maximum) for (_, _, hi), at in zip(sides, starts, strict=True)])
+    kept = [np.flatnonzero((hi >= low[row]) & (lo <= high[row])) for row, lo, hi in sides]
+    many = sum(np.bincount(row[k], minlength=n) for (row, _, _), k in zip(sides, kept, strict=True))
+    extent = sum(
+        np.bincount(row[k], np.minimum(hi[k], high[row[k]]) - np.maximum(lo[k], low[row[k]]), minlength=n)
+        for (row, lo, hi), k in zip(sides, kept, strict=True)
+    )
+    span = np.maximum(high - low, 0.0)
+    strips = np.where(extent > 0, span * many / np.where(extent > 0, extent, 1.0), 1.0)
+    strips = np.clip(np.floor(np.minimum(strips, many / 8)), 1, None).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(strips)])
+    scale = np.where(span > 0, strips / np.where(span > 0, span, 1.0), 0.0)
+
+    def strip(row: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return base[row] + np.clip((x - low[row]) * scale[row], 0, strips[row] - 1).astype(np.int64)
+
+    spread = []
+    for (row, lo, hi), k in zip(sides, kept, strict=True):
+        first, last = strip(row[k], lo[k]), strip(row[k], hi[k])
+        count = last - first + 1
+        edge = np.repeat(k, count)
+        key = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(edge))
+        order = np.argsort(key, kind="stable")
+        spread.append((key[order], edge[order]))
+    (key, edge), (other_key, other) = spread
+    begin = np.searchsorted(other_key, key)
+    ends = np.concatenate([[0], np.cumsum(np.searchsorted(other_key, key, side="right") - begin)])
+    for start in range(0, int(ends[-1]), PAIR_BUDGET):
+        place = np.arange(start, min(start + PAIR_BUDGET, int(ends[-1])))
+        at = np.searchsorted(ends, place, side="right") - 1
+        i, j = edge[at], other[begin[at] + place - ends[at]]
+        common = np.maximum(left[1][i], right[1][j])
+        meets = (common <= np.minimum(left[2][i], right[2][j])) & (strip(left[0][i], common) == key[at])
+        yield i[meets], j[meets]
+
+
 def shared_areas(left: pa.Array, right: pa.Array) -> np.ndarray:
     """Plane area common to the two polygons of every row.
 
@@ -69,12 +116,13 @@ def shared_areas(left: pa.Array, right: pa.Array) -> np.ndarray:
     below both. That holds for holes, many parts and concave shapes alike.
     """
     n = len(left)
-    sides = []
+    sides, ranges = [], []
     for column in (left, right):
         row, *xy = _edges(column)
         slanted = xy[0] != xy[2]
-        xy = [v[slanted] for v in xy]
-        sides.append((xy, _starts(row[slanted], n)))
+        row, xy = row[slanted], [v[slanted] for v in xy]
+        sides.append((xy, _starts(row, n)))
+        ranges.append((row, np.minimum(xy[0], xy[2]), np.maximum(xy[0], xy[2])))
     (a, sa), (b, sb) = sides
     floor = np.minimum(_row_extreme(a[1], sa, np.minimum), _row_extreme(b[1], sb, np.minimum))
     spread = np.minimum(
@@ -84,17 +132,9 @@ def shared_areas(left: pa.Array, right: pa.Array) -> np.ndarray:
             for e, s in sides
         ]
     )
-    count_b = np.diff(sb)
-    pairs = np.diff(sa) * count_b
-    ends = np.concatenate([[0], np.cumsum(pairs)])
     out = np.zeros(n)
-    # Pairs of all rows form one long list that is worked off in equal blocks.
-    for start in range(0, int(ends[-1]), PAIR_BUDGET):
-        place = np.arange(start, min(start + PAIR_BUDGET, int(ends[-1])))
-        row = np.searchsorted(ends, place, side="right") - 1
-        inside = place - ends[row]
-        i = sa[row] + inside // count_b[row]
-        j = sb[row] + inside % count_b[row]
+    for i, j in _meetings(*ranges, n):
+        row = ranges[0][0][i]
         out += np.bincount(row, _below_both(a, b, i, j, floor[row]), minlength=n)
     # Polygons that only touch leave a rounding rest of the summed strips.
     out[out < REST * spread] = 0.0
@@ -108,41 +148,57 @@ def overlap_area(left: pa.Array, right: pa.Array) -> pa.Array:
     return pa.array(shared_areas(left, right), mask=missing)
 
 
-def _crossing_pairs(x1, y1, x2, y2) -> bool:
-    """TRUE when two edges that share no end cross each other."""
-    n = len(x1)
-    step = max(1, PAIR_BUDGET // max(n, 1))
+def border_pairs(boxes: np.ndarray, polygons: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each row whether an edge of the polygon comes into the box, and whether the box's corner is inside.
+
+    Without such an edge the whole box is on the corner's side. Boxes are xmin, ymin, xmax, ymax.
+    """
+    n = len(polygons)
+    row, x1, y1, x2, y2 = _edges(polygons)
+    xmin, ymin, xmax, ymax = (boxes[row, k] for k in range(4))
+    enters = (np.minimum(x1, x2) <= xmax) & (np.maximum(x1, x2) >= xmin) & (np.minimum(y1, y2) <= ymax) & (np.maximum(y1, y2) >= ymin)
+    border = np.bincount(row[enters], minlength=n) > 0
+    above = ((y1 > ymin) != (y2 > ymin)) & ~border[row]
+    k = np.flatnonzero(above)
+    right = xmin[k] < x1[k] + (ymin[k] - y1[k]) / (y2[k] - y1[k]) * (x2[k] - x1[k])
+    return border, np.bincount(row[k[right]], minlength=n) % 2 == 1
+
+
+@F.arrow_udf(T.DoubleType())
+def settled_area(left: pa.Array, left_area: pa.Array, left_box: pa.Array, right: pa.Array) -> pa.Array:
+    """Common area of two polygons: the left one's own where it lies inside, and intersected only at a border."""
+    boxes = np.stack([side.to_numpy(zero_copy_only=False) for side in left_box.flatten()], axis=1)
+    border, inside = border_pairs(boxes, right)
+    out = np.where(inside, left_area.to_numpy(zero_copy_only=False), 0.0)
+    some = np.flatnonzero(border)
+    if len(some):
+        out[some] = shared_areas(left.take(pa.array(some)), right.take(pa.array(some)))
+    return pa.array(out)
+
+
+def crossing_rows(row: np.ndarray, x1, y1, x2, y2, n: int) -> np.ndarray:
+    """For each of ``n`` rows whether two of its edges cross each other inside."""
 
     def side(px, py, qx, qy, rx, ry):
         return np.sign((qx - px) * (ry - py) - (qy - py) * (rx - px))
 
-    for start in range(0, n, step):
-        i = np.arange(start, min(start + step, n))[:, None]
-        j = np.arange(n)[None, :]
-        near = (
-            (np.minimum(x1[i], x2[i]) <= np.maximum(x1[j], x2[j]))
-            & (np.minimum(x1[j], x2[j]) <= np.maximum(x1[i], x2[i]))
-            & (np.minimum(y1[i], y2[i]) <= np.maximum(y1[j], y2[j]))
-            & (np.minimum(y1[j], y2[j]) <= np.maximum(y1[i], y2[i]))
-            & (j > i)
-        )
-        p, q = np.nonzero(near)
-        p = p + start
+    edges = row, np.minimum(x1, x2), np.maximum(x1, x2)
+    found = np.zeros(n, bool)
+    for p, q in _meetings(edges, edges, n):
+        some = (p < q) & ~found[row[p]]
+        p, q = p[some], q[some]
+        near = (np.minimum(y1[p], y2[p]) <= np.maximum(y1[q], y2[q])) & (np.minimum(y1[q], y2[q]) <= np.maximum(y1[p], y2[p]))
+        p, q = p[near], q[near]
         a = side(x1[p], y1[p], x2[p], y2[p], x1[q], y1[q]) * side(x1[p], y1[p], x2[p], y2[p], x2[q], y2[q])
         b = side(x1[q], y1[q], x2[q], y2[q], x1[p], y1[p]) * side(x1[q], y1[q], x2[q], y2[q], x2[p], y2[p])
-        if np.any((a < 0) & (b < 0)):
-            return True
-    return False
+        found[row[p[(a < 0) & (b < 0)]]] = True
+    return found
 
 
 @F.arrow_udf(T.BooleanType())
 def self_crossing(polygons: pa.Array) -> pa.Array:
     """TRUE when any two edges of a polygon cross; NULL for NULL."""
-    row, *xy = _edges(polygons)
-    starts = _starts(row, len(polygons))
-    found = [
-        _crossing_pairs(*(v[starts[k]:starts[k + 1]] for v in xy)) for k in range(len(polygons))
-    ]
+    found = crossing_rows(*_edges(polygons), len(polygons))
     return pa.array(found, pa.bool_(), mask=np.asarray(polygons.is_null()))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landgrid.functions import geo, hexgrid
 from landgrid.functions.normalize import road_access
+from landgrid.operators import overlays as overlays_of
 from landgrid.operators import spatial
 from landgrid.operators.ranking import grouped_percentiles
 from landgrid.session import cut_lineage
@@ -96,11 +97,11 @@ def facilities(schools: DataFrame, health: DataFrame, pois: DataFrame) -> DataFr
 def overlay_shares(shapes: DataFrame, overlays: DataFrame, key: str, rings: str) -> DataFrame:
     """Share of each shape under each overlay source: ``layer, layer_key, source_id, pct``.
 
-    Pieces of one source are added up and capped at one hundred. ``overlays``
+    Large shapes are cut into pieces; pieces of one source are added up and capped at one hundred. ``overlays``
     has ``piece_id, source_id, layer, layer_key, level, level_rank, o_rings``.
     """
     s = shapes.select(key, rings).withColumn("_area", geo.area(F.col(rings)))
-    pairs = spatial.polygon_overlaps(s, overlays, key, rings, "o_rings")
+    pairs = overlays_of.piece_overlaps(s, overlays, rings, "o_rings")
     grouped = pairs.groupBy(key, "layer", "layer_key", "source_id", "level", "level_rank").agg(
         F.sum("overlap").alias("_o"), F.first("_area").alias("_a")
     )

@@ -14,6 +14,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -415,25 +417,40 @@ def line_segments(df: DataFrame, line: str, longest_deg: float = 0.05, name: str
 
 
 def subdivide(df: DataFrame, rings: str, limit: int = 128) -> DataFrame:
-    """Polygons cut into pieces of at most ``limit`` points; adds ``piece``."""
+    """Polygons cut into pieces of at most ``limit`` points; adds ``piece``.
+
+    Points stay in arrays: a batch is cut shape by shape, and its other columns are taken by
+    row number. Rows without rings have no pieces.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField("piece", T.IntegerType())])
-    names = df.columns
+    at = df.columns.index(rings)
 
     def cut(batches):
         for batch in batches:
-            rows = []
-            for record in batch.to_dict("records"):
-                shape = record[rings]
-                if shape is None:
-                    continue
-                arrays = [np.array([(p["x"], p["y"]) for p in ring]) for ring in shape if len(ring) >= 4]
-                for number, piece in enumerate(halve(arrays, limit) if arrays else []):
-                    polygon = [[{"x": float(px), "y": float(py)} for px, py in ring] for ring in piece]
-                    rows.append({**record, rings: polygon, "piece": number})
-            if rows:
-                yield pd.DataFrame(rows, columns=[*names, "piece"])
-
-    return df.mapInPandas(cut, schema)
+            polygons = batch.column(at)
+            inner = polygons.flatten()
+            first_ring = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(polygons), 0))]).astype(int)
+            first_point = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(inner), 0))]).astype(int)
+            xy = np.stack([c.to_numpy(zero_copy_only=False) for c in inner.flatten().flatten()], axis=1)
+            rows, numbers, rings_in, points = [], [], [], [np.zeros((0, 2))]
+            for row in range(batch.num_rows):
+                own = range(first_ring[row], first_ring[row + 1])
+                shape = [xy[first_point[r] : first_point[r + 1]] for r in own if first_point[r + 1] - first_point[r] >= 4]
+                for number, piece in enumerate(halve(shape, limit) if shape else []):
+                    rows.append(row)
+                    numbers.append(number)
+                    rings_in.append(len(piece))
+                    points += piece
+            points_in = [len(p) for p in points[1:]]
+            flat = np.concatenate(points)
+            corners = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["x", "y"])
+            closed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(points_in)]).astype(np.int32)), corners)
+            shapes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rings_in)]).astype(np.int32)), closed)
+            taken = batch.take(pa.array(rows, pa.int64()))
+            columns = [shapes if k == at else c for k, c in enumerate(taken.columns)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers, pa.int32())], names=schema.names)
+
+    return df.mapInArrow(cut, schema)
 
 
 def convex_hulls(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
