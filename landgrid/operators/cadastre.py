@@ -1,8 +1,9 @@
 """Cadastre layers: parcels, buildings, hierarchy, perimeters, streets and address points.
 
 A code that comes in several polygons keeps one row per polygon in the parts
-table. The parcel table has one row per code with sums over its parts, so a
-code repeated any number of times is only ever added up, never collected.
+table. The parcel table has one row per code with sums over its parts and the
+shape that they make together. A shape of more points than a row may hold
+stays out of that row and comes from ``multipart`` over the parts, in several.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from landgrid.functions import codes, geo, hexgrid
 from landgrid.functions.text import fold
 from landgrid.operators.ingest import optional
+from landgrid.operators.shapes import MOST_POINTS, gathered_rings, with_pieces
 
 # Texts that say there is no address, and the start of one that is usable.
 NO_ADDRESS = ["NS", "N/S", "SN", "S/N", "SIN NOMENCLATURA", ".", "-"]
@@ -34,9 +36,18 @@ def parcel_parts(raw: DataFrame) -> DataFrame:
     return parts.withColumn("part_area_m2", geo.area(geo.project_rings(F.col("rings"))))
 
 
-def parcels(raw: DataFrame, zone: str, cut_date: str) -> DataFrame:
-    """One row per code with the segments of the code, sums and the largest part's centre."""
-    p = parcel_parts(raw)
+def _whole_shape(size: Column) -> Column:
+    """Aggregate over ``with_pieces``: the shape of a code; NULL where it takes several rows."""
+    return F.when(F.max("pieces") == 1, gathered_rings("rings", size, F.col("pieces") == 1)).alias("rings")
+
+
+def parcels(raw: DataFrame, zone: str, cut_date: str, most_points: int = MOST_POINTS) -> DataFrame:
+    """One row per code with the segments of the code, sums, the largest part's centre and the shape.
+
+    ``rings`` holds all parts, the largest first. It is NULL where they have more than ``most_points``
+    points; ``shapes.multipart(parcel_parts(raw), ["npn"])`` gives those in ``shape_rows`` rows.
+    """
+    p = with_pieces(parcel_parts(raw), ["npn"], most_points=most_points)
     size = F.col("part_area_m2")
     grouped = p.groupBy("npn").agg(
         F.min(blank(optional(raw, "codigo_anterior"))).alias("npn_old"),
@@ -44,6 +55,7 @@ def parcels(raw: DataFrame, zone: str, cut_date: str) -> DataFrame:
         F.round(F.sum(size), 2).alias("area_m2"),
         F.max(optional(raw, "numero_subterraneos", "int")).alias("basements"),
         F.max_by(geo.point_on_surface(F.col("rings")), size).alias("place"),
+        F.max("pieces").alias("shape_rows"), _whole_shape(size),
     )
     seg = codes.parts(F.col("npn"))
     out = grouped.select(
@@ -52,15 +64,15 @@ def parcels(raw: DataFrame, zone: str, cut_date: str) -> DataFrame:
         F.lit(zone).alias("zone"),
         *[seg[name].alias(f"{name}_code") for name in ("sector", "commune", "neighborhood", "block", "parcel", "condition", "building", "floor", "unit")],
         codes.is_unit(F.col("npn")).alias("is_ph"), codes.matrix_code(F.col("npn")).alias("matrix_npn"),
-        "area_m2", "parts", "basements", "place", F.lit(cut_date).cast("date").alias("valid_from"),
+        "area_m2", "parts", "basements", "place", "rings", "shape_rows", F.lit(cut_date).cast("date").alias("valid_from"),
     )
     at = lambda level: hexgrid.point_to_cell(F.col("place.x"), F.col("place.y"), level)
     return out.withColumns({"cell_r8": at(8), "cell_r9": at(9)})
 
 
 def parcel_load_report(raw: DataFrame) -> DataFrame:
-    """Rows read, skipped by reason and merged, in one row."""
-    code, has_shape = F.trim("codigo"), F.col("rings").isNotNull() & (F.size("rings") > 0)
+    """Rows read, skipped by reason and merged, in one row; a shape of which cleaning leaves nothing is none."""
+    code, has_shape = F.trim("codigo"), geo.clean_polygon(F.col("rings")).isNotNull()
     good = codes.is_code(code) & has_shape
     return raw.agg(
         F.count(F.lit(1)).alias("source_rows"),
@@ -85,16 +97,17 @@ def buildings(raw: DataFrame) -> DataFrame:
     ).where("rings is not null")
 
 
-def hierarchy(raw: DataFrame) -> DataFrame:
-    """Blocks, neighbourhoods, sectors or veredas: one row per municipality and code."""
+def hierarchy(raw: DataFrame, most_points: int = MOST_POINTS) -> DataFrame:
+    """Blocks, neighbourhoods, sectors or veredas: one row per municipality and code, with sums and the shape as in ``parcels``."""
     muni = F.coalesce(blank(optional(raw, "codigo_municipio")), F.substring("codigo", 1, 5))
-    kept = raw.where(blank(F.col("codigo")).isNotNull() & F.col("rings").isNotNull())
-    kept = kept.select(
+    kept = raw.where(blank(F.col("codigo")).isNotNull()).select(
         muni.alias("muni_code"), F.trim("codigo").alias("code"), blank(optional(raw, "nombre")).alias("name"),
-        geo.area(geo.project_rings(F.col("rings"))).alias("size"),
-    ).where(F.col("muni_code").rlike(FIVE_DIGITS))
-    return kept.groupBy("muni_code", "code").agg(
-        F.min("name").alias("name"), F.count(F.lit(1)).alias("parts"), F.round(F.sum("size"), 2).alias("area_m2")
+        geo.clean_polygon(F.col("rings")).alias("rings"),
+    ).where(F.col("muni_code").rlike(FIVE_DIGITS) & F.col("rings").isNotNull())
+    sized = kept.withColumn("size", geo.area(geo.project_rings(F.col("rings"))))
+    return with_pieces(sized, ["muni_code", "code"], most_points=most_points).groupBy("muni_code", "code").agg(
+        F.min("name").alias("name"), F.count(F.lit(1)).alias("parts"), F.round(F.sum("size"), 2).alias("area_m2"),
+        F.max("pieces").alias("shape_rows"), _whole_shape(F.col("size")),
     )
 
 

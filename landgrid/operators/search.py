@@ -15,23 +15,78 @@ from landgrid.session import cut_lineage
 
 TEXT_SIMILARITY = 0.25
 ADDRESS_SIMILARITY = 0.30
-MOST_RESULTS = 50
+
+
+#: What every row of the index has; a source may leave out the places.
+INDEX = ["kind", "ref", "label", "context", "rank"]
+PLACED = {"muni_code": "string", "dept_code": "string", "place": "struct<x: double, y: double>"}
 
 
 def build_index(sources: list[DataFrame]) -> DataFrame:
-    """One search index of ``kind, ref, label, context, rank``; the first source of a (kind, ref) wins.
+    """One search index of ``kind, ref, label, context, rank, muni_code, dept_code, place``; the first source of a (kind, ref) wins.
 
-    Sources come in order of preference; within one source the least label wins.
+    Sources come in order of preference; within one source the least label wins, then the least
+    context. A row without a label cannot be found and is left out.
     """
     tagged = [
-        s.select("kind", "ref", "label", "context", "rank", F.lit(i).alias("_source")) for i, s in enumerate(sources)
+        s.select(*INDEX, *[(F.col(c) if c in s.columns else F.lit(None)).cast(kind).alias(c) for c, kind in PLACED.items()], F.lit(i).alias("_source"))
+        for i, s in enumerate(sources)
     ]
-    union = reduce(lambda a, b: a.unionByName(b), tagged)
-    row = F.struct("label", "context", "rank")
-    picked = union.groupBy("kind", "ref").agg(F.min_by(row, F.struct("_source", "label")).alias("r"))
+    union = reduce(lambda a, b: a.unionByName(b), tagged).where("label is not null")
+    row = F.struct("label", "context", "rank", *PLACED)
+    picked = union.groupBy("kind", "ref").agg(F.min_by(row, F.struct("_source", "label", "context")).alias("r"))
     return picked.select("kind", "ref", "r.*").withColumn("label_fold", fold(F.col("label")))
 
 
+def _source(rows: DataFrame, kind: str, ref: Column, label: str, context: Column, **placed: Column) -> DataFrame:
+    rank = F.lit(RANKS[kind])
+    return rows.select(F.lit(kind).alias("kind"), ref.cast("string").alias("ref"), F.col(label).alias("label"), context.alias("context"), rank.alias("rank"),
+                       *[column.alias(name) for name, column in placed.items()])
+
+
+# The order of the kinds among equally similar names, and what the context says of them.
+RANKS = {"department": 10, "municipality": 20, "neighborhood": 40, "vereda": 45, "populated_place": 50, "toponym": 60, "protected_area": 70, "school": 80, "health_facility": 85}
+DEPARTMENT, TOPONYM, PROTECTED, UNKNOWN = "Departamento", "Nombre geográfico", "Área protegida", "municipio no determinado"
+PREFIXES = {"neighborhood": "", "vereda": "Vereda · ", "school": "Establecimiento educativo · ", "health_facility": "Prestador de salud · "}
+
+
+def place_sources(
+    departments: DataFrame, municipalities: DataFrame, neighborhoods: DataFrame, veredas: DataFrame, populated_places: DataFrame,
+    toponyms: DataFrame, protected_areas: DataFrame, schools: DataFrame, health_facilities: DataFrame,
+) -> list[DataFrame]:
+    """The nine sources of the index, shaped from the rows of the active cuts.
+
+    All have ``name`` and ``place``; departments ``dept_code``; municipalities ``muni_code, dept_code``;
+    neighbourhoods and veredas ``muni_code, code``; the others ``id`` and, but for protected areas,
+    ``muni_code``; populated places ``kind``, toponyms and protected areas ``category``.
+
+    A neighbourhood, vereda or facility needs a place, a neighbourhood, vereda or populated place a
+    known municipality; a facility of an unknown one says so. Names of municipalities come by a
+    join whose right side has one row each.
+    """
+    of_dept = departments.select("dept_code", F.col("name").alias("_dept"))
+    of_muni = municipalities.join(of_dept, "dept_code").select("muni_code", "dept_code", F.col("name").alias("_muni"), "_dept")
+    both = F.concat_ws(", ", "_muni", "_dept")
+    place = F.col("place")
+    at = {"muni_code": F.col("muni_code"), "dept_code": F.col("dept_code"), "place": place}
+    out = [
+        _source(departments, "department", F.col("dept_code"), "name", F.lit(DEPARTMENT), dept_code=F.col("dept_code"), place=place),
+        _source(municipalities.join(of_dept, "dept_code"), "municipality", F.col("muni_code"), "name", F.col("_dept"), **at),
+    ]
+    for kind, rows in (("neighborhood", neighborhoods), ("vereda", veredas)):
+        known = rows.where("place is not null").select("muni_code", "code", "name", "place").join(of_muni, "muni_code")
+        out.append(_source(known, kind, F.concat_ws(":", "muni_code", "code"), "name", F.concat(F.lit(PREFIXES[kind]), both), **at))
+    settled = populated_places.select("id", "kind", "name", "muni_code", "place").join(of_muni, "muni_code")
+    out.append(_source(settled, "populated_place", F.col("id"), "name", F.concat_ws(" · ", F.initcap(F.replace("kind", F.lit("_"), F.lit(" "))), "_muni"), **at))
+    out.append(_source(toponyms, "toponym", F.col("id"), "name", F.coalesce("category", F.lit(TOPONYM)), muni_code=F.col("muni_code"), place=place))
+    out.append(_source(protected_areas, "protected_area", F.col("id"), "name", F.coalesce("category", F.lit(PROTECTED)), place=place))
+    for kind, rows in (("school", schools), ("health_facility", health_facilities)):
+        placed = rows.where("place is not null").select("id", "name", "muni_code", "place").join(of_muni.select("muni_code", "_muni"), "muni_code", "left")
+        context = F.concat(F.lit(PREFIXES[kind]), F.coalesce("_muni", F.lit(UNKNOWN)))
+        out.append(_source(placed, kind, F.col("id"), "name", context, muni_code=F.col("muni_code"), place=place))
+    return out
+
+
 def _rarest(texts: DataFrame, counts: DataFrame, same: list[str], text: str, grams: str, threshold: float) -> DataFrame:
     """One row per text and probe trigram: the rarest ``n - ceil(t n) + 1`` of its ``n`` trigrams.
 
@@ -105,27 +160,32 @@ def prefix_pairs(queries: DataFrame, index: DataFrame, query_id: str, index_id:
     return met.join(back, "_dt").select(query_id, index_id)
 
 
-def search_text(queries: DataFrame, index: DataFrame, query_id: str = "query_id", text: str = "text", limit: int = 10) -> DataFrame:
+def search_text(queries: DataFrame, index: DataFrame, query_id: str = "query_id", text: str = "text", limit: int = 10, muni: str | None = None) -> DataFrame:
     """Best index rows per query: prefix matches, then similarity, rank and label.
 
-    ``index`` comes from ``build_index`` and is keyed by ``kind, ref``.
+    ``index`` comes from ``build_index`` and is keyed by ``kind, ref``. ``muni`` names the column of
+    ``queries`` with the municipality to search in; NULL there searches everywhere.
     """
-    if not 0 < limit <= MOST_RESULTS:
+    if limit < 1:
         raise ValueError("bad limit")
     q = queries.select(query_id, fold(F.col(text)).alias("_needle"))
     keyed = index.withColumn("_key", F.struct("kind", "ref"))
     fuzzy = trigram_pairs(q, keyed, query_id, "_key", "_needle", "label_fold", TEXT_SIMILARITY).select(query_id, "_key", "similarity")
     prefix = prefix_pairs(q, keyed, query_id, "_key", "_needle", "label_fold").withColumn("_prefix", F.lit(True))
     pairs = fuzzy.join(prefix, [query_id, "_key"], "full_outer")
-    found = pairs.join(keyed, "_key").withColumn("is_prefix", F.coalesce("_prefix", F.lit(False)))
+    found = pairs.join(keyed, "_key")
+    if muni is not None:
+        asked = queries.select(query_id, F.col(muni).alias("_within"))
+        found = found.join(asked, query_id).where("_within is null or muni_code = _within").drop("_within")
+    found = found.withColumn("is_prefix", F.coalesce("_prefix", F.lit(False)))
     found = found.withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     order = Window.partitionBy(query_id).orderBy(
         F.col("is_prefix").desc(), F.col("similarity").desc(), "rank", "label", "kind", "ref"
     )
     return (
-        found.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= limit)
-        .select(query_id, "place", "kind", "ref", "label", "context", "similarity", "is_prefix")
+        found.withColumn("_nth", F.row_number().over(order))
+        .where(F.col("_nth") <= limit)
+        .select(query_id, F.col("_nth").alias("place"), "kind", "ref", "label", "context", "similarity", "is_prefix")
     )
 
 

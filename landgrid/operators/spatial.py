@@ -481,28 +481,3 @@ def convex_hulls(df: DataFrame, keys: list[str], x: str = "x", y: str = "y") ->
     rings = T.StructField("rings", T.ArrayType(T.ArrayType(point)))
     schema = T.StructType([*[df.schema[k] for k in keys], rings])
     return merged.groupBy(*keys).applyInPandas(close, schema)
-
-
-def dissolve_area(df: DataFrame, keys: list[str], rings: str) -> DataFrame:
-    """Outline of adjoining polygons by key: ``edges`` left and their ``area``.
-
-    Edges shared by two neighbours run in opposite directions and cancel out;
-    what stays is the outline of the union.
-    """
-    edges = (
-        df.select(*keys, F.explode(rings).alias("_ring"))
-        .select(*keys, F.explode(geo.segments(F.col("_ring"))).alias("e"))
-        .select(*keys, "e.*")
-    )
-    forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
-    one_way = edges.select(
-        *keys,
-        F.when(forward, F.col("x1")).otherwise(F.col("x2")).alias("x1"),
-        F.when(forward, F.col("y1")).otherwise(F.col("y2")).alias("y1"),
-        F.when(forward, F.col("x2")).otherwise(F.col("x1")).alias("x2"),
-        F.when(forward, F.col("y2")).otherwise(F.col("y1")).alias("y2"),
-        F.when(forward, 1).otherwise(-1).alias("turn"),
-    )
-    left = one_way.groupBy(*keys, "x1", "y1", "x2", "y2").agg(F.sum("turn").alias("turn")).where("turn <> 0")
-    cross = F.col("turn") * (F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")) / 2
-    return left.groupBy(*keys).agg(F.count(F.lit(1)).alias("edges"), F.sum(cross).alias("area"))

@@ -334,21 +334,32 @@ def _(t):
 
 
 def raw_parcels(t):
-    """Landed polygons: several per code, some without a valid code or shape."""
+    """Landed polygons: several per code, some with a hole, some without a valid code or shape."""
     p = t.parcel
     x, y, h = F.col("lng"), F.col("lat"), F.col("half")
     bad = F.col("parcel_key") % 19 == 0
+    shell, hole = geo.rectangle(x - h, y - h, x + h, y + h), geo.rectangle(x - h / 2, y - h / 2, x + h / 2, y + h / 2)
+    rings = F.when(F.col("parcel_key") % 3 == 0, F.concat(shell, hole)).otherwise(shell)
     return p.select(
         F.when(bad, F.substring("npn", 1, 12)).otherwise(F.concat(F.substring("npn", 1, 13), F.lit("00000000000000000"))).alias("codigo"),
-        "npn_old", F.when(F.col("parcel_key") % 23 != 0, geo.rectangle(x - h, y - h, x + h, y + h)).alias("rings"),
-        F.col("npn_old").alias("codigo_anterior"), (F.col("parcel_key") % 4).alias("numero_subterraneos"))
+        "npn_old", F.when(F.col("parcel_key") % 23 != 0, rings).alias("rings"),
+        F.col("npn_old").alias("codigo_anterior"), (F.col("parcel_key") % 4).alias("numero_subterraneos"), "npn", "economic_use")
 
 
-@query("cadastre_parcels", "C1 A18 P11", "parcel", """
-    select substr(npn, 1, 13) || '00000000000000000' as npn, min(npn_old) as npn_old, count(*) as parts, max(parcel_key % 4) as basements, substr(min(npn), 12, 2) as neighborhood_code
+SHAPE_SQL = """count(*) + count(*) filter (where parcel_key % 3 = 0) as n_rings, round(sum(case when parcel_key % 3 = 0 then 3 else 4 end * half * half), 7) as size,
+      round(min(lng - half), 6) as xmin, round(max(lat + half), 6) as ymax"""
+
+
+def _shape_columns():
+    box = geo.box(F.col("rings"))
+    return [F.size("rings").cast("bigint").alias("n_rings"), F.round(geo.area(F.col("rings")), 7).alias("size"), F.round(box["xmin"], 6).alias("xmin"), F.round(box["ymax"], 6).alias("ymax")]
+
+
+@query("cadastre_parcels", "C1 A18 P11", "parcel", f"""
+    select substr(npn, 1, 13) || '00000000000000000' as npn, min(npn_old) as npn_old, count(*) as parts, max(parcel_key % 4) as basements, substr(min(npn), 12, 2) as neighborhood_code, {SHAPE_SQL}
     from parcel where parcel_key % 19 <> 0 and parcel_key % 23 <> 0 group by substr(npn, 1, 13)""")
 def _(t):
-    return cadastre.parcels(raw_parcels(t), "01", "2024-01-01").select("npn", "npn_old", "parts", "basements", "neighborhood_code")
+    return cadastre.parcels(raw_parcels(t), "01", "2024-01-01").select("npn", "npn_old", "parts", "basements", "neighborhood_code", *_shape_columns())
 
 
 @query("cadastre_report", "C1", "parcel", """
@@ -368,11 +379,11 @@ def _(t):
     return cadastre.buildings(raw).select("parcel_npn", "floors", "building_ref")
 
 
-@query("cadastre_hierarchy", "C3 A18", "parcel", """
-    select muni_code, substr(npn, 1, 13) as code, min(economic_use) as name, count(*) as parts from parcel group by 1, 2""")
+@query("cadastre_hierarchy", "C3 A18", "parcel", f"""
+    select muni_code, substr(npn, 1, 13) as code, min(economic_use) as name, count(*) as parts, {SHAPE_SQL} from parcel where parcel_key % 23 <> 0 group by 1, 2""")
 def _(t):
-    raw = t.parcel.select(F.substring("npn", 1, 13).alias("codigo"), F.col("economic_use").alias("nombre"), geo.rectangle(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("rings"))
-    return cadastre.hierarchy(raw).drop("area_m2")
+    raw = raw_parcels(t).withColumns({"codigo": F.substring("npn", 1, 13), "nombre": F.col("economic_use")})
+    return cadastre.hierarchy(raw).select("muni_code", "code", "name", "parts", *_shape_columns())
 
 
 def raw_addresses(t):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from landgrid.functions import geo, hexgrid
-from landgrid.operators import areas, cells, parcels, spatial
+from landgrid.operators import areas, cells, parcels, shapes, spatial
 from landgrid.registry.base import lat, lng, query
 
 HAV = "2 * 6371008.8 * asin(least(sqrt(pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2)), 1))"
@@ -422,11 +422,22 @@ def rebuild(t):
 
 
 @query("dissolved_area", "A17", "", """
-    select q // 60 as grp, round(count(*) * 0.25, 6) as area from (select distinct cast(o_orderkey as bigint) // 120 as q, o_orderkey % 120 as r from orders) group by 1""")
+    with c as (select distinct cast(o_orderkey as bigint) // 120 as q, o_orderkey % 120 as r, (cast(o_orderkey as bigint) // 120) // 60 as grp from orders),
+    n as (select grp, count(*) as n from c group by 1),
+    h as (select a.grp, count(*) as n from c a join c b on b.grp = a.grp and b.q = a.q + 1 and b.r = a.r group by 1),
+    v as (select a.grp, count(*) as n from c a join c b on b.grp = a.grp and b.q = a.q and b.r = a.r + 1 group by 1),
+    f as (select a.grp, count(*) as n from c a join c b on b.grp = a.grp and b.q = a.q + 1 and b.r = a.r join c d on d.grp = a.grp and d.q = a.q and d.r = a.r + 1 join c e on e.grp = a.grp and e.q = a.q + 1 and e.r = a.r + 1 group by 1)
+    select n.grp, round(n.n * 0.25, 6) as area, round((4 * n.n - 2 * coalesce(h.n, 0) - 2 * coalesce(v.n, 0)) * 0.5, 6) as perimeter,
+      cast(n.n - coalesce(h.n, 0) - coalesce(v.n, 0) + coalesce(f.n, 0) as bigint) as shells_less_holes
+    from n left join h using (grp) left join v using (grp) left join f using (grp)""")
 def _(t):
     q, r = F.floor(F.col("o_orderkey") / 120), F.col("o_orderkey") % 120
     sq = t.orders.select(F.floor(q / 60).alias("grp"), geo.rectangle(q * 0.5, r * 0.5, q * 0.5 + 0.5, r * 0.5 + 0.5).alias("rings"))
-    return spatial.dissolve_area(sq, ["grp"], "rings").select("grp", F.round("area", 6).alias("area"))
+    shape = shapes.dissolve(sq, ["grp"])
+    side = F.expr("aggregate(transform(rings, g -> aggregate(sequence(2, size(g)), 0D, (s, k) -> s + sqrt(power(element_at(g, k).x - element_at(g, k - 1).x, 2) + power(element_at(g, k).y - element_at(g, k - 1).y, 2)))), 0D, (s, x) -> s + x)")
+    signs = F.aggregate(F.transform("rings", lambda g: F.when(geo.ring_signed_area(g) > 0, 1).otherwise(-1)), F.lit(0), lambda n, s: n + s)
+    one = shape.select("grp", geo.area(F.col("rings")).alias("area"), side.alias("perimeter"), signs.alias("signs"))
+    return one.groupBy("grp").agg(F.round(F.sum("area"), 6).alias("area"), F.round(F.sum("perimeter"), 6).alias("perimeter"), F.sum("signs").alias("shells_less_holes"))
 
 
 @query("parcel_hulls", "A19", "parcel", """

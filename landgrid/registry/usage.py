@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from landgrid.functions import address, text
+from landgrid.functions import address, geo, text
 from landgrid.operators import search, usage
 from landgrid.registry.base import pad, query
 from landgrid.session import ensure_checkpoint_dir
@@ -28,9 +28,40 @@ INDEX_SQL = """ix as (select 'municipality' as kind, muni_code as ref, muni_name
       union all select distinct 'place', p_name, p_name, 2 from part)"""
 
 
-@query("search_index", "U3 C13", "municipality", f"with {INDEX_SQL} select kind, ref, label, upper(label) as label_fold, rank from ix")
+NINE_SQL = """select 'department' as kind, dept_code as ref, dept_name as label, 'Departamento' as context, 10 as rank, null as muni_code, dept_code as dept_code from department
+    union all select 'municipality', muni_code, muni_name, dept_name, 20, muni_code, dept_code from m
+    union all select 'neighborhood', m.muni_code || ':' || npn, 'B ' || cast(o_orderkey as varchar), muni_name || ', ' || dept_name, 40, m.muni_code, m.dept_code from p join m on m.muni_code = p.muni_code where o_orderkey % 4 = 0 and o_orderkey % 12 <> 8 and o_orderkey % 5 <> 0
+    union all select 'vereda', m.muni_code || ':' || npn, 'B ' || cast(o_orderkey as varchar), 'Vereda · ' || muni_name || ', ' || dept_name, 45, m.muni_code, m.dept_code from p join m on m.muni_code = p.muni_code where o_orderkey % 4 = 1 and o_orderkey % 12 <> 5 and o_orderkey % 5 <> 0
+    union all select 'populated_place', cast(p_partkey as varchar), p_name, case p_partkey % 2 when 0 then 'Centro Poblado' else 'Caserio' end || ' · ' || muni_name, 50, x.muni_code, dept_code from x join m on m.muni_code = x.muni_code where p_partkey % 3 = 0
+    union all select 'toponym', cast(p_partkey as varchar), p_name, case when p_partkey % 2 = 0 then p_brand else 'Nombre geográfico' end, 60, muni_code, null from x where p_partkey % 3 = 1
+    union all select 'protected_area', cast(s_suppkey as varchar), s_name, case when s_suppkey % 2 = 0 then 'Parque' else 'Área protegida' end, 70, null, null from supplier
+    union all select 'school', cast(c_custkey as varchar), c_name, 'Establecimiento educativo · ' || coalesce(muni_name, 'municipio no determinado'), 80, y.muni_code, null from y left join m on m.muni_code = y.muni_code where c_custkey % 5 <> 0
+    union all select 'health_facility', cast(health_id as varchar), name, 'Prestador de salud · ' || coalesce(muni_name, 'municipio no determinado'), 85, health.muni_code, null from health left join m on m.muni_code = health.muni_code where f_lng is not null"""
+CODE = pad("{0} % 5 + 1", 2) + " || " + pad("{0} % 30 + 1", 3)
+
+
+@query("search_index", "U3 C13", "department municipality parcel health", f"""
+    with m as (select muni_code, muni_name, dept_code, dept_name from municipality join department using (dept_code)),
+    p as (select parcel_key as o_orderkey, npn, {CODE.format('parcel_key')} as muni_code from parcel), x as (select *, {CODE.format('p_partkey')} as muni_code from part), y as (select *, {CODE.format('c_custkey')} as muni_code from customer)
+    select *, upper(strip_accents(label)) as label_fold from ({NINE_SQL})""")
 def _(t):
-    return search.build_index(index_sources(t)).select("kind", "ref", "label", "label_fold", "rank")
+    named = lambda df, name: df.withColumn("name", F.col(name))
+    here = F.struct(F.lit(-74.0).alias("x"), F.lit(5.0).alias("y"))
+    munis, departments = named(t.municipality, "muni_name").withColumn("place", here), named(t.department, "dept_name").withColumn("place", here)
+    k = F.col("parcel_key")
+    label = F.when(k % 5 != 0, F.concat(F.lit("B "), k.cast("string")))
+    areas = t.parcel.withColumns({"muni_code": F.expr(CODE.format("parcel_key")), "code": F.col("npn"), "name": label})
+    # Some have no place, some no name, a third of the codes no municipality.
+    placed = lambda rest, none: areas.where(k % 4 == rest).withColumn("place", F.when(k % 12 != none, geo.point(F.col("lng"), F.col("lat"))))
+    part = t.part.withColumns({"muni_code": F.expr(CODE.format("p_partkey")), "id": F.col("p_partkey"), "name": F.col("p_name"), "place": here,
+                               "kind": F.when(F.col("p_partkey") % 2 == 0, "centro_poblado").otherwise("caserio"), "category": F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand"))})
+    areas_kept = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 2 == 0, "Parque").alias("category"), here.alias("place"))
+    schools = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.expr(CODE.format("c_custkey")).alias("muni_code"), F.when(F.col("c_custkey") % 5 != 0, here).alias("place"))
+    health = t.health.select(F.col("health_id").alias("id"), "name", "muni_code", F.when(F.col("f_lng").isNotNull(), geo.point(F.col("f_lng"), F.col("f_lat"))).alias("place"))
+    of = lambda rest: part.where(F.col("p_partkey") % 3 == rest)
+    sources = search.place_sources(departments, munis, placed(0, 8), placed(1, 5), of(0), of(1), areas_kept, schools, health)
+    # A second load of the same places changes nothing.
+    return search.build_index([*sources, *[s.withColumn("label", F.concat(F.lit("0"), F.col("label"))) for s in sources[:3]]]).drop("place")
 
 
 GRAMS = """(select distinct {key}, substr('  ' || w || ' ', i, 3) as g from (select {key}, unnest(string_split(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g'), ' ')) as w from {table}) x, range(1, 60) r(i) where w <> '' and i <= length(w) + 1)"""
