@@ -7,17 +7,19 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landgrid.llm import words
+from landgrid.llm.jaccard_join import RANK_BITS, bit_places, key_filter, rank_table
 from landgrid.llm.rows import with_arrow
 from landgrid.llm.shared import numbered, renamed, written
+from landgrid.operators.skew import salted_join
 
 WINDOW = 10
 #: Words of the shingles that windows and documents are first joined on.
 GRAM = 3
-#: Most benchmark windows that are broadcast, about 150 bytes each; more are joined by a shuffle.
+#: Most benchmark windows that are broadcast, about 150 bytes each; the prefixes of more are a table to join.
 BROADCAST_WINDOWS = 500_000
 _FIELDS = "n_words bigint, n_hit bigint, items array<string>"
 
@@ -198,41 +200,103 @@ def _count_words(column: pa.Array) -> list[pa.Array]:
     return [pa.array(np.concatenate([np.diff(_words(data, offsets)[1]) for _, _, data, offsets in words.chunks(column)]), pa.int64())]
 
 
-def _by_shuffle(docs: DataFrame, text_col: str, windows: DataFrame) -> DataFrame:
-    """The same result for any number of windows: document windows meet benchmark windows in a shuffle join."""
-    sizes = sorted(r[0] for r in windows.select("length").distinct().collect())  # 1 to the window's length
+def _prefixes(windows: DataFrame, ranks) -> DataFrame:
+    """(item, hash, length, gram, place): each window with its rarest shingle and where that stands."""
 
-    def add():
-        def made(column: pa.Array) -> list[pa.Array]:
-            counts, hashed = [], []
-            for first, last, data, offsets in words.chunks(column):
-                hashes, at = _words(data, offsets)
-                counts.append(np.diff(at))
-                hashed += [hashes[at[r] : at[r + 1]].view(np.int64).tolist() for r in range(last - first)]
-            return [pa.array(np.concatenate(counts), pa.int64()), pa.array(hashed, pa.list_(pa.int64()))]
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = ranks.value
+        for batch in batches:
+            lengths, grams, places = batch.column(2).to_pylist(), [], []
+            for length, own in zip(lengths, batch.column(3).to_pylist(), strict=True):
+                own = np.array(own, np.int64).view(np.uint64)
+                counts = tables[min(GRAM, length)][(own >> np.uint64(64 - RANK_BITS)).astype(np.int64)]
+                best = int(np.lexsort((own, counts))[0])
+                grams.append(int(own[best].view(np.int64)))
+                places.append(best)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(grams, pa.int64()), pa.array(places, pa.int32())], names=["item", "hash", "length", "gram", "place"])
 
-        return made
+    return windows.mapInArrow(pick, "item string, hash bigint, length int, gram bigint, place int")
 
-    kept = written(with_arrow(docs, text_col, add, "n_words bigint, words array<bigint>").withColumn("_row", F.monotonically_increasing_id()))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spots(texts: DataFrame, passing, sizes: list[int], longest: int) -> DataFrame:
+    """Places of (row, text) whose shingle may be a prefix, with the words that a window around it can have."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = passing.value
         for batch in batches:
-            for row, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.array(hashes, np.int64).view(np.uint64)
+            rows = batch.column(0).to_numpy()
+            for first, _, data, offsets in words.chunks(batch.column(1)):
+                hashes, at = _words(data, offsets)
                 for size in sizes:
-                    found = words.windows(own, size).view(np.int64)
-                    yield pa.RecordBatch.from_pydict({"row": pa.array(np.full(len(found), row), pa.int64()), "start": pa.array(np.arange(len(found)), pa.int64()), "length": pa.array(np.full(len(found), size), pa.int32()), "hash": pa.array(found, pa.int64())})
+                    grams = words.windows(hashes, size)
+                    pos = np.flatnonzero(np.logical_and.reduce([known[byte] & bit != 0 for byte, bit in bit_places(grams)]))
+                    row = np.searchsorted(at, pos, side="right") - 1
+                    fits = pos + size <= at[row + 1]
+                    pos, row = pos[fits], row[fits]
+                    low, high = np.maximum(at[row], pos - longest + size), np.minimum(at[row + 1], pos + longest)
+                    begins = np.concatenate([[0], np.cumsum(high - low)])
+                    flat = np.repeat(low - begins[:-1], high - low) + np.arange(begins[-1])
+                    near = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(hashes[flat].view(np.int64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(rows[first + row]), pa.array(grams[pos].view(np.int64)), pa.array(pos - at[row]), pa.array(at[row + 1] - pos), near, pa.array((pos - low).astype(np.int32))],
+                        names=["row", "gram", "before", "after", "near", "lead"],
+                    )
+
+    return texts.mapInArrow(find, "row bigint, gram bigint, before bigint, after bigint, near array<bigint>, lead int")
+
+
+def _verified(met: DataFrame) -> DataFrame:
+    """(row, start, length, hash) of the met windows all of whose words agree."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, start, length, hashed, first = (batch.column(k).to_numpy() for k in range(5))
+            near = batch.column(5)
+            values, begins = near.values.to_numpy().view(np.uint64), near.offsets.to_numpy()[:-1] + first
+            same = np.zeros(len(row), bool)
+            for size in np.unique(length):
+                own = np.flatnonzero(length == size)
+                total, factor = np.zeros(len(own), np.uint64), 1
+                for k in range(int(size)):
+                    factor = factor * words._BASE & ((1 << 64) - 1)
+                    total += values[begins[own] + k] * np.uint64(factor)
+                same[own] = words.mix(total + np.uint64(size)) == hashed[own].view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(row[same]), pa.array(start[same]), pa.array(length[same]), pa.array(hashed[same])], names=["row", "start", "length", "hash"])
+
+    columns = met.select("row", (F.col("before") - F.col("place")).alias("start"), "length", "hash", (F.col("lead") - F.col("place")).alias("first"), "near")
+    return columns.mapInArrow(compare, "row bigint, start bigint, length int, hash bigint")
+
 
-    spots = kept.select("_row", "_found.words").mapInArrow(cut, "row bigint, start bigint, length int, hash bigint")
-    known = windows.select("item", "hash", "length").distinct()
-    hits = written(spots.join(known, ["hash", "length"]))
-    items = hits.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    covered = hits.select("row", F.explode(F.expr("sequence(start, start + length - 1)")).alias("word")).distinct().groupBy("row").agg(F.count("*").alias("n_hit"))
-    sums = items.join(covered, "row").select(F.struct("row", "items", "n_hit").alias("_sums"))
-    out = kept.join(sums, F.col("_row") == F.col("_sums.row"), "left")
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("_found", "_row", "_sums")]
-    empty = F.expr("cast(array() as array<string>)")
-    return out.select(*own, F.struct(F.col("_found.n_words").alias("n_words"), F.coalesce("_sums.n_hit", F.lit(0)).alias("n_hit"), F.coalesce("_sums.items", empty).alias("items")).alias("_found"))
+def _by_join(docs: DataFrame, text_col: str, windows: DataFrame) -> DataFrame:
+    """The same search for any number of windows: prefixes are a table that the documents' shingles join.
+
+    Only tables of fixed size are broadcast: how often shingles are, and a filter of the prefixes,
+    which leaves few other shingles of the documents to shuffle. Those carry the words around them,
+    so the texts stay where they are.
+    """
+    context = docs.sparkSession.sparkContext
+    lengths = [r[0] for r in windows.select("length").distinct().collect()]  # 1 to the window's length
+    sizes = sorted({min(GRAM, n) for n in lengths})
+    plain, names = numbered(docs)
+    text = f"n{names.index(text_col)}"
+    texts = plain.select(F.col(text).cast("string").alias("text"))
+    prefixes = written(_prefixes(windows, context.broadcast({s: rank_table(texts, s, member=words.ALNUM) for s in sizes})))
+    prefix = written(prefixes.select("hash", "length", "gram", "place").distinct())
+    passing = context.broadcast(key_filter(prefix.select("gram")))
+    kept = written(with_arrow(plain, text, lambda: _count_words, "n_words bigint").withColumn("row", F.monotonically_increasing_id()))
+    spots = written(_spots(kept.select("row", F.col(text).cast("string")), passing, sizes, max(lengths, default=1)))
+    met = salted_join(spots, prefix, ["gram"], spread=["row", "before"]).where("before >= place and after >= length - place")
+    hits = written(_verified(met))
+    seen = hits.select("row", "hash", "length").distinct()
+    items = salted_join(seen, prefixes.select("item", "hash", "length").distinct(), ["hash", "length"], spread=["row"])
+    items = items.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    so_far = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    spans = hits.select("row", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
+    spans = spans.withColumn("from", F.greatest("start", F.coalesce(F.max("end").over(so_far), F.lit(0))))
+    covered = spans.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.col("from"))).alias("n_hit"))
+    out = kept.join(items.join(covered, "row"), "row", "left")
+    found = F.struct("_found.n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    return out.select(*[F.col(f"n{k}").alias(c) for k, c in enumerate(names) if c != "_found"], found.alias("_found"))
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
@@ -244,7 +308,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     window are ordered by how rare they are in all documents; documents meet it by its rarest
     shingle only, the place must leave room for the whole window, and then all its words are
     compared. Up to ``broadcast_windows`` windows are broadcast and each document is finished
-    where it is read; beyond that the windows are joined by a shuffle, with the same result.
+    where it is read; beyond that the same steps run as joins of tables, with the same result.
 
     Null and empty texts have no words and no hits; an item without words has no window; a null
     item id counts as an empty text. Repeated documents are marked alike, repeated items count
@@ -252,7 +316,7 @@ def marked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
     """
     windows = written(item_windows(benchmark, item_col, item_text_col, window))
     if windows.count() > broadcast_windows:
-        return _by_shuffle(docs, text_col, windows)
+        return _by_join(docs, text_col, windows)
     return _by_broadcast(docs, text_col, Windows(windows.collect()))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from landgrid.llm import words
 from landgrid.llm.components import components
-from landgrid.llm.shared import shared_path, written
+from landgrid.llm.shared import numbered, renamed, shared_path, text_key, written
 from landgrid.session import scratch
 
 #: Entries of the table that ranks shingles by rarity: 2 to this power, four bytes each.
@@ -68,7 +68,7 @@ def _added(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.minimum(x.astype(np.uint64) + y, 0xFFFFFFFF).astype(np.uint32)
 
 
-def rank_table(docs: DataFrame, size: int, bits: int = RANK_BITS) -> np.ndarray:
+def rank_table(docs: DataFrame, size: int, bits: int = RANK_BITS, member: np.ndarray = words.NOT_SPACE) -> np.ndarray:
     """How many shingles of all documents fall into each of 2**bits cells.
 
     The order (cell count, hash) is one and the same for all sets whatever the counts are,
@@ -76,13 +76,13 @@ def rank_table(docs: DataFrame, size: int, bits: int = RANK_BITS) -> np.ndarray:
     """
     def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
         for _, _, data, offsets in words.chunks(_texts(batch)):
-            hashes, _, _, _ = words.word_hashes(data, offsets)
+            hashes, _, _, _ = words.word_hashes(data, offsets, member)
             np.add.at(table, (words.windows(hashes, size) >> np.uint64(64 - bits)).astype(np.int64), 1)
 
     return _gathered(docs.select("text"), 1 << bits, np.uint32, fill, _added)
 
 
-def _bit_places(keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def bit_places(keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Byte and bit of each key in the filter, twice."""
     out = []
     for shift in (0, 32):
@@ -95,7 +95,7 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     """Bits that are set for every key (one bigint column); few others pass while the keys are fewer than the bits."""
 
     def fill(table: np.ndarray, batch: pa.RecordBatch) -> None:
-        for byte, bit in _bit_places(batch.column(0).to_numpy().view(np.uint64)):
+        for byte, bit in bit_places(batch.column(0).to_numpy().view(np.uint64)):
             np.bitwise_or.at(table, byte, bit)
 
     return _gathered(keys, 1 << (FILTER_BITS - 3), np.uint8, fill, np.bitwise_or)
@@ -355,15 +355,24 @@ def _components(source: DataFrame, size: int, share: tuple[int, int], rank_bits:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component: that with the least id. Of rows that repeat an id one stays.
+    """One row of each component: that with the least id, of equal ids the one whose text has the least MD5.
 
-    Rows with a null id cannot be told apart and all stay. Columns pass unchanged.
+    Every row is a document of its own, whatever its id: rows that share an id but not the text
+    are compared like others, and so are rows without an id, which come after all ids. Rows that
+    agree in id and text are one document, kept as one of them by a hash of all columns. Null and
+    empty texts have no shingles and are linked with nothing; very long ones are read whole.
+    Columns pass unchanged, under any names. An empty table gives an empty result.
     """
-    known = docs.where(docs[id_col].isNotNull())
-    found = jaccard_components(known, id_col, text_col, **options)
-    kept = written(found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct())
-    one = known.join(kept, known[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(docs[id_col].isNull()))
+    plain, names = numbered(docs)
+    id_at, text_at = (f"n{names.index(c)}" for c in (id_col, text_col))
+    of_row = F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"), text_key(F.col(text_at).cast("string")).alias("key"))
+    keyed = plain.withColumn("_one", of_row)
+    found = jaccard_components(keyed, "_one", text_at, **options)
+    kept = found.where(F.col("_one") == F.col("component_id")).select(F.struct("_one.none", F.col("_one.id").alias("id"), "_one.key").alias("_kept")).distinct()
+    own = keyed.join(kept, F.col("_one") == F.col("_kept"), "left_semi")
+    hashed = F.xxhash64(*[c for c, kind in plain.dtypes if "map<" not in kind and "variant" not in kind])
+    one = own.groupBy("_one").agg(F.min_by(F.struct(*plain.columns), hashed).alias("_row")).select("_row.*")
+    return renamed(one, names)
 
 
 def _own_texts(source: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, ranks, bits: int) -> DataFrame:
@@ -381,7 +390,7 @@ def _own_texts(source: DataFrame, classes: DataFrame, pairs: DataFrame, size: in
         table, known = ranks.value, passing.value
         for batch in batches:
             keys = batch.column(0).to_numpy().view(np.uint64)
-            maybe = np.logical_and.reduce([known[byte] & bit != 0 for byte, bit in _bit_places(keys)])
+            maybe = np.logical_and.reduce([known[byte] & bit != 0 for byte, bit in bit_places(keys)])
             texts = batch.column(1).filter(pa.array(maybe))
             marks = [hashlib.blake2b(_ordered(s, table, bits).tobytes(), digest_size=16).digest() for s in words.shingles(texts, size)]
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), texts.cast(pa.string())], names=["mark", "text"])

@@ -62,11 +62,15 @@ def test_one_of_each(spark):
     rng = random.Random(4)
     rows = [(k, t) for k, t in enumerate(texts(rng))]
     want = {i for i, v in plain.jaccard_components(rows, 5, (80, 100)).items() if v[1] == i}
-    docs = spark.createDataFrame([*rows, rows[12], (None, rows[12][1])], SCHEMA).withColumns({"set": F.lit("x"), "mark": F.lit(1), "n": F.lit(2)})
+    new = "words that no other text of all these has at all here"
+    more = [rows[12], (None, rows[12][1]), (rows[12][0], new), (None, new), (None, "alone " + new[::-1]), (3, None), (None, ""), (None, "")]
+    docs = spark.createDataFrame([*rows, *more], SCHEMA).withColumns({"set": F.lit("x"), "mark": F.lit(1), "n": F.lit(2), "_one": F.lit("mine")})
     kept = jaccard_join.one_of_each(docs, size=5, share=(80, 100), rank_bits=12)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    # Rows of one id are told apart by their texts, rows without an id take part; equal rows are one.
+    assert sorted(f for f in found if f in rows) == sorted(rows[i] for i in want)
+    assert sorted((f for f in found if f not in rows), key=str) == sorted([(rows[12][0], new), (None, "alone " + new[::-1]), (3, None), (None, "")], key=str)
 
 
 def test_components(spark):
@@ -117,6 +121,24 @@ def test_decontamination(spark, limit):
     assert clean == {i for i, v in plain.contamination(docs, items).items() if v[1] == 0}
 
 
+def test_decontamination_of_a_frequent_shingle(spark):
+    """Windows that share all but one word meet documents by that word; a place without room is no hit."""
+    common = "one two three four five six seven eight nine"
+    items = [(k, f"{common} rare{k}") for k in range(40)] + [(99, "tiny")]
+    docs = [(k, f"{common} other{k} " * 3) for k in range(200)] + [(500, f"a {common} rare7 b"), (501, "eight nine rare8"), (502, ""), (503, None), (504, f"{common} rare1 " * 2000 + "tiny")]
+    frame, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")
+    rows = decontaminate.marked(frame, bench, broadcast_windows=0).collect()
+    assert {r.doc_id: (r._found.n_words, r._found.n_hit, sorted(r._found["items"])) for r in rows} == plain.contamination(docs, items)
+    windows = decontaminate.item_windows(bench)
+    texts = frame.select("text")
+    ranks = spark.sparkContext.broadcast({s: jaccard_join.rank_table(texts, s, member=words.ALNUM) for s in (1, 3)})
+    prefixes = decontaminate._prefixes(windows, ranks)
+    assert {(r.length, r.place) for r in prefixes.select("length", "place").collect()} == {(10, 7), (1, 0)}
+    passing = spark.sparkContext.broadcast(jaccard_join.key_filter(prefixes.select("gram")))
+    spots = decontaminate._spots(frame.select("doc_id", "text"), passing, [1, 3], 10)
+    assert spots.where("row < 200").count() == 0  # no frequent shingle leaves its document
+
+
 def test_personal_data(spark):
     rng = random.Random(8)
     bits = ["a@b.c_d@e.f", "x..y@z.q.w.", "1.2.3.4.5.6.7.8", "300.1.1.1", "007.0255.1.00001", "+1 (743) 555-3824", "+12 3 4", "4111 1111 1111 1111", "4111-1111-1111-1112", "é😀", "@", "0" * 40, "000000000000", "a@b@c.d", "\n", "+", "word"]
