@@ -368,7 +368,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of_row = F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"), text_key(F.col(text_at).cast("string")).alias("key"))
     keyed = plain.withColumn("_one", of_row)
     found = jaccard_components(keyed, "_one", text_at, **options)
-    kept = found.where(F.col("_one") == F.col("component_id")).select(F.struct("_one.none", F.col("_one.id").alias("id"), "_one.key").alias("_kept")).distinct()
+    # Written, so that its size is known before the texts are read: a small one needs no shuffle of them here.
+    kept = written(found.where(F.col("_one") == F.col("component_id")).select(F.col("_one").alias("_kept")).distinct())
     own = keyed.join(kept, F.col("_one") == F.col("_kept"), "left_semi")
     hashed = F.xxhash64(*[c for c, kind in plain.dtypes if "map<" not in kind and "variant" not in kind])
     one = own.groupBy("_one").agg(F.min_by(F.struct(*plain.columns), hashed).alias("_row")).select("_row.*")
