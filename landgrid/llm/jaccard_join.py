@@ -7,8 +7,9 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landgrid.llm import words
@@ -101,6 +102,19 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     return _gathered(keys, 1 << (FILTER_BITS - 3), np.uint8, fill, np.bitwise_or)
 
 
+def _in_filter(spark: SparkSession, bits: np.ndarray):
+    """Column function: whether a key may be one of those that the filter was made of."""
+    passing = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def maybe(keys: pd.Series) -> pd.Series:
+        known = passing.value
+        places = bit_places(keys.to_numpy().view(np.uint64))
+        return pd.Series(np.logical_and.reduce([known[byte] & bit != 0 for byte, bit in places]))
+
+    return maybe
+
+
 def _ordered(found: np.ndarray, table: np.ndarray, bits: int) -> np.ndarray:
     """Distinct shingles, the rarest first."""
     found = np.unique(found)
@@ -363,16 +377,21 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty texts have no shingles and are linked with nothing; very long ones are read whole.
     Columns pass unchanged, under any names. An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     plain, names = numbered(docs)
     id_at, text_at = (f"n{names.index(c)}" for c in (id_col, text_col))
     of_row = F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"), text_key(F.col(text_at).cast("string")).alias("key"))
     keyed = plain.withColumn("_one", of_row)
     found = jaccard_components(keyed, "_one", text_at, **options)
-    # Written, so that its size is known before the texts are read: a small one needs no shuffle of them here.
-    kept = written(found.where(F.col("_one") == F.col("component_id")).select(F.col("_one").alias("_kept")).distinct())
-    own = keyed.join(kept, F.col("_one") == F.col("_kept"), "left_semi")
+    rows = found.groupBy("_one").agg(F.count("*").alias("rows"), F.min("component_id").alias("component_id"))
+    doubt = written(rows.where("rows > 1 or _one <> component_id").select("_one", F.expr("_one <> component_id").alias("out")))
+    doubtful = _in_filter(spark, key_filter(doubt.select(F.xxhash64("_one").alias("key"))))
+    # Rows outside the filter are the only ones of their component or stand for it; they stay without a shuffle of their texts.
+    marked = keyed.withColumn("_doubt", doubtful(F.xxhash64("_one")))
+    own = marked.where("_doubt").join(doubt.where("out").select("_one"), "_one", "left_anti")
     hashed = F.xxhash64(*[c for c, kind in plain.dtypes if "map<" not in kind and "variant" not in kind])
     one = own.groupBy("_one").agg(F.min_by(F.struct(*plain.columns), hashed).alias("_row")).select("_row.*")
+    one = marked.where("not _doubt").select(*plain.columns).unionByName(one)
     return renamed(one, names)
 
 
