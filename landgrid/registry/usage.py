@@ -6,6 +6,7 @@ from landgrid.functions import address, geo, text
 from landgrid.operators import search, usage
 from landgrid.registry.base import pad, query
 from landgrid.session import ensure_checkpoint_dir
+from landgrid.streaming import additions
 from landgrid.streaming import usage as streams
 
 
@@ -216,13 +217,19 @@ def stream_of(t, df):
     return t.spark.readStream.schema(df.schema).parquet(f"{root}/in"), root
 
 
-@query("streamed_quota_days", "T1", "usage", DAILY_SQL.format(p="day") + " select org_id, metric, cast(d as varchar) as period, used from u where d < (select max(d) from u) - 1")
+def in_three(t, df):
+    """The table as a stream of three batches that each hold events of all days, and a folder for its output."""
+    _, root = stream_of(t, df.repartition(3, "event_id"))
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"), root
+
+
+@query("streamed_quota_days", "T1", "usage", DAILY_SQL.format(p="day") + """
+    select org_id, metric, cast(d as varchar) as period, used, cast(d as timestamp) + interval 2 day <= (select max(ts) from usage) as closed from u""")
 def _(t):
-    stream, root = stream_of(t, t.usage)
-    streams.run_to_table(streams.daily_usage(stream), f"{root}/out", f"{root}/log")
-    out = t.spark.read.schema("org_id long, metric string, period date, used long").parquet(f"{root}/out")
-    closed = t.usage.agg(F.date_sub(F.to_date(F.max("ts")), 1)).scalar()
-    return out.where(F.col("period") < closed).withColumn("period", F.col("period").cast("string"))
+    stream, root = in_three(t, t.usage)
+    additions.add_days(stream, f"{root}/days", f"{root}/log").awaitTermination()
+    additions.compact(t.spark, f"{root}/days", additions.DAY)
+    return additions.read_days(t.spark, f"{root}/days").select("org_id", "metric", F.col("period").cast("string").alias("period"), "used", "closed")
 
 
 @query("streamed_charges", "T2", "usage", "select event_id, org_id, amount from usage")
@@ -265,8 +272,11 @@ def _(t):
     return sent.select("alert_id", "dataset_id", F.col("cut_date").cast("string").alias("cut_date"))
 
 
-@query("streamed_actives", "T4", "usage")
+@query("streamed_actives", "T4", "usage", """
+    select cast(date '1970-01-01' + cast(floor(datediff('day', date '1970-01-01', cast(ts as date)) / 7) * 7 as integer) as varchar) as period,
+        count(distinct user_id) as active_users, count(*) as calls from usage group by 1""")
 def _(t):
-    stream, root = stream_of(t, t.usage)
-    streams.run_to_table(streams.active_users(stream, days=7), f"{root}/out", f"{root}/log")
-    return t.spark.read.schema("period date, active_users long, calls long").parquet(f"{root}/out")
+    stream, root = in_three(t, t.usage)
+    additions.add_actives(stream, f"{root}/users", f"{root}/log").awaitTermination()
+    additions.compact(t.spark, f"{root}/users", additions.USER_DAY)
+    return additions.read_actives(t.spark, f"{root}/users", days=7).withColumn("period", F.col("period").cast("string"))
