@@ -92,6 +92,23 @@ def _(t):
     return out.groupBy("npn", "z").agg(F.count(F.lit(1)).alias("tiles"), F.min("x").alias("x"), F.min("y").alias("y"))
 
 
+# A triangle a parcel; a tile is touched unless all of its corners lie beyond one of the edges.
+@query("slanting_tiles", "S19", "parcel", """
+    with z as (select unnest([14, 16]) as z), p as (select npn, z, pow(2, z) as n, lng - 0.04 as x1, lat - 0.03 as y1, lng + 0.05 as x2, lat - 0.01 as y2, lng - 0.01 as x3, lat + 0.04 as y3 from parcel, z),
+    b as (select *, cast(floor((x1 + 180) / 360 * n) as bigint) as c0, cast(floor((x2 + 180) / 360 * n) as bigint) as c1,
+        cast(floor((1 - ln(tan(radians(y3)) + 1 / cos(radians(y3))) / pi()) / 2 * n) as bigint) as r0, cast(floor((1 - ln(tan(radians(y1)) + 1 / cos(radians(y1))) / pi()) / 2 * n) as bigint) as r1 from p),
+    t as (select *, unnest(range(c0, c1 + 1)) as x from b), u as (select *, unnest(range(r0, r1 + 1)) as y from t),
+    k as (select *, x / n * 360 - 180 as w, (x + 1) / n * 360 - 180 as e, degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / n)))) as s, degrees(atan(sinh(pi() * (1 - 2 * y / n)))) as o from u)
+    select npn, z, count(*) as tiles, cast(sum(x) as bigint) as x, cast(sum(y) as bigint) as y from k where """ + " and ".join(
+        f"greatest({', '.join(f'({q[0]} - {p[0]}) * ({y} - {p[1]}) - ({q[1]} - {p[1]}) * ({x} - {p[0]})' for x in 'we' for y in 'so')}) >= 0"
+        for p, q in ((("x1", "y1"), ("x2", "y2")), (("x2", "y2"), ("x3", "y3")), (("x3", "y3"), ("x1", "y1")))) + " group by 1, 2")
+def _(t):
+    corner = lambda dx, dy: F.struct((F.col("lng") + dx).alias("x"), (F.col("lat") + dy).alias("y"))
+    ring = F.array(corner(-0.04, -0.03), corner(0.05, -0.01), corner(-0.01, 0.04), corner(-0.04, -0.03))
+    out = tiles.assign_tiles(t.parcel.select("npn", F.array(ring).alias("rings")), "parcel", "npn", "rings", [12, 14, 16])
+    return out.groupBy("npn", "z").agg(F.count(F.lit(1)).alias("tiles"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+
+
 @query("tile_boxes", "S20 G16", "", """
     with t as (select p_partkey, p_partkey % 24 as z, p_size * 7 as x, p_partkey % 60 as y, pow(2, p_partkey % 24) as n from part)
     select p_partkey, z between 0 and 22 and x < n and y < n as valid, round(x / n * 360 - 180, 8) as xmin, round(degrees(atan(sinh(pi() * (1 - 2 * (y + 1) / n)))), 8) as ymin, case when z <= 7 then 6 when z <= 9 then 7 when z <= 12 then 8 else 9 end as level from t""")
