@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from landgrid.functions import geo
 from landgrid.functions.kernels import overlap_area
 from landgrid.operators import spatial
+from landgrid.operators.skew import shuffled
 
 COMPARED = ["area_reported_m2", "built_area_m2", "economic_use", "cadastral_value", "address"]
 CHANGE_TYPES = ["created", "removed", "attrs_changed", "geometry_changed", "building_added"]
@@ -28,7 +29,8 @@ def parcel_changes(old: DataFrame, new: DataFrame, key: str = "npn", compared: l
     kept = [*dict.fromkeys([*names, *shown, *(["rings"] if shaped else [])])]
     a = old.select(F.col(key), F.struct(*kept).alias("o"))
     b = new.select(F.col(key), F.struct(*kept).alias("n"))
-    both = a.join(b, key, "full_outer")
+    # A filter on one kind of change may turn this into a join that Spark would broadcast.
+    both = a.join(shuffled(b), key, "full_outer")
     paired = F.col("o").isNotNull() & F.col("n").isNotNull()
 
     def whole(side: str) -> Column:

@@ -11,6 +11,15 @@ MOST_HOT = 50_000
 SAMPLE = 0.01
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is shuffled and sorted, never collected for a broadcast.
+
+    Spark takes an exploded row for one row and a list for one value, so tables of shapes, buckets
+    or cells look a hundred times smaller to it than they are, and pass the driver whole.
+    """
+    return df.hint("merge")
+
+
 def hot_keys(sampled: DataFrame, keys: list[str], fraction: float = SAMPLE, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys that hold more than ``hot_rows`` rows by a sample's counts, with ``_fan`` salts each.
 
@@ -37,6 +46,7 @@ def salted_join(
     hot: DataFrame | None = None,
     fraction: float = SAMPLE,
     hot_rows: int = HOT_ROWS,
+    sorted_merge: bool = False,
 ) -> DataFrame:
     """Join on ``keys`` with every hot key of ``left`` split over several tasks.
 
@@ -44,7 +54,8 @@ def salted_join(
     the hash of the ``spread`` columns, which should tell its rows apart.
     Matching rows of ``right`` are repeated once per salt, so the result is
     that of the plain join. Rows of other keys are left alone. ``how`` may be
-    inner, left, left_semi or left_anti.
+    inner, left, left_semi or left_anti. ``sorted_merge`` keeps the right side from
+    being broadcast, see ``shuffled``.
     """
     if hot is None:
         hot = hot_keys(left.sample(fraction, seed=7), keys, fraction, hot_rows)
@@ -57,4 +68,5 @@ def salted_join(
     )
     salts = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_fan") - 1, F.lit(0)).cast("bigint"))
     salted_right = right.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_fan")
+    salted_right = shuffled(salted_right) if sorted_merge else salted_right
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")

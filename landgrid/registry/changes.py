@@ -50,11 +50,12 @@ def _rectangles(t, shift):
 def _(t):
     from landgrid.functions.geo import area
     from landgrid.functions.kernels import overlap_area
+    from landgrid.operators.skew import shuffled
     from landgrid.operators.spatial import iou, symmetric_difference_area
     ch = ops.parcel_changes(_rectangles(t, 0.0), _rectangles(t, 0.0007), compared=[]).where("change_type = 'geometry_changed'").select("npn")
     a = _rectangles(t, 0.0).withColumnRenamed("rings", "a")
     b = _rectangles(t, 0.0007).withColumnRenamed("rings", "b")
-    pairs = ch.join(a, "npn").join(b, "npn").withColumn("shared", overlap_area("a", "b"))
+    pairs = ch.join(shuffled(a), "npn").join(shuffled(b), "npn").withColumn("shared", overlap_area("a", "b"))
     sizes = (F.col("shared"), area(F.col("a")), area(F.col("b")))
     return pairs.select("npn", iou(*sizes).alias("iou"), F.round(symmetric_difference_area(*sizes) * 1e6, 2).alias("changed"))
 
