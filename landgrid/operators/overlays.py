@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from landgrid.functions import geo
 from landgrid.functions.kernels import settled_area
@@ -22,29 +23,35 @@ def pieces(shapes: DataFrame, rings: str, limit: int = PIECE_POINTS) -> DataFram
     """``shapes`` with those of more than ``limit`` points cut into pieces; all other columns repeat."""
     points = point_count(F.col(rings))
     small = shapes.where(points.isNull() | (points <= limit))
-    return small.unionByName(spatial.subdivide(shapes.where(points > limit), rings, limit).drop("piece"))
+    # The cuts are read by several joins.
+    return small.unionByName(cut_lineage(spatial.subdivide(shapes.where(points > limit), rings, limit).drop("piece")))
 
 
-def _numbered(shapes: DataFrame, rings: str, side: str, limit: int) -> DataFrame:
-    """Pieces with a row number, their box and their area, as a table that several joins read."""
+def _boxes(shapes: DataFrame, rings: str, side: str, limit: int) -> DataFrame:
+    """Pieces with their box, their area and whether they are rectangles."""
     cut = spatial._boxed(pieces(shapes, rings, limit), rings, f"_{side}box")
-    return cut_lineage(cut.withColumns({f"_{side}row": F.monotonically_increasing_id(), f"_{side}area": geo.area(F.col(rings))}))
+    return cut.withColumns({f"_{side}area": geo.area(F.col(rings)), f"_{side}flat": geo.is_rectangle(F.col(rings))})
 
 
 def piece_overlaps(left: DataFrame, right: DataFrame, left_rings: str, right_rings: str, limit: int = PIECE_POINTS) -> DataFrame:
     """A row per pair of pieces with common surface: the columns of both sides without rings, and ``overlap``.
 
     Areas of pieces add up to those of the whole shapes, so callers sum ``overlap`` by the ids
-    they need. Large shapes of either side are cut first. Pairs are found on row numbers and
-    boxes alone; rings are fetched for the pairs that remain, once each. A pair is inside or
+    they need. Large shapes of either side are cut first, so a piece and its copies in the buckets
+    stay small; pairs are settled where they meet and never shuffled. A pair is inside or
     outside if no edge of the right piece comes near the left one's box, which settles its
     area; only the others, at the border, are intersected. The sides must not share column
     names. Rows without rings overlap nothing.
     """
-    a, b = _numbered(left, left_rings, "a", limit), _numbered(right, right_rings, "b", limit)
-    near = spatial._touch_candidates(a.select("_arow", "_abox"), b.select("_brow", "_bbox"), "_arow").select("_arow", "_brow")
-    rows = near.join(a, "_arow").join(b, "_brow")
-    overlap = settled_area(F.col(left_rings), F.col("_aarea"), F.col("_abox"), F.col(right_rings))
-    return rows.withColumn("overlap", overlap).where("overlap > 0").drop(
-        left_rings, right_rings, "_arow", "_brow", "_abox", "_bbox", "_aarea", "_barea"
-    )
+    a, b = _boxes(left, left_rings, "a", limit), _boxes(right, right_rings, "b", limit)
+    plain = [f.name for f in left.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    area = lambda some: settled_area(F.when(some, F.col(left_rings)), F.col("_aarea"), F.col("_abox"), F.when(some, F.col(right_rings)))
+    pairs = spatial.touching_overlaps(a, b, plain, area)
+    return pairs.drop(left_rings, right_rings, "_aarea", "_barea")
+
+
+def in_many_rows(shapes: DataFrame, keys: list[str], rings: str, limit: int = PIECE_POINTS) -> DataFrame:
+    """The keys, NULLs included, that have several rows or a shape that ``pieces`` cuts."""
+    points = F.max(F.coalesce(point_count(F.col(rings)), F.lit(0)))
+    counted = shapes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), points.alias("_points"))
+    return counted.where((F.col("_n") > 1) | (F.col("_points") > limit)).select(*keys)
