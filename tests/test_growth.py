@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landgrid.functions import geo
-from landgrid.operators import areas, cells, spatial
+from landgrid.operators import areas, cells, scoring, snapshots, spatial
 from landgrid.plans import dossiers
 from landgrid.registry import load
 from landgrid.registry.base import Tables
@@ -110,3 +110,30 @@ def test_shares_of_single_rows_are_not_added_up(spark):
     want = pairs.groupBy("c_id", "source_id", *fields).agg(F.sum("overlap").alias("o"), F.first("_area").alias("a")).select("c_id", "source_id", spatial.overlap_pct(F.col("o"), F.col("a")).alias("pct")).collect()
     order = lambda rows: sorted((str(r.c_id), str(r.source_id), round(r.pct, 2)) for r in rows)
     assert order(got) == order(want)
+
+
+def test_ranking_drivers_do_not_gather_a_template_in_one_task(spark):
+    rows = [("hotel" if k % 2 else "gym", k // 2 + 1, [("a", float(k), 0.5), ("b", 1.0, 0.5)]) for k in range(60)]
+    ranked = spark.createDataFrame(rows, "template string, rank long, factors array<struct<indicator:string,score:double,weight:double>>")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = scoring.ranking_drivers(ranked)
+        assert "SortMergeJoin" not in plan_of(out) and "BroadcastHashJoin" in plan_of(out)
+        got = {(r.template, r.indicator): (r.top_mean, r.overall_mean) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {("gym", "a"): (2.0, 29.0), ("gym", "b"): (1.0, 1.0), ("hotel", "a"): (3.0, 30.0), ("hotel", "b"): (1.0, 1.0)}
+
+
+def test_rows_of_active_cuts_stay_where_they_are(spark):
+    facts = spark.range(40).select("id", (F.col("id") % 4).alias("snapshot_id"))
+    cuts = spark.createDataFrame([(1, True), (2, False), (3, True), (3, True), (None, True)], "snapshot_id long, is_active boolean")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = snapshots.active_rows(facts, cuts)
+        assert "SortMergeJoin" not in plan_of(out) and "BroadcastHashJoin" in plan_of(out)
+        assert {r.id for r in out.collect()} == {k for k in range(40) if k % 4 in (1, 3)} and out.count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
