@@ -11,8 +11,8 @@ READABLE = ["published", "superseded"]
 
 
 def active_rows(facts: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Fact rows of the active cuts; the cut table is small and stays one row per cut."""
-    return facts.join(snapshots.where("is_active").select("snapshot_id"), "snapshot_id", "left_semi")
+    """Fact rows of the active cuts; the cut table is small and stays one row per cut, so the facts are not moved."""
+    return facts.join(F.broadcast(snapshots.where("is_active").select("snapshot_id")), "snapshot_id", "left_semi")
 
 
 def rows_at(facts: DataFrame, snapshots: DataFrame, cut_date: Column, per: str = "dataset_id") -> DataFrame:
