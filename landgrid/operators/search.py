@@ -103,13 +103,11 @@ def _rarest(texts: DataFrame, counts: DataFrame, same: list[str], text: str, gra
     return listed.select(*same, text, F.col("_p.g").alias("_g"), F.struct("_n", "_pos").alias(f"{text}s"))
 
 
-def trigram_pairs(
-    queries: DataFrame, index: DataFrame, query_id: str, index_id: str, query_text: str, index_text: str,
-    threshold: float, block: list[str] | None = None,
+def text_pairs(
+    queries: DataFrame, index: DataFrame, query_text: str, index_text: str, threshold: float, block: list[str] | None = None,
 ) -> DataFrame:
-    """Pairs of a query and an index row with their trigram similarity at or above the threshold.
+    """Pairs of a distinct query text ``_qt`` and a distinct index text ``_dt`` at or above the threshold, with ``similarity``.
 
-    Both sides are reduced to distinct texts, so copies of a text cost nothing.
     Two texts that share the wanted part of their trigrams also share one of
     the rarest ``n - ceil(t n) + 1`` of each, under one order for both; only
     those are looked up, which spares the common trigrams and loses no pair.
@@ -134,7 +132,20 @@ def trigram_pairs(
     shared = F.size(F.array_intersect("_qg", "_dg"))
     scored = both.select(*same, "_qt", "_dt", F.size("_qg").alias("_nq"), F.size("_dg").alias("_nd"), shared.alias("_n"))
     similarity = F.col("_n") / (F.col("_nq") + F.col("_nd") - F.col("_n"))
-    scored = scored.select(*same, "_qt", "_dt", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+    return scored.select(*same, "_qt", "_dt", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def trigram_pairs(
+    queries: DataFrame, index: DataFrame, query_id: str, index_id: str, query_text: str, index_text: str,
+    threshold: float, block: list[str] | None = None,
+) -> DataFrame:
+    """Pairs of a query and an index row with their trigram similarity at or above the threshold.
+
+    Both sides are reduced to distinct texts, so copies of a text cost nothing until
+    every pair of rows is listed; see ``text_pairs``.
+    """
+    same = block or []
+    scored = text_pairs(queries, index, query_text, index_text, threshold, block)
     back_q = queries.select(query_id, *same, F.col(query_text).alias("_qt"))
     back_d = index.select(index_id, *same, F.col(index_text).alias("_dt"))
     return scored.join(back_q, [*same, "_qt"]).join(back_d, [*same, "_dt"]).drop("_qt", "_dt")
@@ -199,22 +210,29 @@ def match_addresses(asked: DataFrame, points: DataFrame, parcels: DataFrame, lim
     """Best address points and parcels per asked address of the same municipality and way number.
 
     ``asked`` has ``address_id, muni_code, raw``; points and parcels have ``ref,
-    muni_code, label``.
+    muni_code, label``. Texts are ranked before rows: a text brings its first ``limit``
+    rows, an asked text keeps its best ``limit``, and only those meet the asked rows.
     """
     q = cut_lineage(standardize(asked, "raw")).where("way_number is not null")
     both = points.select(F.lit("address_point").alias("source"), "ref", "muni_code", "label").unionByName(
         parcels.select(F.lit("parcel").alias("source"), "ref", "muni_code", "label")
     )
     d = cut_lineage(standardize(both, "label")).where("way_number is not null")
-    d = d.withColumnRenamed("canonical", "d_canonical").withColumn("_key", F.struct("source", "ref"))
-    pairs = trigram_pairs(
-        q.select("address_id", "muni_code", "way_number", "canonical"),
-        d.select("_key", "muni_code", "way_number", "d_canonical"),
-        "address_id", "_key", "canonical", "d_canonical", ADDRESS_SIMILARITY, ["muni_code", "way_number"],
-    )
-    flat = pairs.select("address_id", "_key.source", "_key.ref", "similarity")
-    order = Window.partitionBy("address_id").orderBy(F.col("similarity").desc(), "source", "ref")
-    return flat.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    block = ["muni_code", "way_number"]
+    q = q.select("address_id", *block, F.col("canonical").alias("_qt"))
+    d = d.select("source", "ref", *block, F.col("canonical").alias("_dt"))
+
+    def first(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
+        # A filter on row_number keeps only ``limit`` rows per group before the shuffle.
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn("place", place).where(F.col("place") <= limit)
+
+    own = first(d, [*block, "_dt"], "source", "ref").drop("place")
+    ranked = [F.col("similarity").desc(), "source", "ref"]
+    pairs = text_pairs(q, d, "_qt", "_dt", ADDRESS_SIMILARITY, block).join(own, [*block, "_dt"])
+    best = first(pairs, [*block, "_qt"], *ranked).select(*block, "_qt", "source", "ref", "similarity")
+    flat = q.join(best, [*block, "_qt"]).select("address_id", "source", "ref", "similarity")
+    return first(flat, ["address_id"], *ranked)
 
 
 def resolve_codes(asked: DataFrame, parcels: DataFrame, text: str = "code") -> DataFrame:
