@@ -243,6 +243,14 @@ VALUE_RULES = [
     ("co_cedula", r"(?<![0-9.,-])[0-9]{1,3}(?:\.[0-9]{3}){1,3}(?![0-9.,-])|(?<![0-9.,-])[0-9]{6,10}(?![0-9.,-])"),
     ("person_full_name", BORDER + r"(?:[A-ZÁÉÍÓÚÑ][a-záéíóúñ]{2,}\s+){2,}(?:DE\s+|DEL\s+|LA\s+|LOS\s+)?[A-ZÁÉÍÓÚÑ][a-záéíóúñ]{2,}" + BORDER),
 ]
+#: The same finds as ``VALUE_RULES`` by shorter ways: one character before the sign is as good as all
+#: of them, and a first character that no find begins with is passed without looking around.
+FIRST_OF = {"co_nit": "[0-9]", "co_phone": "[+(356]", "co_cedula": "[0-9]", "person_full_name": "[A-ZÁÉÍÓÚÑ]"}
+VALUE_SEARCH = {"email": EMAIL.replace("+@", "@", 1)} | {rule: f"(?={FIRST_OF[rule]})(?:{pattern})" for rule, pattern in VALUE_RULES if rule in FIRST_OF}
+#: A character that every find of a rule holds.
+SIGNS = {"email": "@", "co_nit": "-"}
+#: No code of digits is longer; the patterns of codes try every place of longer texts in vain.
+LONGEST_CODE = 64
 NUMBER_RULES = ["co_cedula", "co_phone"]
 HARMLESS = [
     "^[0-9]{20}$|^[0-9]{30}$",
@@ -290,12 +298,15 @@ def value_rule(value: Column, name: Column | None = None) -> Column:
     """
     text = F.trim(value)
     skip = text == ""
-    for pattern in HARMLESS:
+    for pattern in HARMLESS[:2]:
+        skip = skip | ((F.length(text) <= LONGEST_CODE) & text.rlike(pattern))
+    for pattern in HARMLESS[2:]:
         skip = skip | text.rlike(pattern)
     code_like = F.lit(False) if name is None else category_key(name).rlike(CODE_NAMES)
     chain = F.when(skip, None)
-    for rule, pattern in VALUE_RULES:
-        hit = text.rlike(pattern)
+    for rule, _ in VALUE_RULES:
+        hit = text.rlike(VALUE_SEARCH[rule])
+        hit = text.contains(SIGNS[rule]) & hit if rule in SIGNS else hit
         chain = chain.when(hit & ~code_like if rule in NUMBER_RULES else hit, rule)
     return chain
 
