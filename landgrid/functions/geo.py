@@ -464,16 +464,23 @@ def radius_polygon(lng: Column, lat: Column, radius_m: Column, steps: int = 64)
     delta = radius_m / EARTH_RADIUS_M
     phi = F.radians(lat)
 
-    def vertex(i):
-        bearing = -i * (2 * math.pi / steps)
-        lat2 = F.asin(F.sin(phi) * F.cos(delta) + F.cos(phi) * F.sin(delta) * F.cos(bearing))
-        dlng = F.atan2(
-            F.sin(bearing) * F.sin(delta) * F.cos(phi), F.cos(delta) - F.sin(phi) * F.sin(lat2)
-        )
-        return point(lng + F.degrees(dlng), F.degrees(lat2))
+    # Of literals only, so Spark folds it; the last point is the first again.
+    bearings = [F.lit(-(i % steps)) * F.lit(2 * math.pi / steps) for i in range(steps + 1)]
+    turns = F.array(*[F.struct(F.sin(b).alias("sin"), F.cos(b).alias("cos")) for b in bearings])
+    known = F.struct(
+        F.sin(phi).alias("sin_phi"), F.cos(phi).alias("cos_phi"), F.sin(delta).alias("sin_delta"), F.cos(delta).alias("cos_delta"),
+        lng.alias("lng"),
+    )
+
+    def ring(k):
+        def vertex(turn):
+            lat2 = F.asin(k["sin_phi"] * k["cos_delta"] + k["cos_phi"] * k["sin_delta"] * turn["cos"])
+            dlng = F.atan2(turn["sin"] * k["sin_delta"] * k["cos_phi"], k["cos_delta"] - k["sin_phi"] * F.sin(lat2))
+            return point(k["lng"] + F.degrees(dlng), F.degrees(lat2))
+
+        return F.transform(turns, vertex)
 
-    open_ring = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), vertex)
-    return F.array(F.concat(open_ring, F.slice(open_ring, 1, 1)))
+    return F.array(let(known, ring))
 
 
 # Speeds of the circle that stands for a travel-time area.

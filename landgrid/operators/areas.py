@@ -33,8 +33,10 @@ def scopes_from(spec: DataFrame, municipalities: DataFrame) -> DataFrame:
         .when(F.col("kind") == "municipality", F.col("_outline"))
         .when(F.col("kind") == "isochrone", circle(travel))
     )
-    warning = F.when(F.col("kind") == "isochrone", "circle_for_travel_time").when(rings.isNull(), "no_outline")
-    return joined.select("scope_id", "position", rings.alias("scope_rings"), warning.alias("warning"))
+    # The warning asks for the shape again, so it reads the column and not the whole formula.
+    shaped = joined.select("scope_id", "position", "kind", rings.alias("scope_rings"))
+    warning = F.when(F.col("kind") == "isochrone", "circle_for_travel_time").when(F.col("scope_rings").isNull(), "no_outline")
+    return shaped.select("scope_id", "position", "scope_rings", warning.alias("warning"))
 
 
 def municipality_of(points: DataFrame, municipalities: DataFrame, point_id: str, limit_m: float | None = NEAREST_MUNICIPALITY_M) -> DataFrame:

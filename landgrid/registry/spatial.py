@@ -321,10 +321,12 @@ def _(t):
     spec = t.customer.select(k.alias("scope_id"), k.alias("position"), F.when(k % 3 == 0, "radius").when(k % 3 == 1, "isochrone").otherwise("polygon").alias("kind"),
                              geo.rectangle(F.lit(-75.0), F.lit(4.0), F.lit(-74.0), F.lit(5.0)).alias("rings"), F.expr(lng("c_custkey")).alias("lng"), F.expr(lat("c_custkey")).alias("lat"),
                              (F.lit(500.0) + k).alias("radius_m"), F.lit(15).alias("minutes"), F.lit("walk").alias("mode"), F.lit(None).cast("string").alias("muni_code"))
-    out = areas.scopes_from(spec, munis(t)).join(spec.select("scope_id", "kind", "lng", "lat"), "scope_id")
-    corner = F.col("scope_rings")[0][0]
+    # Shapes are not shuffled: their size and first corner are taken where they are drawn.
+    drawn = areas.scopes_from(spec, munis(t)).select("scope_id", "warning", (F.size(F.col("scope_rings")[0]) - 1).alias("corners"), F.col("scope_rings")[0][0].alias("corner"))
+    out = drawn.join(spec.select("scope_id", "kind", "lng", "lat"), "scope_id")
+    corner = F.col("corner")
     reach = F.when(F.col("kind") != "polygon", F.round(geo.haversine_m(F.col("lng"), F.col("lat"), corner["x"], corner["y"]), 4))
-    return out.select("scope_id", (F.size(F.col("scope_rings")[0]) - 1).alias("corners"), "warning", reach.alias("radius_m"))
+    return out.select("scope_id", "corners", "warning", reach.alias("radius_m"))
 
 
 @query("area_discrepancy", "C21", "parcel", """
