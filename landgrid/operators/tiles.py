@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ LAYERS = {
     "hex": (0, ["cell", "muni_code", "n_parcels", "pop", "road_access_score"]),
 }
 LAST_ZOOM = 22
+#: Runs of tiles that one task lists and sorts, which bounds its memory.
+RUNS_A_TASK = 1_000_000
 
 
 def assign_tiles(features: DataFrame, layer: str, feature_id: str, rings: str, zooms: list[int]) -> DataFrame:
@@ -41,12 +45,29 @@ def assign_tiles(features: DataFrame, layer: str, feature_id: str, rings: str, z
     df = df.withColumns({"_lo": low, "_hi": high})
     plain = F.expr("_hi.x - _lo.x + _hi.y - _lo.y <= 1")
     near = df.where(plain).withColumn("x", F.explode(F.sequence("_lo.x", "_hi.x"))).withColumn("y", F.explode(F.sequence("_lo.y", "_hi.y")))
-    wide = cut_lineage(df.where(~plain).select(*kept, "z", "_rings").withColumn("_row", F.monotonically_increasing_id()))
-    runs = covering_runs(wide, "_row", "_rings").join(wide.drop("_rings", "z"), "_row")
+    # About the runs of a shape: one an edge and a few in every row of tiles.
+    about = F.expr("cast(size(flatten(_rings)) + 3 * (_hi.y - _lo.y + 1) as bigint)")
+    wide = cut_lineage(df.where(~plain).select(*kept, "z", "_rings", about.alias("_runs")).withColumn("_row", F.monotonically_increasing_id()))
+    runs = _spread_runs(wide).join(wide.drop("_rings", "z", "_runs"), "_row")
     far = runs.withColumn("x", F.explode(F.sequence("low", "high")))
     return near.select(*kept, "z", "x", "y").unionByName(far.select(*kept, "z", "x", "y"))
 
 
+def _spread_runs(wide: DataFrame) -> DataFrame:
+    """``covering_runs`` of rows ``_row, z, _rings`` with about ``_runs`` runs each.
+
+    Shapes are shuffled once, before their edges are listed, to so many tasks that none lists more
+    than ``RUNS_A_TASK`` or so; their runs stay there. Only those of very large shapes go to tasks by row of tiles.
+    """
+    large = F.col("_runs") > RUNS_A_TASK / 10
+    total, most = wide.agg(F.sum(F.when(~large, F.col("_runs"))), F.max("_runs")).first()
+    tasks = max(1, math.ceil((total or 0) / RUNS_A_TASK))
+    runs = covering_runs(wide.where(~large).select("_row", "z", "_rings").repartition(tasks, "_row"), "_row", "_rings")
+    if (most or 0) <= RUNS_A_TASK / 10:
+        return runs
+    return runs.unionByName(covering_runs(wide.where(large), "_row", "_rings"))
+
+
 def covering_runs(shapes: DataFrame, shape_id: str, rings: str) -> DataFrame:
     """Runs of tiles ``z, y, low, high`` that a shape touches, each tile in one run.
 

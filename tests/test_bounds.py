@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landgrid.functions import geo, pii
-from landgrid.operators import areas, cells, privacy, search, spatial
+from landgrid.operators import areas, cells, privacy, search, spatial, tiles
 
 
 def plan_of(df):
@@ -71,3 +71,25 @@ def test_distances_of_points_are_kept_as_numbers(spark, monkeypatch):
     every = points.crossJoin(roads).withColumn("m", geo.point_segment_m(F.col("lng"), F.col("lat"), F.col("segment")))
     want = {r.id: r.m for r in every.groupBy("id").agg(F.min("m").alias("m")).collect()}
     assert {r.id: r.dist_paved_road_m for r in out.collect()} == want
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 300])
+def test_runs_stay_with_their_shape(spark, monkeypatch, bound):
+    monkeypatch.setattr(tiles, "RUNS_A_TASK", bound)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        corner = lambda dx, dy: F.struct((F.col("id") * 0.01 - 74 + dx).alias("x"), (F.lit(4.0) + dy).alias("y"))
+        k = F.when(F.col("id") == 0, 2.0).otherwise(1.0)
+        ring = F.array(corner(-0.04 * k, -0.03 * k), corner(0.05 * k, -0.01 * k), corner(-0.01 * k, 0.04 * k), corner(-0.04 * k, -0.03 * k))
+        shapes = spark.range(30).select(F.concat(F.lit("n"), "id").alias("npn"), F.array(ring).alias("rings"))
+        out = tiles.assign_tiles(shapes, "parcel", "npn", "rings", [14, 16])
+        if bound > 300:
+            # One shuffle of the shapes and one of the names that join their runs.
+            assert plan_of(out).count("Exchange hashpartitioning") == 2
+        got = {tuple(r) for r in out.select("npn", "z", "x", "y").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = shapes.select("npn", "rings", F.explode(F.array(F.lit(14), F.lit(16))).alias("z"))
+    plain = tiles.covering_runs(rows.withColumn("id", F.concat_ws(":", "npn", "z")), "id", "rings")
+    want = {(r.id.split(":")[0], r.z, x, r.y) for r in plain.collect() for x in range(r.low, r.high + 1)}
+    assert got == want and len(got) == out.count()
