@@ -71,11 +71,6 @@ def _with_buckets(df: DataFrame, box: str) -> DataFrame:
     return df.withColumn("_ix", run("x")).withColumn("_iy", run("y"))
 
 
-def _levels_of(df: DataFrame, level: str) -> list[int]:
-    """The bucket levels that occur, seven at most."""
-    return sorted(r[0] for r in df.select(level).distinct().collect())
-
-
 def _among(levels: list[int]) -> str:
     return f"array({', '.join(map(str, levels))})" if levels else "cast(array() as array<int>)"
 
@@ -102,34 +97,51 @@ def points_in_polygons(
     With ``how`` left_semi or left_anti, the points inside any or no polygon.
     The two sides must not share column names.
     """
-    right = _boxed(polygons, rings, "_box")
-    right = _with_buckets(_with_level(right, "_box").withColumnRenamed("_native", "_level"), "_box")
-    # Points only go to the levels that polygons have.
-    levels = _levels_of(_with_level(_boxed(polygons.select(rings), rings, "_box"), "_box"), "_native")
     left = points.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    hot = hot_keys(_point_buckets(left.select(x, y).sample(SAMPLE, seed=7), x, y, levels), BUCKET)
-    inside = (
-        F.col(x).between(F.col("_box.xmin"), F.col("_box.xmax"))
-        & F.col(y).between(F.col("_box.ymin"), F.col("_box.ymax"))
-        & geo.contains_point(F.col(rings), F.col(x), F.col(y))
-    )
+    right = _boxed(polygons, rings, "_box")
     if how != "inner":
-        hits = salted_join(
-            _point_buckets(left.select(point_id, x, y), x, y, levels),
-            right.select(rings, "_box", *BUCKET), BUCKET, [point_id], hot=hot, sorted_merge=True,
-        ).where(inside)
+        hits = _holding(left.select(point_id, x, y), right.select(rings, "_box"), point_id, x, y, rings)
         return points.join(hits.select(point_id).distinct(), point_id, how)
+    return _holding(left, right, point_id, x, y, rings)
+
+
+def _holding(left: DataFrame, right: DataFrame, point_id: str, x: str, y: str, rings: str) -> DataFrame:
+    """Pairs of points and shapes with a ``_box`` that hold them. A shape without rings is its box."""
+    # Points only go to the levels that shapes have.
+    levels, flat = _levels_and_rectangles(right.select("_box", F.col(rings).isNull().alias("_flat")), "_box", "_flat")
+    # Plain numbers, as in ``touching_overlaps``.
+    sides = {f"_{name}": F.col("_box")[name] for name in BOX}
+    right = _with_buckets(_with_level(right, "_box").withColumnRenamed("_native", "_level"), "_box").withColumns(sides).drop("_box")
+    hot = hot_keys(_point_buckets(left.select(x, y).sample(SAMPLE, seed=7), x, y, levels), BUCKET)
+    # Like ``contains_point``, a box holds its lower and left edge.
+    inside = (F.col(x) < F.col("_xmax")) & (F.col(y) < F.col("_ymax"))
+    if not flat:
+        inside = F.when(F.col(rings).isNull(), inside).otherwise(geo.contains_point(F.col(rings), F.col(x), F.col(y)))
+    near = F.col(x).between(F.col("_xmin"), F.col("_xmax")) & F.col(y).between(F.col("_ymin"), F.col("_ymax"))
     joined = salted_join(_point_buckets(left, x, y, levels), right, BUCKET, [point_id], hot=hot, sorted_merge=True)
-    return joined.where(inside).drop("_box", *BUCKET)
+    return joined.where(near & inside).drop(*sides, *BUCKET)
 
 
 def smallest_holder(
-    points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, area: str, **names
+    points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, area: str,
+    x: str = "lng", y: str = "lat", rings: str = "rings",
 ) -> DataFrame:
-    """Per point, the holding polygon of least area; ties go to the lower id."""
-    pairs = points_in_polygons(points, polygons, point_id, **names)
-    pick = F.min_by(F.col(polygon_id), F.struct(F.col(area), F.col(polygon_id)))
-    return pairs.groupBy(point_id).agg(pick.alias(polygon_id))
+    """Per point, the holding polygon of least area; ties go to the lower id.
+
+    Polygons are numbered by area and id and written once, and a point's least number wins. Tasks
+    keep a number a point instead of sorting the pairs, which grow with the polygons
+    around a point, and rectangles meet points as boxes, without their rings.
+    """
+    # A shape that is exploded is made once a row; else its formula is repeated for every corner that is read.
+    own = _boxed(polygons.select(polygon_id, area, F.explode(F.array(rings)).alias(rings)), rings, "_box")
+    own = own.withColumn(rings, F.when(~geo.is_rectangle(F.col(rings)), F.col(rings)))
+    # The number never falls from one range to the next, nor within a range.
+    ranged = own.repartitionByRange(area, polygon_id).sortWithinPartitions(area, polygon_id)
+    numbered = cut_lineage(ranged.withColumn("_number", F.monotonically_increasing_id()))
+    placed = points.select(point_id, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = _holding(placed, numbered.select("_number", rings, "_box"), point_id, x, y, rings)
+    best = pairs.groupBy(point_id).agg(F.min("_number").alias("_number"))
+    return best.join(numbered.select("_number", polygon_id), "_number").select(point_id, polygon_id)
 
 
 def _levels_and_rectangles(df: DataFrame, box: str, flat: str) -> tuple[list[int], bool]:

@@ -42,6 +42,29 @@ def test_polygons_around_points_are_not_broadcast(spark):
     assert {(r.p_id, r.b_id) for r in out.collect()} == {(k, k) for k in range(50)}
 
 
+def test_pairs_of_points_and_holders_are_not_sorted(spark):
+    box = lambda x, y, w: [[(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]]
+    shapes = [("b", 4.0, box(0.0, 0.0, 2.0)), ("a", 4.0, box(0.0, 0.0, 2.0)), ("a", 4.0, box(0.0, 0.0, 2.0)), ("c", 1.0, box(1.0, 1.0, 1.0)),
+              ("t", 0.5, [[(0.0, 0.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0)]]), ("h", 0.25, [*box(3.0, 0.0, 1.0), [(3.25, 0.25), (3.25, 0.75), (3.75, 0.75), (3.75, 0.25), (3.25, 0.25)]]),
+              ("u", None, box(5.0, 0.0, 1.0)), ("v", 0.1, box(5.0, 0.0, 1.0)), (None, 0.2, box(7.0, 0.0, 1.0)), ("w", 0.2, box(7.0, 0.0, 1.0)), ("n", 0.0, None)]
+    flat = spark.createDataFrame(shapes, f"b_id string, b_area double, b_rings {SHAPE}")
+    spots = [(k, x / 4, y / 4) for k, (x, y) in enumerate((x, y) for x in range(-1, 34) for y in range(-1, 10))]
+    at = spark.createDataFrame([*spots, (None, 0.5, 0.5), (None, 1.5, 1.5), (7000, None, 1.0), (7001, 0.25, 0.25), (7001, 0.25, 0.25)], "p_id long, lng double, lat double")
+    out = spatial.smallest_holder(at, flat, "p_id", "b_id", "b_area", rings="b_rings")
+    # A sorting aggregate keeps all pairs of a task, a hash map a number a point.
+    assert "SortAggregate" not in plan_of(out)
+    order = lambda r: (r.b_area is not None, r.b_area, r.b_id is not None, r.b_id)
+    held = {}
+    for r in spatial.points_in_polygons(at, flat, "p_id", rings="b_rings").collect():
+        held[r.p_id] = min(held.get(r.p_id, r), r, key=order)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(held) and dict(got) == {k: r.b_id for k, r in held.items()}
+    assert set(dict(got).values()) == {"a", "c", "t", "h", "u", None}
+    empty = spatial.smallest_holder(at, flat.where("false"), "p_id", "b_id", "b_area", rings="b_rings")
+    assert empty.columns == ["p_id", "b_id"] and empty.count() == 0
+    assert "b_rings" in spatial.points_in_polygons(at, flat.where("false"), "p_id", rings="b_rings").columns
+
+
 def test_road_pieces_around_points_are_not_broadcast(spark):
     roads = spark.range(5).select(
         F.lit("primary").alias("class"), F.lit(True).alias("is_paved"),
