@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from landgrid.functions import geo
-from landgrid.operators import areas, cells, spatial
+from landgrid.operators import areas, cells, scoring, spatial
 
 SEGMENT = "struct<x1:double,y1:double,x2:double,y2:double>"
 
@@ -78,3 +78,29 @@ def test_road_access_meets_only_kinds_a_point_lacks(spark, monkeypatch, crowded)
         want = _least(rows, streets, wanted, 9_000.0)
         assert {r.id: r[name] for r in got if r[name] is not None} == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
     assert {r.id for r in got} == set(_least(rows, streets, lambda c, p: True, 9_000.0)) and len(got) == len({r.id for r in got})
+
+
+def test_drivers_need_no_rank_beyond_the_best(spark):
+    rng = random.Random(6)
+    rows = []
+    for template in ("gym", "hotel", "tiny", None):
+        for k in range(9 if template == "tiny" else 150):
+            score = None if k % 11 == 0 else float(rng.randint(0, 9))
+            rows.append((template, None if k % 13 == 0 else k, score, k % 7 == 0, [("a", float(rng.randint(0, 99)), 0.5), ("b", None if k % 2 else 3.0, 0.25)]))
+    one = "template string, unit long, score double, excluded boolean, factors array<struct<indicator:string,score:double,weight:double>>"
+    # A cell that comes twice or three times keeps a row for each of its ranks, as the join gave it.
+    for more in ([], rows[20:60] + rows[150:170] + rows[20:30]):
+        scored = spark.createDataFrame(rows + more, one).repartition(3)
+        want = scoring.ranking_drivers(scoring.rank_cells(scored, "unit", ["template"]), 5).collect()
+        best = scoring.rank_cells(scored, "unit", ["template"], most=5)
+        assert sorted(map(tuple, scoring.ranking_drivers(best, 5).collect())) == sorted(map(tuple, want))
+        every = scoring.rank_cells(scored, "unit", ["template"]).collect()
+        show = lambda r: (str(r.template), r.unit if r.unit is not None else -1, r.score or 0, min(r["rank"] or 0, 6))
+        assert sorted(map(show, best.collect())) == sorted(map(show, every))
+        if not more:
+            # Rows with factors are neither shuffled nor sorted.
+            assert "SortMergeJoin" not in plan_of(best) and "Exchange hashpartitioning" not in plan_of(best)
+    # Without groups all rows are ranked together.
+    plain, best = scoring.rank_cells(scored, "unit"), scoring.rank_cells(scored, "unit", most=60)
+    assert "n_ranked" not in plain.columns
+    assert {(r.unit, r["rank"]) for r in best.where("rank <= 60").collect()} == {(r.unit, r["rank"]) for r in plain.where("rank <= 60").collect()}
