@@ -97,15 +97,24 @@ def facilities(schools: DataFrame, health: DataFrame, pois: DataFrame) -> DataFr
     return s.join(h, "cell", "full_outer").join(p, "cell", "full_outer")
 
 
-def overlay_shares(shapes: DataFrame, overlays: DataFrame, key: str, rings: str) -> DataFrame:
+def hazard_order() -> Column:
+    """What the worst level is greatest by; unranked levels come last."""
+    return F.struct(F.coalesce("level_rank", F.lit(0)), "level")
+
+
+def overlay_shares(shapes: DataFrame, overlays: DataFrame, key: str, rings: str, strongest: bool = False) -> DataFrame:
     """Share of each shape under each overlay source: ``layer, layer_key, source_id, pct``.
 
     Large shapes are cut into pieces; pieces of one source are added up and capped at one hundred. ``overlays``
-    has ``piece_id, source_id, layer, layer_key, level, level_rank, o_rings``.
+    has ``piece_id, source_id, layer, layer_key, level, level_rank, o_rings``. For a reader of the worst levels alone,
+    ``strongest`` leaves out sources that others of their layer and key make needless, and shares: pairs may repeat.
     """
     s = shapes.select(key, rings).withColumn("_area", geo.area(F.col(rings)))
     ids = ["layer", "layer_key", "source_id", "level", "level_rank"]
     o = overlays.select(*ids, "o_rings")
+    if strongest:
+        pairs = overlays_of.strongest_pieces(s, o, rings, "o_rings", ["layer", "layer_key"], hazard_order())
+        return pairs.select(key, *ids)
     many_s, many_o = (cut_lineage(overlays_of.in_many_rows(df, k, r)) for df, k, r in ((s, [key], rings), (o, ids, "o_rings")))
 
     def parted(df: DataFrame, many: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
@@ -138,7 +147,7 @@ def worst_hazards(shares: DataFrame, key: str) -> DataFrame:
     """Map of hazard kind to the level of highest rank; unranked levels come last."""
     hazards = shares.where("layer = 'hazard'")
     worst = hazards.groupBy(key, "layer_key").agg(
-        F.max_by("level", F.struct(F.coalesce("level_rank", F.lit(0)), "level")).alias("level")
+        F.max_by("level", hazard_order()).alias("level")
     )
     entries = F.sort_array(F.collect_list(F.struct("layer_key", "level")))
     return worst.groupBy(key).agg(F.map_from_entries(entries).alias("hazard_flags"))

@@ -50,6 +50,21 @@ def piece_overlaps(left: DataFrame, right: DataFrame, left_rings: str, right_rin
     return pairs.drop(left_rings, right_rings, "_aarea", "_barea")
 
 
+def strongest_pieces(left: DataFrame, right: DataFrame, left_rings: str, right_rings: str, group: list[str], order: Column, limit: int = PIECE_POINTS) -> DataFrame:
+    """Pairs as in ``piece_overlaps``, enough to know a left row's greatest ``order`` in each group of right rows.
+
+    Rectangles that others make needless are left out where they meet; other shapes meet as before.
+    """
+    a, b = _boxes(left, left_rings, "a", limit), _boxes(right, right_rings, "b", limit)
+    plain = [f.name for f in left.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))]
+    area = lambda some: settled_area(F.when(some, F.col(left_rings)), F.col("_aarea"), F.col("_abox"), F.when(some, F.col(right_rings)))
+    pairs = spatial.strongest_overlaps(a, b.where("_bflat"), plain, area, group, order)
+    other = b.where("not _bflat")
+    if not other.isEmpty():
+        pairs = pairs.unionByName(spatial.touching_overlaps(a, other, plain, area))
+    return pairs.drop(left_rings, right_rings, "_aarea", "_barea")
+
+
 def in_many_rows(shapes: DataFrame, keys: list[str], rings: str, limit: int = PIECE_POINTS) -> DataFrame:
     """The keys, NULLs included, that have several rows or a shape that ``pieces`` cuts."""
     points = F.max(F.coalesce(point_count(F.col(rings)), F.lit(0)))

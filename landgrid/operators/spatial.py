@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from landgrid.functions import geo, hexgrid
 from landgrid.functions.kernels import REST, halve, hull, hull_batches, overlap_area
-from landgrid.operators.skew import SAMPLE, hot_keys, salted_join
+from landgrid.operators.skew import MOST_HOT, SAMPLE, hot_keys, salted_join
 from landgrid.session import cut_lineage
 
 # Bucket sides in degrees; each is four times the one before.
@@ -33,6 +33,8 @@ LAST = len(SIDES) - 1
 #: Points at which a search for the nearest counts features, and how many a point are a crowd.
 PROBES = 1000
 CROWD = 2
+#: Rectangles of a group that a bucket may have without being cut.
+FEW = 8
 #: What is within a radius is looked for a little farther out, which rounding may need.
 REACH = 1.001
 HULL_PARTS = 32
@@ -185,16 +187,85 @@ def touching_overlaps(left: DataFrame, right: DataFrame, spread: list[str], kern
     owner = F.expr("(_abox_x or _bbox_x) and (_abox_y or _bbox_y)")
     a, b = ({name: F.col(f"_{side}box_{name}") for name in BOX} for side in "ab")
     met = joined.where(geo.boxes_touch(a, b) & owner)
+    return _with_overlap(met, left_flat and right_flat, kernel).drop(*keys, *[f"_{side}box_{axis}" for side in "ab" for axis in "xy"])
+
+
+def _with_overlap(met: DataFrame, all_flat: bool, kernel: Callable[[Column], Column]) -> DataFrame:
+    """Pairs with the plain sides of both boxes that have a common area, as ``overlap``, without those sides."""
+    a, b = ({name: F.col(f"_{side}box_{name}") for name in BOX} for side in "ab")
     overlap = geo.shared_box_area(a, b, REST)
-    if not (left_flat and right_flat):
+    if not all_flat:
         met = met.withColumns({f"_{side}box": F.struct(*[c.alias(name) for name, c in box.items()]) for side, box in (("a", a), ("b", b))})
         flat = F.col("_aflat") & F.col("_bflat")
         overlap = F.when(flat, overlap).otherwise(kernel(~flat))
     return met.withColumn("overlap", overlap).where("overlap > 0").drop(
-        *keys, *[f"_{side}{name}" for side in "ab" for name in ("box", "box_x", "box_y", "flat", *[f"box_{c}" for c in BOX])]
+        *[f"_{side}{name}" for side in "ab" for name in ("box", "flat", *[f"box_{c}" for c in BOX])]
     )
 
 
+def strongest_overlaps(
+    left: DataFrame, rectangles: DataFrame, spread: list[str], kernel: Callable[[Column], Column], group: list[str], order: Column
+) -> DataFrame:
+    """Pairs as in ``touching_overlaps`` with rectangles, enough to know a left row's greatest ``order`` in each group.
+
+    In a bucket that a rectangle covers, those of its group that are not above it add nothing: whatever
+    they share with a left row there, it shares too. So buckets are listed from the coarsest on, keep what is above
+    the best that covers them and one that covers them, and only those with more than ``FEW`` of a group
+    are cut into sixteen, down to the size of the left rows. A pair may come once a bucket.
+    """
+    own, flat = _levels_and_rectangles(left, "_abox", "_aflat")
+    sizes, _ = _levels_and_rectangles(rectangles, "_bbox", "_bflat")
+    ends = [f"{pick}(_abox.{axis}{pick})" for axis in "xy" for pick in ("min", "max")]
+    extent = left.agg(*[F.expr(e).alias(n) for e, n in zip(ends, ("xmin", "xmax", "ymin", "ymax"), strict=True)]).first()
+    none = [F.lit(0.0).alias("overlap")]
+    if not own or not sizes:
+        plain = [c for c in left.columns if c not in ("_abox", "_aflat")] + [c for c in rectangles.columns if c not in ("_bbox", "_bflat")]
+        return left.crossJoin(rectangles.limit(0)).select(*plain, *none)
+    # What lies beyond all left rows is cut off, so buckets at the rim can be covered.
+    sides = {f"_bbox_{name}": F.col("_bbox")[name] for name in BOX}
+    cut = {f"_c{name}": (F.greatest if "min" in name else F.least)(F.col("_bbox")[name], F.lit(float(extent[name]))) for name in BOX}
+    listed = rectangles.withColumns(sides | cut | {"_order": order, "_number": F.monotonically_increasing_id()})
+    waiting = cut_lineage(listed.where("_cxmin <= _cxmax and _cymin <= _cymax").drop("_bbox", "_bflat"))
+    lists, settled, within = {}, {}, Window.partitionBy("_ix", "_iy", *group)
+    for level in range(max(*own, *sizes), min(own) - 1, -1):
+        side = SIDES[level]
+        for axis in "xy":
+            low, high = f"floor(_c{axis}min / {side!r}D)", f"floor(_c{axis}max / {side!r}D)"
+            if f"_i{axis}" in waiting.columns:
+                low, high = f"greatest({low}, 4 * _i{axis})", f"least({high}, 4 * _i{axis} + 3)"
+            waiting = waiting.withColumn(f"_n{axis}", F.expr(f"explode(if({low} <= {high}, sequence({low}, {high}), cast(array() as array<bigint>)))"))
+            waiting = waiting.drop(f"_i{axis}").withColumnRenamed(f"_n{axis}", f"_i{axis}")
+        covers = reduce(lambda a, b: a & b, [
+            (F.col(f"_c{axis}min") <= F.greatest(F.col(f"_i{axis}") * side, F.lit(float(extent[f"{axis}min"]))))
+            & (F.col(f"_c{axis}max") >= F.least((F.col(f"_i{axis}") + 1) * side, F.lit(float(extent[f"{axis}max"]))))
+            for axis in "xy"
+        ])
+        rows = waiting.withColumn("_covers", covers).withColumn("_most", F.max(F.when(F.col("_covers"), F.col("_order"))).over(within))
+        one = F.min(F.when(F.col("_covers") & (F.col("_order") == F.col("_most")), F.col("_number"))).over(within)
+        rows = rows.withColumn("_one", one).where("_most is null or _order > _most or _number = _one")
+        rows = cut_lineage(rows.withColumn("_few", F.count(F.lit(1)).over(within) <= FEW).drop("_covers", "_most", "_one"))
+        lists[level], settled[level] = rows, rows.where("_few")
+        waiting = rows.where("not _few").drop("_few")
+    out = None
+    for size in own:
+        # Rows of this size meet the buckets that were settled before and all of their own size.
+        parts = {level: lists[level] if level == size else settled[level] for level in lists if level >= size}
+        parts = {level: df for level, df in parts.items() if not df.isEmpty()} or {size: lists[size]}
+        levels = _with_level(left, "_abox").where(F.col("_native") == size).drop("_native").withColumn("_level", F.expr(f"explode({_among([*parts])})"))
+        placed = _with_buckets(levels, "_abox").withColumns({f"_abox_{name}": F.col("_abox")[name] for name in BOX}).drop("_abox")
+        right = reduce(lambda a, b: a.unionByName(b), [df.withColumn("_level", F.lit(level)) for level, df in parts.items()])
+        right = right.drop("_few", "_order", "_number", *cut).withColumn("_bflat", F.lit(True))
+        listed = cut_lineage(right.select(*BUCKET).distinct().limit(MOST_HOT + 1))
+        if listed.count() <= MOST_HOT:
+            # Left rows are not shuffled for buckets that list nothing.
+            placed = placed.join(F.broadcast(listed), BUCKET, "left_semi")
+        met = salted_join(placed, right, BUCKET, [*spread, "_abox_xmin", "_abox_ymin"], sorted_merge=True)
+        a, b = ({name: F.col(f"_{mark}box_{name}") for name in BOX} for mark in "ab")
+        found = _with_overlap(met.where(geo.boxes_touch(a, b)), flat, kernel).drop(*BUCKET)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def polygon_overlaps(
     left: DataFrame,
     right: DataFrame,

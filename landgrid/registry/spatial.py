@@ -67,10 +67,10 @@ def _(t):
     return cells.layer_maxima(shares(t), "parcel_key", {"protected_area": "protected_pct", "ethnic_territory": "ethnic_pct"})
 
 
-def shares(t):
+def shares(t, **options):
     from landgrid.operators.ingest import hazard_rank
     o = overlays(t, "layer", "layer_key", "level", F.col("overlay_id").alias("source_id")).withColumn("level_rank", hazard_rank(F.col("level")))
-    return cells.overlay_shares(owned(t).select("parcel_key", "rings"), o, "parcel_key", "rings")
+    return cells.overlay_shares(owned(t).select("parcel_key", "rings"), o, "parcel_key", "rings", **options)
 
 
 @query("worst_hazards", "A7", "parcel overlay", f"""
@@ -78,7 +78,7 @@ def shares(t):
       from parcel join overlay on {TOUCH} where layer = 'hazard' group by 1, 2)
     select parcel_key, max(case when layer_key = 'flood' then level end) as flood, max(case when layer_key = 'seismic' then level end) as seismic from h group by 1""")
 def _(t):
-    w = cells.worst_hazards(shares(t), "parcel_key")
+    w = cells.worst_hazards(shares(t, strongest=True), "parcel_key")
     at = lambda k: F.try_element_at("hazard_flags", F.lit(k))
     return w.select("parcel_key", at("flood").alias("flood"), at("seismic").alias("seismic"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from landgrid.functions import geo
 from landgrid.operators import areas, cells, scoring, spatial
+from tests import brute
 
 SEGMENT = "struct<x1:double,y1:double,x2:double,y2:double>"
 
@@ -104,3 +105,32 @@ def test_drivers_need_no_rank_beyond_the_best(spark):
     plain, best = scoring.rank_cells(scored, "unit"), scoring.rank_cells(scored, "unit", most=60)
     assert "n_ranked" not in plain.columns
     assert {(r.unit, r["rank"]) for r in best.where("rank <= 60").collect()} == {(r.unit, r["rank"]) for r in plain.where("rank <= 60").collect()}
+
+
+def test_worst_hazards_list_few_of_the_sources_that_cover_a_place(spark):
+    rng = random.Random(7)
+    shape = "array<array<struct<x:double,y:double>>>"
+    box = lambda x, y, w, h: brute.rings([(x, y), (x + w, y), (x + w, y + h), (x, y + h)])
+    spot = lambda: (-74.0 + rng.random(), 4.0 + rng.random())
+    land = []
+    for k in range(240):
+        (x, y), w, h = spot(), rng.choice([0.02, 0.3, 1.5]), rng.choice([0.02, 0.3, 1.5])
+        rings = brute.rings([(x, y), (x + w, y), (x, y + h)]) if k % 9 == 0 else box(x - w / 2, y - h / 2, w, h)
+        rank = rng.choice([None, 0, 2, 3, 4, 5])
+        land.append((k % 50, "hazard" if k % 5 else "soil", rng.choice(["flood", "seismic"]), rng.choice([f"l{rank}", "b", None]), rank, rings))
+    land.append((300, "hazard", "flood", "x", 9, None))
+    land.append((301, "hazard", "flood", "y", 9, box(-80.0, 9.0, 0.5, 0.5)))
+    own = [(k, box(*spot(), *rng.choice([(0.004, 0.006), (0.004, 0.006), (0.3, 0.1)]))) for k in range(300)]
+    own += [own[0], (301, brute.rings([(-73.9, 4.2), (-73.2, 4.3), (-73.5, 4.9)])), (302, None), (303, box(-60.0, 4.0, 0.1, 0.1))]
+    overlays = spark.createDataFrame(land, f"source_id long, layer string, layer_key string, level string, level_rank int, o_rings {shape}")
+    shapes = spark.createDataFrame(own, f"id long, rings {shape}")
+    every = cells.overlay_shares(shapes, overlays, "id", "rings")
+    some = cells.overlay_shares(shapes, overlays, "id", "rings", strongest=True)
+    flags = lambda df: {r.id: r.hazard_flags for r in cells.worst_hazards(df, "id").collect()}
+    assert flags(some) == flags(every) != {}
+    # Hundreds of equal sources around a place make no more pairs than one.
+    cover = spark.range(400).selectExpr("id as source_id", "'hazard' as layer", "'flood' as layer_key", "'a' as level", "3 as level_rank")
+    cover = cover.withColumn("o_rings", geo.rectangle(F.lit(-75.0), F.lit(3.0), F.lit(-72.0), F.lit(6.0)))
+    assert cells.overlay_shares(shapes, cover, "id", "rings").count() > 50 * cells.overlay_shares(shapes, cover, "id", "rings", strongest=True).count()
+    nothing = cells.overlay_shares(shapes, cover.limit(0), "id", "rings", strongest=True)
+    assert nothing.count() == 0 and nothing.columns == some.columns
